@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earlywarn.llm import decontaminate, html_extract, mixing, quality, quotes, toxicity, warc
+from earlywarn.llm import decontaminate, html_extract, lm_score, mixing, near_duplicates, quality, quotes, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_contamination(docs, _table(spark, sf_dir, "benchmark"))
@@ -41,6 +45,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicate_classes(_table(spark, sf_dir, "documents"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -51,11 +59,13 @@ def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_score": op1_lm_score,
     "op2_decontaminate": op2_decontaminate,
     "op3_toxicity": op3_toxicity,
     "op4_html_extract": op4_html_extract,
     "op5_quality_rules": op5_quality_rules,
     "op6_warc": op6_warc,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_mix": op8_mix,
     "op9_quotation_linking": op9_quotation_linking,
 }
