@@ -37,6 +37,7 @@ FAN_IN = 256
 SEED = 20240
 BROADCAST_SOURCES = 100_000
 SALTS = 64
+BROADCAST_ROWS = 2_000_000
 
 
 def word_count(text: str) -> Column:
@@ -158,11 +159,16 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     from pyspark.sql import Window
 
     names = [f"c{i}" for i in range(len(docs.columns))]
-    d = docs.toDF(*names)
-    i, t, s = (F.col(names[docs.columns.index(c)]) for c in (doc_id, text, source))
-    d = d.withColumns({"_id": F.coalesce(i.cast("string"), F.lit("")), "_size": word_count(names[docs.columns.index(text)]), "_src": s.cast("string")})
-    d = d.withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy("_size", "_src")))
-    taken = mix(docs, doc_id, text, source, **options).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), "size", F.col("source").alias("_s"), "copies")
-    taken = taken.withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy("size", "_s", "copies"))).where("copies > 0").select("_id", "_n", "copies")
-    both = d.join(taken, ["_id", "_n"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies")))
+    i, t, s = (names[docs.columns.index(c)] for c in (doc_id, text, source))
+    d = docs.toDF(*names).withColumn("_id", F.coalesce(F.col(i).cast("string"), F.lit("")))
+    taken = materialize(mix(docs, doc_id, text, source, **options).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), "size", F.col("source").alias("_s"), "copies"))
+    if taken.groupBy("_id").count().where("count > 1").limit(1).count():
+        d = d.withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy(word_count(t), F.col(s).cast("string"))))
+        taken = taken.withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy("size", "_s", "copies")))
+        on = ["_id", "_n"]
+    else:
+        on = ["_id"]
+    taken = taken.where("copies > 0").select(*on, "copies")
+    both = d.join(F.broadcast(taken) if taken.count() <= BROADCAST_ROWS else taken, on)
+    both = both.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies")))
     return both.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)), F.col("_copy").alias("copy"))

@@ -36,8 +36,13 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """One document of each class: the one with the smallest id. Of repeated rows with that id and an equal text one stays."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     found = near_duplicate_classes(docs, doc_id, text, **options)
-    keep = found.where("doc_id <=> component_id").select("doc_id").distinct()
+    found = materialize(found)
+    keep = materialize(found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct())
+    few = F.broadcast(keep) if keep.count() <= setjoin.BROADCAST_IDS else keep
     d = docs.toDF(*names)
     i, t = names[docs.columns.index(doc_id)], names[docs.columns.index(text)]
-    kept = d.join(materialize(keep).withColumnRenamed("doc_id", "_keep"), F.col(i).cast("long").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.dropDuplicates([i, t]).toDF(*docs.columns)
+    kept = d.join(few, F.col(i).cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    # only tables with repeated ids pay for telling their rows apart
+    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates([i, t])
+    return kept.toDF(*docs.columns)

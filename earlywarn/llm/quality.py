@@ -9,8 +9,8 @@ its host is a bad one (shrunk failure rate of ``host_limit`` or more). A documen
 Defined cases: a null or empty text has no words and fails the base rule; a null host is a host of its own; repeated rows count once
 each; an empty table gives an empty result; other columns pass through ``quality_filter`` untouched.
 
-Plan: documents are measured twice (once to sum by host, once for the verdict) so that no text is shuffled. Only one row of sums per
-host and task is. The host table is broadcast when it has at most ``broadcast_hosts`` rows; beyond that the measures are joined by
+Plan: to carry texts along, documents are measured twice (once to sum by host, once for the verdict) so that no text is shuffled or
+copied; without texts the measures are written once. Only one row of sums per host and task is shuffled. The host table is broadcast when it has at most ``broadcast_hosts`` rows; beyond that the measures are joined by
 host and salt, the host table being repeated once for each salt.
 """
 
@@ -90,29 +90,39 @@ def host_verdicts(measured: DataFrame, host: str = "source", host_limit: float =
     by_host = measured.groupBy(_host_key(host).alias("_host")).agg(F.count(F.lit(1)).alias("host_docs"), F.sum((base | failed).cast("long")).alias("host_failures"))
     by_host = materialize(by_host)
     rate = F.col("host_failures") / F.col("host_docs")
-    prior = by_host.agg((F.sum("host_failures") / F.sum("host_docs")).alias("m"), F.coalesce(F.var_pop(rate), F.lit(0.0)).alias("v"))
-    spread = F.col("m") * (1 - F.col("m"))
-    strength = F.when(F.col("v") > 0, F.greatest(F.lit(1.0), F.least(F.lit(10_000.0), spread / F.col("v") - 1))).otherwise(F.lit(10_000.0))
-    prior = prior.select("m", strength.alias("s"), F.lit(1).alias("_one"))
-    shrunk = (F.col("host_failures") + F.col("m") * F.col("s")) / (F.col("host_docs") + F.col("s"))
-    # the prior is one row by construction
-    return by_host.withColumn("_one", F.lit(1)).join(F.broadcast(prior), "_one").select("_host", "host_docs", "host_failures", shrunk.alias("host_rate"), (shrunk >= host_limit).alias("host_bad"))
+    # one row: the mean and the spread of the rates of all hosts
+    r = by_host.agg((F.sum("host_failures") / F.sum("host_docs")).alias("m"), F.var_pop(rate).alias("v")).first()
+    mean, spread = r.m or 0.0, r.v or 0.0
+    strength = max(1.0, min(10_000.0, mean * (1 - mean) / spread - 1)) if spread > 0 else 10_000.0
+    shrunk = (F.col("host_failures") + mean * strength) / (F.col("host_docs") + strength)
+    return by_host.select("_host", "host_docs", "host_failures", shrunk.alias("host_rate"), (shrunk >= host_limit).alias("host_bad"))
 
 
 def _host_key(host: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit(""))
 
 
+def measured_verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", host_limit: float = HOST_LIMIT, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
+    """``key`` with the measures, base_failed, host_bad and kept. Without texts to carry, the measures are written once and read twice."""
+    slim = docs.select(F.col(key).alias(key), F.col(text).alias("_text"), F.col(host).alias(host))
+    measured = materialize(measure(slim, "_text").drop("_text"))
+    return _judge(measured, host_verdicts(measured, host, host_limit), F.col(key), host, broadcast_hosts)
+
+
 def quality_verdicts(docs: DataFrame, text: str = "text", host: str = "source", host_limit: float = HOST_LIMIT, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
     """``docs`` with the measures, base_failed, host_bad and kept."""
-    measured = measure(docs, text)
-    hosts = materialize(host_verdicts(measure(docs.select(text, host), text), host, host_limit)).select("_host", "host_bad")
+    hosts = host_verdicts(measure(docs.select(text, host), text), host, host_limit)
+    return _judge(measure(docs, text), hosts, F.col(text), host, broadcast_hosts)
+
+
+def _judge(measured: DataFrame, hosts: DataFrame, salt: Column, host: str, broadcast_hosts: int) -> DataFrame:
+    hosts = materialize(hosts).select("_host", "host_bad")
     keyed = measured.withColumn("_host", _host_key(host))
     if hosts.count() <= broadcast_hosts:
         joined = keyed.join(F.broadcast(hosts), "_host", "left")
     else:
         salted = hosts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = keyed.withColumn("_salt", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int")).join(salted, ["_host", "_salt"], "left").drop("_salt")
+        joined = keyed.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(salted, ["_host", "_salt"], "left").drop("_salt")
     base, wide, failed = _rules()
     joined = joined.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & ~wide & ~(failed & F.coalesce("host_bad", F.lit(False))))
     return joined.drop("_host")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earlywarn.llm import decontaminate, html_extract, lm_score, mixing, near_duplicates, quality, quotes, toxicity, warc
+from earlywarn.llm import decontaminate, html_extract, line_dedup, lm_score, mixing, near_duplicates, quality, quotes, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,8 +37,7 @@ def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return quality.quality_verdicts(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_bad")
+    return quality.measured_verdicts(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_bad")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +57,21 @@ def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_quotes(_table(spark, sf_dir, "conversations"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    gone = line_dedup.later_lines(docs)
+    lines = docs.select("doc_id", F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"))
+    joined = lines.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("id")), "left")
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return joined.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_decontaminate": op2_decontaminate,
@@ -68,5 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_near_duplicates": op7_near_duplicates,
     "op8_mix": op8_mix,
     "op9_quotation_linking": op9_quotation_linking,
+    "op10_line_dedup": op10_line_dedup,
+    "pipeline": pipeline,
 }
 ORACLE_SQL: dict[str, str] = {}

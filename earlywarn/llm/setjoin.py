@@ -4,7 +4,7 @@ Sets hold 44-bit hashes. Equal sets have equal keys (a 64-bit digest) and are on
 or more share an element among their first ``n - ceil(n * num / den) + 1`` in any common order; the order here is rare elements first, so that an
 element many sets share seldom deals sets together.
 
-1. ``describe``: one scan gives each row's key and size, a 512-bit signature (one bit per element), and the elements frequent in a batch.
+1. ``describe``: one scan gives each row's key and size, a signature bitmap of ``BITS`` bits (one bit per element), and the elements frequent in a batch.
 2. ``_postings``: a second scan deals (element, key, size, position) of the prefixes, packed in binary rows, to ranges of elements. Each range keeps elements
    with two sets or more; lists of the same members become one.
 3. ``_trees``: the members' signatures join the lists. Each list becomes a signature tree: nodes hold the OR of their bitmaps, the range of sizes and the
@@ -13,7 +13,7 @@ element many sets share seldom deals sets together.
 4. ``_verify``: pairs meet their whole sets, read once more from the text of one row each, and are counted exactly.
 5. ``classes``: links become classes by large-star and small-star steps, each a grouped minimum and a join.
 
-A list of up to ``SMALL`` members gives all its pairs at once. A longer one (near copies) gives a chain and a star first; later rounds give only pairs of sets that
+A list of two gives its pair at once. A longer one (near copies) gives a chain in the order of size first; later rounds give only pairs of sets that
 are still in different classes, first a few for each set, then all, until none is left. So no link between classes is lost, and a group of copies never
 becomes all its pairs.
 """
@@ -33,7 +33,7 @@ from earlywarn.llm.storage import materialize
 
 BITS = 512
 VALUE_BITS = 44
-SMALL = 12
+SMALL = 2
 LEAF = 32
 FAN_OUT = 8
 #: Elements frequent in a batch, and how many of them the order knows (bounds what is broadcast: 12 bytes each).
@@ -103,9 +103,9 @@ def _digest(values: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(n > 0, tk.mix(total[ends] - total[ends - n] + n.astype(np.uint64) * np.uint64(tk.BASE)), 0).astype(np.uint64)
 
 
-def _signatures(values: np.ndarray, n: np.ndarray) -> np.ndarray:
-    bits = np.zeros((len(n), BITS), bool)
-    bits[np.repeat(np.arange(len(n)), n), (values % np.uint64(BITS)).astype(np.int64)] = True
+def _signatures(values: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
+    bits = np.zeros((len(n), width), bool)
+    bits[np.repeat(np.arange(len(n)), n), (values % np.uint64(width)).astype(np.int64)] = True
     return np.packbits(bits, axis=1)
 
 
@@ -118,7 +118,7 @@ def _frequent(values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 DESCRIBED = "row long, part long, n long, key long, sig binary, often binary"
 
 
-def describe(rows: DataFrame, extract: Extract, with_signatures: bool = True) -> DataFrame:
+def describe(rows: DataFrame, extract: Extract, bits: int = BITS) -> DataFrame:
     """Sets of a table (id long, text): ``row, part, n, key, sig``, and rows with ``often`` only (elements and counts), written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +133,7 @@ def describe(rows: DataFrame, extract: Extract, with_signatures: bool = True) ->
                     hi = min(len(at), lo + step)
                     v = values[ends[lo] - n[lo] : ends[hi - 1]]
                     key = _digest(v, n[lo:hi]).view(np.int64)
-                    sig = pa.array([s.tobytes() for s in _signatures(v, n[lo:hi])] if with_signatures else [None] * (hi - lo), pa.binary())
+                    sig = pa.array([s.tobytes() for s in _signatures(v, n[lo:hi], bits)], pa.binary())
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(at[lo:hi])), pa.array(part[lo:hi]), pa.array(n[lo:hi]), pa.array(key), sig, pa.nulls(hi - lo, pa.binary())], names=names)
             v, c = _frequent(values_seen)
             if len(v):
@@ -367,8 +367,7 @@ def _trees(round_: int, num: int, den: int):
                         continue
                     tree = Tree(sig[m], n[m])
                     if round_ == 1 and len(m) > SMALL:
-                        x = np.concatenate([m[:-1], np.repeat(m[:1], len(m) - 1)])
-                        y = np.concatenate([m[1:], m[1:]])
+                        x, y = m[:-1], m[1:]
                         bits = np.bitwise_count(sig[m]).sum(1).astype(np.int64)
                         sur = np.zeros(len(k), np.int64)
                         sur[m] = n[m] - bits
@@ -443,7 +442,10 @@ def _read_sets(rows: DataFrame, extract: Extract, wanted: DataFrame) -> DataFram
                     yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(part[lo:hi]), pa.array(keys[lo:hi]), pa.array(blobs, pa.binary())], names=["row", "part", "key", "elements"])
 
     got = texts.mapInArrow(run, "row long, part long, key long, elements binary")
-    return got.join(wanted.select("key", "row", "part"), ["key", "row", "part"], "left_semi").dropDuplicates(["key"]).select("key", "elements")
+    few = wanted.select("key", "row", "part")
+    few = F.broadcast(few) if few.count() <= BROADCAST_IDS else few
+    # repeated rows give a set twice, which only judges its pairs twice
+    return got.join(few, ["key", "row", "part"], "left_semi").select("key", "elements")
 
 
 def _to_bytes(values: np.ndarray) -> bytes:
@@ -495,12 +497,12 @@ def classes(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("key"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("key"), F.col("b").alias("label")).distinct())
 
 
-def link_sets(rows: DataFrame, extract: Extract, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+def link_sets(rows: DataFrame, extract: Extract, num: int, den: int, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """Sets of a table (id long, text) and their classes.
 
     Returns ``(members, labels)``: members has ``row, part, n, key`` for each set, labels has ``key, label`` for keys that are linked with another."""
     spark = rows.sparkSession
-    described = describe(rows, extract)
+    described = describe(rows, extract, bits)
     members = described.where("key is not null")
     order = frequency_order(described)
     reps = members.where("n > 0").groupBy("key").agg(F.min(F.struct("row", "part")).alias("at"), F.max("n").alias("n"), F.min("sig").alias("sig")).select("key", "at.row", "at.part", "n", "sig")
@@ -524,7 +526,7 @@ def link_sets(rows: DataFrame, extract: Extract, num: int, den: int) -> tuple[Da
         elif not pairs.limit(1).count():
             break
         keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-        sets = materialize(_read_sets(rows, extract, materialize(reps.select("key", "row", "part").join(keys, "key", "left_semi"))))
+        sets = _read_sets(rows, extract, materialize(reps.select("key", "row", "part").join(keys, "key", "left_semi")))
         judged = materialize(_verify(pairs, sets, num, den))
         tried = judged.select("a", "b") if tried is None else tried.unionByName(judged.select("a", "b"))
         links = judged.where("linked").select("a", "b") if links is None else links.unionByName(judged.where("linked").select("a", "b"))
