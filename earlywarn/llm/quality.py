@@ -72,7 +72,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": covered,
     }
-    return out.select(*docs.columns, *(c.alias(k) for k, c in measures.items()))
+    # a filter on the verdict must not be pushed below this step: the optimizer would write the measures out in it, many times over
+    return out.select(*docs.columns, *(c.alias(k) for k, c in measures.items()), F.monotonically_increasing_id().alias("_row"))
 
 
 def _rules() -> tuple[Column, Column, Column]:
@@ -105,7 +106,7 @@ def _host_key(host: str) -> Column:
 def measured_verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", host_limit: float = HOST_LIMIT, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
     """``key`` with the measures, base_failed, host_bad and kept. Without texts to carry, the measures are written once and read twice."""
     slim = docs.select(F.col(key).alias(key), F.col(text).alias("_text"), F.col(host).alias(host))
-    measured = materialize(measure(slim, "_text").drop("_text"))
+    measured = materialize(measure(slim, "_text").drop("_text", "_row"))
     return _judge(measured, host_verdicts(measured, host, host_limit), F.col(key), host, broadcast_hosts)
 
 
@@ -134,4 +135,4 @@ def quality_filter(docs: DataFrame, **options) -> DataFrame:
     inner = docs.toDF(*names)
     text = names[docs.columns.index(options.pop("text", "text"))]
     host = names[docs.columns.index(options.pop("host", "source"))]
-    return quality_verdicts(inner, text, host, **options).where("kept").select(*names).toDF(*docs.columns)
+    return quality_verdicts(inner, text, host, **options).where("kept and _row >= 0").select(*names).toDF(*docs.columns)
