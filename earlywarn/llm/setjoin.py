@@ -10,7 +10,8 @@ element many sets share seldom deals sets together.
 3. ``_trees``: the members' signatures join the lists. Each list becomes a signature tree: nodes hold the OR of their bitmaps, the range of sizes and the
    largest surplus (elements less bits). Traversing pairs of nodes, a pair is dropped when its largest possible overlap, the common bits and the lesser
    surplus, or its sizes rule out the threshold. What is left are pairs of sets.
-4. ``_verify``: pairs meet their whole sets, read once more from the text of one row each, and are counted exactly.
+4. ``_narrow``: bitmaps of two bits or more per element rule out most of these, which matters for long texts, whose signatures are full.
+   ``_verify``: the remaining pairs meet their whole sets, read again from the text of one row each, and are counted exactly.
 5. ``classes``: links become classes by large-star and small-star steps, each a grouped minimum and a join.
 
 A list of two gives its pair at once. A longer one (near copies) gives a chain in the order of size first; later rounds give only pairs of sets that
@@ -109,13 +110,49 @@ def _signatures(values: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
     return np.packbits(bits, axis=1)
 
 
+def _wide(values: np.ndarray, least: int) -> bytes:
+    """A bitmap with two bits or more per element, a power of two wide; empty where the signature is as wide."""
+    if 2 * len(values) <= least:
+        return b""
+    width = 1 << (2 * len(values) - 1).bit_length()
+    bits = np.zeros(width, bool)
+    bits[(values % np.uint64(width)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def _may_reach(na: int, a: bytes, nb: int, b: bytes, num: int, den: int) -> bool:
+    """The bound of ``fits`` for two bitmaps, the wider one folded to the width of the other."""
+    x, y = (np.frombuffer(v, np.uint64) for v in (a, b))
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    surplus = min(na - int(np.bitwise_count(x).sum()), nb - int(np.bitwise_count(y).sum()))
+    most = min(int(np.bitwise_count(x & y).sum()) + surplus, na, nb)
+    return most * (num + den) >= num * (na + nb)
+
+
+def _narrow(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that their wide bitmaps do not rule out either."""
+    bitmap = F.when(F.length("wide") > 0, F.col("wide")).otherwise(F.col("sig"))
+    side = lambda k: reps.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), bitmap.alias(f"w{k}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = batch.to_pydict()
+            ok = [_may_reach(*x, num, den) for x in zip(c["na"], c["wa"], c["nb"], c["wb"], strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "wa", "nb", "wb").mapInArrow(run, "a long, b long")
+
+
 def _frequent(values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     v, c = np.unique(np.concatenate(values), return_counts=True) if values else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     often = c >= LOCALLY_FREQUENT
     return v[often], c[often]
 
 
-DESCRIBED = "row long, part long, n long, key long, sig binary, often binary"
+DESCRIBED = "row long, part long, n long, key long, sig binary, wide binary, often binary"
 
 
 def describe(rows: DataFrame, extract: Extract, bits: int = BITS) -> DataFrame:
@@ -134,11 +171,12 @@ def describe(rows: DataFrame, extract: Extract, bits: int = BITS) -> DataFrame:
                     v = values[ends[lo] - n[lo] : ends[hi - 1]]
                     key = _digest(v, n[lo:hi]).view(np.int64)
                     sig = pa.array([s.tobytes() for s in _signatures(v, n[lo:hi], bits)], pa.binary())
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at[lo:hi])), pa.array(part[lo:hi]), pa.array(n[lo:hi]), pa.array(key), sig, pa.nulls(hi - lo, pa.binary())], names=names)
+                    wide = pa.array([_wide(values[ends[i] - n[i] : ends[i]], bits) for i in range(lo, hi)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at[lo:hi])), pa.array(part[lo:hi]), pa.array(n[lo:hi]), pa.array(key), sig, wide, pa.nulls(hi - lo, pa.binary())], names=names)
             v, c = _frequent(values_seen)
             if len(v):
                 blob = np.stack([v, c.astype(np.uint64)]).tobytes()
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.nulls(1, pa.binary()), pa.array([blob], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([blob], pa.binary())], names=names)
 
     return materialize(rows.select("text", "id").mapInArrow(run, DESCRIBED))
 
@@ -505,7 +543,7 @@ def link_sets(rows: DataFrame, extract: Extract, num: int, den: int, bits: int =
     described = describe(rows, extract, bits)
     members = described.where("key is not null")
     order = frequency_order(described)
-    reps = members.where("n > 0").groupBy("key").agg(F.min(F.struct("row", "part")).alias("at"), F.max("n").alias("n"), F.min("sig").alias("sig")).select("key", "at.row", "at.part", "n", "sig")
+    reps = members.where("n > 0").groupBy("key").agg(F.min(F.struct("row", "part", "n", "sig", "wide")).alias("at")).select("key", "at.*")
     reps = materialize(reps)
     total = int(reps.agg(F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1), F.lit(0))).first()[0])
     ranges = max(1, math.ceil(total / RANGE_POSTINGS))
@@ -525,10 +563,11 @@ def link_sets(rows: DataFrame, extract: Extract, num: int, den: int, bits: int =
             lists = found.where("members is not null").select("range", "members", "sizes")
         elif not pairs.limit(1).count():
             break
-        keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+        pairs_left = materialize(_narrow(pairs, reps, num, den))
+        keys = pairs_left.select(F.col("a").alias("key")).unionByName(pairs_left.select(F.col("b").alias("key"))).distinct()
         sets = _read_sets(rows, extract, materialize(reps.select("key", "row", "part").join(keys, "key", "left_semi")))
-        judged = materialize(_verify(pairs, sets, num, den))
-        tried = judged.select("a", "b") if tried is None else tried.unionByName(judged.select("a", "b"))
+        judged = materialize(_verify(pairs_left, sets, num, den))
+        tried = pairs if tried is None else tried.unionByName(pairs)
         links = judged.where("linked").select("a", "b") if links is None else links.unionByName(judged.where("linked").select("a", "b"))
         labels = materialize(classes(links))
     if labels is None:
