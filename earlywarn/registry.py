@@ -1,4 +1,8 @@
 """Registered queries of the early-warning operators and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from earlywarn.plans import clinical_queries
+
+QUERIES: dict = dict(clinical_queries.QUERIES)
+ORACLE_SQL: dict = dict(clinical_queries.ORACLE_SQL)
