@@ -26,15 +26,15 @@ def burden(scored: DataFrame, alerts: DataFrame) -> DataFrame:
 def open_over_time(alerts: DataFrame, log: DataFrame) -> DataFrame:
     """Open alerts after each day: a running sum of arrivals less departures, over daily sums."""
     up = alerts.select(F.to_date("raised_at").alias("day"), F.lit(1).alias("d"))
-    down = log.where("from_status = 'open' and result = 'applied'").select(F.to_date("at").alias("day"), F.lit(-1).alias("d"))
+    down = log.where("from_status = 'open' and result = 'applied'").select(F.to_date("acted_at").alias("day"), F.lit(-1).alias("d"))
     daily = up.unionByName(down).groupBy("day").agg(F.sum("d").alias("d"))
     return daily.select("day", F.sum("d").over(Window.orderBy("day")).alias("open_alerts"))
 
 
 def time_to_ack(alerts: DataFrame, results: DataFrame) -> DataFrame:
     """p50 and p90 of seconds from raised to the first acknowledge that applied to version 1."""
-    first = results.where("result = 'applied' and transition = 'acknowledge' and version = 2").select("alert_id", "at")
-    s = alerts.join(first, "alert_id").select((F.timestamp_diff("MICROSECOND", F.col("raised_at"), F.col("at")) / 1e6).alias("s"))
+    first = results.where("result = 'applied' and transition = 'acknowledge' and version = 2").select("alert_id", "acted_at")
+    s = alerts.join(first, "alert_id").select((F.timestamp_diff("MICROSECOND", F.col("raised_at"), F.col("acted_at")) / 1e6).alias("s"))
     return s.agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("s", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("s", F.lit(0.9)), 6).alias("p90"))
 
 

@@ -121,22 +121,22 @@ def alert_actions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     ev = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     alerts = ev.where("event_type = 'error'").select(F.col("event_id").alias("alert_id"), F.col("user_id").alias("encounter_id"), F.when(F.col("k") % 2 == 0, "model").otherwise("news2").alias("source"), F.col("ts").cast("timestamp_ntz").alias("raised_at"), "k", (F.col("value") / 30).alias("score"))
     does = F.when(F.col("event_type") == "click", "acknowledge").when(F.col("event_type") == "purchase", "escalate").when(F.col("event_type") == "signup", "resolve")
-    acts = ev.withColumn("transition", does).where("transition is not null").select(F.col("user_id").alias("encounter_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp_ntz").alias("at"), "transition", F.col("k").alias("ak"), F.concat(F.lit("clin"), (F.col("user_id") % 5).cast("string")).alias("actor"))
+    acts = ev.withColumn("transition", does).where("transition is not null").select(F.col("user_id").alias("encounter_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp_ntz").alias("acted_at"), "transition", F.col("k").alias("ak"), F.concat(F.lit("clin"), (F.col("user_id") % 5).cast("string")).alias("actor"))
     # within twelve hours: meet by user and half day, so a user with many events is not crossed with itself
     bucket = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / 43_200_000_000)
     left = alerts.withColumn("b", F.explode(F.array(bucket(F.col("raised_at")), bucket(F.col("raised_at")) + 1)))
-    j = left.join(acts.withColumn("b", bucket(F.col("at"))), ["encounter_id", "b"]).where((F.col("at") > F.col("raised_at")) & (F.col("at") <= F.timestamp_add("HOUR", F.lit(12), F.col("raised_at"))))
+    j = left.join(acts.withColumn("b", bucket(F.col("acted_at"))), ["encounter_id", "b"]).where((F.col("acted_at") > F.col("raised_at")) & (F.col("acted_at") <= F.timestamp_add("HOUR", F.lit(12), F.col("raised_at"))))
     n = F.row_number().over(Window.partitionBy("alert_id").orderBy("seq"))
-    actions = j.withColumn("n", n).select("alert_id", "seq", "at", "transition", "actor", (F.col("n") - F.when(F.col("ak") % 3 == 0, 1).otherwise(0)).cast("int").alias("expected"))
+    actions = j.withColumn("n", n).select("alert_id", "seq", "acted_at", "transition", "actor", (F.col("n") - F.when(F.col("ak") % 3 == 0, 1).otherwise(0)).cast("int").alias("expected"))
     return alerts, actions
 
 
 def replay(alerts: DataFrame, actions: DataFrame) -> DataFrame:
     """One row per action with its result: applied, 412 (stale version), 409 (illegal), 404 (unknown alert); and the state after it. A fold per alert."""
-    rows = actions.groupBy("alert_id").agg(F.sort_array(F.collect_list(F.struct("seq", "at", "transition", "actor", "expected"))).alias("acts"))
+    rows = actions.groupBy("alert_id").agg(F.sort_array(F.collect_list(F.struct("seq", "acted_at", "transition", "actor", "expected"))).alias("acts"))
     rows = rows.join(alerts.select("alert_id", F.lit(True).alias("known")), "alert_id", "left")
     target = lambda status, tr: F.coalesce(*(F.when((status == s) & (tr == t), to) for (s, t), to in TRANSITIONS.items()))
-    out_type = "array<struct<seq:bigint,at:timestamp_ntz,transition:string,actor:string,result:string,from_status:string,to_status:string,version:int>>"
+    out_type = "array<struct<seq:bigint,acted_at:timestamp_ntz,transition:string,actor:string,result:string,from_status:string,to_status:string,version:int>>"
     start = F.struct(F.lit("open").alias("status"), F.lit(1).alias("version"), F.array().cast(out_type).alias("log"))
 
     def step(acc: Column, a: Column) -> Column:
@@ -144,13 +144,13 @@ def replay(alerts: DataFrame, actions: DataFrame) -> DataFrame:
         result = F.when(a["expected"] != acc["version"], "412").when(to.isNull(), "409").otherwise("applied")
         done = result == "applied"
         status, version = F.when(done, to).otherwise(acc["status"]), acc["version"] + F.when(done, 1).otherwise(0)
-        entry = F.struct(a["seq"].alias("seq"), a["at"].alias("at"), a["transition"].alias("transition"), a["actor"].alias("actor"), result.alias("result"), acc["status"].alias("from_status"), status.alias("to_status"), version.cast("int").alias("version"))
+        entry = F.struct(a["seq"].alias("seq"), a["acted_at"].alias("acted_at"), a["transition"].alias("transition"), a["actor"].alias("actor"), result.alias("result"), acc["status"].alias("from_status"), status.alias("to_status"), version.cast("int").alias("version"))
         return F.struct(status.alias("status"), version.cast("int").alias("version"), F.concat(acc["log"], F.array(entry)).alias("log"))
 
     log = F.aggregate("acts", start, step, lambda acc: acc["log"])
     e = rows.select("alert_id", "known", F.explode(log).alias("e"))
     unknown = F.col("known").isNull()
-    return e.select("alert_id", "e.seq", "e.at", "e.transition", "e.actor", F.when(unknown, "404").otherwise(F.col("e.result")).alias("result"), "e.from_status", F.when(unknown, F.col("e.from_status")).otherwise(F.col("e.to_status")).alias("to_status"), "e.version")
+    return e.select("alert_id", "e.seq", "e.acted_at", "e.transition", "e.actor", F.when(unknown, "404").otherwise(F.col("e.result")).alias("result"), "e.from_status", F.when(unknown, F.col("e.from_status")).otherwise(F.col("e.to_status")).alias("to_status"), "e.version")
 
 
 def audit_log(results: DataFrame) -> DataFrame:
@@ -159,8 +159,8 @@ def audit_log(results: DataFrame) -> DataFrame:
 
 def current_alerts(alerts: DataFrame, results: DataFrame) -> DataFrame:
     """Alerts with status, version and updated_at after all applied actions."""
-    last = results.where("result = 'applied'").groupBy("alert_id").agg(F.max_by(F.struct("to_status", "version", "at", "actor"), "seq").alias("l"))
-    return alerts.join(last, "alert_id", "left").select(*alerts.columns, F.coalesce("l.to_status", F.lit("open")).alias("status"), F.coalesce("l.version", F.lit(1)).alias("version"), F.coalesce("l.at", "raised_at").alias("updated_at"), F.col("l.actor").alias("updated_by"))
+    last = results.where("result = 'applied'").groupBy("alert_id").agg(F.max_by(F.struct("to_status", "version", "acted_at", "actor"), "seq").alias("l"))
+    return alerts.join(last, "alert_id", "left").select(*alerts.columns, F.coalesce("l.to_status", F.lit("open")).alias("status"), F.coalesce("l.version", F.lit(1)).alias("version"), F.coalesce("l.acted_at", "raised_at").alias("updated_at"), F.col("l.actor").alias("updated_by"))
 
 
 def overdue(alerts: DataFrame, as_of: str, after_minutes: int = 15) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from earlywarn.plans import clinical_queries
+from earlywarn.plans import clinical_queries, ward_queries
 
-QUERIES: dict = dict(clinical_queries.QUERIES)
-ORACLE_SQL: dict = dict(clinical_queries.ORACLE_SQL)
+QUERIES: dict = dict(clinical_queries.QUERIES) | ward_queries.QUERIES
+ORACLE_SQL: dict = dict(clinical_queries.ORACLE_SQL) | ward_queries.ORACLE_SQL
