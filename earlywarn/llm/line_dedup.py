@@ -23,13 +23,15 @@ NUM, DEN = 4, 5
 LEAST = 8
 #: A line has few tokens; its signature is short.
 BITS = 128
+#: Lines that share a rare token are tried against each other at once up to this many; their sets are small.
+SMALL = 24
 BROADCAST_ROWS = 2_000_000
 
 
 def later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = NUM, den: int = DEN, least: int = LEAST) -> DataFrame:
     """``id, removed`` (sorted line numbers from 0): the lines that match an earlier one, for documents that have such lines."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    members, labels = setjoin.link_sets(rows, setjoin.line_sets(least), num, den, BITS)
+    members, labels = setjoin.link_sets(rows, setjoin.line_sets(least), num, den, BITS, SMALL)
     # the first place of every key, then of every class
     at = F.struct("row", "part")
     first = members.groupBy("key").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("copies"))

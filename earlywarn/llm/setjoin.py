@@ -34,7 +34,6 @@ from earlywarn.llm.storage import materialize
 
 BITS = 512
 VALUE_BITS = 44
-SMALL = 2
 LEAF = 32
 FAN_OUT = 8
 #: Elements frequent in a batch, and how many of them the order knows (bounds what is broadcast: 12 bytes each).
@@ -170,8 +169,8 @@ def describe(rows: DataFrame, extract: Extract, bits: int = BITS) -> DataFrame:
                     hi = min(len(at), lo + step)
                     v = values[ends[lo] - n[lo] : ends[hi - 1]]
                     key = _digest(v, n[lo:hi]).view(np.int64)
-                    sig = pa.array([s.tobytes() for s in _signatures(v, n[lo:hi], bits)], pa.binary())
-                    wide = pa.array([_wide(values[ends[i] - n[i] : ends[i]], bits) for i in range(lo, hi)], pa.binary())
+                    sig = pa.FixedSizeBinaryArray.from_buffers(pa.binary(bits // 8), hi - lo, [None, pa.py_buffer(_signatures(v, n[lo:hi], bits).tobytes())]).cast(pa.binary())
+                    wide = pa.array([_wide(values[ends[i] - n[i] : ends[i]], bits) if 2 * n[i] > bits else b"" for i in range(lo, hi)], pa.binary())
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(at[lo:hi])), pa.array(part[lo:hi]), pa.array(n[lo:hi]), pa.array(key), sig, wide, pa.nulls(hi - lo, pa.binary())], names=names)
             v, c = _frequent(values_seen)
             if len(v):
@@ -371,75 +370,85 @@ class Tree:
                 work.append((level - 1, ii[half], jj[half]))
 
 
-def _trees(round_: int, num: int, den: int):
-    """Pairs of one range: ``a, b`` packed, and the lists that later rounds must look at again."""
+def _offsets(size: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each run of the given sizes."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _trees(round_: int, num: int, den: int, small: int):
+    """Pairs of one range (a, b), and the lists that a later round must look at again.
+
+    Round 1 tries all pairs of lists of up to ``small`` members, of all lists of a size at once, and the chain of longer ones. Round 2 traverses the trees of longer lists for pairs
+    of different classes, up to eight for each set; round 3 takes up the lists where round 2 left some out, without a limit."""
 
     def run(key: tuple, lists: pa.Table, sigs: pa.Table) -> pa.Table:
-        out_a, out_b, again, again_n = [], [], [], []
+        out_a, out_b, again = [], [], []
         if lists.num_rows and sigs.num_rows:
             k = sigs.column("key").to_numpy()
             order = np.argsort(k)
-            k = k[order]
-            n = sigs.column("n").to_numpy()[order]
+            k, n = k[order], sigs.column("n").to_numpy()[order]
             sig = np.frombuffer(b"".join(sigs.column("sig").take(pa.array(order)).to_pylist()), np.uint8).reshape(len(k), -1).view(np.uint64)
-            label = sigs.column("label").to_numpy()[order] if round_ > 1 else None
-            for r in range(lists.num_rows):
-                members = np.frombuffer(lists.column("members")[r].as_py(), np.int64)
-                size = np.frombuffer(lists.column("sizes")[r].as_py(), np.int32).astype(np.int64)
-                at = np.searchsorted(k, members)
-                end = np.cumsum(size)
-                # lists of two are tried all at once: a tree of one pair
-                two = np.flatnonzero(size == 2)
-                if len(two):
-                    pair = np.unique(np.stack([at[end[two] - 2], at[end[two] - 1]]), axis=1)
-                    x, y = pair
-                    common = np.bitwise_count(sig[x] & sig[y]).sum(1).astype(np.int64)
-                    bits = np.bitwise_count(sig).sum(1).astype(np.int64)
-                    ok = fits(common, np.minimum(n[x] - bits[x], n[y] - bits[y]), n[x], n[y], num, den)
-                    out_a.append(x[ok])
-                    out_b.append(y[ok])
-                for j in np.flatnonzero(size > 2):
-                    m = at[end[j] - size[j] : end[j]]
+            surplus = n - np.bitwise_count(sig).sum(1).astype(np.int64)
+            label = sigs.column("label").to_numpy()[order]
+
+            def offer(x: np.ndarray, y: np.ndarray) -> None:
+                for lo in range(0, len(x), 1 << 18):
+                    u, v = x[lo : lo + (1 << 18)], y[lo : lo + (1 << 18)]
+                    ok = fits(np.bitwise_count(sig[u] & sig[v]).sum(1).astype(np.int64), np.minimum(surplus[u], surplus[v]), n[u], n[v], num, den)
+                    out_a.append(u[ok])
+                    out_b.append(v[ok])
+
+            members = np.concatenate([np.frombuffer(m.as_py(), np.int64) for m in lists.column("members")])
+            size = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in lists.column("sizes")]).astype(np.int64)
+            at = np.searchsorted(k, members)
+            first = np.cumsum(size) - size
+            if round_ == 1:
+                for m in np.unique(size[size <= small]):
+                    block = at[first[size == m][:, None] + np.arange(m)]
+                    i, j = np.triu_indices(int(m), 1)
+                    pair = np.unique(np.stack([block[:, i].ravel(), block[:, j].ravel()]), axis=1)
+                    offer(pair[0], pair[1])
+                long = np.flatnonzero(size > small)
+                if len(long):
+                    row = np.repeat(np.arange(len(long)), size[long])
+                    who = at[np.repeat(first[long], size[long]) + _offsets(size[long])]
+                    who = who[np.lexsort((k[who], n[who], row))]
+                    same = row[1:] == row[:-1]
+                    pair = np.unique(np.stack([who[:-1][same], who[1:][same]]), axis=1)
+                    offer(pair[0], pair[1])
+                    again = [at[first[i] : first[i] + size[i]] for i in long]
+            else:
+                mixed = np.flatnonzero(np.minimum.reduceat(label[at], first) != np.maximum.reduceat(label[at], first))
+                for i in mixed:
+                    m = at[first[i] : first[i] + size[i]]
                     m = m[np.lexsort((k[m], n[m]))]
-                    if round_ > 1 and (label[m] == label[m[0]]).all():
-                        continue
-                    tree = Tree(sig[m], n[m])
-                    if round_ == 1 and len(m) > SMALL:
-                        x, y = m[:-1], m[1:]
-                        bits = np.bitwise_count(sig[m]).sum(1).astype(np.int64)
-                        sur = np.zeros(len(k), np.int64)
-                        sur[m] = n[m] - bits
-                        ok = fits(np.bitwise_count(sig[x] & sig[y]).sum(1).astype(np.int64), np.minimum(sur[x], sur[y]), n[x], n[y], num, den)
-                        out_a.append(x[ok])
-                        out_b.append(y[ok])
-                        again.append(k[m])
-                        again_n.append(len(m))
-                        continue
-                    seen = np.zeros(len(m), np.int64)
-                    for a, b in tree.pairs(num, den, None if round_ == 1 else label[m]):
-                        if round_ > 1:
-                            cross = label[m[a]] != label[m[b]]
-                            a, b = a[cross], b[cross]
+                    seen, cut = np.zeros(len(m), np.int64), False
+                    for a, b in Tree(sig[m], n[m]).pairs(num, den, label[m]):
+                        cross = label[m[a]] != label[m[b]]
+                        a, b = a[cross], b[cross]
                         if round_ == 2:
                             few = seen[b] < 8
+                            cut |= not few.all()
                             a, b = a[few], b[few]
                             np.add.at(seen, b, 1)
                         out_a.append(m[a])
                         out_b.append(m[b])
+                    if cut:
+                        again.append(np.sort(m))
             x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_a, out_b))
-            lo, hi = np.minimum(k[x], k[y]), np.maximum(k[x], k[y])
-            pair = np.unique(np.stack([lo, hi]), axis=1) if len(lo) else np.zeros((2, 0), np.int64)
+            pair = np.unique(np.stack([np.minimum(k[x], k[y]), np.maximum(k[x], k[y])]), axis=1) if len(x) else np.zeros((2, 0), np.int64)
+            left = [np.concatenate([k[m] for m in again]).tobytes()] if again else []
         else:
-            pair = np.zeros((2, 0), np.int64)
+            pair, left = np.zeros((2, 0), np.int64), []
         m = pair.shape[1]
-        members = [np.concatenate(again).tobytes()] if again else []
+        blank = pa.nulls(len(left), pa.int64())
         return pa.table(
             {
-                "range": pa.array([key[0].as_py()] * (m + len(members)), pa.int32()),
-                "a": pa.array([*pair[0].tolist(), *[None] * len(members)], pa.int64()),
-                "b": pa.array([*pair[1].tolist(), *[None] * len(members)], pa.int64()),
-                "members": pa.array([None] * m + members, pa.binary()),
-                "sizes": pa.array([None] * m + ([np.array(again_n, np.int32).tobytes()] if members else []), pa.binary()),
+                "range": pa.array(np.full(m + len(left), key[0].as_py(), np.int32)),
+                "a": pa.chunked_array([pa.array(pair[0]), blank]),
+                "b": pa.chunked_array([pa.array(pair[1]), blank]),
+                "members": pa.chunked_array([pa.nulls(m, pa.binary()), pa.array(left, pa.binary())]),
+                "sizes": pa.chunked_array([pa.nulls(m, pa.binary()), pa.array([np.array([len(x) for x in again], np.int32).tobytes()] if left else [], pa.binary())]),
             }
         )
 
@@ -464,9 +473,9 @@ def _members(lists: DataFrame) -> DataFrame:
 
 def _read_sets(rows: DataFrame, extract: Extract, wanted: DataFrame) -> DataFrame:
     """``key, elements`` of the wanted sets (key, row, part), from the text of one row each."""
-    near = wanted.select(F.col("row").alias("id")).distinct()
+    near = wanted.select(F.col("row").alias("_near")).distinct()
     near = F.broadcast(near) if near.count() <= BROADCAST_IDS else near
-    texts = rows.join(near, "id", "left_semi").select("text", "id")
+    texts = rows.join(near, F.col("id").eqNullSafe(F.col("_near")), "left_semi").select("text", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -480,10 +489,11 @@ def _read_sets(rows: DataFrame, extract: Extract, wanted: DataFrame) -> DataFram
                     yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(part[lo:hi]), pa.array(keys[lo:hi]), pa.array(blobs, pa.binary())], names=["row", "part", "key", "elements"])
 
     got = texts.mapInArrow(run, "row long, part long, key long, elements binary")
-    few = wanted.select("key", "row", "part")
+    few = wanted.select(F.col("key").alias("_key"), F.col("row").alias("_row"), F.col("part").alias("_part"))
     few = F.broadcast(few) if few.count() <= BROADCAST_IDS else few
+    same = (F.col("key") == F.col("_key")) & F.col("row").eqNullSafe(F.col("_row")) & (F.col("part") == F.col("_part"))
     # repeated rows give a set twice, which only judges its pairs twice
-    return got.join(few, ["key", "row", "part"], "left_semi").select("key", "elements")
+    return got.join(few, same, "left_semi").select("key", "elements")
 
 
 def _to_bytes(values: np.ndarray) -> bytes:
@@ -535,7 +545,7 @@ def classes(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("key"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("key"), F.col("b").alias("label")).distinct())
 
 
-def link_sets(rows: DataFrame, extract: Extract, num: int, den: int, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+def link_sets(rows: DataFrame, extract: Extract, num: int, den: int, bits: int = BITS, small: int = 4) -> tuple[DataFrame, DataFrame]:
     """Sets of a table (id long, text) and their classes.
 
     Returns ``(members, labels)``: members has ``row, part, n, key`` for each set, labels has ``key, label`` for keys that are linked with another."""
@@ -554,14 +564,13 @@ def link_sets(rows: DataFrame, extract: Extract, num: int, den: int, bits: int =
             break
         sigs = _members(lists).join(reps.select("key", "n", "sig"), "key")
         sigs = sigs.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")) if labels is not None else sigs.withColumn("label", F.col("key"))
-        found = materialize(lists.select("range", "members", "sizes").groupBy("range").cogroup(sigs.select("range", "key", "n", "sig", "label").groupBy("range")).applyInArrow(_trees(round_, num, den), TREES))
+        found = materialize(lists.select("range", "members", "sizes").groupBy("range").cogroup(sigs.select("range", "key", "n", "sig", "label").groupBy("range")).applyInArrow(_trees(round_, num, den, small), TREES))
         pairs = found.where("a is not null").select("a", "b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs)
-        if round_ == 1:
-            lists = found.where("members is not null").select("range", "members", "sizes")
-        elif not pairs.limit(1).count():
+        lists = found.where("members is not null").select("range", "members", "sizes")
+        if round_ > 1 and not pairs.limit(1).count():
             break
         pairs_left = materialize(_narrow(pairs, reps, num, den))
         keys = pairs_left.select(F.col("a").alias("key")).unionByName(pairs_left.select(F.col("b").alias("key"))).distinct()
