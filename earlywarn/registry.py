@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from earlywarn.plans import clinical_queries, ward_queries
+from earlywarn.plans import clinical_queries, message_queries, ward_queries
 
-QUERIES: dict = dict(clinical_queries.QUERIES) | ward_queries.QUERIES
-ORACLE_SQL: dict = dict(clinical_queries.ORACLE_SQL) | ward_queries.ORACLE_SQL
+_MODULES = (message_queries, ward_queries, clinical_queries)
+QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
