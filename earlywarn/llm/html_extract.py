@@ -24,7 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +44,10 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe")
 #: A tag whose weight was never counted, and the classic weights of words and tags when no page is labelled.
-UNSEEN = -3.0
-DEFAULT = {"word": 1.0, "word:a": -0.5, "word:li": 0.2} | {t: -0.1 for t in ("p", "/p", "br", "h1", "/h1", "h2", "/h2", "h3", "/h3", "b", "/b", "i", "/i", "em", "/em", "strong", "/strong", "blockquote", "/blockquote", "span", "/span")}
+UNSEEN = -0.5
+#: The weight of a tag that only ever stands outside.
+CERTAIN = -30.0
+DEFAULT = {"word": 1.0, "word:a": -0.5, "word:li": 0.2} | {t: -0.1 for t in ("p", "/p", "br", "h1", "/h1", "h2", "/h2", "h3", "/h3", "b", "/b", "i", "/i", "em", "/em", "strong", "/strong", "blockquote", "/blockquote", "span", "/span", "ul", "/ul", "ol", "/ol", "li", "/li")} | {t: -30.0 for t in ("html", "/html", "body", "/body", "article", "/article", "main", "/main")} | {t: -3.0 for t in ("!nav", "!header", "!footer")}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -166,7 +168,8 @@ def weights_from(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     out = {}
     for t, (a, b) in counts.items():
         w = math.log((a + 0.5) / (inside + 1)) - math.log((b + 0.5) / (outside + 1))
-        out[t] = w if t.startswith("word") else min(-EPSILON, w)
+        # a tag that only ever stands outside ends a region for certain; the words of a page are many, so their weight is capped
+        out[t] = min(w, 1.0) if t.startswith("word") else min(-EPSILON, w) if a or b < 20 else CERTAIN
     out["word"] = max(out.get("word", 0.0), 0.25)
     return out
 
@@ -206,18 +209,18 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
 def learn_weights(pages: DataFrame, page_html: str = "html") -> dict[str, float]:
     """Weights from all labelled pages of a table."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inner, outer = Counter(), Counter()
-        for pdf in batches:
-            for page in pdf["html"]:
+        for batch in batches:
+            for page in batch.column(0).to_pylist():
                 if page:
                     a, b = labelled_counts(page)
                     inner.update(a)
                     outer.update(b)
         keys = [k for k in {*inner, *outer} if k.lstrip("/!") in BLOCKS | REMOVED | VOID or k.startswith("word") or len(k) <= 8]
-        yield pd.DataFrame({"kind": keys, "inside": [inner[k] for k in keys], "outside": [outer[k] for k in keys]})
+        yield pa.RecordBatch.from_pydict({"kind": pa.array(keys, pa.string()), "inside": pa.array([inner[k] for k in keys], pa.int64()), "outside": pa.array([outer[k] for k in keys], pa.int64())})
 
-    sums = pages.select(F.col(page_html).alias("html")).mapInPandas(count, "kind string, inside long, outside long").groupBy("kind").agg(F.sum("inside").alias("a"), F.sum("outside").alias("b"))
+    sums = pages.select(F.col(page_html).alias("html")).mapInArrow(count, "kind string, inside long, outside long").groupBy("kind").agg(F.sum("inside").alias("a"), F.sum("outside").alias("b"))
     # a few hundred kinds of tags exist; the rarest beyond 2000 get the weight of unseen ones
     return weights_from({r.kind: (r.a, r.b) for r in sums.orderBy(F.desc(F.col("a") + F.col("b")), "kind").limit(2000).collect()})
 
@@ -226,11 +229,13 @@ def extract_text(pages: DataFrame, page_html: str = "html", weights: dict[str, f
     """``pages`` with the main text of each as a last column."""
     weights = learn_weights(pages, page_html) if weights is None else weights
     names = [f"c{i}" for i in range(len(pages.columns))]
-    at = names[pages.columns.index(page_html)]
+    at = pages.columns.index(page_html)
 
-    @F.pandas_udf("string")
-    def main_text(s: pd.Series) -> pd.Series:
-        return s.map(lambda p: extract(p, weights))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = pa.array([extract(p, weights) for p in b.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, text], names=[*names, "_text"])
 
-    got = pages.toDF(*names).withColumn("_text", main_text(at))
+    schema = ", ".join(f"{n} {t}" for n, (_, t) in zip(names, pages.dtypes, strict=True)) + ", _text string"
+    got = pages.toDF(*names).mapInArrow(run, schema)
     return got.select(*(F.col(n).alias(c) for n, c in zip(names, pages.columns, strict=True)), F.col("_text").alias(out))

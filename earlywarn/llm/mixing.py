@@ -107,6 +107,7 @@ def _node(level: int, seed: int, last: bool):
             u = _random(seed - 1, key[i : i + 1], np.zeros(1, np.uint64))[0]
             part[i] = 1.0 if u < part[i] else 0.0
         pdf["_part"] = part
+        pdf["_source"] = pdf["_source"].astype(object)
         pdf["_group"] = pdf["_group"] // FAN_IN
         return pdf
 

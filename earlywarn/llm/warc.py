@@ -24,9 +24,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earlywarn.llm.storage import shared_dir
+from earlywarn.llm.storage import materialize, shared_dir
 
 MIN_BYTES = 1000
+BROADCAST_OWNERS = 1_000_000
 CRLF = "\r\n"
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -87,10 +88,14 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
     joined = slim.join(owners, "digest")
     revisit = (F.col("payload_bytes") >= min_bytes) & F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
     _headers(joined.withColumn("refers_to", F.when(revisit, F.col("owner")))).select("page_id", "header", "digest", "payload_bytes").write.parquet(f"{path}/headers")
-    # the payload of a digest comes from its owner; ids can repeat, so one row per digest is kept within an id's few rows
-    keep = base.withColumn("digest", F.sha2("payload", 256)).join(owners.withColumnRenamed("owner", "page_id"), ["page_id", "digest"]).select("digest", "payload")
-    nulls = base.where("page_id is null").withColumn("digest", F.sha2("payload", 256)).join(owners.where("owner is null").select("digest"), "digest", "left_semi").select("digest", "payload")
-    keep.unionByName(nulls).dropDuplicates(["digest"]).write.parquet(f"{path}/payloads")
+    # the payload of a digest comes from its owner
+    owners = materialize(owners.withColumn("_null", F.col("owner").isNull()))
+    few = F.broadcast(owners) if owners.count() <= BROADCAST_OWNERS else owners
+    keep = base.withColumn("digest", F.sha2("payload", 256)).join(few.withColumnRenamed("digest", "_digest"), (F.col("digest") == F.col("_digest")) & F.col("page_id").eqNullSafe(F.col("owner"))).select("digest", "payload")
+    # only tables where an id repeats with the same payload pay for telling the copies apart
+    if slim.groupBy("page_id", "digest").count().where("count > 1").limit(1).count():
+        keep = keep.dropDuplicates(["digest"])
+    keep.write.parquet(f"{path}/payloads")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
