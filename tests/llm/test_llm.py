@@ -162,7 +162,7 @@ def test_toxicity(spark, empty):
     by = {r.doc_id: r.toxicity for r in toxicity.score(docs, model).collect()}
     assert all((by[i] >= 0.7) == (y == 1) for i, _, y in rows)
     assert by[1002] >= 0.7 and by[1003] < 0.7 and by[1000] == by[1001] < 0.7
-    assert toxicity.restore("an 1d10t and a m o r o n", model.chars, {}) == "an idiot and a moron"
+    assert toxicity.restore("an 1d10t and the m o r o n", model.chars, {}) == "an idiot and the moron"
     assert toxicity.score(empty.select("doc_id", "text"), model).count() == 0
     nothing = toxicity.fit(docs, labels.limit(0))
     assert {r.toxicity for r in toxicity.score(docs, nothing).collect()} == {0.5}
