@@ -44,10 +44,10 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe")
 #: A tag whose weight was never counted, and the classic weights of words and tags when no page is labelled.
-UNSEEN = -0.5
+UNSEEN = -0.2
 #: The weight of a tag that only ever stands outside.
 CERTAIN = -30.0
-DEFAULT = {"word": 1.0, "word:a": -0.5, "word:li": 0.2} | {t: -0.1 for t in ("p", "/p", "br", "h1", "/h1", "h2", "/h2", "h3", "/h3", "b", "/b", "i", "/i", "em", "/em", "strong", "/strong", "blockquote", "/blockquote", "span", "/span", "ul", "/ul", "ol", "/ol", "li", "/li")} | {t: -30.0 for t in ("html", "/html", "body", "/body", "article", "/article", "main", "/main")} | {t: -3.0 for t in ("!nav", "!header", "!footer")}
+DEFAULT = {"word": 1.0, "word:a": 0.3, "word:li": 0.6} | {t: -0.1 for t in ("p", "/p", "br", "h1", "/h1", "h2", "/h2", "h3", "/h3", "b", "/b", "i", "/i", "em", "/em", "strong", "/strong", "blockquote", "/blockquote", "span", "/span", "ul", "/ul", "ol", "/ol", "li", "/li")} | {t: -30.0 for t in ("html", "/html", "body", "/body", "article", "/article", "main", "/main")} | {f"!{t}": -0.1 for t in ("div", "script", "style", "aside", "form", "section", "p", "ul", "span")}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -170,7 +170,13 @@ def weights_from(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
         w = math.log((a + 0.5) / (inside + 1)) - math.log((b + 0.5) / (outside + 1))
         # a tag that only ever stands outside ends a region for certain; the words of a page are many, so their weight is capped
         out[t] = min(w, 1.0) if t.startswith("word") else min(-EPSILON, w) if a or b < 20 else CERTAIN
+        if t.startswith("!"):
+            out[t] = max(out[t], -0.3)  # what was taken out can also stand in the midst of an article
     out["word"] = max(out.get("word", 0.0), 0.25)
+    # lists and links are rare in some tables; where none was labelled they count as weaker words
+    for t in ("word:a", "word:li"):
+        if not counts.get(t, (0, 0))[0]:
+            out[t] = DEFAULT[t] * out["word"]
     return out
 
 
@@ -178,7 +184,7 @@ def best_region(seq: list[tuple[str, str]], weights: dict[str, float]) -> tuple[
     """The run [start, end) of tokens with the largest sum; the longest of equal ones."""
     best, span, total, start = 0.0, (0, 0), 0.0, 0
     for k, (t, text) in enumerate(seq):
-        total += weights.get(t, 0.0) * len(WORD.findall(text)) if t.startswith("word") else weights.get(t, UNSEEN)
+        total += weights.get(t, 0.0) * len(WORD.findall(text)) if t.startswith("word") else weights.get(t, UNSEEN if t.lstrip("/!") in BLOCKS else -EPSILON)
         if total >= best and total > 0:
             best, span = total, (start, k + 1)
         if total < 0:
@@ -186,12 +192,26 @@ def best_region(seq: list[tuple[str, str]], weights: dict[str, float]) -> tuple[
     return span
 
 
+def _whole_article(seq: list[tuple[str, str]], lo: int, hi: int) -> tuple[int, int]:
+    """A region inside an ``<article>`` or ``<main>`` grows to all of it: short ends score little but belong to it."""
+    for mark in ("article", "main"):
+        a = lo
+        while a > 0 and seq[a - 1][0] not in (mark, "/" + mark):
+            a -= 1
+        if hi > lo and a > 0 and seq[a - 1][0] == mark:
+            b = hi
+            while b < len(seq) and seq[b][0] not in (mark, "/" + mark):
+                b += 1
+            return a, b
+    return lo, hi
+
+
 def extract(page: str | None, weights: dict[str, float]) -> str:
     """The main text of one page."""
     if not page:
         return ""
     seq = sequence(page)
-    lo, hi = best_region(seq, weights)
+    lo, hi = _whole_article(seq, *best_region(seq, weights))
     blocks, now = [], []
     for t, text in seq[lo:hi]:
         name = t.lstrip("/!")
