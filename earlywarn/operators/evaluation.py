@@ -55,15 +55,18 @@ def event_metrics(summary: DataFrame) -> DataFrame:
 
 
 def weighted_percentile(df: DataFrame, value: str, weight: str, percents: list[float]) -> DataFrame:
-    """``percent, result`` by the convention of mid-weight positions and linear interpolation. Values are summed first, so the window runs over distinct values."""
-    by = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.sum(weight).alias("w"))
-    w = Window.orderBy("v")
-    pos = by.select("v", ((F.sum("w").over(w) - F.col("w") / 2) / F.sum("w").over(Window.partitionBy()) * 100).alias("p"))
-    pos = pos.select("v", "p", F.lead("v").over(w).alias("v2"), F.lead("p").over(w).alias("p2"), F.row_number().over(w).alias("n"))
-    wanted = df.sparkSession.createDataFrame([(float(p),) for p in percents], "percent double")
-    inside = (F.col("percent") >= F.col("p")) & ((F.col("percent") < F.col("p2")) | F.col("p2").isNull()) | ((F.col("n") == 1) & (F.col("percent") < F.col("p")))
-    j = pos.join(F.broadcast(wanted), inside)
-    value_ = F.when((F.col("percent") < F.col("p")) | F.col("p2").isNull(), F.col("v")).otherwise(F.col("v") + (F.col("v2") - F.col("v")) * (F.col("percent") - F.col("p")) / (F.col("p2") - F.col("p")))
+    """``percent, result`` by mid-weight positions and linear interpolation; equal values count with their mean weight each.
+
+    Rows are summed by value first, so only distinct values are ordered in one place.
+    """
+    by = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("c"))
+    w, every = Window.orderBy("v"), Window.partitionBy()
+    cum, total, half = F.sum("w").over(w), F.sum("w").over(every), F.col("w") / F.col("c") / 2
+    pos = by.select("v", ((cum - F.col("w") + half) / total * 100).alias("p"), ((cum - half) / total * 100).alias("q"))
+    pos = pos.select("v", "p", "q", F.lead("v").over(w).alias("v2"), F.lead("p").over(w).alias("p2"), F.row_number().over(w).alias("n"))
+    wanted = F.explode(F.array(*(F.lit(float(p)) for p in percents))).alias("percent")
+    j = pos.select("*", wanted).where(((F.col("percent") >= F.col("p")) & (F.col("p2").isNull() | (F.col("percent") < F.col("p2")))) | ((F.col("n") == 1) & (F.col("percent") < F.col("p"))))
+    value_ = F.when((F.col("percent") <= F.col("q")) | F.col("p2").isNull(), F.col("v")).otherwise(F.col("v") + (F.col("v2") - F.col("v")) * (F.col("percent") - F.col("q")) / (F.col("p2") - F.col("q")))
     return j.select("percent", F.round(value_.cast("double"), 9).alias("result"))
 
 
@@ -136,3 +139,47 @@ def quantiles(df: DataFrame, score: str, n: int) -> DataFrame:
     """``n`` linear quantiles of a score, distinct."""
     at = [i / (n - 1) for i in range(n)]
     return df.agg(F.percentile(score, F.array(*(F.lit(x) for x in at))).alias("q")).select(F.explode(F.array_distinct(F.transform("q", lambda x: F.round(x, 9)))).alias("threshold"))
+
+
+def threshold_table(scored: DataFrame, outcomes: DataFrame, candidates: list[float], refractory_hours: float = 6.0, rise_margin: float = math.inf) -> DataFrame:
+    """Burden and sensitivity of every candidate threshold in one job: each stay's hours are folded once per candidate, then summed."""
+    rows = scored.groupBy(*STAY).agg(F.sort_array(F.collect_list(F.struct("hour", F.col("score").cast("double").alias("score")))).alias("rows"))
+    rows = rows.join(outcomes, list(STAY)).withColumn("threshold", F.explode(F.array(*(F.lit(float(c)) for c in candidates))))
+    start = F.struct(F.lit(None).cast("double").alias("h"), F.lit(None).cast("double").alias("s"), F.lit(0).alias("alerts"), F.lit(False).alias("hit"))
+
+    def step(acc: Column, x: Column) -> Column:
+        held = acc["h"].isNotNull() & (x["hour"] - acc["h"] < refractory_hours)
+        fire = F.coalesce((x["score"] >= F.col("threshold")) & (~held | (x["score"] >= acc["s"] + F.lit(rise_margin))), F.lit(False))
+        true = fire & F.coalesce(x["hour"].between(F.col("onset_hour") - 48, F.col("onset_hour")), F.lit(False))
+        return F.struct(F.when(fire, x["hour"].cast("double")).otherwise(acc["h"]).alias("h"), F.when(fire, x["score"]).otherwise(acc["s"]).alias("s"), (acc["alerts"] + fire.cast("int")).alias("alerts"), (acc["hit"] | true).alias("hit"))
+
+    f = rows.withColumn("f", F.aggregate("rows", start, step)).where(~(F.col("septic") & ~F.col("onset_known")))
+    a = f.groupBy("threshold").agg(F.sum("f.alerts").alias("alerts"), F.sum(F.size("rows")).alias("hours"), F.sum((F.col("septic") & F.col("f.hit")).cast("int")).alias("hits"), F.sum(F.col("septic").cast("int")).alias("septic"))
+    return a.select("threshold", F.round(F.col("alerts") * 24.0 / F.col("hours"), 9).alias("alerts_per_patient_day"), F.when(F.col("septic") > 0, F.round(F.col("hits") / F.col("septic"), 9)).alias("sensitivity"))
+
+
+def choose_fixed_sensitivity(table: DataFrame, target: float = 0.8) -> float | None:
+    """The highest candidate that reaches the target, else the lowest one."""
+    r = table.agg(F.max(F.when(F.col("sensitivity") >= target, F.col("threshold"))).alias("a"), F.min("threshold").alias("b")).first()
+    return r.b if r.a is None else r.a
+
+
+def choose_matched_burden(table: DataFrame, target: float) -> float | None:
+    """The candidate whose burden is nearest the target among the highest one at or above it and the next; ties go to the higher threshold."""
+    rows = sorted((r.threshold, r.alerts_per_patient_day) for r in table.collect())  # at most the candidates
+    if not rows:
+        return None
+    lo, hi = 0, len(rows) - 1
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if rows[mid][1] >= target else (lo, mid - 1)
+    near = rows[lo : lo + 2]
+    return max(near, key=lambda r: (-abs(r[1] - target), r[0]))[0]
+
+
+def fingerprint(long: DataFrame) -> DataFrame:
+    """Stays, rows and a digest of keys, hours and labels: rows by stay, stays by bucket, buckets at the top, so no list grows with the table."""
+    stay = long.groupBy(*STAY).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("hour", "label"))), lambda r: F.concat_ws(":", r["hour"].cast("string"), r["label"].cast("string"))), ","), 256).alias("h"))
+    named = stay.select("n", F.sha2(F.concat_ws("/", "site", F.col("encounter_id").cast("string"), "h"), 256).alias("h"))
+    bucket = named.groupBy(F.substring("h", 1, 3).alias("b")).agg(F.count(F.lit(1)).alias("stays"), F.sum("n").alias("rows"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ","), 256).alias("h"))
+    return bucket.agg(F.sum("stays").alias("stays"), F.sum("rows").alias("rows"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda r: r["h"]), ","), 256).alias("digest"))

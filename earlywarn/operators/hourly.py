@@ -124,3 +124,14 @@ def cohort(long: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("patients"), F.sum("septic").cast("long").alias("septic_patients"), F.sum("n").alias("hours"), F.sum("positive").alias("positive_hours"), F.percentile("n", F.lit(0.5)).alias("median_hours"),
         *(F.round(F.sum(f"blank_{v}") / F.sum("n"), 9).alias(f"missing_{v}") for v in VARIABLES),
     )
+
+
+def sequences(hours: DataFrame, variables=VARIABLES) -> DataFrame:
+    """Per stay the ordered steps for sequence models: scaled last value (0 when blank), mask, hours since over the cap (1 when blank)."""
+    base = with_last_values(hours, variables)
+    r = base.agg(*(F.avg(f"{v}_last").alias(f"{v}_m") for v in variables), *(F.stddev_pop(f"{v}_last").alias(f"{v}_s") for v in variables)).first()  # two numbers for each variable
+    parts = []
+    for v in variables:
+        mean, sd = r[f"{v}_m"] or 0.0, r[f"{v}_s"] or 1.0
+        parts += [F.coalesce((F.col(f"{v}_last") - mean) / sd, F.lit(0.0)).alias(f"{v}_scaled"), F.col(v).isNotNull().cast("double").alias(f"{v}_mask"), F.coalesce(F.when(F.col(f"{v}_age") <= CAP, F.col(f"{v}_age") / CAP), F.lit(1.0)).alias(f"{v}_since")]
+    return base.groupBy(*STAY).agg(F.sort_array(F.collect_list(F.struct("hour", *parts))).alias("steps"))

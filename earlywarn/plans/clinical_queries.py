@@ -321,7 +321,10 @@ def events(spark, d):
     return x.select(*(F.col(c).cast("int").alias(c) if c.endswith("patients") or c == "unknown_onset_excluded" else F.col(c) for c in x.columns))
 
 
-@query("H8_weighted_percentile")
+_LEAD = ", d AS (SELECT lead_time AS v, CAST(count(*) AS DOUBLE) AS w FROM summary WHERE detected AND NOT excluded GROUP BY 1), p0 AS (SELECT v, (sum(w) OVER (ORDER BY v) - w + 0.5) / sum(w) OVER () * 100 AS p, (sum(w) OVER (ORDER BY v) - 0.5) / sum(w) OVER () * 100 AS q FROM d), p1 AS (SELECT *, lead(v) OVER (ORDER BY v) AS v2, lead(p) OVER (ORDER BY v) AS p2, row_number() OVER (ORDER BY v) AS n FROM p0), w AS (SELECT CAST(unnest([25, 50, 75]) AS DOUBLE) AS percent)"
+
+
+@query("H8_weighted_percentile", WITH_ALERTS + _LEAD + " SELECT percent, round(CAST(CASE WHEN percent <= q OR p2 IS NULL THEN v ELSE v + (v2 - v) * (percent - q) / (p2 - q) END AS DOUBLE), 9) AS result FROM p1 JOIN w ON (percent >= p AND (p2 IS NULL OR percent < p2)) OR (n = 1 AND percent < p)")
 def lead_times(spark, d):
     return ev.weighted_percentile(_summary(spark, d).where("detected and not excluded").withColumn("w", F.lit(1.0)), "lead_time", "w", [25.0, 50.0, 75.0])
 
@@ -369,3 +372,27 @@ def rows_for(spark, d):
 def leakage(spark, d):
     o = observations(spark, d)
     return o.where("site = 'A'").select("encounter_id").intersect(o.where("site = 'B'").select("encounter_id")).agg(F.count(F.lit(1)).alias("shared"))
+
+
+@query("H12_choose_fixed_sensitivity")
+def thresholds(spark, d):
+    x = h.with_label(hours_of(spark, d))
+    return ev.threshold_table(scored(spark, d), h.stay_outcomes(x), [float(t) for t in range(1, 13)], rise_margin=2.0)
+
+
+@query("H20_data_fingerprint", WITH_ALERTS + ", st AS (SELECT encounter_id, site, count(*) AS n, sha256(string_agg(hour || ':' || label, ',' ORDER BY hour, label)) AS h FROM long GROUP BY 1, 2), nm AS (SELECT n, sha256(site || '/' || encounter_id || '/' || h) AS h FROM st), b AS (SELECT substr(h, 1, 3) AS b, count(*) AS stays, sum(n) AS rows, sha256(string_agg(h, ',' ORDER BY h)) AS h FROM nm GROUP BY 1) SELECT CAST(sum(stays) AS BIGINT) AS stays, CAST(sum(rows) AS BIGINT) AS rows, sha256(string_agg(h, ',' ORDER BY b)) AS digest FROM b")
+def data_fingerprint(spark, d):
+    return ev.fingerprint(h.with_label(hours_of(spark, d)))
+
+
+@query("E15_sequence_features", f"WITH {HOURS_SQL}, {_lasts('wide')}, sc AS (SELECT avg(HR_last) AS m, stddev_pop(HR_last) AS s FROM lasts) SELECT encounter_id, count(*) AS steps, sum(CASE WHEN HR IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS measured, round(sum(coalesce((HR_last - m) / s, 0)), 4) AS scaled FROM lasts, sc GROUP BY 1")
+def sequences(spark, d):
+    x = h.sequences(hours_of(spark, d), ("HR",))
+    total = lambda c, k: F.aggregate(F.col(c), F.lit(0.0), lambda a, r: a + r[k])
+    return x.select("encounter_id", F.size("steps").cast("long").alias("steps"), F.round(total("steps", "HR_mask"), 0).cast("long").alias("measured"), F.round(total("steps", "HR_scaled"), 4).alias("scaled"))
+
+
+@query("A2_scan_sites_union", f"WITH {HOURS_SQL} SELECT site, encounter_id, hour, HR FROM wide WHERE site = 'A' UNION ALL SELECT site, encounter_id, hour, HR FROM wide WHERE site = 'B'")
+def sites(spark, d):
+    x = hours_of(spark, d).select("site", "encounter_id", "hour", "HR")
+    return x.where("site = 'A'").unionByName(x.where("site = 'B'"))
