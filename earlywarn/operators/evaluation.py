@@ -114,7 +114,7 @@ def brier(df: DataFrame, label: str, p: str) -> DataFrame:
 def reliability(df: DataFrame, label: str, p: str, bins: int = 10) -> DataFrame:
     """``bin, n, mean_p, rate`` with empty bins; an edge belongs to the upper bin, 1 to the last."""
     edges = [i / bins for i in range(1, bins)]
-    which = sum(((F.col(p) >= F.lit(e)).cast("int") for e in edges), F.lit(0))
+    which = F.size(F.filter(F.array(*(F.lit(e) for e in edges)), lambda e: F.col(p) >= e))
     got = df.groupBy(which.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(p), 9).alias("mean_p"), F.round(F.avg(F.col(label).cast("double")), 9).alias("rate"))
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return every.join(got, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), "mean_p", "rate")
