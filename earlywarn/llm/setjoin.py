@@ -40,6 +40,8 @@ FAN_OUT = 8
 LOCALLY_FREQUENT = 8
 ORDER_SLOTS = 1 << 21
 RANGE_POSTINGS = 600_000
+#: Lists of up to this many members move to the range of their smallest member.
+MOVED = 4096
 BROADCAST_IDS = 2_000_000
 
 #: Rows of sets: gets a batch, yields (index of batch row per set, part number per set, sorted distinct values, values per set).
@@ -250,7 +252,7 @@ def _pack2(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([b.column(i).to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for i in range(2)], names=["v", "c"])
 
 
-def _group_lists(key: tuple, table: pa.Table) -> pa.Table:
+def _group_lists(key: tuple, table: pa.Table, ranges: int) -> pa.Table:
     """Lists of two sets or more that share an element of this range; equal lists once. Columns: members and where each list ends."""
     h = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("h")])
     k = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("k")])
@@ -268,9 +270,13 @@ def _group_lists(key: tuple, table: pa.Table) -> pa.Table:
     _, first = np.unique(np.stack([digest[many], size[many].astype(np.uint64)], axis=1), axis=0, return_index=True) if len(many) else (None, np.zeros(0, np.int64))
     lists = many[np.sort(first)]
     n = size[lists]
-    take = np.repeat(start[lists], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-    rows = int(len(lists) > 0)
-    return pa.table({"range": pa.array([key[0].as_py()] * rows, pa.int32()), "members": pa.array([k[take].tobytes()] * rows, pa.binary()), "sizes": pa.array([n.astype(np.int32).tobytes()] * rows, pa.binary())})
+    # lists of the same near copies meet where their smallest member says, so a member's signature goes to few places; long lists stay in their range
+    home = np.where(n <= MOVED, (tk.mix(k[start[lists]].view(np.uint64)) % np.uint64(ranges)).astype(np.int64), int(key[0].as_py()))
+    by = np.argsort(home, kind="stable")
+    lists, n, home = lists[by], n[by], home[by]
+    rows = [(h, *x) for h in np.unique(home) for x in [np.searchsorted(home, [h, h + 1])]]
+    flat = [np.repeat(start[lists[i:j]], n[i:j]) + _offsets(n[i:j]) for _, i, j in rows]
+    return pa.table({"range": pa.array([int(h) for h, _, _ in rows], pa.int32()), "members": pa.array([k[f].tobytes() for f in flat], pa.binary()), "sizes": pa.array([n[i:j].astype(np.int32).tobytes() for _, i, j in rows], pa.binary())})
 
 
 def _postings(rows: DataFrame, extract: Extract, order: Order, ranges: int, num: int, den: int) -> DataFrame:
@@ -461,14 +467,11 @@ TREES = "range int, a long, b long, members binary, sizes binary"
 def _members(lists: DataFrame) -> DataFrame:
     """``range, key`` of all lists, once each."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r, m in zip(b.column(0), b.column(1), strict=True):
-                k = np.unique(np.frombuffer(m.as_py(), np.int64))
-                for lo in range(0, len(k), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k[lo : lo + 50_000]), r.as_py(), np.int32)), pa.array(k[lo : lo + 50_000])], names=["range", "key"])
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        k = np.unique(np.concatenate([np.frombuffer(m.as_py(), np.int64) for m in table.column("members")]))
+        return pa.table({"range": pa.array(np.full(len(k), key[0].as_py(), np.int32)), "key": pa.array(k)})
 
-    return lists.select("range", "members").mapInArrow(run, "range int, key long")
+    return lists.select("range", "members").groupBy("range").applyInArrow(run, "range int, key long")
 
 
 def _read_sets(rows: DataFrame, extract: Extract, wanted: DataFrame) -> DataFrame:
@@ -526,25 +529,28 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 def classes(links: DataFrame) -> DataFrame:
     """``key, label``: the smallest key of each linked key's class. Large-star and small-star steps until nothing changes."""
-    edges = materialize(links.select("a", "b").where("a <> b").distinct())
-    while True:
+    edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    before = _checksum(edges)
+    while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = materialize(large)
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select("a", "b", "m")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        small = materialize(small)
-        # a star forest: every key has one lower neighbour and no centre is anyone's leaf
-        rest = small.groupBy("a").count().where("count > 1").limit(1).count() + small.select("a").join(small.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count()
-        edges = small
-        if not rest:
+        large = materialize(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a")
+        edges = materialize(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        after = _checksum(edges)
+        if after == before:
             break
+        before = after
     return edges.select(F.col("a").alias("key"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("key"), F.col("b").alias("label")).distinct())
 
 
+def _checksum(edges: DataFrame) -> tuple[int, int]:
+    """Number and hash sum of distinct edges: equal sums of two rounds mean that nothing changed."""
+    r = edges.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31))), F.lit(0)).alias("h")).first()
+    return r.n, r.h
+
+
 def link_sets(rows: DataFrame, extract: Extract, num: int, den: int, bits: int = BITS, small: int = 4) -> tuple[DataFrame, DataFrame]:
     """Sets of a table (id long, text) and their classes.
 
@@ -557,8 +563,8 @@ def link_sets(rows: DataFrame, extract: Extract, num: int, den: int, bits: int =
     reps = materialize(reps)
     total = int(reps.agg(F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1), F.lit(0))).first()[0])
     ranges = max(1, math.ceil(total / RANGE_POSTINGS))
-    lists = materialize(_postings(rows, extract, order, ranges, num, den).groupBy("range").applyInArrow(_group_lists, "range int, members binary, sizes binary"))
-    links, tried, labels = None, None, None
+    lists = materialize(_postings(rows, extract, order, ranges, num, den).groupBy("range").applyInArrow(lambda key, table: _group_lists(key, table, ranges), "range int, members binary, sizes binary"))
+    tried, labels = None, None
     for round_ in (1, 2, 3):
         if round_ > 1 and not lists.limit(1).count():
             break
@@ -577,8 +583,9 @@ def link_sets(rows: DataFrame, extract: Extract, num: int, den: int, bits: int =
         sets = _read_sets(rows, extract, materialize(reps.select("key", "row", "part").join(keys, "key", "left_semi")))
         judged = materialize(_verify(pairs_left, sets, num, den))
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links = judged.where("linked").select("a", "b") if links is None else links.unionByName(judged.where("linked").select("a", "b"))
-        labels = materialize(classes(links))
+        # classes so far are links too, so a later round starts from its stars
+        fresh = judged.where("linked").select("a", "b")
+        labels = materialize(classes(fresh if labels is None else fresh.unionByName(labels.select(F.col("key").alias("a"), F.col("label").alias("b")))))
     if labels is None:
         labels = spark.createDataFrame([], "key long, label long")
     return members.select("row", "part", "n", "key"), labels
