@@ -64,7 +64,7 @@ def parse_dtm(text: Column) -> Column:
     """``ts, precision, offset, error`` of a DTM; calendar and offset are checked, fractions need full seconds."""
     g = lambda i: F.regexp_extract(text, DTM, i)
     part = lambda i, default: F.when(g(i) == "", F.lit(default)).otherwise(g(i).cast("int"))
-    base = F.try_make_timestamp_ntz(g(1).cast("int"), part(2, 1), part(3, 1), part(4, 0), part(5, 0), part(6, 0).cast("decimal(16,6)"))
+    base = F.try_make_timestamp_ntz(g(1).try_cast("int"), part(2, 1), part(3, 1), part(4, 0), part(5, 0), part(6, 0).cast("decimal(16,6)"))
     offset = F.when(g(8) == "", F.lit(None).cast("int")).otherwise(F.when(F.substring(g(8), 1, 1) == "-", -1).otherwise(1) * (F.substring(g(8), 2, 2).cast("int") * 60 + F.substring(g(8), 4, 2).cast("int")))
     ok = text.rlike(DTM) & base.isNotNull() & F.coalesce(offset.between(-720, 840), F.lit(True))
     precision = F.when(g(7) != "", "fraction").when(g(6) != "", "second").when(g(5) != "", "minute").when(g(4) != "", "hour").when(g(3) != "", "day").when(g(2) != "", "month").otherwise("year")
