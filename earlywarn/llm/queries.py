@@ -21,7 +21,7 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_contamination(docs, _table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), (F.col("_n_hit") > 0).alias("contaminated"), F.col("_longest").alias("longest_words"), F.col("_longest_at").alias("longest_at"), F.col("_longest_item").alias("longest_item"))
+    return found.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), (F.col("_n_hit") > 0).alias("contaminated"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,4 +85,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "pipeline": pipeline,
 }
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_OP2_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": f"""
+WITH d AS (SELECT doc_id, {_OP2_WORDS} AS w FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_OP2_WORDS} AS w FROM benchmark),
+bw AS (SELECT item, least(10, len(w)) AS k, unnest(list_transform(range(len(w) - least(10, len(w)) + 1), lambda i: array_to_string(w[i + 1 : i + least(10, len(w))], ' '))) AS g FROM b WHERE len(w) > 0),
+ks AS (SELECT DISTINCT k FROM bw),
+dw AS (SELECT doc_id, k, unnest(range(len(w) - k + 1)) AS i, w FROM d, ks WHERE len(w) >= k),
+hit AS (SELECT DISTINCT dw.doc_id, dw.i, dw.k, bw.item FROM dw JOIN bw ON bw.k = dw.k AND bw.g = array_to_string(dw.w[dw.i + 1 : dw.i + dw.k], ' ')),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY 1),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op6_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), o AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS owner FROM p)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN strlen(h) >= 1000 AND page_id <> owner THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN strlen(h) >= 1000 AND page_id <> owner THEN owner END AS refers_to FROM o""",
+}
