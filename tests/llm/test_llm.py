@@ -153,6 +153,27 @@ def test_network_is_normalised():
     assert math.isclose(np.exp(net.log_probabilities(one, two, np.arange(20))).sum(), 1, rel_tol=1e-5)
 
 
+def test_language_model_grows(spark, monkeypatch):
+    small, large = lm_score.outcome_sizes(10**8), lm_score.outcome_sizes(3 * 10**10)
+    assert large[0] > 10 * small[0] > 10 * lm_score.SHORTLIST and large[1] > 10 * small[1] / 2
+    import numpy as np
+
+    # every word and end mark is an example, in several shards and rounds, and what follows what is learnt
+    monkeypatch.setattr(lm_score, "SHARD_BYTES", 20_000)
+    df = spark.createDataFrame([(i, " ".join(f"a{(i + j) % 40} b{(i + j) % 40}" for j in range(100))) for i in range(600)], "doc_id long, text string")
+    hashes = np.concatenate([lm_score.tk.word_hashes(w) for _, _, w, _, _ in lm_score._stream(lm_score.pa.array([" ".join(f"a{i} b{i}" for i in range(40))]), 64)])
+    top = np.stack([np.append(hashes, lm_score.END), np.array([1500] * 80 + [600], np.uint64), np.zeros(81, np.uint64)])
+    sums = np.zeros(130, np.int64)
+    sums[[0, 64, -2, -1]] = 120_000, 80, 120_600, 81
+    v = lm_score.Vocabulary(sums, top)
+    net, seen = lm_score.train_network(df, v, 480_000, 200_000)
+    assert seen == 2 * 600 * 201
+    a, b, before = v.outcomes(hashes[::2], np.zeros(40, np.uint16)), v.outcomes(hashes[1::2], np.zeros(40, np.uint16)), v.outcomes(np.roll(hashes[1::2], 1), np.zeros(40, np.uint16))
+    assert np.exp(net.log_probabilities(a, before, b)).mean() > 0.2
+    again, _ = lm_score.train_network(df.repartition(7), v, 480_000, 200_000)
+    assert np.allclose(again.output, net.output, atol=1e-3)
+
+
 def test_toxicity(spark, empty):
     words = "the of and to in is for with".split()
     rows = [(i, " ".join(words[(i + j) % 8] for j in range(30)) + (" idiot moron" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
