@@ -189,6 +189,14 @@ def test_toxicity(spark, empty):
     assert {r.toxicity for r in toxicity.score(docs, nothing).collect()} == {0.5}
 
 
+def test_spaced_phrases_of_any_length():
+    chars = toxicity.CharModel(Counter({w: 50 for w in "you are a worthless idiot in the of and great see shit ass moron".split()}))
+    assert toxicity.restore("y o u a r e a w o r t h l e s s i d i o t", chars, {}) == "you are a worthless idiot"
+    assert toxicity.restore("the y o u i d i o t", chars, {}) == "the you idiot"
+    column = toxicity.pa.array(["a$$", "sh1+", "Great!", "(see", "m0r0n!", "a55", " ".join("worthless" * 300)])
+    assert toxicity.restored(column, chars, {}).to_pylist() == ["ass", "shit", "Great!", "(see", "moron!", "ass", " ".join(["worthless"] * 300)]
+
+
 PAGE = """<html><head><title>T</title></head><body><div class="menu"><a href=x>Home</a> <a>News</a></div><header><h1>Site</h1></header>
 <article><h1>A &amp; B</h1><p>First  paragraph of <b>some</b> length&nbsp;here.<p>Second one.<script>var x = "</p>";</script><div class="advert">Buy now</div><ul><li>item one</ul>
 <aside>Side words</aside><form><input> Name <button>Go</button></form></article><div id="comments"><p>Nice article, many words of a reader here</p></div><footer>&copy; all</footer></body></html>"""
