@@ -197,6 +197,20 @@ def test_spaced_phrases_of_any_length():
     assert toxicity.restored(column, chars, {}).to_pylist() == ["ass", "shit", "Great!", "(see", "moron!", "ass", " ".join(["worthless"] * 300)]
 
 
+def test_toxicity_does_not_depend_on_batches(spark):
+    words = "the of and to in is for with".split()
+    rows = [(i, " ".join(words) + (" m0r0n" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
+    rows += [(i, "moron", 0) for i in range(400, 403)]
+    apart = [[r for r in rows if r[2] == y] for y in (1, 0)]
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    frames = [spark.createDataFrame([r[:2] for r in part], "doc_id long, text string") for part in (rows, *apart)]
+    one, two = (toxicity.fit(d, labels) for d in (frames[0].coalesce(1), frames[1].union(frames[2])))
+    assert list(one.keys) == list(two.keys) and abs(one.weights - two.weights).max() < 1e-6
+    # words of all rows are no features, and the disguised word is learnt as the word it stands for
+    learnt = [int(toxicity.tk.word_hashes(toxicity.tk.words(toxicity.np.frombuffer(w.encode(), toxicity.np.uint8), toxicity.np.array([0, len(w)])))[0]) in {int(k) for k in two.keys} for w in ("the", "moron")]
+    assert learnt == [False, True]
+
+
 PAGE = """<html><head><title>T</title></head><body><div class="menu"><a href=x>Home</a> <a>News</a></div><header><h1>Site</h1></header>
 <article><h1>A &amp; B</h1><p>First  paragraph of <b>some</b> length&nbsp;here.<p>Second one.<script>var x = "</p>";</script><div class="advert">Buy now</div><ul><li>item one</ul>
 <aside>Side words</aside><form><input> Name <button>Go</button></form></article><div id="comments"><p>Nice article, many words of a reader here</p></div><footer>&copy; all</footer></body></html>"""
