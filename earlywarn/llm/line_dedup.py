@@ -4,7 +4,7 @@ The tokens of a line (its distinct words, A-Z lower-cased) are ordered by rarity
 exact Jaccard similarity decides (see ``setjoin``), and lines that similarity links make a class. The first line of a class, by document id and line number, stays;
 its later matches are removed, in the same document and in others. Lines of fewer than ``LEAST`` distinct words are never touched: such lines recur in clean text.
 
-Defined cases: null and empty texts have no lines to remove; a null id sorts first; rows that share an id share their verdicts by line number; equal lines of one document
+Defined cases: null and empty texts have no lines to remove; a null id sorts first; rows that share an id share their verdicts by line number in ``later_lines``, by number and words in ``remove_lines``; equal lines of one document
 keep their first; an empty table gives no rows; other columns pass through ``remove_lines`` untouched.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +29,8 @@ SMALL = 24
 BROADCAST_ROWS = 2_000_000
 
 
-def later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = NUM, den: int = DEN, least: int = LEAST) -> DataFrame:
-    """``id, removed`` (sorted line numbers from 0): the lines that match an earlier one, for documents that have such lines."""
+def _later(docs: DataFrame, doc_id: str, text: str, num: int, den: int, least: int) -> DataFrame:
+    """``row, part, key`` of each line that matches an earlier one: its document's id, its number and the key of its words."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     members, labels = setjoin.link_sets(rows, setjoin.line_sets(least), num, den, BITS, SMALL)
     # the first place of every key, then of every class
@@ -38,25 +39,39 @@ def later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num
     named = first.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     head = named.groupBy("label").agg(F.min("first").alias("head"), F.sum("copies").alias("total")).where("total > 1")
     heads = materialize(named.join(head, "label").select("key", "head"))
-    out = members.join(heads, "key").where(~at.eqNullSafe(F.col("head")))
-    return out.groupBy(F.col("row").alias("id")).agg(F.sort_array(F.collect_set(F.col("part").cast("int"))).alias("removed"))
+    return members.join(heads, "key").where(~at.eqNullSafe(F.col("head"))).select("row", F.col("part").cast("int").alias("part"), "key")
 
 
-def remove_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with the later lines taken out of ``text``. A document that had words and has none left is dropped."""
+def later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = NUM, den: int = DEN, least: int = LEAST) -> DataFrame:
+    """``id, removed`` (sorted line numbers from 0): the lines that match an earlier one, for documents that have such lines."""
+    out = _later(docs, doc_id, text, num, den, least)
+    return out.groupBy(F.col("row").alias("id")).agg(F.sort_array(F.collect_set("part")).alias("removed"))
+
+
+def remove_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = NUM, den: int = DEN, least: int = LEAST) -> DataFrame:
+    """``docs`` with the later lines taken out of ``text``. A document that had words and has none left is dropped. Rows that share an id (all null ids are one)
+    lose a line only where its own words have the key that was found, so none loses a line for another row's."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     i, at = names[docs.columns.index(doc_id)], docs.columns.index(text)
-    gone = materialize(later_lines(docs, doc_id, text, **options))
+    later = _later(docs, doc_id, text, num, den, least)
+    gone = materialize(later.groupBy(F.col("row").alias("id")).agg(F.collect_set(F.struct("part", "key")).alias("removed")))
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
 
+    extract = setjoin.line_sets(least)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(at).to_pylist()
             keep = [True] * len(texts)
-            for k, removed in enumerate(b.column(len(names)).to_pylist()):
-                if removed and texts[k]:
-                    out = set(removed)
-                    texts[k] = "\n".join(line for n, line in enumerate(texts[k].split("\n")) if n not in out)
+            marked = [(k, {(x["part"], x["key"]) for x in r}) for k, r in enumerate(b.column(len(names)).to_pylist()) if r and texts[k]]
+            out: list[set[int]] = [set() for _ in marked]
+            for row, part, values, n in extract(pa.RecordBatch.from_arrays([pa.array([texts[k] for k, _ in marked], pa.string())], names=["t"])):
+                for r, line, key in zip(row.tolist(), part.tolist(), setjoin._digest(values, n).view(np.int64).tolist(), strict=True):
+                    if (line, key) in marked[r][1]:
+                        out[r].add(line)
+            for (k, _), gone_lines in zip(marked, out, strict=True):
+                if gone_lines:
+                    texts[k] = "\n".join(line for n, line in enumerate(texts[k].split("\n")) if n not in gone_lines)
                     keep[k] = bool(texts[k].strip("\t\n\x0b\x0c\r "))
             cols = list(b.columns[: len(names)])
             cols[at] = pa.array(texts, cols[at].type)

@@ -127,6 +127,14 @@ def test_line_dedup(spark, empty):
     assert line_dedup.later_lines(empty).count() == 0
 
 
+def test_rows_that_share_an_id_keep_their_own_lines(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(20)) for k in "abc")
+    df = spark.createDataFrame([(None, f"short\n{a}"), (None, f"short\n{b}"), (None, f"{a}\n{c}"), (7, f"short\n{b}"), (7, f"{c}\n{a}\nown"), (7, f"{a}\nother")], "doc_id long, text string")
+    left = sorted(((r.doc_id, r.text) for r in line_dedup.remove_lines(df).collect()), key=str)
+    # the first places are (null, 0) for a, (null, 1) for b and c
+    assert left == sorted([(None, "short"), (None, f"short\n{b}"), (None, f"{a}\n{c}"), (7, "short"), (7, "own"), (7, "other")], key=str)
+
+
 def test_language_model(docs, empty):
     got = lm_score.score_documents(docs, examples=2000).collect()
     assert len(got) == len(ROWS)
