@@ -1,45 +1,36 @@
 """Line deduplication by an exact set-similarity join of line tokens.
 
-The tokens of a line (its distinct words, A-Z lower-cased) are ordered by rarity; the prefixes of this order, the sizes and the possible overlap filter pairs of lines,
-exact Jaccard similarity decides (see ``setjoin``), and lines that similarity links make a class. The first line of a class, by document id and line number, stays;
-its later matches are removed, in the same document and in others. Lines of fewer than ``LEAST`` distinct words are never touched: such lines recur in clean text.
-
-Defined cases: null and empty texts have no lines to remove; a null id sorts first; rows that share an id share their verdicts by line number in ``later_lines``, by number and words in ``remove_lines``; equal lines of one document
-keep their first; an empty table gives no rows; other columns pass through ``remove_lines`` untouched.
+The tokens of a line (its distinct words, A-Z lower-cased) are ordered by rarity; prefix, positional and length filters choose pairs of lines, exact Jaccard similarity
+decides (see ``line_join``). A line is removed if, and only if, a line before it, by document id and line number, has a similarity of ``num / den`` (0.8) or more, in the same
+document or in another; whether that earlier line is itself removed does not matter. ``least`` (1) is the number of distinct words a line needs to be looked at.
+
+Defined cases: null and empty texts and lines without words have nothing to remove; a null id sorts first; of equal lines, of one document or of several, the first stays;
+lines of different words at one place (rows that share an id) count in the order of their keys, and of equal ones each is its own first; rows that share an id share their
+verdicts by line number in ``later_lines``, by number and words in ``remove_lines``; a line without blanks (Chinese, Japanese, Thai) is one word, so only equal ones match;
+an empty table gives no rows; ids are cast to long, one that is no number counts as null; other columns pass through ``remove_lines`` untouched.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earlywarn.llm import setjoin
-from earlywarn.llm.storage import materialize
+from earlywarn.llm import line_join, setjoin
 
 NUM, DEN = 4, 5
-LEAST = 8
-#: A line has few tokens; its signature is short.
-BITS = 128
-#: Lines that share a rare token are tried against each other at once up to this many; their sets are small.
-SMALL = 24
-BROADCAST_ROWS = 2_000_000
+LEAST = 1
 
 
 def _later(docs: DataFrame, doc_id: str, text: str, num: int, den: int, least: int) -> DataFrame:
     """``row, part, key`` of each line that matches an earlier one: its document's id, its number and the key of its words."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    members, labels = setjoin.link_sets(rows, setjoin.line_sets(least), num, den, BITS, SMALL)
-    # the first place of every key, then of every class
-    at = F.struct("row", "part")
-    first = members.groupBy("key").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("copies"))
-    named = first.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    head = named.groupBy("label").agg(F.min("first").alias("head"), F.sum("copies").alias("total")).where("total > 1")
-    heads = materialize(named.join(head, "label").select("key", "head"))
-    return members.join(heads, "key").where(~at.eqNullSafe(F.col("head"))).select("row", F.col("part").cast("int").alias("part"), "key")
+    rows = docs.select(F.col(doc_id).try_cast("long").alias("id"), F.col(text).alias("text"))
+    members, heads = line_join.earlier_matches(rows, setjoin.line_sets(least), num, den)
+    place = F.struct("row", "part")
+    later = members.join(heads, "key").where(F.col("matched") | ~place.eqNullSafe(F.col("first")))
+    return later.select("row", "part", "key")
 
 
 def later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = NUM, den: int = DEN, least: int = LEAST) -> DataFrame:
@@ -54,8 +45,7 @@ def remove_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", nu
     names = [f"c{i}" for i in range(len(docs.columns))]
     i, at = names[docs.columns.index(doc_id)], docs.columns.index(text)
     later = _later(docs, doc_id, text, num, den, least)
-    gone = materialize(later.groupBy(F.col("row").alias("id")).agg(F.collect_set(F.struct("part", "key")).alias("removed")))
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    gone = later.groupBy(F.col("row").alias("id")).agg(F.collect_set(F.struct("part", "key")).alias("removed"))
 
     extract = setjoin.line_sets(least)
 
@@ -66,7 +56,7 @@ def remove_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", nu
             marked = [(k, {(x["part"], x["key"]) for x in r}) for k, r in enumerate(b.column(len(names)).to_pylist()) if r and texts[k]]
             out: list[set[int]] = [set() for _ in marked]
             for row, part, values, n in extract(pa.RecordBatch.from_arrays([pa.array([texts[k] for k, _ in marked], pa.string())], names=["t"])):
-                for r, line, key in zip(row.tolist(), part.tolist(), setjoin._digest(values, n).view(np.int64).tolist(), strict=True):
+                for r, line, key in zip(row.tolist(), part.tolist(), setjoin.digest(values, n).tolist(), strict=True):
                     if (line, key) in marked[r][1]:
                         out[r].add(line)
             for (k, _), gone_lines in zip(marked, out, strict=True):
@@ -78,5 +68,5 @@ def remove_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", nu
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
 
     schema = ", ".join(f"{n} {t}" for n, (_, t) in zip(names, docs.dtypes, strict=True))
-    joined = docs.toDF(*names).join(gone, F.col(i).cast("long").eqNullSafe(F.col("id")), "left").select(*names, "removed")
+    joined = docs.toDF(*names).join(gone, F.col(i).try_cast("long").eqNullSafe(F.col("id")), "left").select(*names, "removed")
     return joined.mapInArrow(run, schema).toDF(*docs.columns)

@@ -1,6 +1,6 @@
 """Near-duplicate documents by an exact Jaccard join of 5-word shingles with signature trees.
 
-See ``setjoin`` for the method and its plan. Two documents link at a similarity of ``num / den`` (0.75) or more; a class is what links reach.
+See ``signature_trees`` for the method and its plan. Two documents link at a similarity of ``num / den`` (0.75) or more; a class is what links reach.
 
 Defined cases: a document without words (null, empty or blank text) has an empty set, links with nothing and is a class of its own; fewer than five words are one
 shingle; repeated rows are equal sets, so one class; rows with one id are judged by their own texts; a null id stays null and never names a class unless
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earlywarn.llm import setjoin
+from earlywarn.llm import setjoin, signature_trees
 from earlywarn.llm.storage import materialize
 
 NUM, DEN, WORDS = 3, 4, 5
@@ -21,7 +21,7 @@ NUM, DEN, WORDS = 3, 4, 5
 def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (ids are longs)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    members, labels = setjoin.link_sets(rows, setjoin.shingle_sets(WORDS), num, den)
+    members, labels = signature_trees.link_sets(rows, setjoin.shingle_sets(WORDS), num, den)
     # equal keys first, then linked keys: both are small rows without text
     by_key = members.where("n > 0").groupBy("key").agg(F.min("row").alias("first"))
     named = by_key.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
@@ -29,20 +29,22 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     of_key = materialize(named.join(of_class, "label").select("key", "component_id"))
     joined = members.where("n > 0").join(of_key, "key").select("row", "n", "component_id")
     alone = members.where("n = 0").select("row", "n", F.col("row").alias("component_id"))
-    return joined.unionByName(alone).select(F.col("row").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+    return joined.unionByName(alone).select(F.col("row").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One document of each class: the one with the smallest id. Of repeated rows with that id and an equal text one stays."""
+    """One document of each class: the one with the smallest id. Of repeated rows with that id and an equal text one stays.
+
+    Only the ids of removed documents meet the texts, by an anti join whose plan Spark picks by their size."""
     names = [f"c{i}" for i in range(len(docs.columns))]
-    found = near_duplicate_classes(docs, doc_id, text, **options)
-    found = materialize(found)
-    keep = materialize(found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct())
-    few = F.broadcast(keep) if keep.count() <= setjoin.BROADCAST_IDS else keep
+    found = materialize(near_duplicate_classes(docs, doc_id, text, **options))
+    gone = found.where("not doc_id <=> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     d = docs.toDF(*names)
     i, t = names[docs.columns.index(doc_id)], names[docs.columns.index(text)]
-    kept = d.join(few, F.col(i).cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    kept = d.join(gone, F.col(i).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
     # only tables with repeated ids pay for telling their rows apart
     if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([i, t])
+        heads = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
+        other = d.join(heads, F.col(i).cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+        kept = other.dropDuplicates([i, t])
     return kept.toDF(*docs.columns)

@@ -1,27 +1,15 @@
-"""Exact Jaccard join of sets by rare prefixes and signature trees, and the classes that its links make.
-
-Sets hold 44-bit hashes. Equal sets have equal keys (a 64-bit digest) and are one set from then on. Two sets with Jaccard similarity of ``num / den``
-or more share an element among their first ``n - ceil(n * num / den) + 1`` in any common order; the order here is rare elements first, so that an
-element many sets share seldom deals sets together.
-
-1. ``describe``: one scan gives each row's key and size, a signature bitmap of ``BITS`` bits (one bit per element), and the elements frequent in a batch.
-2. ``_postings``: a second scan deals (element, key, size, position) of the prefixes, packed in binary rows, to ranges of elements. Each range keeps elements
-   with two sets or more; lists of the same members become one.
-3. ``_trees``: the members' signatures join the lists. Each list becomes a signature tree: nodes hold the OR of their bitmaps, the range of sizes and the
-   largest surplus (elements less bits). Traversing pairs of nodes, a pair is dropped when its largest possible overlap, the common bits and the lesser
-   surplus, or its sizes rule out the threshold. What is left are pairs of sets.
-4. ``_narrow``: bitmaps of two bits or more per element rule out most of these, which matters for long texts, whose signatures are full.
-   ``_verify``: the remaining pairs meet their whole sets, read again from the text of one row each, and are counted exactly.
-5. ``classes``: links become classes by large-star and small-star steps, each a grouped minimum and a join.
-
-A list of two gives its pair at once. A longer one (near copies) gives a chain in the order of size first; later rounds give only pairs of sets that
-are still in different classes, first a few for each set, then all, until none is left. So no link between classes is lost, and a group of copies never
-becomes all its pairs.
+"""Sets of hashes, their rarity order and what the exact joins of ``signature_trees`` and ``line_join`` share.
+
+A set holds 63-bit hashes of its elements; equal sets have equal keys (a 64-bit digest) and are one set from then on. Two sets with a Jaccard similarity of
+``num / den`` or more share an element among their first ``n - ceil(n * num / den) + 1`` in any common order; the order here is rare elements first.
+
+``describe`` reads the texts once: it gives the sets of each row, and the number of times each element occurs in the whole table, summed by ranges of slots (the
+upper half of the hash). ``rarity_order`` keeps the ``ORDER_SLOTS`` most frequent slots; all others are rare and ordered by value. Which slots it keeps never changes a
+result, only how often two sets meet. ``classes`` turns links into classes by large-star and small-star steps.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,32 +20,34 @@ from pyspark.sql import functions as F
 from earlywarn.llm import textkit as tk
 from earlywarn.llm.storage import materialize
 
-BITS = 512
-VALUE_BITS = 44
-LEAF = 32
-FAN_OUT = 8
-#: Elements frequent in a batch, and how many of them the order knows (bounds what is broadcast: 12 bytes each).
-LOCALLY_FREQUENT = 8
-ORDER_SLOTS = 1 << 21
+#: Slots that the order knows (bounds what is broadcast: 8 bytes each), the size of its lookup table, and the least count of a slot it holds.
+ORDER_SLOTS = 1 << 20
+LOOKUP_BITS = 22
+FREQUENT = 4
+#: Elements a task holds before it passes their counts on.
+HELD_ELEMENTS = 4_000_000
+HELD_POSTINGS = 1_000_000
+#: Postings of one range (one task).
 RANGE_POSTINGS = 600_000
-#: Lists of up to this many members move to the range of their smallest member.
-MOVED = 4096
-BROADCAST_IDS = 2_000_000
 
 #: Rows of sets: gets a batch, yields (index of batch row per set, part number per set, sorted distinct values, values per set).
 Extract = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
 
 
+def _by_row(row: np.ndarray, place: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
+    """The order by row, then place (of 44 bits), then value."""
+    if rows < 1 << 20:
+        packed = (row.astype(np.uint64) << np.uint64(44)) | place
+        order = np.argsort(packed)
+        p, v = packed[order], value[order]
+        if not ((p[1:] == p[:-1]) & (v[1:] != v[:-1])).any():
+            return order
+    return np.lexsort((value, place, row))
+
+
 def distinct_sorted(row: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sort and dedupe values within rows; returns values and their count per row. Values below 2**44."""
-    if rows < 1 << (64 - VALUE_BITS):
-        packed = np.sort((row.astype(np.uint64) << np.uint64(VALUE_BITS)) | value)
-        new = np.ones(len(packed), bool)
-        new[1:] = packed[1:] != packed[:-1]
-        packed = packed[new]
-        row = (packed >> np.uint64(VALUE_BITS)).astype(np.int64)
-        return packed & np.uint64((1 << VALUE_BITS) - 1), np.bincount(row, minlength=rows)
-    order = np.lexsort((value, row))
+    """Sorted distinct values (of 63 bits) within rows, and their number per row."""
+    order = _by_row(row, value >> np.uint64(19), value, rows)
     row, value = row[order], value[order]
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
@@ -71,13 +61,13 @@ def shingle_sets(k: int = 5, column: int = 0) -> Extract:
         for lo, hi, buf, off in tk.chunks(batch.column(column)):
             w = tk.words(buf, off)
             s, count = tk.shingles(tk.word_hashes(w), w.per_row, k)
-            values, n = distinct_sorted(np.repeat(np.arange(hi - lo), count), s >> np.uint64(64 - VALUE_BITS), hi - lo)
+            values, n = distinct_sorted(np.repeat(np.arange(hi - lo), count), s >> np.uint64(1), hi - lo)
             yield np.arange(lo, hi), np.zeros(hi - lo, np.int64), values, n
 
     return run
 
 
-def line_sets(least: int, column: int = 0) -> Extract:
+def line_sets(least: int = 1, column: int = 0) -> Extract:
     """A set for each line of at least ``least`` distinct words: these words. The part number is that of the line in its text."""
 
     def run(batch: pa.RecordBatch):
@@ -86,10 +76,10 @@ def line_sets(least: int, column: int = 0) -> Extract:
             text = np.searchsorted(off, w.off[:-1], side="right") - 1 if len(w.off) > 1 else np.zeros(0, np.int64)
             # texts that are empty share their offset with the next one; the last of equal offsets owns the bytes
             part = np.arange(len(text)) - np.searchsorted(text, text, side="left")
-            long = w.per_row >= least
+            long = w.per_row >= max(1, least)
             keep = np.flatnonzero(long[w.row])
             new_row = np.cumsum(long) - 1
-            values, n = distinct_sorted(new_row[w.row[keep]], tk.word_hashes(w)[keep] >> np.uint64(64 - VALUE_BITS), int(long.sum()))
+            values, n = distinct_sorted(new_row[w.row[keep]], tk.word_hashes(w)[keep] >> np.uint64(1), int(long.sum()))
             rows = np.flatnonzero(long)
             enough = n >= least
             values = values[np.repeat(enough, n)]
@@ -98,223 +88,127 @@ def line_sets(least: int, column: int = 0) -> Extract:
     return run
 
 
-def _digest(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+def digest(values: np.ndarray, n: np.ndarray) -> np.ndarray:
     """A 64-bit key of each set; 0 for the empty set."""
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tk.mix(values + np.uint64(0x9E3779B97F4A7C15)))])
     ends = np.cumsum(n)
-    return np.where(n > 0, tk.mix(total[ends] - total[ends - n] + n.astype(np.uint64) * np.uint64(tk.BASE)), 0).astype(np.uint64)
+    return np.where(n > 0, tk.mix(total[ends] - total[ends - n] + n.astype(np.uint64) * np.uint64(tk.BASE)), 0).astype(np.uint64).view(np.int64)
 
 
-def _signatures(values: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
+def signatures(values: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
+    """A bitmap of ``width`` bits for each set, as words of 64 bits: one bit per element."""
     bits = np.zeros((len(n), width), bool)
     bits[np.repeat(np.arange(len(n)), n), (values % np.uint64(width)).astype(np.int64)] = True
-    return np.packbits(bits, axis=1)
-
-
-def _wide(values: np.ndarray, least: int) -> bytes:
-    """A bitmap with two bits or more per element, a power of two wide; empty where the signature is as wide."""
-    if 2 * len(values) <= least:
-        return b""
-    width = 1 << (2 * len(values) - 1).bit_length()
-    bits = np.zeros(width, bool)
-    bits[(values % np.uint64(width)).astype(np.int64)] = True
-    return np.packbits(bits).tobytes()
-
-
-def _may_reach(na: int, a: bytes, nb: int, b: bytes, num: int, den: int) -> bool:
-    """The bound of ``fits`` for two bitmaps, the wider one folded to the width of the other."""
-    x, y = (np.frombuffer(v, np.uint64) for v in (a, b))
-    while len(x) > len(y):
-        x = x[: len(x) // 2] | x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] | y[len(y) // 2 :]
-    surplus = min(na - int(np.bitwise_count(x).sum()), nb - int(np.bitwise_count(y).sum()))
-    most = min(int(np.bitwise_count(x & y).sum()) + surplus, na, nb)
-    return most * (num + den) >= num * (na + nb)
+    return np.packbits(bits, axis=1).view(np.uint64)
 
 
-def _narrow(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that their wide bitmaps do not rule out either."""
-    bitmap = F.when(F.length("wide") > 0, F.col("wide")).otherwise(F.col("sig"))
-    side = lambda k: reps.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), bitmap.alias(f"w{k}"))
+def offsets(size: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each run of the given sizes."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = batch.to_pydict()
-            ok = [_may_reach(*x, num, den) for x in zip(c["na"], c["wa"], c["nb"], c["wb"], strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "wa", "nb", "wb").mapInArrow(run, "a long, b long")
+def blobs(column: pa.ChunkedArray, kind) -> np.ndarray:
+    """The values of all packed rows, one after another."""
+    parts = [np.frombuffer(x.as_py(), kind) for x in column]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
 
+def deal(part: np.ndarray, ranges: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """One row for each range that occurs in ``part``, with its entries of every column packed."""
+    by = np.argsort(part.astype(np.uint16 if ranges <= 1 << 16 else np.int32), kind="stable")
+    cut = np.searchsorted(part[by], np.arange(ranges + 1))
+    rows = np.flatnonzero(np.diff(cut))
+    packed = {name: [c[by[cut[r] : cut[r + 1]]].tobytes() for r in rows] for name, c in columns.items()}
+    return pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), *(pa.array(p, pa.binary()) for p in packed.values())], names=["range", *packed])
 
-def _frequent(values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    v, c = np.unique(np.concatenate(values), return_counts=True) if values else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    often = c >= LOCALLY_FREQUENT
-    return v[often], c[often]
 
+DESCRIBED = "row long, part int, n int, key long, elements binary, range int, slots binary, counts binary"
 
-DESCRIBED = "row long, part long, n long, key long, sig binary, wide binary, often binary"
 
+def describe(rows: DataFrame, extract: Extract, elements: bool) -> DataFrame:
+    """The sets of a table (text, id long), with their elements if asked for, and rows with counts of slots only (``key`` is null), written once."""
+    ranges = max(8, rows.rdd.getNumPartitions())
+    names = [c.split()[0] for c in DESCRIBED.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
 
-def describe(rows: DataFrame, extract: Extract, bits: int = BITS) -> DataFrame:
-    """Sets of a table (id long, text): ``row, part, n, key, sig``, and rows with ``often`` only (elements and counts), written once."""
+    def filled(given: dict[str, pa.Array]) -> pa.RecordBatch:
+        size = len(next(iter(given.values())))
+        return pa.RecordBatch.from_arrays([given[k] if k in given else pa.nulls(size, t) for k, t in zip(names, kinds, strict=True)], names=names)
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        slots, counts = np.unique(np.concatenate(held), return_counts=True)
+        dealt = deal((slots.astype(np.uint64) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64), ranges, {"slots": slots, "counts": counts.astype(np.uint32)})
+        return filled(dict(zip(dealt.schema.names, dealt.columns, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in DESCRIBED.split(", ")]
+        held, n_held = [], 0
         for batch in batches:
-            ids, values_seen = batch.column(1), []
             for at, part, values, n in extract(batch):
-                values_seen.append(values)
-                step = 20_000
-                ends = np.cumsum(n)
-                for lo in range(0, len(at), step):
-                    hi = min(len(at), lo + step)
-                    v = values[ends[lo] - n[lo] : ends[hi - 1]]
-                    key = _digest(v, n[lo:hi]).view(np.int64)
-                    sig = pa.FixedSizeBinaryArray.from_buffers(pa.binary(bits // 8), hi - lo, [None, pa.py_buffer(_signatures(v, n[lo:hi], bits).tobytes())]).cast(pa.binary())
-                    wide = pa.array([_wide(values[ends[i] - n[i] : ends[i]], bits) if 2 * n[i] > bits else b"" for i in range(lo, hi)], pa.binary())
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at[lo:hi])), pa.array(part[lo:hi]), pa.array(n[lo:hi]), pa.array(key), sig, wide, pa.nulls(hi - lo, pa.binary())], names=names)
-            v, c = _frequent(values_seen)
-            if len(v):
-                blob = np.stack([v, c.astype(np.uint64)]).tobytes()
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([blob], pa.binary())], names=names)
+                held.append((values >> np.uint64(31)).astype(np.uint32))
+                n_held += len(values)
+                given = {"row": batch.column(1).take(pa.array(at)), "part": pa.array(part.astype(np.int32)), "n": pa.array(n.astype(np.int32)), "key": pa.array(digest(values, n))}
+                if elements:
+                    ends = np.concatenate([[0], np.cumsum(n)]) * 8
+                    given["elements"] = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(values.tobytes())]).cast(pa.binary())
+                yield filled(given)
+                if n_held > HELD_ELEMENTS:
+                    yield counted(held)
+                    held, n_held = [], 0
+        if n_held:
+            yield counted(held)
 
     return materialize(rows.select("text", "id").mapInArrow(run, DESCRIBED))
 
 
 class Order:
-    """Rare first: elements without a slot by value, then those with one by their count. One element per slot keeps the lookup a single gather."""
-
-    def __init__(self, value: np.ndarray, count: np.ndarray):
-        order = np.lexsort((value, count))  # ascending; later writes win a slot, so the most frequent one holds it
-        slot = np.full(ORDER_SLOTS, -1, np.int64)
-        slot[(value[order] % np.uint64(ORDER_SLOTS)).astype(np.int64)] = order
-        held = slot[slot >= 0]
-        held = held[np.lexsort((value[held], count[held]))]
-        self.values = value[held]
-        self.slot_value = np.full(ORDER_SLOTS, np.uint64(1 << 63), np.uint64)
-        self.slot_rank = np.zeros(ORDER_SLOTS, np.uint32)
-        at = (self.values % np.uint64(ORDER_SLOTS)).astype(np.int64)
-        self.slot_value[at] = self.values
-        self.slot_rank[at] = np.arange(len(held), dtype=np.uint32)
+    """Rare first: elements of unknown slots by value, then those of known slots by the count of the slot. One slot per place of the lookup table."""
+
+    def __init__(self, slots: np.ndarray, counts: np.ndarray):
+        order = np.lexsort((slots, counts))  # ascending; later writes win a place, so the most frequent slot holds it
+        self.slots = slots[order].astype(np.uint32)
+        self.slot_at = np.zeros(1 << LOOKUP_BITS, np.uint32)
+        self.rank_at = np.full(1 << LOOKUP_BITS, -1, np.int32)
+        at = self.slots >> np.uint32(32 - LOOKUP_BITS)
+        self.slot_at[at] = self.slots
+        self.rank_at[at] = np.arange(len(slots), dtype=np.int32)
 
     def __reduce__(self):
-        return _restore_order, (self.values,)
+        return Order, (self.slots, np.arange(len(self.slots)))
 
-    def prefix(self, values: np.ndarray, n: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The first ``length`` elements of each set in this order, and the set each belongs to."""
+    def prefix(self, values: np.ndarray, n: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first ``length`` elements of each set in this order, the set each belongs to, and its position."""
         row = np.repeat(np.arange(len(n)), n)
-        at = (values % np.uint64(ORDER_SLOTS)).astype(np.int64)
-        known = self.slot_value[at] == values
-        place = np.where(known, np.uint64(1 << VALUE_BITS) + self.slot_rank[at], values)
-        if len(n) < 1 << 19:
-            packed = np.sort((row.astype(np.uint64) << np.uint64(45)) | place)
-            place = packed & np.uint64((1 << 45) - 1)
-        else:
-            place = place[np.lexsort((place, row))]
-        first = np.cumsum(n) - n
-        take = np.repeat(first, length) + (np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length))
-        place = place[take]
-        hot = place >= np.uint64(1 << VALUE_BITS)
-        out = place.copy()
-        out[hot] = self.values[(place[hot] - np.uint64(1 << VALUE_BITS)).astype(np.int64)]
-        return out, np.repeat(np.arange(len(n)), length)
-
-
-def _restore_order(values: np.ndarray) -> Order:
-    return Order(values, np.arange(len(values)))
-
-
-def frequency_order(described: DataFrame) -> Order:
-    """The order of this table. Sums stay in Spark; at most ``ORDER_SLOTS`` elements leave it, the most frequent ones."""
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = [np.frombuffer(x.as_py(), np.uint64).reshape(2, -1) for x in b.column(0)]
-            if parts:
-                v = np.concatenate(parts, axis=1)
-                keys, inverse = np.unique(v[0], return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(np.rint(np.bincount(inverse, weights=v[1])).astype(np.int64))], names=["v", "c"])
-
-    # the largest count of a slot first: keeps within the bound by giving each slot its most frequent element
-    top = described.where("often is not null").select("often").mapInArrow(unpack, "v long, c long").groupBy("v").agg(F.sum("c").alias("c"))
-    top = top.groupBy(F.pmod("v", F.lit(ORDER_SLOTS)).alias("slot")).agg(F.max(F.struct("c", "v")).alias("m"))
-    packed = top.select("m.v", "m.c").mapInArrow(_pack2, "v binary, c binary")
-    v, c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for r in packed.toLocalIterator():
-        v.append(np.frombuffer(r.v, np.int64))
-        c.append(np.frombuffer(r.c, np.int64))
-    return Order(np.concatenate(v).astype(np.uint64), np.concatenate(c))
-
-
-def _pack2(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([b.column(i).to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for i in range(2)], names=["v", "c"])
-
-
-def _group_lists(key: tuple, table: pa.Table, ranges: int) -> pa.Table:
-    """Lists of two sets or more that share an element of this range; equal lists once. Columns: members and where each list ends."""
-    h = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("h")])
-    k = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("k")])
-    order = np.lexsort((k, h))
-    h, k = h[order], k[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
-    h, k = h[new], k[new]
-    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    size = np.diff(np.append(start, len(h)))
-    # members are in key order, so lists of the same members have the same digest
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tk.mix(k.view(np.uint64)))])
-    digest = total[start + size] - total[start]
-    many = np.flatnonzero(size > 1)
-    _, first = np.unique(np.stack([digest[many], size[many].astype(np.uint64)], axis=1), axis=0, return_index=True) if len(many) else (None, np.zeros(0, np.int64))
-    lists = many[np.sort(first)]
-    n = size[lists]
-    # lists of the same near copies meet where their smallest member says, so a member's signature goes to few places; long lists stay in their range
-    home = np.where(n <= MOVED, (tk.mix(k[start[lists]].view(np.uint64)) % np.uint64(ranges)).astype(np.int64), int(key[0].as_py()))
-    by = np.argsort(home, kind="stable")
-    lists, n, home = lists[by], n[by], home[by]
-    rows = [(h, *x) for h in np.unique(home) for x in [np.searchsorted(home, [h, h + 1])]]
-    flat = [np.repeat(start[lists[i:j]], n[i:j]) + _offsets(n[i:j]) for _, i, j in rows]
-    return pa.table({"range": pa.array([int(h) for h, _, _ in rows], pa.int32()), "members": pa.array([k[f].tobytes() for f in flat], pa.binary()), "sizes": pa.array([n[i:j].astype(np.int32).tobytes() for _, i, j in rows], pa.binary())})
-
-
-def _postings(rows: DataFrame, extract: Extract, order: Order, ranges: int, num: int, den: int) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast(order)
+        slot = (values >> np.uint64(31)).astype(np.uint32)
+        at = slot >> np.uint32(32 - LOOKUP_BITS)
+        known = (self.rank_at[at] >= 0) & (self.slot_at[at] == slot)
+        place = np.where(known, np.uint64(1 << 43) + self.rank_at[at].astype(np.uint64) % np.uint64(1 << 32), values >> np.uint64(20))
+        order = _by_row(row, place, values, len(n))
+        position = offsets(length)
+        return values[order[np.repeat(np.cumsum(n) - n, length) + position]], np.repeat(np.arange(len(n)), length), position
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, hs, ks, held = sent.value, [], [], 0
 
-        def flush():
-            h, k = np.concatenate(hs), np.concatenate(ks)
-            part = (tk.mix(h) % np.uint64(ranges)).astype(np.int32)
-            by = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[by], np.arange(ranges + 1))
-            r = np.flatnonzero(np.diff(cut))
-            return pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), pa.array([h[by[cut[i] : cut[i + 1]]].tobytes() for i in r], pa.binary()), pa.array([k[by[cut[i] : cut[i + 1]]].tobytes() for i in r], pa.binary())], names=["range", "h", "k"])
+def rarity_order(described: DataFrame) -> Order:
+    """The order of a table, from the counts of all its elements. At most ``ORDER_SLOTS`` slots leave Spark, the most frequent ones of every range."""
+    ranges = max(1, described.where("key is null").agg(F.max("range")).first()[0] or 0)
+    most = max(1, ORDER_SLOTS // (ranges + 1))
 
-        for batch in batches:
-            for _, _, values, n in extract(batch):
-                keys = _digest(values, n).view(np.int64)
-                # equal sets of a chunk are dealt once
-                _, once = np.unique(keys, return_index=True)
-                once = once[n[once] > 0]
-                pick = np.zeros(len(n), bool)
-                pick[once] = True
-                values, n, keys = values[np.repeat(pick, n)], n[pick], keys[pick]
-                if not len(n):
-                    continue
-                h, row = order.prefix(values, n, n + (-(n * num) // den) + 1)
-                hs.append(h)
-                ks.append(keys[row])
-                held += len(h)
-            if held > 2_000_000:
-                yield flush()
-                hs, ks, held = [], [], 0
-        if held:
-            yield flush()
-
-    return rows.select("text", "id").mapInArrow(run, "range int, h binary, k binary")
+    def top(key: tuple, table: pa.Table) -> pa.Table:
+        slots, counts = blobs(table.column("slots"), np.uint32), blobs(table.column("counts"), np.uint32)
+        order = np.argsort(slots)
+        slots, counts = slots[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1]]))
+        total, slots = np.add.reduceat(counts.astype(np.int64), first), slots[first]
+        often = np.flatnonzero(total >= FREQUENT)
+        often = often[np.argsort(-total[often], kind="stable")[:most]]
+        return pa.table({"slots": pa.array([slots[often].tobytes()], pa.binary()), "counts": pa.array([total[often].tobytes()], pa.binary())})
+
+    found = described.where("key is null").select("range", "slots", "counts").groupBy("range").applyInArrow(top, "slots binary, counts binary").collect()
+    empty = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    return Order(np.concatenate([*empty[0], *(np.frombuffer(r.slots, np.uint32) for r in found)]), np.concatenate([*empty[1], *(np.frombuffer(r.counts, np.int64) for r in found)]))
+
+
+def prefix_length(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    return n + (-(n * num) // den) + 1
 
 
 def fits(common_bits: np.ndarray, surplus: np.ndarray, na: np.ndarray, nb: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -323,208 +217,41 @@ def fits(common_bits: np.ndarray, surplus: np.ndarray, na: np.ndarray, nb: np.nd
     return most * (num + den) >= num * (na + nb)
 
 
-class Tree:
-    """A signature tree over sets in the order of size and signature. Level 0 holds the sets; a node covers ``LEAF``, then ``FAN_OUT`` of the level below."""
-
-    def __init__(self, sig: np.ndarray, n: np.ndarray):
-        self.levels = [(sig, n, n, n - np.bitwise_count(sig).sum(1))]
-        self.span = [1]
-        while len(self.levels[-1][0]) > 1:
-            s, low, high, surplus = self.levels[-1]
-            step = LEAF if len(self.levels) == 1 else FAN_OUT
-            at = np.arange(0, len(s), step)
-            self.levels.append((np.bitwise_or.reduceat(s, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(surplus, at)))
-            self.span.append(step)
-
-    def pairs(self, num: int, den: int, skip: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (i < j) of sets that may reach the threshold, level by level from the root. ``skip``: classes; nodes of one and the same class are left out."""
-        top = len(self.levels) - 1
-        pure = None
-        if skip is not None:
-            pure = [(skip, skip)]
-            for level in range(1, top + 1):
-                at = np.arange(0, len(pure[-1][0]), self.span[level])
-                pure.append((np.minimum.reduceat(pure[-1][0], at), np.maximum.reduceat(pure[-1][1], at)))
-        work = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
-        while work:
-            level, a, b = work.pop()
-            if len(a) > 4096 and level > 0:
-                half = len(a) // 2
-                work += [(level, a[half:], b[half:]), (level, a[:half], b[:half])]
-                continue
-            s, low, high, surplus = self.levels[level]
-            # sizes closest to each other allow the largest similarity
-            ok = (high[a] * den >= low[b] * num) & (high[b] * den >= low[a] * num)
-            if pure is not None:
-                ok &= ~((pure[level][0][a] == pure[level][1][a]) & (pure[level][0][b] == pure[level][1][b]) & (pure[level][0][a] == pure[level][0][b]))
-            if level == 0:
-                ok &= a < b
-            a, b = a[ok], b[ok]
-            common = np.bitwise_count(s[a] & s[b]).sum(1).astype(np.int64)
-            ok = (common + np.minimum(surplus[a], surplus[b])) * (num + den) >= num * (low[a] + low[b])
-            a, b = a[ok], b[ok]
-            if level == 0:
-                if len(a):
-                    yield a, b
-                continue
-            step, below = self.span[level], len(self.levels[level - 1][0])
-            for x, y in zip(a, b, strict=True):
-                i = np.arange(x * step, min(below, (x + 1) * step))
-                j = np.arange(y * step, min(below, (y + 1) * step))
-                ii, jj = np.repeat(i, len(j)), np.tile(j, len(i))
-                half = ii <= jj
-                work.append((level - 1, ii[half], jj[half]))
-
-
-def _offsets(size: np.ndarray) -> np.ndarray:
-    """0, 1, ... within each run of the given sizes."""
-    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-
-
-def _trees(round_: int, num: int, den: int, small: int):
-    """Pairs of one range (a, b), and the lists that a later round must look at again.
-
-    Round 1 tries all pairs of lists of up to ``small`` members, of all lists of a size at once, and the chain of longer ones. Round 2 traverses the trees of longer lists for pairs
-    of different classes, up to eight for each set; round 3 takes up the lists where round 2 left some out, without a limit."""
-
-    def run(key: tuple, lists: pa.Table, sigs: pa.Table) -> pa.Table:
-        out_a, out_b, again = [], [], []
-        if lists.num_rows and sigs.num_rows:
-            k = sigs.column("key").to_numpy()
-            order = np.argsort(k)
-            k, n = k[order], sigs.column("n").to_numpy()[order]
-            sig = np.frombuffer(b"".join(sigs.column("sig").take(pa.array(order)).to_pylist()), np.uint8).reshape(len(k), -1).view(np.uint64)
-            surplus = n - np.bitwise_count(sig).sum(1).astype(np.int64)
-            label = sigs.column("label").to_numpy()[order]
-
-            def offer(x: np.ndarray, y: np.ndarray) -> None:
-                for lo in range(0, len(x), 1 << 18):
-                    u, v = x[lo : lo + (1 << 18)], y[lo : lo + (1 << 18)]
-                    ok = fits(np.bitwise_count(sig[u] & sig[v]).sum(1).astype(np.int64), np.minimum(surplus[u], surplus[v]), n[u], n[v], num, den)
-                    out_a.append(u[ok])
-                    out_b.append(v[ok])
-
-            members = np.concatenate([np.frombuffer(m.as_py(), np.int64) for m in lists.column("members")])
-            size = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in lists.column("sizes")]).astype(np.int64)
-            at = np.searchsorted(k, members)
-            first = np.cumsum(size) - size
-            if round_ == 1:
-                for m in np.unique(size[size <= small]):
-                    block = at[first[size == m][:, None] + np.arange(m)]
-                    i, j = np.triu_indices(int(m), 1)
-                    pair = np.unique(np.stack([block[:, i].ravel(), block[:, j].ravel()]), axis=1)
-                    offer(pair[0], pair[1])
-                long = np.flatnonzero(size > small)
-                if len(long):
-                    row = np.repeat(np.arange(len(long)), size[long])
-                    who = at[np.repeat(first[long], size[long]) + _offsets(size[long])]
-                    who = who[np.lexsort((k[who], n[who], row))]
-                    same = row[1:] == row[:-1]
-                    pair = np.unique(np.stack([who[:-1][same], who[1:][same]]), axis=1)
-                    offer(pair[0], pair[1])
-                    again = [at[first[i] : first[i] + size[i]] for i in long]
-            else:
-                mixed = np.flatnonzero(np.minimum.reduceat(label[at], first) != np.maximum.reduceat(label[at], first))
-                for i in mixed:
-                    m = at[first[i] : first[i] + size[i]]
-                    m = m[np.lexsort((k[m], n[m]))]
-                    seen, cut = np.zeros(len(m), np.int64), False
-                    for a, b in Tree(sig[m], n[m]).pairs(num, den, label[m]):
-                        cross = label[m[a]] != label[m[b]]
-                        a, b = a[cross], b[cross]
-                        if round_ == 2:
-                            few = seen[b] < 8
-                            cut |= not few.all()
-                            a, b = a[few], b[few]
-                            np.add.at(seen, b, 1)
-                        out_a.append(m[a])
-                        out_b.append(m[b])
-                    if cut:
-                        again.append(np.sort(m))
-            x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_a, out_b))
-            pair = np.unique(np.stack([np.minimum(k[x], k[y]), np.maximum(k[x], k[y])]), axis=1) if len(x) else np.zeros((2, 0), np.int64)
-            left = [np.concatenate([k[m] for m in again]).tobytes()] if again else []
-        else:
-            pair, left = np.zeros((2, 0), np.int64), []
-        m = pair.shape[1]
-        blank = pa.nulls(len(left), pa.int64())
-        return pa.table(
-            {
-                "range": pa.array(np.full(m + len(left), key[0].as_py(), np.int32)),
-                "a": pa.chunked_array([pa.array(pair[0]), blank]),
-                "b": pa.chunked_array([pa.array(pair[1]), blank]),
-                "members": pa.chunked_array([pa.nulls(m, pa.binary()), pa.array(left, pa.binary())]),
-                "sizes": pa.chunked_array([pa.nulls(m, pa.binary()), pa.array([np.array([len(x) for x in again], np.int32).tobytes()] if left else [], pa.binary())]),
-            }
-        )
-
-    return run
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """Common elements of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 0
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
 
 
-TREES = "range int, a long, b long, members binary, sizes binary"
+MEMBERS = "range int, key long"
 
 
-def _members(lists: DataFrame) -> DataFrame:
-    """``range, key`` of all lists, once each."""
+def members_of(lists: DataFrame) -> DataFrame:
+    """``range, key`` of all lists (``range, members``), once each."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        k = np.unique(np.concatenate([np.frombuffer(m.as_py(), np.int64) for m in table.column("members")]))
+        k = np.unique(blobs(table.column("members"), np.int64))
         return pa.table({"range": pa.array(np.full(len(k), key[0].as_py(), np.int32)), "key": pa.array(k)})
 
-    return lists.select("range", "members").groupBy("range").applyInArrow(run, "range int, key long")
-
-
-def _read_sets(rows: DataFrame, extract: Extract, wanted: DataFrame) -> DataFrame:
-    """``key, elements`` of the wanted sets (key, row, part), from the text of one row each."""
-    near = wanted.select(F.col("row").alias("_near")).distinct()
-    near = F.broadcast(near) if near.count() <= BROADCAST_IDS else near
-    texts = rows.join(near, F.col("id").eqNullSafe(F.col("_near")), "left_semi").select("text", "id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, part, values, n in extract(batch):
-                ends = np.cumsum(n)
-                ids = batch.column(1).take(pa.array(at))
-                keys = _digest(values, n).view(np.int64)
-                for lo in range(0, len(n), 2000):
-                    hi = min(len(n), lo + 2000)
-                    blobs = [_to_bytes(values[ends[i] - n[i] : ends[i]]) for i in range(lo, hi)]
-                    yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(part[lo:hi]), pa.array(keys[lo:hi]), pa.array(blobs, pa.binary())], names=["row", "part", "key", "elements"])
-
-    got = texts.mapInArrow(run, "row long, part long, key long, elements binary")
-    few = wanted.select(F.col("key").alias("_key"), F.col("row").alias("_row"), F.col("part").alias("_part"))
-    few = F.broadcast(few) if few.count() <= BROADCAST_IDS else few
-    same = (F.col("key") == F.col("_key")) & F.col("row").eqNullSafe(F.col("_row")) & (F.col("part") == F.col("_part"))
-    # repeated rows give a set twice, which only judges its pairs twice
-    return got.join(few, same, "left_semi").select("key", "elements")
+    return lists.select("range", "members").groupBy("range").applyInArrow(run, MEMBERS)
 
 
-def _to_bytes(values: np.ndarray) -> bytes:
-    """44-bit values in 6 bytes each: their low 32 bits, then their high 16."""
-    return (values & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (values >> np.uint64(32)).astype(np.uint16).tobytes()
+class Sets:
+    """The sets of a task, by key."""
 
+    def __init__(self, table: pa.Table):
+        key = table.column("key").to_numpy() if table.num_rows else np.zeros(0, np.int64)
+        self.key, at = np.unique(key, return_index=True)
+        column = table.column("elements").combine_chunks() if table.num_rows else None
+        self.values = [np.frombuffer(column[int(i)].as_py(), np.uint64) for i in at]
+        self.n = np.array([len(v) for v in self.values], np.int64)
 
-def _from_bytes(b: bytes) -> np.ndarray:
-    n = len(b) // 6
-    return np.frombuffer(b, np.uint32, n).astype(np.uint64) | (np.frombuffer(b, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32))
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) with exact Jaccard similarity of num / den or more; ``linked`` tells."""
-    left = sets.select(F.col("key").alias("a"), F.col("elements").alias("x"))
-    right = sets.select(F.col("key").alias("b"), F.col("elements").alias("y"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                u, v = _from_bytes(x.as_py()), _from_bytes(y.as_py())
-                w = np.sort(np.concatenate([u, v]))
-                common = int((w[1:] == w[:-1]).sum())
-                ok.append(common * den >= num * (len(w) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
-
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
+    def similar(self, i: int, j: int, num: int, den: int) -> bool:
+        common = overlap(self.values[i], self.values[j])
+        return common * den >= num * (int(self.n[i]) + int(self.n[j]) - common)
 
 
 def classes(links: DataFrame) -> DataFrame:
@@ -537,7 +264,7 @@ def classes(links: DataFrame) -> DataFrame:
         large = materialize(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
-        edges = materialize(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        edges = materialize(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
         after = _checksum(edges)
         if after == before:
             break
@@ -549,43 +276,3 @@ def _checksum(edges: DataFrame) -> tuple[int, int]:
     """Number and hash sum of distinct edges: equal sums of two rounds mean that nothing changed."""
     r = edges.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31))), F.lit(0)).alias("h")).first()
     return r.n, r.h
-
-
-def link_sets(rows: DataFrame, extract: Extract, num: int, den: int, bits: int = BITS, small: int = 4) -> tuple[DataFrame, DataFrame]:
-    """Sets of a table (id long, text) and their classes.
-
-    Returns ``(members, labels)``: members has ``row, part, n, key`` for each set, labels has ``key, label`` for keys that are linked with another."""
-    spark = rows.sparkSession
-    described = describe(rows, extract, bits)
-    members = described.where("key is not null")
-    order = frequency_order(described)
-    reps = members.where("n > 0").groupBy("key").agg(F.min(F.struct("row", "part", "n", "sig", "wide")).alias("at")).select("key", "at.*")
-    reps = materialize(reps)
-    total = int(reps.agg(F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1), F.lit(0))).first()[0])
-    ranges = max(1, math.ceil(total / RANGE_POSTINGS))
-    lists = materialize(_postings(rows, extract, order, ranges, num, den).groupBy("range").applyInArrow(lambda key, table: _group_lists(key, table, ranges), "range int, members binary, sizes binary"))
-    tried, labels = None, None
-    for round_ in (1, 2, 3):
-        if round_ > 1 and not lists.limit(1).count():
-            break
-        sigs = _members(lists).join(reps.select("key", "n", "sig"), "key")
-        sigs = sigs.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")) if labels is not None else sigs.withColumn("label", F.col("key"))
-        found = materialize(lists.select("range", "members", "sizes").groupBy("range").cogroup(sigs.select("range", "key", "n", "sig", "label").groupBy("range")).applyInArrow(_trees(round_, num, den, small), TREES))
-        pairs = found.where("a is not null").select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
-        lists = found.where("members is not null").select("range", "members", "sizes")
-        if round_ > 1 and not pairs.limit(1).count():
-            break
-        pairs_left = materialize(_narrow(pairs, reps, num, den))
-        keys = pairs_left.select(F.col("a").alias("key")).unionByName(pairs_left.select(F.col("b").alias("key"))).distinct()
-        sets = _read_sets(rows, extract, materialize(reps.select("key", "row", "part").join(keys, "key", "left_semi")))
-        judged = materialize(_verify(pairs_left, sets, num, den))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        # classes so far are links too, so a later round starts from its stars
-        fresh = judged.where("linked").select("a", "b")
-        labels = materialize(classes(fresh if labels is None else fresh.unionByName(labels.select(F.col("key").alias("a"), F.col("label").alias("b")))))
-    if labels is None:
-        labels = spark.createDataFrame([], "key long, label long")
-    return members.select("row", "part", "n", "key"), labels

@@ -98,14 +98,14 @@ def test_near_duplicates(spark, docs, empty):
     rng = random.Random(3)
     base = [f"t{rng.randrange(10**6)}" for _ in range(80)]
     texts = []
-    for i in range(60):
-        w = list(base)
+    for i in range(500):
+        w = list(base) if i % 5 else [f"v{i // 50}{j}" for j in range(80)]
         for _ in range(rng.randrange(4)):
             w[rng.randrange(80)] = f"n{rng.randrange(10**6)}"
         texts.append(" ".join(w[: 80 - rng.randrange(12)]) if i % 7 else " ".join(f"u{i}{j}" for j in range(30)))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicate_classes(df).collect()}
-    assert [got[i] for i in range(60)] == classes_of(texts)
+    assert [got[i] for i in range(500)] == classes_of(texts)
     mine = near_duplicates.near_duplicate_classes(docs).collect()
     assert len(mine) == len(ROWS)
     by = {r.doc_id: r for r in mine}
@@ -120,9 +120,11 @@ def test_line_dedup(spark, empty):
     near = a.replace("a3 ", "zz ")
     rows = [(1, f"{a}\nshort line\n{b}"), (2, f"{near}\nshort line\nown words only here"), (3, f"{b}\n{b}"), (4, None), (5, f"{a} and a b c d e f g h i j k l"), (6, "")]
     df = spark.createDataFrame([(*r, "e") for r in rows], "doc_id long, text string, removed string")
-    gone = {r.id: r.removed for r in line_dedup.later_lines(df).collect()}
+    gone = {r.id: r.removed for r in line_dedup.later_lines(df, least=8).collect()}
     assert gone == {2: [0], 3: [0, 1]}
-    left = {r.doc_id: r.text for r in line_dedup.remove_lines(df).collect()}
+    # without a least number of words, short lines that recur go too
+    assert {r.id: r.removed for r in line_dedup.later_lines(df).collect()} == {2: [0, 1], 3: [0, 1]}
+    left = {r.doc_id: r.text for r in line_dedup.remove_lines(df, least=8).collect()}
     assert left == {1: rows[0][1], 2: "short line\nown words only here", 4: None, 5: rows[4][1], 6: ""}
     assert line_dedup.later_lines(empty).count() == 0
 
@@ -130,11 +132,68 @@ def test_line_dedup(spark, empty):
 def test_rows_that_share_an_id_keep_their_own_lines(spark):
     a, b, c = (" ".join(f"{k}{i}" for i in range(20)) for k in "abc")
     df = spark.createDataFrame([(None, f"short\n{a}"), (None, f"short\n{b}"), (None, f"{a}\n{c}"), (7, f"short\n{b}"), (7, f"{c}\n{a}\nown"), (7, f"{a}\nother")], "doc_id long, text string")
-    left = sorted(((r.doc_id, r.text) for r in line_dedup.remove_lines(df).collect()), key=str)
+    left = sorted(((r.doc_id, r.text) for r in line_dedup.remove_lines(df, least=8).collect()), key=str)
     # the first places are (null, 0) for a, (null, 1) for b and c
     assert left == sorted([(None, "short"), (None, f"short\n{b}"), (None, f"{a}\n{c}"), (7, "short"), (7, "own"), (7, "other")], key=str)
 
 
+def later_by_brute_force(rows):
+    """Every line with an earlier line of Jaccard similarity 0.8 or more, ids in order with null first."""
+    lines = []
+    for d, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0)):
+        lines += [(d, k, set(WORD.findall(lower(line)))) for k, line in enumerate((t or "").split("\n")) if WORD.search(line)]
+    out = {}
+    for j, (d, k, w) in enumerate(lines):
+        if any(5 * len(w & x) >= 4 * len(w | x) for _, _, x in lines[:j]):
+            out.setdefault(d, []).append(k)
+    return out
+
+
+def test_lines_by_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(60)]
+    bases = [rng.sample(vocabulary, rng.randrange(1, 25)) for _ in range(40)]
+    rows = []
+    for d in range(500):
+        lines = []
+        for _ in range(rng.randrange(0, 7)):
+            b = list(rng.choice(bases))
+            for _ in range(rng.randrange(0, 4)):
+                b[rng.randrange(len(b))] = rng.choice(vocabulary)
+            lines.append(" ".join(b) if rng.random() < 0.95 else " ")
+        rows.append((None if d == 7 else d, "\n".join(lines)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.id: r.removed for r in line_dedup.later_lines(df).collect()} == later_by_brute_force(rows)
+
+
+def test_a_chain_loses_only_lines_with_an_earlier_match(spark):
+    third = [f"w{i}" for i in range(11)]
+    first, second = third[:10] + ["x"], third[1:] + ["y"]
+    df = spark.createDataFrame([(1, " ".join(first)), (2, " ".join(second)), (3, " ".join(third)), (4, "one"), (5, "ONE"), (6, "one")], "doc_id long, text string")
+    assert {r.id: r.removed for r in line_dedup.later_lines(df).collect()} == {3: [0], 5: [0], 6: [0]}
+
+
+def test_lines_that_many_share(spark, monkeypatch):
+    """Long lists, blocks and the second round: near misses that pass every filter but the exact one."""
+    import random
+
+    from earlywarn.llm import line_join
+
+    monkeypatch.setattr(line_join, "SMALL", 4)
+    monkeypatch.setattr(line_join, "BLOCK", 8)
+    rng = random.Random(8)
+    rows = []
+    for d in range(150):
+        words = [f"b{i}" for i in range(40)]
+        for i in rng.sample(range(40), rng.randrange(3, 8)):
+            words[i] = f"c{rng.randrange(30)}"
+        rows.append((d, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.id: r.removed for r in line_dedup.later_lines(df).collect()} == later_by_brute_force(rows)
+
+
 def test_language_model(docs, empty):
     got = lm_score.score_documents(docs, examples=2000).collect()
     assert len(got) == len(ROWS)
