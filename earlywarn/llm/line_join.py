@@ -2,12 +2,12 @@
 
 1. ``setjoin.describe`` gives the key and size of every line and the rarity order of all tokens.
 2. A second scan deals the prefixes of the lines to ranges of tokens: token, key, size, position of the token in the line's order, place of the line (row, line number)
-   and a bitmap of 128 bits. A line is dealt only where another set of its size could reach the threshold at all (fewer than ``num / (den - num)`` words match only their equals,
+   and a bitmap of 128 bits, packed column by column in the least width that holds them. A line is dealt only where another set of its size could reach the threshold at all (fewer than ``num / (den - num)`` words match only their equals,
    which have the same key).
 3. Each range orders the lines of a token by place and looks, for each line, for the earliest line before it that passes
    the length filter (sizes within the threshold of each other), the positional filter (the overlap can be the tokens before and at the shared one, and what is left of the
    shorter rest), and the bitmaps (common bits and the lesser surplus). It returns that one pair, not all, and, where a line has more than one such line, the list.
-4. The pairs meet their whole lines, read again from the text of one row each, and are counted exactly.
+4. The pairs meet their whole lines, read again from the texts, and are counted exactly.
 5. Only lines none of whose pairs held go on: the lists that have such lines meet the whole lines of their members, and each such line is compared with all lines before it in the list.
 
 So a group of near copies costs one pair for each line, and a line without a match has been compared with all that the filters leave. The lines of one token are held by one task.
@@ -34,10 +34,23 @@ PAIRS = 1 << 19
 BLOCK = 1024
 #: The place of a null id: before all others.
 NULL_ROW = -(1 << 63)
-POSTED = {"h": np.uint64, "k": np.int64, "n": np.int32, "pos": np.int32, "row": np.int64, "part": np.int32, "sig": np.uint64}
+#: Columns of a posting. A token is told from others of its range by 32 bits: two tokens that agree in them are one list, which only compares more.
+POSTED = ("h", "k", "n", "pos", "row", "part", "sig")
+WIDTHS = (np.uint8, np.uint16, np.uint32, np.int64)
 FOUND = "range int, a long, b long, members binary, sizes binary"
 
 
+def _narrow(c: np.ndarray) -> np.ndarray:
+    """Whole numbers in the least width that holds them all, the code of the width first."""
+    code = next(i for i, t in enumerate(WIDTHS) if not len(c) or (c.min() >= np.iinfo(t).min and c.max() <= np.iinfo(t).max))
+    return np.concatenate([np.array([code], np.uint8), c.astype(WIDTHS[code]).view(np.uint8)])
+
+
+def _widen(column: pa.ChunkedArray) -> np.ndarray:
+    parts = [np.frombuffer(b, WIDTHS[b[0]], offset=1).astype(np.int64) for b in column.to_pylist()]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
 def _postings(rows: DataFrame, extract: sj.Extract, order: sj.Order, ranges: int, num: int, den: int) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(order)
     least = math.ceil(num / (den - num)) if den > num else 1 << 62
@@ -47,7 +60,9 @@ def _postings(rows: DataFrame, extract: sj.Extract, order: sj.Order, ranges: int
 
         def flush() -> pa.RecordBatch:
             columns = {k: np.concatenate([x[k] for x in held]) for k in POSTED}
-            return sj.deal((tk.mix(columns["h"]) % np.uint64(ranges)).astype(np.int64), ranges, columns)
+            part = (tk.mix(columns["h"]) % np.uint64(ranges)).astype(np.int64)
+            columns["h"] = (columns["h"] >> np.uint64(31)).astype(np.uint32)
+            return sj.deal(part, ranges, columns, {"n": _narrow, "pos": _narrow, "row": _narrow, "part": _narrow})
 
         for batch in batches:
             ids = batch.column(1).fill_null(NULL_ROW).to_numpy(zero_copy_only=False)
@@ -125,8 +140,8 @@ def _search(num: int, den: int):
     """Pairs (a before b) of one range, and the lists where a line has more than one candidate: members in the order of place."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        c = {k: sj.blobs(table.column(k), t) for k, t in POSTED.items()}
-        c["sig"] = c["sig"].reshape(-1, BITS // 64)
+        c = {k: _widen(table.column(k)) for k in ("n", "pos", "row", "part")}
+        c |= {"h": sj.blobs(table.column("h"), np.uint32), "k": sj.blobs(table.column("k"), np.int64), "sig": sj.blobs(table.column("sig"), np.uint64).reshape(-1, BITS // 64)}
         # tokens of one entry pair nothing
         tokens, inverse, count = np.unique(c["h"], return_inverse=True, return_counts=True)
         keep = np.flatnonzero(count[inverse] > 1)
@@ -201,13 +216,13 @@ def _unsettled(key: tuple, lists: pa.Table, keys: pa.Table) -> pa.Table:
     return pa.table({"range": pa.array([key[0].as_py()] * rows, pa.int32()), "members": pack(members), "sizes": pack([np.array(sizes, np.int32)]), "open": pack(marks)})
 
 
-def _settle(num: int, den: int):
+def _settle(extract: sj.Extract, num: int, den: int):
     """The open keys of a range that match a member before them."""
 
     def run(key: tuple, lists: pa.Table, sets: pa.Table) -> pa.Table:
         settled: set[int] = set()
         if lists.num_rows and sets.num_rows:
-            s = sj.Sets(sets)
+            s = sj.Sets(sets, extract)
             sig = sj.signatures(np.concatenate(s.values), s.n, BITS)
             surplus = s.n - np.bitwise_count(sig).sum(1).astype(np.int64)
             at = np.searchsorted(s.key, sj.blobs(lists.column("members"), np.int64))
@@ -234,44 +249,34 @@ def _settle(num: int, den: int):
     return run
 
 
-def _read_sets(rows: DataFrame, extract: sj.Extract, wanted: DataFrame) -> DataFrame:
-    """``key, elements`` of the wanted sets (key, row, part), from the text of one row each. Spark picks the plan of the joins by the size of ``wanted``."""
-    texts = rows.join(wanted.select(F.col("row").alias("_near")).distinct(), F.col("id").eqNullSafe(F.col("_near")), "left_semi").select("text", "id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, part, values, n in extract(batch):
-                ends = np.concatenate([[0], np.cumsum(n)]) * 8
-                sets = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(values.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(at)), pa.array(part.astype(np.int32)), pa.array(sj.digest(values, n)), sets], names=["row", "part", "key", "elements"])
-
-    got = texts.mapInArrow(run, "row long, part int, key long, elements binary")
-    few = wanted.select(F.col("key").alias("_key"), F.col("row").alias("_row"), F.col("part").alias("_part"))
-    same = (F.col("key") == F.col("_key")) & F.col("row").eqNullSafe(F.col("_row")) & (F.col("part") == F.col("_part"))
-    # repeated rows give a set twice, which only judges its pairs twice
-    return got.join(few, same, "left_semi").select("key", "elements")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, extract: sj.Extract, num: int, den: int) -> DataFrame:
     """The later keys (b) of pairs whose exact similarity is num / den or more."""
 
+    def sets(texts: pa.Array, keys: pa.Array) -> list[np.ndarray | None]:
+        out: list[np.ndarray | None] = [None] * len(texts)
+        key = keys.to_numpy()
+        for at, _, values, n in extract(pa.RecordBatch.from_arrays([texts], names=["text"])):
+            ends = np.cumsum(n)
+            for x in np.flatnonzero(sj.digest(values, n) == key[at]):
+                out[at[x]] = values[ends[x] - n[x] : ends[x]]
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column(1), batch.column(2), strict=True):
-                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = sj.overlap(u, v)
-                ok.append(common * den >= num * (len(u) + len(v) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_()))], names=["b"])
+            for u, v in zip(sets(batch.column(2), batch.column(0)), sets(batch.column(3), batch.column(1)), strict=True):
+                common = 0 if u is None or v is None else sj.overlap(u, v)
+                ok.append(u is not None and v is not None and common * den >= num * (len(u) + len(v) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array(ok, pa.bool_()))], names=["b"])
 
-    left, right = sets.select(F.col("key").alias("a"), F.col("elements").alias("x")), sets.select(F.col("key").alias("b"), F.col("elements").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("b", "x", "y").mapInArrow(run, "b long")
+    left, right = texts.select(F.col("key").alias("a"), F.col("text").alias("x")), texts.select(F.col("key").alias("b"), F.col("text").alias("y"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "b long")
 
 
 def earlier_matches(rows: DataFrame, extract: sj.Extract, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Lines of a table (text, id long): ``members`` (``row, part, n, key``, one for each line) and ``heads`` (``key, first, matched``): the first place of each key
     that has several lines or an earlier match, and whether a line with another key before that place matches it."""
-    described = sj.describe(rows, extract, elements=False)
+    described = sj.describe(rows, extract)
     order = sj.rarity_order(described)
     members = described.where("key is not null").select("row", "part", "n", "key")
     reps = materialize(members.groupBy("key").agg(F.min(F.struct("row", "part")).alias("first"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n")))
@@ -279,15 +284,16 @@ def earlier_matches(rows: DataFrame, extract: sj.Extract, num: int, den: int) ->
     ranges = max(1, math.ceil(total / sj.RANGE_POSTINGS))
     found = materialize(_postings(rows, extract, order, ranges, num, den).groupBy("range").applyInArrow(_search(num, den), FOUND))
     pairs = found.where("a is not null").select("a", "b").distinct()
-    sets_of = lambda keys: _read_sets(rows, extract, materialize(reps.join(keys, "key", "left_semi").select("key", F.col("first.row").alias("row"), F.col("first.part").alias("part"))))
+    place = lambda keys: reps.join(keys, "key", "left_semi").select("key", F.col("first.row").alias("row"), F.col("first.part").alias("part"))
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    matched = materialize(_verified(pairs, sets_of(keys), num, den).distinct())
+    texts = materialize(sj.texts_of(rows, place(keys), lines=True))
+    matched = materialize(_verified(pairs, texts, extract, num, den).distinct())
     unsettled = found.where("a is not null").select(F.col("range").alias("at"), "b").join(matched, "b", "left_anti").distinct()
     lists = materialize(found.where("members is not null").select("range", "members", "sizes").groupBy("range").cogroup(unsettled.groupBy("at")).applyInArrow(_unsettled, "range int, members binary, sizes binary, open binary"))
     if lists.limit(1).count():
         wanted = materialize(sj.members_of(lists))
-        sets = wanted.join(sets_of(wanted.select("key").distinct()), "key").select("range", "key", "elements")
-        matched = matched.unionByName(lists.groupBy("range").cogroup(sets.groupBy("range")).applyInArrow(_settle(num, den), "b long"))
+        texts = wanted.join(sj.texts_of(rows, place(wanted.select("key").distinct()), lines=True), "key").select("range", "key", "text")
+        matched = matched.unionByName(lists.groupBy("range").cogroup(texts.groupBy("range")).applyInArrow(_settle(extract, num, den), "b long"))
     matched = matched.select(F.col("b").alias("key")).distinct().withColumn("matched", F.lit(True))
     heads = reps.join(matched, "key", "left").where("copies > 1 or matched").select("key", "first", F.coalesce("matched", F.lit(False)).alias("matched"))
     return members, heads

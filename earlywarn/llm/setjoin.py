@@ -3,9 +3,10 @@
 A set holds 63-bit hashes of its elements; equal sets have equal keys (a 64-bit digest) and are one set from then on. Two sets with a Jaccard similarity of
 ``num / den`` or more share an element among their first ``n - ceil(n * num / den) + 1`` in any common order; the order here is rare elements first.
 
-``describe`` reads the texts once: it gives the sets of each row, and the number of times each element occurs in the whole table, summed by ranges of slots (the
-upper half of the hash). ``rarity_order`` keeps the ``ORDER_SLOTS`` most frequent slots; all others are rare and ordered by value. Which slots it keeps never changes a
-result, only how often two sets meet. ``classes`` turns links into classes by large-star and small-star steps.
+``describe`` reads the texts once: it gives the sets of each row, and counts of elements by slots (the upper half of the hash). A task counts ``HELD_ELEMENTS`` elements
+at a time and passes on the slots it saw twice or more (lossy counting: a slot that is in no summary occurs at most once in each such stretch of text). ``rarity_order`` sums
+them and keeps the ``ORDER_SLOTS`` most frequent; all others are rare and ordered by value. Which slots it keeps never changes a result, only how often two sets meet.
+``classes`` turns links into classes by large-star and small-star steps.
 """
 
 from __future__ import annotations
@@ -113,23 +114,26 @@ def blobs(column: pa.ChunkedArray, kind) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
-def deal(part: np.ndarray, ranges: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-    """One row for each range that occurs in ``part``, with its entries of every column packed."""
+def deal(part: np.ndarray, ranges: int, columns: dict[str, np.ndarray], packs: dict[str, Callable] | None = None) -> pa.RecordBatch:
+    """One row for each range that occurs in ``part``, with its entries of every column packed, by ``packs`` where it names the column."""
+    packs = packs or {}
     by = np.argsort(part.astype(np.uint16 if ranges <= 1 << 16 else np.int32), kind="stable")
     cut = np.searchsorted(part[by], np.arange(ranges + 1))
     rows = np.flatnonzero(np.diff(cut))
-    packed = {name: [c[by[cut[r] : cut[r + 1]]].tobytes() for r in rows] for name, c in columns.items()}
+    same = lambda c: c
+    packed = {name: [packs.get(name, same)(c[by[cut[r] : cut[r + 1]]]).tobytes() for r in rows] for name, c in columns.items()}
     return pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), *(pa.array(p, pa.binary()) for p in packed.values())], names=["range", *packed])
 
 
-DESCRIBED = "row long, part int, n int, key long, elements binary, range int, slots binary, counts binary"
+DESCRIBED = "row long, part int, n int, key long, sig binary, wide binary, range int, slots binary, counts binary"
 
 
-def describe(rows: DataFrame, extract: Extract, elements: bool) -> DataFrame:
-    """The sets of a table (text, id long), with their elements if asked for, and rows with counts of slots only (``key`` is null), written once."""
+def describe(rows: DataFrame, extract: Extract, bits: int = 0) -> DataFrame:
+    """The sets of a table (text, id long) and rows with counts of slots only (``key`` is null), written once. With ``bits``, each set has a bitmap of so many bits,
+    and one of two bits or more per element where that is wider."""
     ranges = max(8, rows.rdd.getNumPartitions())
     names = [c.split()[0] for c in DESCRIBED.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
 
     def filled(given: dict[str, pa.Array]) -> pa.RecordBatch:
         size = len(next(iter(given.values())))
@@ -137,6 +141,7 @@ def describe(rows: DataFrame, extract: Extract, elements: bool) -> DataFrame:
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
         slots, counts = np.unique(np.concatenate(held), return_counts=True)
+        slots, counts = slots[counts > 1], counts[counts > 1]
         dealt = deal((slots.astype(np.uint64) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64), ranges, {"slots": slots, "counts": counts.astype(np.uint32)})
         return filled(dict(zip(dealt.schema.names, dealt.columns, strict=True)))
 
@@ -147,9 +152,10 @@ def describe(rows: DataFrame, extract: Extract, elements: bool) -> DataFrame:
                 held.append((values >> np.uint64(31)).astype(np.uint32))
                 n_held += len(values)
                 given = {"row": batch.column(1).take(pa.array(at)), "part": pa.array(part.astype(np.int32)), "n": pa.array(n.astype(np.int32)), "key": pa.array(digest(values, n))}
-                if elements:
-                    ends = np.concatenate([[0], np.cumsum(n)]) * 8
-                    given["elements"] = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(values.tobytes())]).cast(pa.binary())
+                if bits:
+                    ends = np.cumsum(n)
+                    given["sig"] = pa.array([x.tobytes() for x in signatures(values, n, bits)], pa.binary())
+                    given["wide"] = pa.array([_wide(values[e - m : e], bits) for e, m in zip(ends, n, strict=True)], pa.binary())
                 yield filled(given)
                 if n_held > HELD_ELEMENTS:
                     yield counted(held)
@@ -160,6 +166,26 @@ def describe(rows: DataFrame, extract: Extract, elements: bool) -> DataFrame:
     return materialize(rows.select("text", "id").mapInArrow(run, DESCRIBED))
 
 
+def _wide(values: np.ndarray, least: int) -> bytes:
+    """A bitmap with two bits or more per element, a power of two wide; empty where ``least`` bits are as wide."""
+    if 2 * len(values) <= least:
+        return b""
+    width = 1 << (2 * len(values) - 1).bit_length()
+    bits = np.zeros(width, bool)
+    bits[(values % np.uint64(width)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def may_reach(na: int, x: np.ndarray, nb: int, y: np.ndarray, num: int, den: int) -> bool:
+    """The bound of ``fits`` for two bitmaps (bytes), the wider one folded to the width of the other."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    surplus = min(na - int(np.bitwise_count(x).sum()), nb - int(np.bitwise_count(y).sum()))
+    return min(int(np.bitwise_count(x & y).sum()) + surplus, na, nb) * (num + den) >= num * (na + nb)
+
+
 class Order:
     """Rare first: elements of unknown slots by value, then those of known slots by the count of the slot. One slot per place of the lookup table."""
 
@@ -239,14 +265,31 @@ def members_of(lists: DataFrame) -> DataFrame:
     return lists.select("range", "members").groupBy("range").applyInArrow(run, MEMBERS)
 
 
-class Sets:
-    """The sets of a task, by key."""
+def texts_of(rows: DataFrame, wanted: DataFrame, lines: bool) -> DataFrame:
+    """``key, text`` of the wanted sets (key, row, part): the text of one row each, or its line ``part``. Spark picks the plan of the join by the size of ``wanted``.
+
+    Rows that share an id may give a key a text of another set, too; ``Sets`` and ``line_join`` compare the digest."""
+    if not lines:
+        place = wanted.select("key", F.col("row").alias("_row"))
+        return rows.join(place, F.col("id").eqNullSafe(F.col("_row"))).select("key", "text")
+    place = wanted.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("key", "part")).alias("parts"))
+    found = rows.join(place, F.col("id").eqNullSafe(F.col("_row"))).select(F.split("text", "\n", -1).alias("lines"), "parts")
+    line = lambda p: F.struct(p["key"].alias("key"), F.get("lines", p["part"]).alias("text"))
+    return found.select(F.explode(F.transform("parts", line)).alias("p")).select("p.key", "p.text").where("text is not null")
 
-    def __init__(self, table: pa.Table):
-        key = table.column("key").to_numpy() if table.num_rows else np.zeros(0, np.int64)
-        self.key, at = np.unique(key, return_index=True)
-        column = table.column("elements").combine_chunks() if table.num_rows else None
-        self.values = [np.frombuffer(column[int(i)].as_py(), np.uint64) for i in at]
+
+class Sets:
+    """The sets of a task, by key, from a table of keys and texts."""
+
+    def __init__(self, table: pa.Table, extract: Extract):
+        key, column = table.column("key").to_numpy(), table.column("text").combine_chunks()
+        found: dict[int, np.ndarray] = {}
+        for at, _, values, n in extract(pa.RecordBatch.from_arrays([column], names=["text"])):
+            ends = np.cumsum(n)
+            for x in np.flatnonzero(digest(values, n) == key[at]):
+                found.setdefault(int(key[at[x]]), values[ends[x] - n[x] : ends[x]])
+        self.key = np.array(sorted(found), np.int64)
+        self.values = [found[k] for k in self.key.tolist()]
         self.n = np.array([len(v) for v in self.values], np.int64)
 
     def similar(self, i: int, j: int, num: int, den: int) -> bool:

@@ -1,15 +1,17 @@
 """Exact Jaccard join of sets by rare prefixes and signature trees, and the classes that its links make.
 
-1. ``setjoin.describe`` gives each row's key, size and elements, and the rarity order of all elements.
+1. ``setjoin.describe`` gives each row's key, size and bitmaps, and the rarity order of all elements.
 2. A second scan deals (element, key) of the prefixes to ranges of elements. Each range keeps elements with two sets or more; lists of the same members become one
    and move to the range of their smallest member, so that the lists of one cluster of near copies meet.
-3. The members' elements join the lists, once per range. Each list becomes a signature tree: nodes hold the OR of their sets' bitmaps, the range of sizes and the
+3. The members' bitmaps join the lists. Each list becomes a signature tree: nodes hold the OR of their sets' bitmaps, the range of sizes and the
    largest surplus (elements less bits). Dual traversal drops a pair of nodes when its largest possible overlap (the common bits and the lesser surplus), or its sizes,
-   rule out the threshold, or when all sets below both are in one class. What is left are pairs of sets, which are counted exactly there and then.
-4. A range joins what it has linked into classes of its own and returns one link for each set, not its pairs. ``setjoin.classes`` joins the ranges' classes.
+   rule out the threshold, or when all sets below both are in one group already; bitmaps of two bits or more per element rule out most of what is left.
+   What may link is grouped, and a list keeps only the members that have another of their group in it.
+4. The texts of these members join the lists they are left in, once per range; the trees are traversed again, and each pair of sets of different classes is counted exactly.
+5. A range joins what it has linked into classes of its own and returns one link for each set, not its pairs. ``setjoin.classes`` joins the ranges' classes.
 
 A list of near copies is first tried against one of its sets, which usually leaves one class. So no link between classes is lost, and a group of copies never
-becomes all its pairs. The members of one list and their elements are held by one task.
+becomes all its pairs. The members of one list, and the texts of those that may link, are held by one task.
 """
 
 from __future__ import annotations
@@ -148,13 +150,13 @@ class Tree:
 
 
 class _Range:
-    """The sets of one range and the classes found so far."""
+    """The sets of one range (sizes, bitmaps, a test of two sets) and the classes found so far."""
 
-    def __init__(self, sets: sj.Sets, num: int, den: int):
-        self.sets, self.num, self.den = sets, num, den
-        self.sig = sj.signatures(np.concatenate(sets.values), sets.n, BITS)
-        self.label = np.arange(len(sets.key))
-        self.inside = {}
+    def __init__(self, n: np.ndarray, sig: np.ndarray, test, num: int, den: int):
+        self.n, self.sig, self.test, self.num, self.den = n, sig, test, num, den
+        self.surplus = n - np.bitwise_count(sig).sum(1).astype(np.int64)
+        self.label = np.arange(len(n))
+        self.inside: dict[int, list[int]] = {}
         self.failed: set[tuple[int, int]] = set()
 
     def unite(self, i: int, j: int) -> None:
@@ -163,49 +165,86 @@ class _Range:
         if len(a) < len(b):
             x, a, b = y, b, a
         self.label[b] = x
-        self.inside[x] = a + b
+        a.extend(b)
+        self.inside[x] = a
 
     def try_pairs(self, a: np.ndarray, b: np.ndarray) -> None:
-        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        for i, j in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True):
             if self.label[i] == self.label[j] or (i, j) in self.failed:
                 continue
-            if self.sets.similar(i, j, self.num, self.den):
+            if self.test(i, j):
                 self.unite(i, j)
             else:
                 self.failed.add((i, j))
 
     def link(self, m: np.ndarray) -> None:
-        """Link the sets of one list, which is in the order of size."""
+        """Link the sets of one list."""
         label = self.label[m]
         if (label == label[0]).all():
             return
+        m = m[np.argsort(self.n[m], kind="stable")]
         if len(m) > STAR:
             pivot = m[len(m) // 2]
-            others = m[label != self.label[pivot]]
-            n, sig = self.sets.n, self.sig
-            surplus = lambda i: n[i] - np.bitwise_count(sig[i]).sum(-1).astype(np.int64)
-            ok = sj.fits(np.bitwise_count(sig[others] & sig[pivot]).sum(1).astype(np.int64), np.minimum(surplus(others), surplus(pivot)), n[others], n[pivot], self.num, self.den)
-            others = others[ok]
-            self.try_pairs(np.minimum(others, pivot), np.maximum(others, pivot))
-        for a, b in Tree(self.sig[m], self.sets.n[m]).pairs(self.num, self.den, self.label[m]):
-            self.try_pairs(np.minimum(m[a], m[b]), np.maximum(m[a], m[b]))
+            others = m[self.label[m] != self.label[pivot]]
+            common = np.bitwise_count(self.sig[others] & self.sig[pivot]).sum(1).astype(np.int64)
+            others = others[sj.fits(common, np.minimum(self.surplus[others], self.surplus[pivot]), self.n[others], self.n[pivot], self.num, self.den)]
+            self.try_pairs(others, np.full(len(others), pivot))
+        for a, b in Tree(self.sig[m], self.n[m]).pairs(self.num, self.den, self.label[m]):
+            self.try_pairs(m[a], m[b])
+
+
+def _each(lists: pa.Table, key: np.ndarray) -> Iterator[np.ndarray]:
+    """The members of each list as places in ``key`` (sorted; others are left out), short lists first."""
+    members, size = sj.blobs(lists.column("members"), np.int64), sj.blobs(lists.column("sizes"), np.int32).astype(np.int64)
+    at = np.minimum(np.searchsorted(key, members), len(key) - 1)
+    known = key[at] == members
+    ends = np.cumsum(size)
+    for i in np.argsort(size, kind="stable"):
+        lo, hi = ends[i] - size[i], ends[i]
+        m = at[lo:hi][known[lo:hi]]
+        if len(m) > 1:
+            yield m
+
+
+def _may_link(num: int, den: int):
+    """The lists of a range without the members that can link with no other of the list: by trees and bitmaps alone."""
 
+    def run(key: tuple, lists: pa.Table, sets: pa.Table) -> pa.Table:
+        left: dict[bytes, np.ndarray] = {}
+        if lists.num_rows and sets.num_rows:
+            k = sets.column("key").to_numpy()
+            order = pa.array(np.argsort(k))
+            k, n = k[order.to_numpy()], sets.column("n").take(order).to_numpy().astype(np.int64)
+            sig = np.frombuffer(b"".join(sets.column("sig").take(order).to_pylist()), np.uint64).reshape(len(k), -1)
+            wide = [np.frombuffer(w, np.uint64) if w else s for w, s in zip(sets.column("wide").take(order).to_pylist(), sig, strict=True)]
+            mine = _Range(n, sig, lambda i, j: sj.may_reach(int(n[i]), wide[i], int(n[j]), wide[j], num, den), num, den)
+            for m in _each(lists, k):
+                mine.link(m)
+            for m in _each(lists, k):
+                m = m[np.argsort(mine.label[m], kind="stable")]
+                for group in np.split(m, np.flatnonzero(np.diff(mine.label[m])) + 1):
+                    if len(group) > 1:
+                        same = np.sort(k[group])
+                        left[same.tobytes()] = same
+        rows = 1 if left else 0
+        sizes = np.array([len(x) for x in left.values()], np.int32)
+        return pa.table({"range": pa.array([key[0].as_py()] * rows, pa.int32()), "members": pa.array([b"".join(left)] * rows, pa.binary()), "sizes": pa.array([sizes.tobytes()] * rows, pa.binary())})
+
+    return run
 
-def _links(num: int, den: int):
+
+def _links(extract: sj.Extract, num: int, den: int):
     """One link (a, b) for each set of the range that belongs to a class of two or more."""
 
-    def run(key: tuple, lists: pa.Table, sets: pa.Table) -> pa.Table:
+    def run(key: tuple, lists: pa.Table, texts: pa.Table) -> pa.Table:
         a = b = np.zeros(0, np.int64)
-        if lists.num_rows and sets.num_rows:
-            mine = _Range(sj.Sets(sets), num, den)
-            at = np.searchsorted(mine.sets.key, sj.blobs(lists.column("members"), np.int64))
-            size = sj.blobs(lists.column("sizes"), np.int32).astype(np.int64)
-            ends = np.cumsum(size)
-            for i in np.argsort(size, kind="stable"):
-                m = at[ends[i] - size[i] : ends[i]]
-                mine.link(m[np.argsort(mine.sets.n[m], kind="stable")] if len(m) > 2 else m)
+        if lists.num_rows and texts.num_rows:
+            sets = sj.Sets(texts, extract)
+            mine = _Range(sets.n, sj.signatures(np.concatenate(sets.values), sets.n, BITS), lambda i, j: sets.similar(i, j, num, den), num, den)
+            for m in _each(lists, sets.key):
+                mine.link(m)
             moved = np.flatnonzero(mine.label != np.arange(len(mine.label)))
-            a, b = mine.sets.key[moved], mine.sets.key[mine.label[moved]]
+            a, b = sets.key[moved], sets.key[mine.label[moved]]
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     return run
@@ -215,18 +254,17 @@ def link_sets(rows: DataFrame, extract: sj.Extract, num: int, den: int) -> tuple
     """Sets of a table (text, id long) and their classes.
 
     Returns ``(members, labels)``: members has ``row, part, n, key`` for each set, labels has ``key, label`` for keys that are linked with another."""
-    described = sj.describe(rows, extract, elements=True)
+    described = sj.describe(rows, extract, BITS)
     order = sj.rarity_order(described)
-    members = described.where("key is not null").select("row", "part", "n", "key")
-    reps = materialize(members.where("n > 0").groupBy("key").agg(F.min(F.struct("row", "part")).alias("at"), F.min("n").alias("n")))
+    members = described.where("key is not null")
+    reps = materialize(members.where("n > 0").groupBy("key").agg(F.min(F.struct("row", "part", "n", "sig", "wide")).alias("at")).select("key", "at.*"))
     total = int(reps.agg(F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1), F.lit(0))).first()[0])
     ranges = max(1, math.ceil(total / sj.RANGE_POSTINGS))
     lists = materialize(_postings(rows, extract, order, ranges, num, den).groupBy("range").applyInArrow(_lists(ranges), LISTS))
+    bitmaps = sj.members_of(lists).join(reps.select("key", "n", "sig", "wide"), "key").select("range", "key", "n", "sig", "wide")
+    lists = materialize(lists.groupBy("range").cogroup(bitmaps.groupBy(F.col("range").alias("at"))).applyInArrow(_may_link(num, den), LISTS))
     wanted = materialize(sj.members_of(lists))
-    # the elements of one row of each set; repeated rows give a set twice, which a range takes once
-    place = reps.join(wanted.select("key").distinct(), "key", "left_semi").select(F.col("key").alias("_key"), F.col("at.row").alias("_row"), F.col("at.part").alias("_part"))
-    same = (F.col("key") == F.col("_key")) & F.col("row").eqNullSafe(F.col("_row")) & (F.col("part") == F.col("_part"))
-    sets = described.where("key is not null").select("row", "part", "key", "elements").join(place, same, "left_semi").select("key", "elements")
-    dealt = wanted.join(sets, "key").select("range", "key", "elements")
-    links = lists.groupBy("range").cogroup(dealt.groupBy("range")).applyInArrow(_links(num, den), "a long, b long")
-    return members, materialize(sj.classes(links))
+    texts = sj.texts_of(rows, reps.join(wanted.select("key").distinct(), "key", "left_semi").select("key", "row", "part"), lines=False)
+    dealt = wanted.join(texts, "key").select("range", "key", "text")
+    links = lists.groupBy("range").cogroup(dealt.groupBy("range")).applyInArrow(_links(extract, num, den), "a long, b long")
+    return members.select("row", "part", "n", "key"), materialize(sj.classes(links))
