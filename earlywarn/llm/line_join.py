@@ -7,8 +7,8 @@
 3. Each range orders the lines of a token by place and looks, for each line, for the earliest line before it that passes
    the length filter (sizes within the threshold of each other), the positional filter (the overlap can be the tokens before and at the shared one, and what is left of the
    shorter rest), and the bitmaps (common bits and the lesser surplus). It returns that one pair, not all, and, where a line has more than one such line, the list.
-4. The pairs meet their whole lines, read again from the texts, and are counted exactly.
-5. Only lines none of whose pairs held go on: the lists that have such lines meet the whole lines of their members, and each such line is compared with all lines before it in the list.
+4. Bitmaps of two bits or more per token rule out most pairs of long lines that should not have passed. The others meet their whole lines, read again from the texts, and are counted exactly.
+5. Only lines none of whose pairs held go on: each is compared with all lines before it in its lists, by the wide bitmaps and then, where these leave any, by the whole lines.
 
 So a group of near copies costs one pair for each line, and a line without a match has been compared with all that the filters leave. The lines of one token are held by one task.
 """
@@ -216,39 +216,69 @@ def _unsettled(key: tuple, lists: pa.Table, keys: pa.Table) -> pa.Table:
     return pa.table({"range": pa.array([key[0].as_py()] * rows, pa.int32()), "members": pack(members), "sizes": pack([np.array(sizes, np.int32)]), "open": pack(marks)})
 
 
-def _settle(extract: sj.Extract, num: int, den: int):
-    """The open keys of a range that match a member before them."""
+def _each(lists: pa.Table, key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each open member of each list: its place in ``key`` (sorted) and those of the members before it."""
+    members, marks, n = sj.blobs(lists.column("members"), np.int64), sj.blobs(lists.column("open"), bool), sj.blobs(lists.column("sizes"), np.int32)
+    at = np.minimum(np.searchsorted(key, members), len(key) - 1)
+    known = key[at] == members
+    ends = np.cumsum(n)
+    for lo, hi in zip(ends - n, ends, strict=True):
+        for x in np.flatnonzero(marks[lo:hi] & known[lo:hi]):
+            yield int(at[lo + x]), at[lo : lo + x][known[lo : lo + x]]
+
+
+LISTS = "range int, members binary, sizes binary, open binary"
+
+
+def _may_match(num: int, den: int):
+    """For each open key of a range a list of the keys before it that bitmaps let pass, and itself."""
 
     def run(key: tuple, lists: pa.Table, sets: pa.Table) -> pa.Table:
-        settled: set[int] = set()
+        before: dict[int, set[int]] = {}
         if lists.num_rows and sets.num_rows:
-            s = sj.Sets(sets, extract)
-            sig = sj.signatures(np.concatenate(s.values), s.n, BITS)
-            surplus = s.n - np.bitwise_count(sig).sum(1).astype(np.int64)
-            at = np.searchsorted(s.key, sj.blobs(lists.column("members"), np.int64))
-            marks, n = sj.blobs(lists.column("open"), bool), sj.blobs(lists.column("sizes"), np.int32)
-            failed: set[tuple[int, int]] = set()
-            ends = np.cumsum(n)
-            for lo, hi in zip(ends - n, ends, strict=True):
-                m = at[lo:hi]
-                for x in np.flatnonzero(marks[lo:hi]):
-                    j = int(m[x])
-                    if j in settled:
-                        continue
-                    i = m[:x]
-                    ok = sj.fits(np.bitwise_count(sig[i] & sig[j]).sum(1).astype(np.int64), np.minimum(surplus[i], surplus[j]), s.n[i], s.n[j], num, den)
-                    for y in i[ok].tolist():
-                        if (y, j) in failed:
-                            continue
-                        if s.similar(y, j, num, den):
-                            settled.add(j)
-                            break
-                        failed.add((y, j))
-        return pa.table({"b": pa.array(s.key[sorted(settled)] if settled else np.zeros(0, np.int64))})
+            k = sets.column("key").to_numpy()
+            order = pa.array(np.argsort(k))
+            k, n = k[order.to_numpy()], sets.column("n").take(order).to_numpy().astype(np.int64)
+            bitmaps = [np.frombuffer(b, np.uint64) for b in sets.column("bitmap").take(order).to_pylist()]
+            for j, i in _each(lists, k):
+                i = i[(n[i] * den >= n[j] * num) & (n[j] * den >= n[i] * num)]
+                mine = before.setdefault(j, set())
+                mine.update(x for x in i.tolist() if x not in mine and sj.may_reach(int(n[x]), bitmaps[x], int(n[j]), bitmaps[j], num, den))
+        lists_ = [np.append(k[sorted(i)], k[j]) for j, i in before.items() if i]
+        rows = 1 if lists_ else 0
+        pack = lambda x: pa.array([np.concatenate(x).tobytes()] if rows else [], pa.binary())
+        marks = [np.arange(len(x)) == len(x) - 1 for x in lists_]
+        return pa.table({"range": pa.array([key[0].as_py()] * rows, pa.int32()), "members": pack(lists_), "sizes": pack([np.array([len(x) for x in lists_], np.int32)]), "open": pack(marks)})
+
+    return run
+
+
+def _settle(extract: sj.Extract, num: int, den: int):
+    """The open keys of a range that match a member before them."""
+
+    def run(key: tuple, lists: pa.Table, texts: pa.Table) -> pa.Table:
+        settled: list[int] = []
+        if lists.num_rows and texts.num_rows:
+            s = sj.Sets(texts, extract)
+            settled = [int(s.key[j]) for j, i in _each(lists, s.key) if any(s.similar(x, j, num, den) for x in i.tolist())]
+        return pa.table({"b": pa.array(settled, pa.int64())})
 
     return run
 
 
+def _narrowed(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that their wide bitmaps do not rule out either."""
+    side = lambda k: reps.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("bitmap").alias(f"w{k}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(x).to_pylist() for x in range(2, 6)), strict=True)
+            ok = [sj.may_reach(na, np.frombuffer(wa, np.uint64), nb, np.frombuffer(wb, np.uint64), num, den) for na, wa, nb, wb in rows]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "wa", "nb", "wb").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, extract: sj.Extract, num: int, den: int) -> DataFrame:
     """The later keys (b) of pairs whose exact similarity is num / den or more."""
 
@@ -276,24 +306,28 @@ def _verified(pairs: DataFrame, texts: DataFrame, extract: sj.Extract, num: int,
 def earlier_matches(rows: DataFrame, extract: sj.Extract, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Lines of a table (text, id long): ``members`` (``row, part, n, key``, one for each line) and ``heads`` (``key, first, matched``): the first place of each key
     that has several lines or an earlier match, and whether a line with another key before that place matches it."""
-    described = sj.describe(rows, extract)
+    described = sj.describe(rows, extract, BITS)
     order = sj.rarity_order(described)
-    members = described.where("key is not null").select("row", "part", "n", "key")
-    reps = materialize(members.groupBy("key").agg(F.min(F.struct("row", "part")).alias("first"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n")))
+    members = described.where("key is not null")
+    bitmap = F.when(F.length("wide") > 0, F.col("wide")).otherwise(F.col("sig")).alias("bitmap")
+    one = members.groupBy("key").agg(F.min(F.struct("row", "part", "n", bitmap)).alias("at"), F.count(F.lit(1)).alias("copies"))
+    reps = materialize(one.select("key", F.struct("at.row", "at.part").alias("first"), "copies", "at.n", "at.bitmap"))
     total = int(reps.agg(F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1), F.lit(0))).first()[0])
     ranges = max(1, math.ceil(total / sj.RANGE_POSTINGS))
     found = materialize(_postings(rows, extract, order, ranges, num, den).groupBy("range").applyInArrow(_search(num, den), FOUND))
-    pairs = found.where("a is not null").select("a", "b").distinct()
+    pairs = materialize(_narrowed(found.where("a is not null").select("a", "b").distinct(), reps, num, den))
     place = lambda keys: reps.join(keys, "key", "left_semi").select("key", F.col("first.row").alias("row"), F.col("first.part").alias("part"))
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     texts = materialize(sj.texts_of(rows, place(keys), lines=True))
     matched = materialize(_verified(pairs, texts, extract, num, den).distinct())
     unsettled = found.where("a is not null").select(F.col("range").alias("at"), "b").join(matched, "b", "left_anti").distinct()
-    lists = materialize(found.where("members is not null").select("range", "members", "sizes").groupBy("range").cogroup(unsettled.groupBy("at")).applyInArrow(_unsettled, "range int, members binary, sizes binary, open binary"))
+    lists = materialize(found.where("members is not null").select("range", "members", "sizes").groupBy("range").cogroup(unsettled.groupBy("at")).applyInArrow(_unsettled, LISTS))
+    bitmaps = sj.members_of(lists).join(reps.select("key", "n", "bitmap"), "key").select(F.col("range").alias("at"), "key", "n", "bitmap")
+    lists = materialize(lists.groupBy("range").cogroup(bitmaps.groupBy("at")).applyInArrow(_may_match(num, den), LISTS))
     if lists.limit(1).count():
         wanted = materialize(sj.members_of(lists))
         texts = wanted.join(sj.texts_of(rows, place(wanted.select("key").distinct()), lines=True), "key").select("range", "key", "text")
         matched = matched.unionByName(lists.groupBy("range").cogroup(texts.groupBy("range")).applyInArrow(_settle(extract, num, den), "b long"))
     matched = matched.select(F.col("b").alias("key")).distinct().withColumn("matched", F.lit(True))
     heads = reps.join(matched, "key", "left").where("copies > 1 or matched").select("key", "first", F.coalesce("matched", F.lit(False)).alias("matched"))
-    return members, heads
+    return members.select("row", "part", "n", "key"), heads
