@@ -32,6 +32,8 @@ BITS = 128
 SMALL = 48
 PAIRS = 1 << 19
 BLOCK = 1024
+#: An entry of a long list is compared with no more blocks once so many entries before it passed; should none of them match, it meets the rest later.
+ENOUGH = 64
 #: The place of a null id: before all others.
 NULL_ROW = -(1 << 63)
 #: Columns of a posting. A token is told from others of its range by 32 bits: two tokens that agree in them are one list, which only compares more.
@@ -109,35 +111,39 @@ class _Filter:
         return ok
 
 
-def _long_list(lo: int, hi: int, f: _Filter) -> tuple[np.ndarray, np.ndarray, bool]:
-    """The earliest entry before each entry of a long list that passes, and whether any entry has a second one."""
-    a, b, more = [], [], False
+def _long_list(lo: int, hi: int, f: _Filter) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The earliest entry before each entry of a long list that passes, and the entries that an entry with several such may have to meet: all that pass with another,
+    and all not yet compared with one that has ``ENOUGH`` already."""
+    a, b, keep, several = [], [], np.zeros(hi - lo, bool), False
     for x in range(lo, hi, BLOCK):
         j = np.arange(x, min(x + BLOCK, hi))
         seen = np.zeros(len(j), np.int64)
         for y in range(lo, x + BLOCK, BLOCK):
             i = np.arange(y, min(y + BLOCK, hi))
-            open_ = np.flatnonzero(seen < 2)
-            if not len(open_):
-                break
+            open_ = np.flatnonzero(seen < ENOUGH)
+            if len(open_) < len(j):
+                keep[i - lo] = True
             for z in range(0, len(open_), max(1, PAIRS // len(i))):
                 mine = open_[z : z + max(1, PAIRS // len(i))]
                 ii, jj = np.tile(i, len(mine)), np.repeat(j[mine], len(i))
                 ok = np.zeros(len(ii), bool)
                 before = np.flatnonzero(ii < jj)
                 ok[before] = f.mask(ii[before], jj[before])
+                keep[ii[ok] - lo] = True
+                keep[jj[ok] - lo] = True
                 ok = ok.reshape(len(mine), len(i))
                 n = ok.sum(1)
                 fresh = (seen[mine] == 0) & (n > 0)
                 a.append(i[ok[fresh].argmax(1)])
                 b.append(j[mine[fresh]])
                 seen[mine] += n
-        more |= bool((seen > 1).any())
-    return np.concatenate(a) if a else np.zeros(0, np.int64), np.concatenate(b) if b else np.zeros(0, np.int64), more
+        several |= bool((seen > 1).any())
+    cat = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
+    return cat(a), cat(b), lo + np.flatnonzero(keep) if several else np.zeros(0, np.int64)
 
 
 def _search(num: int, den: int):
-    """Pairs (a before b) of one range, and the lists where a line has more than one candidate: members in the order of place."""
+    """Pairs (a before b) of one range, and the lists where a line has more than one candidate: their members that pass with another, in the order of place."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         c = {k: _widen(table.column(k)) for k in ("n", "pos", "row", "part")}
@@ -146,10 +152,12 @@ def _search(num: int, den: int):
         tokens, inverse, count = np.unique(c["h"], return_inverse=True, return_counts=True)
         keep = np.flatnonzero(count[inverse] > 1)
         c = {k: v[keep] for k, v in c.items()} | {"t": inverse[keep]}
-        by = np.lexsort((c["part"], c["row"], c["k"], c["t"]))
+        # by place within a token; of equal lines the first
+        by = np.lexsort((c["k"], c["part"], c["row"], c["t"]))
+        c = {name: v[by] for name, v in c.items()}
+        by = np.lexsort((c["k"], c["t"]))
         t, k = c["t"][by], c["k"][by]
-        by = by[np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (k[1:] != k[:-1])]))] if len(by) else by
-        by = by[np.lexsort((c["k"][by], c["part"][by], c["row"][by], c["t"][by]))]
+        by = np.sort(by[np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (k[1:] != k[:-1])]))]) if len(by) else by
         c = {name: v[by] for name, v in c.items()}
         k = c["k"]
         f = _Filter(c["n"].astype(np.int64), c["pos"].astype(np.int64), c["sig"], num, den)
@@ -171,17 +179,21 @@ def _search(num: int, den: int):
                 new[1:] = j[1:] != j[:-1]
                 out_a.append(i[new])
                 out_b.append(j[new])
-                again.append(np.unique(np.searchsorted(start, j[~new], side="right") - 1))
+                # lists with an entry that has several: the entries that pass with another
+                which = np.searchsorted(start, j, side="right") - 1
+                more = np.isin(which, which[~new])
+                again.append(np.unique(np.concatenate([i[more], j[more]])))
         for x in np.flatnonzero(size > SMALL):
-            a, b, more = _long_list(start[x], start[x] + size[x], f)
+            a, b, keep = _long_list(start[x], start[x] + size[x], f)
             out_a.append(a)
             out_b.append(b)
-            again.append(np.array([x] if more else [], np.int64))
+            again.append(keep)
         a, b, again = (np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (out_a, out_b, again))
         pair = np.unique(np.stack([k[a], k[b]]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
         n = pair.shape[1]
-        members = [np.concatenate([k[start[x] : start[x] + size[x]] for x in again]).tobytes()] if len(again) else []
-        sizes = [size[again].astype(np.int32).tobytes()] if len(again) else []
+        again = np.sort(again)
+        members = [k[again].tobytes()] if len(again) else []
+        sizes = [np.unique(np.searchsorted(start, again, side="right"), return_counts=True)[1].astype(np.int32).tobytes()] if len(again) else []
         blank, none = pa.nulls(len(members), pa.int64()), pa.nulls(n, pa.binary())
         return pa.table(
             {

@@ -153,9 +153,7 @@ def describe(rows: DataFrame, extract: Extract, bits: int = 0) -> DataFrame:
                 n_held += len(values)
                 given = {"row": batch.column(1).take(pa.array(at)), "part": pa.array(part.astype(np.int32)), "n": pa.array(n.astype(np.int32)), "key": pa.array(digest(values, n))}
                 if bits:
-                    ends = np.cumsum(n)
-                    given["sig"] = pa.array([x.tobytes() for x in signatures(values, n, bits)], pa.binary())
-                    given["wide"] = pa.array([_wide(values[e - m : e], bits) for e, m in zip(ends, n, strict=True)], pa.binary())
+                    given["sig"], given["wide"] = _bitmaps(values, n, np.full(len(n), bits)), _bitmaps(values, n, wide_bits(n, bits))
                 yield filled(given)
                 if n_held > HELD_ELEMENTS:
                     yield counted(held)
@@ -166,14 +164,21 @@ def describe(rows: DataFrame, extract: Extract, bits: int = 0) -> DataFrame:
     return materialize(rows.select("text", "id").mapInArrow(run, DESCRIBED))
 
 
-def _wide(values: np.ndarray, least: int) -> bytes:
-    """A bitmap with two bits or more per element, a power of two wide; empty where ``least`` bits are as wide."""
-    if 2 * len(values) <= least:
-        return b""
-    width = 1 << (2 * len(values) - 1).bit_length()
-    bits = np.zeros(width, bool)
-    bits[(values % np.uint64(width)).astype(np.int64)] = True
-    return np.packbits(bits).tobytes()
+def wide_bits(n: np.ndarray, least: int) -> np.ndarray:
+    """Two bits or more per element, a power of two; 0 where ``least`` bits are as wide."""
+    return np.where(2 * n > least, 1 << np.ceil(np.log2(np.maximum(2 * n, 2))).astype(np.int64), 0)
+
+
+def _bitmaps(values: np.ndarray, n: np.ndarray, width: np.ndarray) -> pa.Array:
+    """A bitmap of its own width for each set, as bytes."""
+    ends = np.concatenate([[0], np.cumsum(width // 8)]).astype(np.int64)
+    out = np.zeros(ends[-1], np.uint8)
+    of = np.repeat(np.arange(len(n)), n)
+    for w in np.unique(width[width > 0]):
+        rows = np.flatnonzero(width == w)
+        packed = signatures(values[np.isin(of, rows) if len(rows) < len(n) else slice(None)], n[rows], int(w)).view(np.uint8)
+        out[(ends[rows][:, None] + np.arange(w // 8)).ravel()] = packed.ravel()
+    return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(out.tobytes())]).cast(pa.binary())
 
 
 def may_reach(na: int, x: np.ndarray, nb: int, y: np.ndarray, num: int, den: int) -> bool:
