@@ -239,6 +239,34 @@ def _each(lists: pa.Table, key: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
             yield int(at[lo + x]), at[lo : lo + x][known[lo : lo + x]]
 
 
+class _Bitmaps:
+    """Bitmaps of several widths (powers of two), each compared at the lesser width of a pair."""
+
+    def __init__(self, bitmaps: list[bytes], n: np.ndarray, num: int, den: int):
+        self.n, self.num, self.den = n, num, den
+        self.width = np.array([len(b) for b in bitmaps], np.int64)
+        self.at = np.zeros(len(n), np.int64)
+        self.rows: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width):
+            mine = np.flatnonzero(self.width == w)
+            self.at[mine] = np.arange(len(mine))
+            self.rows[int(w)] = np.frombuffer(b"".join(bitmaps[i] for i in mine), np.uint64).reshape(len(mine), -1)
+
+    def pass_(self, j: int, i: np.ndarray) -> np.ndarray:
+        """Those of the sets ``i`` that may reach the threshold with set ``j``."""
+        out = []
+        for w in np.unique(self.width[i]):
+            mine = i[self.width[i] == w]
+            x, y = self.rows[int(w)][self.at[mine]], self.rows[int(self.width[j])][self.at[j]]
+            while x.shape[1] > len(y):
+                x = x[:, : x.shape[1] // 2] | x[:, x.shape[1] // 2 :]
+            while len(y) > x.shape[1]:
+                y = y[: len(y) // 2] | y[len(y) // 2 :]
+            surplus = np.minimum(self.n[mine] - np.bitwise_count(x).sum(1).astype(np.int64), self.n[j] - int(np.bitwise_count(y).sum()))
+            out.append(mine[sj.fits(np.bitwise_count(x & y).sum(1).astype(np.int64), surplus, self.n[mine], self.n[j], self.num, self.den)])
+        return np.concatenate(out) if out else i
+
+
 LISTS = "range int, members binary, sizes binary, open binary"
 
 
@@ -251,11 +279,10 @@ def _may_match(num: int, den: int):
             k = sets.column("key").to_numpy()
             order = pa.array(np.argsort(k))
             k, n = k[order.to_numpy()], sets.column("n").take(order).to_numpy().astype(np.int64)
-            bitmaps = [np.frombuffer(b, np.uint64) for b in sets.column("bitmap").take(order).to_pylist()]
+            bitmaps = _Bitmaps(sets.column("bitmap").take(order).to_pylist(), n, num, den)
             for j, i in _each(lists, k):
                 i = i[(n[i] * den >= n[j] * num) & (n[j] * den >= n[i] * num)]
-                mine = before.setdefault(j, set())
-                mine.update(x for x in i.tolist() if x not in mine and sj.may_reach(int(n[x]), bitmaps[x], int(n[j]), bitmaps[j], num, den))
+                before.setdefault(j, set()).update(bitmaps.pass_(j, i).tolist())
         lists_ = [np.append(k[sorted(i)], k[j]) for j, i in before.items() if i]
         rows = 1 if lists_ else 0
         pack = lambda x: pa.array([np.concatenate(x).tobytes()] if rows else [], pa.binary())

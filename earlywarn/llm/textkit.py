@@ -97,20 +97,17 @@ def words(buf: np.ndarray, off: np.ndarray, table: np.ndarray = BLANK_WORDS, low
         z = np.zeros(0, np.int64)
         return Words(z, z, z, np.zeros(len(off) - 1, np.int64), buf, off)
     inside = table[buf]
-    edge = np.zeros(n + 1, dtype=bool)
-    edge[off] = True
-    before = np.empty(n, dtype=bool)
-    before[0] = False
-    before[1:] = inside[:-1]
-    first = inside & (~before | edge[:-1])
-    after = np.empty(n, dtype=bool)
-    after[-1] = False
-    after[:-1] = inside[1:]
-    last = inside & (~after | edge[1:])
-    start = np.flatnonzero(first)
-    end = np.flatnonzero(last) + 1
-    row = np.searchsorted(off, start, side="right") - 1
-    return Words(start, end, row, np.bincount(row, minlength=len(off) - 1), buf, off)
+    cut = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    cut = np.concatenate([np.zeros(int(inside[0]), np.int64), cut, np.full(int(inside[-1]), n)])
+    # rows that end and begin within a word
+    joints = off[1:-1][(off[1:-1] > 0) & (off[1:-1] < n)]
+    joints = np.unique(joints[inside[joints - 1] & inside[joints]])
+    start, end = cut[0::2], cut[1::2]
+    if len(joints):
+        start, end = np.sort(np.concatenate([start, joints])), np.sort(np.concatenate([end, joints]))
+    # the last of rows that share an offset owns what begins there
+    per_row = np.diff(np.searchsorted(start, off))
+    return Words(start, end, np.repeat(np.arange(len(per_row)), per_row), per_row, buf, off)
 
 
 def word_hashes(w: Words) -> np.ndarray:
