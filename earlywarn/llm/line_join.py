@@ -38,18 +38,11 @@ ENOUGH = 64
 NULL_ROW = -(1 << 63)
 #: Columns of a posting. A token is told from others of its range by 32 bits: two tokens that agree in them are one list, which only compares more.
 POSTED = ("h", "k", "n", "pos", "row", "part", "sig")
-WIDTHS = (np.uint8, np.uint16, np.uint32, np.int64)
 FOUND = "range int, a long, b long, members binary, sizes binary"
 
 
-def _narrow(c: np.ndarray) -> np.ndarray:
-    """Whole numbers in the least width that holds them all, the code of the width first."""
-    code = next(i for i, t in enumerate(WIDTHS) if not len(c) or (c.min() >= np.iinfo(t).min and c.max() <= np.iinfo(t).max))
-    return np.concatenate([np.array([code], np.uint8), c.astype(WIDTHS[code]).view(np.uint8)])
-
-
 def _widen(column: pa.ChunkedArray) -> np.ndarray:
-    parts = [np.frombuffer(b, WIDTHS[b[0]], offset=1).astype(np.int64) for b in column.to_pylist()]
+    parts = [tk.widen(b) for b in column.to_pylist()]
     return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
@@ -64,7 +57,7 @@ def _postings(rows: DataFrame, extract: sj.Extract, order: sj.Order, ranges: int
             columns = {k: np.concatenate([x[k] for x in held]) for k in POSTED}
             part = (tk.mix(columns["h"]) % np.uint64(ranges)).astype(np.int64)
             columns["h"] = (columns["h"] >> np.uint64(31)).astype(np.uint32)
-            return sj.deal(part, ranges, columns, {"n": _narrow, "pos": _narrow, "row": _narrow, "part": _narrow})
+            return sj.deal(part, ranges, columns, {"n": tk.narrow, "pos": tk.narrow, "row": tk.narrow, "part": tk.narrow})
 
         for batch in batches:
             ids = batch.column(1).fill_null(NULL_ROW).to_numpy(zero_copy_only=False)

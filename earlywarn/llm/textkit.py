@@ -149,3 +149,16 @@ def shingles(h: np.ndarray, per_row: np.ndarray, k: int = 5) -> tuple[np.ndarray
 def split_rows(values: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
     """The values of each row."""
     return np.split(values, np.cumsum(count)[:-1]) if len(count) else []
+
+
+WIDTHS = (np.uint8, np.uint16, np.uint32, np.int64)
+
+
+def narrow(c: np.ndarray) -> np.ndarray:
+    """Whole numbers as bytes, in the least width that holds them all, the code of the width first."""
+    code = next(i for i, t in enumerate(WIDTHS) if not len(c) or (c.min() >= np.iinfo(t).min and c.max() <= np.iinfo(t).max))
+    return np.concatenate([np.array([code], np.uint8), c.astype(WIDTHS[code]).view(np.uint8)])
+
+
+def widen(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, WIDTHS[b[0]], offset=1).astype(np.int64)
