@@ -2,8 +2,7 @@
 
 Documents are dealt into shards of about a megabyte of whole texts. In each shard the positions whose next words could begin a match of
 the shortest window are sorted as suffixes (keys of ``KEY_WORDS`` word ranks), every suffix of every benchmark item is located by binary
-search, its longest verbatim match is extended word by word beyond the key, and the range of suffixes that share a whole window gives all
-its places. A position whose next words begin no such window starts no match that counts, so leaving it out of the sort changes nothing.
+search, and the range of suffixes that share a whole window gives all its places; each is extended word by word to its longest verbatim match. A position whose next words begin no such window starts no match that counts, so leaving it out of the sort changes nothing.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. A window is ``window`` consecutive words of an item; an item of
 fewer words, but not none, is one window. Words are compared by 64-bit hash.
@@ -103,7 +102,7 @@ def search_shard(h: np.ndarray, per_row: np.ndarray, test: TestSuffixes) -> tupl
     suffixes = np.arange(len(test.hash))
     test_key = _keys(test.rank, suffixes, test.room)
     place = np.searchsorted(key, test_key)
-    # longest match: one of the two neighbours of the place where the suffix would stand
+    # matches shorter than a window: the neighbours of the place where the suffix would stand
     for side in (place - 1, place):
         ok = np.flatnonzero((side >= 0) & (side < len(key)))
         spot = at[side[ok]]
@@ -141,6 +140,17 @@ def search_shard(h: np.ndarray, per_row: np.ndarray, test: TestSuffixes) -> tupl
             which, spot = which[same], spot[same]
         np.add.at(hit, spot, 1)
         np.add.at(hit, spot + size, -1)
+        # every place of a window, extended: the longest match of its document, whatever other documents and items share of it
+        length = np.full(len(spot), size)
+        live = np.arange(len(spot))
+        while len(live):
+            live = live[(length[live] < room[spot[live]]) & (length[live] < test.room[which[live]])]
+            live = live[rank[spot[live] + length[live]] == test.rank[which[live] + length[live]]]
+            length[live] += 1
+        for j in np.lexsort((which, spot, length)) if len(spot) else ():
+            d = row[spot[j]]
+            if length[j] > longest[d][0]:
+                longest[d] = (int(length[j]), int(spot[j] - (ends[d] - per_row[d])), int(which[j]))
         pairs = np.unique(row[spot] * len(test.ids) + test.owner[which])
         for p in pairs:
             items[p // len(test.ids)].add(int(p % len(test.ids)))

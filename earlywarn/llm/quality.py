@@ -92,8 +92,10 @@ def host_verdicts(measured: DataFrame, host: str = "source", host_limit: float =
     by_host = materialize(by_host)
     rate = F.col("host_failures") / F.col("host_docs")
     # one row: the mean and the spread of the rates of all hosts
-    r = by_host.agg((F.sum("host_failures") / F.sum("host_docs")).alias("m"), F.var_pop(rate).alias("v")).first()
-    mean, spread = r.m or 0.0, r.v or 0.0
+    r = by_host.agg((F.sum("host_failures") / F.sum("host_docs")).alias("m"), F.var_pop(rate).alias("v"), F.avg(1 / F.col("host_docs")).alias("w")).first()
+    mean = r.m or 0.0
+    # rates of hosts of n documents differ by mean * (1 - mean) / n by chance alone
+    spread = max(0.0, (r.v or 0.0) - mean * (1 - mean) * (r.w or 0.0))
     strength = max(1.0, min(10_000.0, mean * (1 - mean) / spread - 1)) if spread > 0 else 10_000.0
     shrunk = (F.col("host_failures") + mean * strength) / (F.col("host_docs") + strength)
     return by_host.select("_host", "host_docs", "host_failures", shrunk.alias("host_rate"), (shrunk >= host_limit).alias("host_bad"))
@@ -111,9 +113,9 @@ def measured_verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def quality_verdicts(docs: DataFrame, text: str = "text", host: str = "source", host_limit: float = HOST_LIMIT, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
-    """``docs`` with the measures, base_failed, host_bad and kept."""
-    hosts = host_verdicts(measure(docs.select(text, host), text), host, host_limit)
-    return _judge(measure(docs, text), hosts, F.col(text), host, broadcast_hosts)
+    """``docs`` with the measures, base_failed, host_bad and kept. The rows and their measures are written once and read twice."""
+    measured = materialize(measure(docs, text))
+    return _judge(measured, host_verdicts(measured, host, host_limit), F.col(text), host, broadcast_hosts)
 
 
 def _judge(measured: DataFrame, hosts: DataFrame, salt: Column, host: str, broadcast_hosts: int) -> DataFrame:

@@ -51,12 +51,13 @@ def unquoted(text: Column) -> Column:
 
 def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """``conv_id, turn, role, text`` (without quotes), ``n_quotes, n_linked, parent_turn, depth, position`` (1, 2, ... in reply order)."""
-    base = messages.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("raw"))
+    base = messages.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("raw"), F.col(text).alias("given"))
     has = F.col("raw").rlike(r"(?m)" + MARK)
     base = base.select("*", F.when(has, passages(F.col("raw"))).otherwise(F.array().cast("array<struct<level:int,text:string>>")).alias("quotes"), F.when(has, unquoted(F.col("raw"))).otherwise(F.trim("raw")).alias("text"))
-    key = F.xxhash64(F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.coalesce(F.col("turn").cast("string"), F.lit("")), F.coalesce("role", F.lit("")), "raw")
-    base = materialize(base.withColumn("key", key))
-    conv_key, order = F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.struct("turn", "key")
+    given = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))  # noqa: E731  a null is told from an empty text
+    key = F.xxhash64(given(F.col("conv_id")), given(F.col("turn")), given(F.col("role")), given(F.col("given")))
+    base = materialize(base.withColumn("key", key).drop("given"))
+    conv_key, order = given(F.col("conv_id")), F.struct("turn", "key")
     quoted = base.where(F.size("quotes") > 0).select(conv_key.alias("c"), "key", order.alias("at"), F.posexplode("quotes").alias("n", "q")).select("c", "key", "at", "n", F.col("q.level").alias("level"), F.xxhash64(normal(F.col("q.text"))).alias("h"), normal(F.col("q.text")).alias("t"))
     asked = quoted.select("c").distinct()
     pieces = F.array_distinct(F.filter(F.transform(F.concat(F.array("text"), F.split("text", "\n{2,}"), F.split("text", "\n")), normal), lambda p: p != ""))
@@ -68,7 +69,9 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
 
     before = F.lag(F.col("key")).over(Window.partitionBy("c").orderBy("turn", "key"))
     before_turn = F.lag(F.col("turn")).over(Window.partitionBy("c").orderBy("turn", "key"))
-    distinct = linked.dropDuplicates(["key"]).select("c", "key", "conv_id", "turn", "role", "text", F.size("quotes").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.coalesce(F.col("link.key"), before).alias("parent"), F.when(F.col("link").isNotNull(), F.col("link.turn")).otherwise(before_turn).alias("parent_turn"), F.col("link").isNotNull().alias("by_quote"))
+    # repeated rows are one message of so many copies until the end
+    repeated = base.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
+    distinct = linked.dropDuplicates(["key"]).join(repeated, "key").select("copies", "c", "key", "conv_id", "turn", "role", "text", F.size("quotes").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.coalesce(F.col("link.key"), before).alias("parent"), F.when(F.col("link").isNotNull(), F.col("link.turn")).otherwise(before_turn).alias("parent_turn"), F.col("link").isNotNull().alias("by_quote"))
     nodes = materialize(distinct)
     return _ordered(nodes)
 
@@ -91,7 +94,8 @@ def _ordered(nodes: DataFrame) -> DataFrame:
     tree = tree.join(paths.select("key", "path"), "key")
     tree = tree.withColumn("position", F.row_number().over(Window.partitionBy("c").orderBy("path")).cast("long")).withColumn("depth", (F.size("path") - 1).cast("long"))
     cols = ["conv_id", "turn", "role", "text", "n_quotes", "n_linked", "parent_turn", "depth", "position"]
-    return plain.select(*cols).unionByName(tree.select(*cols))
+    every = plain.select("copies", *cols).unionByName(tree.select("copies", *cols))
+    return every.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*cols)
 
 
 def conversations(linked: DataFrame) -> DataFrame:

@@ -64,6 +64,14 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == len(ROWS)
 
 
+def test_longest_match_of_every_copy(spark):
+    item = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(item[5:25])), (2, "x " + " ".join(item[5:25])), (3, " ".join(item[5:25]) + " y"), (4, " ".join(item[5:45])), (5, " ".join(item[:3]))], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item[5:25]) + " z")], "item_id long, text string")
+    got = {r.doc_id: (r._longest, r._longest_at) for r in decontaminate.find_contamination(docs, bench).collect()}
+    assert got == {1: (20, 0), 2: (20, 1), 3: (20, 0), 4: (40, 0), 5: (0, -1)}
+
+
 def test_blocks_of_items_add_up(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i, i + 12))) for i in range(0, 40, 4)], "item_id long, text string")
     one = sorted((str(r.doc_id), r._n_hit, tuple(r._items), r._longest) for r in decontaminate.find_contamination(docs, bench).collect())
@@ -388,6 +396,9 @@ def test_quotes(spark):
     assert got[1, 4].n_linked == 0 and got[1, 4].parent_turn == 3 and got[1, 4].text == "X"
     assert [t for t in sorted(range(5), key=lambda t: got[1, t].position)] == [0, 1, 2, 3, 4]
     assert got[None, 1].n_quotes == 0 and len(got) == 7
+    assert quotes.link_quotes(df).count() == len(rows)  # repeated rows too
+    odd = spark.createDataFrame([(5, 0, "user", None), (5, 0, "user", ""), (5, 0, None, ""), (5, 0, "", ""), (5, 0, "", ""), (None, 0, "u", "x"), ("", 0, "u", "x")], "conv_id string, turn long, role string, text string")
+    assert quotes.link_quotes(odd).count() == 7
     assert quotes.link_quotes(df.limit(0)).count() == 0
 
 
