@@ -35,10 +35,10 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One document of each class: the one with the smallest id. Of repeated rows with that id and an equal text one stays.
 
-    Only the ids of removed documents meet the texts, by an anti join whose plan Spark picks by their size."""
+    Only the ids of removed documents meet the texts, by an anti join. They are written before, so that Spark knows their size when it picks the plan."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     found = materialize(near_duplicate_classes(docs, doc_id, text, **options))
-    gone = found.where("not doc_id <=> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = materialize(found.where("not doc_id <=> component_id").select(F.col("doc_id").alias("_gone")).distinct())
     d = docs.toDF(*names)
     i, t = names[docs.columns.index(doc_id)], names[docs.columns.index(text)]
     kept = d.join(gone, F.col(i).cast("long").eqNullSafe(F.col("_gone")), "left_anti")

@@ -271,13 +271,14 @@ def members_of(lists: DataFrame) -> DataFrame:
 
 
 def texts_of(rows: DataFrame, wanted: DataFrame, lines: bool) -> DataFrame:
-    """``key, text`` of the wanted sets (key, row, part): the text of one row each, or its line ``part``. Spark picks the plan of the join by the size of ``wanted``.
+    """``key, text`` of the wanted sets (key, row, part): the text of one row each, or its line ``part``. The places are written before, so that Spark knows their size
+    when it picks the plan of the join.
 
     Rows that share an id may give a key a text of another set, too; ``Sets`` and ``line_join`` compare the digest."""
     if not lines:
-        place = wanted.select("key", F.col("row").alias("_row"))
+        place = materialize(wanted.select("key", F.col("row").alias("_row")))
         return rows.join(place, F.col("id").eqNullSafe(F.col("_row"))).select("key", "text")
-    place = wanted.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("key", "part")).alias("parts"))
+    place = materialize(wanted.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("key", "part")).alias("parts")))
     found = rows.join(place, F.col("id").eqNullSafe(F.col("_row"))).select(F.split("text", "\n", -1).alias("lines"), "parts")
     line = lambda p: F.struct(p["key"].alias("key"), F.get("lines", p["part"]).alias("text"))
     return found.select(F.explode(F.transform("parts", line)).alias("p")).select("p.key", "p.text").where("text is not null")

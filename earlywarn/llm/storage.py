@@ -9,24 +9,46 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session. Only where the setting is empty (tests, one machine) a temporary one is made."""
+    """The shared folder of this session. Where the setting is empty on one machine (tests), a temporary one is made; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not path:
         path = "file://" + tempfile.mkdtemp(prefix="earlywarn-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it from there, so that its lineage ends and lost executors cost nothing."""
+def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it from there, so that its lineage ends and lost executors cost nothing.
+
+    ``release`` removes the table unless ``keep`` is set."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/earlywarn-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not keep:
+        _written(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _written(spark: SparkSession) -> list[str]:
+    sc = spark.sparkContext
+    if not hasattr(sc, "_earlywarn_tables"):
+        sc._earlywarn_tables = []
+    return sc._earlywarn_tables
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the intermediate tables written so far. Only for callers whose results are written elsewhere, such as the stages of a pipeline."""
+    tables = _written(spark)
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while tables:
+        path = jvm.org.apache.hadoop.fs.Path(tables.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def input_bytes(df: DataFrame, text: str) -> int:
     """Total UTF-8 bytes of a text column: one aggregate over that column alone."""
     from pyspark.sql import functions as F
