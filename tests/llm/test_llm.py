@@ -409,9 +409,64 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     cols, seen = docs.columns, []
     for name, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.materialize(stage(spark, docs, d))
+        docs = corpus_pipeline.materialize(stage(spark, docs, d), keep=True)
         seen.append((name, docs.count()))
         if name != corpus_pipeline.STAGES[-1][0]:
             assert docs.columns == cols
     assert all(n > 0 for _, n in seen)
     assert docs.groupBy("doc_id").agg(F.max("copy").alias("m")).where("m > 2").count() == 0
+
+
+def test_pipeline_stages_by_brute_force(spark, tmp_path):
+    """The first four stages on a small table, one document at a time."""
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    shared = [line(12) for _ in range(6)]
+    leak = line(15)
+    rows = []
+    for i in range(120):
+        lines = [line(rng.randrange(5, 30)) for _ in range(6)] + [rng.choice(shared)]
+        if i % 10 == 3:
+            lines[2] += " " + leak
+        if i % 17 == 5:
+            lines = lines[:1]
+        rows.append((i, "\n".join(lines), f"host{i % 5}" if i % 7 else None))
+    for i in range(120, 160):
+        w = rows[i - 120][1].split(" ")
+        for _ in range(i % 3):
+            w[rng.randrange(len(w))] = "changed"
+        rows.append((i, " ".join(w), "copies"))
+    rows += [(500, None, "x"), (501, "", None), (None, " \n ", "y"), rows[4]]
+    docs = spark.createDataFrame([(*r, 1, 7) for r in rows], "doc_id long, text string, source string, n_words int, copies int")
+    spark.createDataFrame([(1, leak), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+
+    def step(name, given):
+        out = corpus_pipeline.materialize(stages[name](spark, given, str(tmp_path)), keep=True)
+        assert out.columns == docs.columns
+        return out, sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+
+    kept, got = step("quality rules", docs)
+    n = lambda t: len(WORD.findall(t or ""))
+    assert all(n(t) >= 50 for _, t in got) and len(got) >= 0.9 * sum(n(t) >= 50 for _, t, _ in rows)
+    # repeated ids share their verdicts by number, so they are left out here
+    kept = kept.dropDuplicates(["doc_id"])
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    fresh, lines_got = step("line dedup", kept)
+    gone = later_by_brute_force(got)
+    want = [(d, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(d, []))) for d, t in got]
+    assert lines_got == sorted(((d, t) for d, t in want if WORD.search(t)), key=str)
+    apart, near_got = step("near duplicates", kept)
+    texts = sorted(got)
+    label = classes_of([t for _, t in texts])
+    assert near_got == sorted((texts[i] for i in set(label)), key=str)
+    clean, clean_got = step("decontamination", kept)
+    assert clean_got == sorted(((d, t) for d, t in got if " ".join(leak.split()[:10]) not in t and " ".join(leak.split()[5:]) not in t), key=str)
+    for name in stages:
+        empty = stages[name](spark, docs.limit(0), str(tmp_path))
+        assert empty.count() == 0 and empty.columns[: len(docs.columns)] == docs.columns
