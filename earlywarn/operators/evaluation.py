@@ -70,19 +70,36 @@ def weighted_percentile(df: DataFrame, value: str, weight: str, percents: list[f
     return j.select("percent", F.round(value_.cast("double"), 9).alias("result"))
 
 
+def running(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with running sums within ``by`` in a total order: ranges of the order are summed apart, and each adds what the ranges before it hold. No group is one task.
+
+    The ranges are fixed before their sums are taken, since both read the one exchange that deals the rows."""
+    dealt = df.select("*", *(c.alias(f"_s_{k}") for k, c in sums.items())).repartitionByRange(*by, *order).withColumn("_at", F.spark_partition_id())
+    inside = Window.partitionBy("_at", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    part = dealt.groupBy("_at", *by).agg(*(F.sum(f"_s_{k}").alias(f"_p_{k}") for k in sums))
+    # one row for each range and group
+    before = Window.partitionBy(*by).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = part.select("_at", *by, *(F.coalesce(F.sum(f"_p_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in sums))
+    own = dealt.select("*", *(F.sum(f"_s_{k}").over(inside).alias(f"_r_{k}") for k in sums))
+    named = {c: f"_k_{c}" for c in ["_at", *by]}
+    cond = F.lit(True)
+    for c, k in named.items():
+        cond = cond & F.col(c).eqNullSafe(F.col(k))
+    joined = own.join(F.broadcast(starts.withColumnsRenamed(named)), cond)
+    return joined.select(*df.columns, *((F.col(f"_r_{k}") + F.col(f"_b_{k}")).alias(k) for k in sums))
+
+
 def _steps(df: DataFrame, label: str, score: str, weight: str | None) -> DataFrame:
-    """Cumulative true and false positives at each distinct score, highest first. Only distinct scores are ordered."""
+    """``s, p, n, tp, fp``: true and false positives at each distinct score and at it or above, highest first."""
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     by = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(w * F.col(label)).alias("p"), F.sum(w * (1 - F.col(label))).alias("n"))
-    run = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    return by.select("s", F.sum("p").over(run).alias("tp"), F.sum("n").over(run).alias("fp"))
+    return running(by, [], [F.desc("s")], {"tp": F.col("p"), "fp": F.col("n")})
 
 
 def ranking(df: DataFrame, label: str, score: str, weight: str | None = None) -> DataFrame:
     """``auroc, auprc``: exact, ties as one step; null when a class is absent."""
     steps = _steps(df, label, score, weight)
-    w = Window.orderBy(F.desc("s"))
-    x = steps.select("tp", "fp", F.coalesce(F.lag("tp").over(w), F.lit(0.0)).alias("tp0"), F.coalesce(F.lag("fp").over(w), F.lit(0.0)).alias("fp0"))
+    x = steps.select("tp", "fp", (F.col("tp") - F.col("p")).alias("tp0"), (F.col("fp") - F.col("n")).alias("fp0"))
     a = x.agg(F.max("tp").alias("P"), F.max("fp").alias("N"), F.sum((F.col("fp") - F.col("fp0")) * (F.col("tp") + F.col("tp0")) / 2).alias("area"), F.sum((F.col("tp") - F.col("tp0")) * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"))
     return a.select(F.when((F.col("P") > 0) & (F.col("N") > 0), F.round(F.col("area") / F.col("P") / F.col("N"), 9)).alias("auroc"), F.when(F.col("P") > 0, F.round(F.col("ap") / F.col("P"), 9)).alias("auprc"))
 
@@ -127,8 +144,8 @@ def ece(bins: DataFrame) -> DataFrame:
 def folds(outcomes: DataFrame, k: int = 5, seed: int = 2019) -> DataFrame:
     """Stays dealt into k folds, stratified by septic, in the order of a hash of seed and key; hours of a stay stay together."""
     order = F.md5(F.concat_ws("/", F.lit(str(seed)), "site", F.col("encounter_id").cast("string")))
-    n = F.row_number().over(Window.partitionBy("septic").orderBy(order))
-    return outcomes.select(*STAY, "septic", ((n - 1) % k).cast("int").alias("fold"))
+    numbered = running(outcomes.select(*STAY, "septic", order.alias("_order")), ["septic"], [F.col("_order")], {"_n": F.lit(1)})
+    return numbered.select(*STAY, "septic", ((F.col("_n") - 1) % k).cast("int").alias("fold"))
 
 
 def rows_for(df: DataFrame, stays: DataFrame) -> DataFrame:
@@ -177,6 +194,69 @@ def choose_matched_burden(table: DataFrame, target: float) -> float | None:
     return max(near, key=lambda r: (-abs(r[1] - target), r[0]))[0]
 
 
+def choice(table: DataFrame, threshold: float | None) -> DataFrame:
+    """The row of a threshold table that was chosen."""
+    return table.where(F.col("threshold") == F.lit(threshold))
+
+
+def curves(df: DataFrame, label: str, score: str, most: int = 200) -> DataFrame:
+    """``curve, threshold, x, y``: ROC (false and true positive rate) and PR (recall, precision) at distinct scores, at most ``most`` evenly spaced ones of them."""
+    steps = running(_steps(df, label, score, None), [], [F.desc("s")], {"i": F.lit(1)})
+    total = df.where(F.col(score).isNotNull()).agg(F.sum(F.col(label)).cast("double").alias("P"), F.sum(1 - F.col(label)).cast("double").alias("N"), F.count_distinct(score).alias("m"))
+    x = steps.crossJoin(F.broadcast(total))  # one row
+    place, last = F.col("i") - 1, F.col("m") - 1
+    # positions are rounded half to even: the i-th is kept if a multiple of the step rounds to it
+    step = last / F.lit(most - 1)
+    near = F.round(place / step)
+    kept = (F.col("m") <= most) | (F.bround(near * step) == place) | (F.bround((near - 1) * step) == place) | (F.bround((near + 1) * step) == place)
+    x = x.where(kept)
+    roc = x.select(F.lit("roc").alias("curve"), F.col("s").cast("double").alias("threshold"), F.round(F.col("fp") / F.col("N"), 9).alias("x"), F.round(F.col("tp") / F.col("P"), 9).alias("y"))
+    return roc.unionByName(x.select(F.lit("pr").alias("curve"), F.col("s").cast("double").alias("threshold"), F.round(F.col("tp") / F.col("P"), 9).alias("x"), F.round(F.col("tp") / (F.col("tp") + F.col("fp")), 9).alias("y")))
+
+
+def bootstrap(summaries: DataFrame, resamples: int = 1000, seed: int = 2019) -> DataFrame:
+    """``metric, low, high``: 2.5 and 97.5 percentiles of event sensitivity and of alerts a patient day over resamples of stays.
+
+    A resample draws as many stays as there are, by a hash of seed, resample and draw, so reruns agree. Draws are counted by stay before they meet the stays."""
+    stays = running(summaries, [], [F.col("site"), F.col("encounter_id")], {"_i": F.lit(1)}).withColumn("_i", F.col("_i") - 1)
+    n = stays.count()
+    spark = summaries.sparkSession
+    draws = spark.range(resamples * n).select(F.expr(f"id div {max(n, 1)}").alias("r"), F.expr(f"id % {max(n, 1)}").alias("j"))
+    pick = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("r").cast("string"), F.col("j").cast("string"))), 1, 8), 16, 10).cast("long") % max(n, 1)
+    counted = draws.groupBy("r", pick.alias("_i")).agg(F.count(F.lit(1)).alias("w"))
+    x = counted.join(stays.where("not excluded"), "_i")
+    by = x.groupBy("r").agg(
+        (F.sum(F.when(F.col("septic") & F.col("detected"), F.col("w")).otherwise(0)) / F.sum(F.when(F.col("septic"), F.col("w")))).alias("event_sensitivity"), (F.sum(F.col("w") * F.col("alerts")) * 24.0 / F.sum(F.col("w") * F.col("hours"))).alias("alerts_per_patient_day"),
+    )
+    long = by.unpivot(["r"], ["event_sensitivity", "alerts_per_patient_day"], "metric", "value")
+    return long.groupBy("metric").agg(F.round(F.percentile("value", F.lit(0.025)), 9).alias("low"), F.round(F.percentile("value", F.lit(0.975)), 9).alias("high"))
+
+
+def cross_site(scored: DataFrame, outcomes: DataFrame, policy: Policy, sites: tuple[str, ...] = ("A", "B")) -> DataFrame:
+    """``train, test, metric, value``: each direction on the stays of the other site. The policy's threshold is fixed, so nothing is fitted on the training site."""
+    out = None
+    for train, test in zip(sites, reversed(sites), strict=True):
+        mine = scored.where(F.col("site") == test)
+        rank = ranking(mine, "label", "score")
+        events = event_metrics(stay_summary(apply_policy(mine, policy), outcomes.where(F.col("site") == test))).select("event_sensitivity", "alerts_per_patient_day")
+        one = rank.crossJoin(events).crossJoin(brier(mine, "label", "p"))  # one row each
+        long = one.unpivot([], ["auroc", "auprc", "event_sensitivity", "alerts_per_patient_day", "brier"], "metric", "value").select(F.lit(train).alias("train"), F.lit(test).alias("test"), "metric", "value")
+        out = long if out is None else out.unionByName(long)
+    return out
+
+
+def parity(left: DataFrame, right: DataFrame, keys: list[str], column: str, tolerance: float) -> DataFrame:
+    """``rows, missing, differing``: rows of either side, those that only one has, and those whose values differ by more than the tolerance."""
+    r = right.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(column).alias("_v"), F.lit(True).alias("_in"))
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & (F.col(k) == F.col(f"_{k}"))
+    j = left.select(*keys, column, F.lit(True).alias("_is")).join(r, cond, "full")
+    both = F.col("_is").isNotNull() & F.col("_in").isNotNull()
+    far = both & ~(F.col(column).eqNullSafe(F.col("_v")) | F.coalesce(F.abs(F.col(column) - F.col("_v")) <= tolerance, F.lit(False)))
+    return j.agg(F.count(F.lit(1)).alias("rows"), F.sum((~both).cast("long")).alias("missing"), F.sum(far.cast("long")).alias("differing"))
+
+
 def fingerprint(long: DataFrame) -> DataFrame:
     """Stays, rows and a digest of keys, hours and labels: rows by stay, stays by bucket, buckets at the top, so no list grows with the table."""
     stay = long.groupBy(*STAY).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("hour", "label"))), lambda r: F.concat_ws(":", r["hour"].cast("string"), r["label"].cast("string"))), ","), 256).alias("h"))

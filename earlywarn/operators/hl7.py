@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from earlywarn.sources.views import LOINC, VARIABLES
+from earlywarn.sources.views import DISPLAY, LOINC, VARIABLES
 
 CR = "\r"
 #: Required segments, statuses, and the codes answered with AR; all others are answered with AE.
@@ -13,6 +13,9 @@ REQUIRED = {"ADT": ("MSH", "EVN", "PID", "PV1"), "ORU": ("MSH", "PID", "PV1", "O
 TYPES = ("ADT^A01", "ADT^A03", "ORU^R01")
 REJECTED = ("MSH_MISSING", "ENCODING_CHARACTERS_INVALID", "SEGMENT_ID_INVALID", "FRAME_OVERSIZE", "MESSAGE_TYPE_UNSUPPORTED")
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"
+#: Value types whose text is free, and the time pattern with its ranges.
+FREE_TYPES = ("ST", "TX", "FT", "SN", "ID", "IS", "ED", "RP")
+DTM_SHAPE = r"^\d{4}((0[1-9]|1[0-2])((0[1-9]|[12]\d|3[01])(([01]\d|2[0-3])([0-5]\d([0-5]\d(\.\d{1,4})?)?)?)?)?)?([+-](0\d|1[0-4])[0-5]\d)?$"
 DTM = r"^(\d{4})(?:(\d{2})(?:(\d{2})(?:(\d{2})(?:(\d{2})(?:(\d{2})(?:\.(\d{1,4}))?)?)?)?)?)?([+-]\d{4})?$"
 
 
@@ -63,14 +66,25 @@ def parse_nm(text: Column) -> Column:
 def parse_dtm(text: Column) -> Column:
     """``ts, precision, offset, error`` of a DTM; calendar and offset are checked, fractions need full seconds."""
     g = lambda i: F.regexp_extract(text, DTM, i)
-    part = lambda i, default: F.when(g(i) == "", F.lit(default)).otherwise(g(i).cast("int"))
-    base = F.try_make_timestamp_ntz(g(1).try_cast("int"), part(2, 1), part(3, 1), part(4, 0), part(5, 0), part(6, 0).cast("decimal(16,6)"))
-    offset = F.when(g(8) == "", F.lit(None).cast("int")).otherwise(F.when(F.substring(g(8), 1, 1) == "-", -1).otherwise(1) * (F.substring(g(8), 2, 2).cast("int") * 60 + F.substring(g(8), 4, 2).cast("int")))
-    ok = text.rlike(DTM) & base.isNotNull() & F.coalesce(offset.between(-720, 840), F.lit(True))
+    part = lambda i, default: F.coalesce(g(i).try_cast("int"), F.lit(default))
+    base = F.try_make_timestamp_ntz(g(1).try_cast("int"), part(2, 1), part(3, 1), part(4, 0), part(5, 0), F.concat(F.when(g(6) == "", "0").otherwise(g(6)), F.when(g(7) != "", F.concat(F.lit("."), g(7))).otherwise("")).try_cast("decimal(16,6)"))
+    offset = F.when(g(8) == "", F.lit(None).cast("int")).otherwise(F.when(F.substring(g(8), 1, 1) == "-", -1).otherwise(1) * (F.substring(g(8), 2, 2).try_cast("int") * 60 + F.substring(g(8), 4, 2).try_cast("int")))
+    ok = text.rlike(DTM) & base.isNotNull() & F.coalesce(offset.between(-720, 840), F.lit(True)) & ((g(8) == "") | (F.substring(g(8), 4, 2).try_cast("int") < 60))
     precision = F.when(g(7) != "", "fraction").when(g(6) != "", "second").when(g(5) != "", "minute").when(g(4) != "", "hour").when(g(3) != "", "day").when(g(2) != "", "month").otherwise("year")
     return F.struct(F.when(ok, base).alias("ts"), F.when(ok, precision).alias("precision"), F.when(ok, offset).alias("offset"), F.when(~ok, "TIMESTAMP_INVALID").alias("error"))
 
 
+def dtm_valid(text: Column) -> Column:
+    """Whether a DTM is well formed and its day exists: one pattern and one date."""
+    offset = F.regexp_extract(text, r"([+-]\d{4})$", 1)
+    return text.rlike(DTM_SHAPE) & ((F.length(text) < 8) | F.try_to_date(F.substring(text, 1, 8), "yyyyMMdd").isNotNull() | ~text.rlike(r"^\d{8}")) & ~offset.rlike(r"^(-1[3-4]|-12[0-5][1-9]|-12[1-5]0|\+14[0-5][1-9]|\+14[1-5]0)")
+
+
+def split_by(text: Column, sep: Column, usual: str) -> Column:
+    """Pieces between separators: a constant pattern where the message uses the usual one."""
+    return F.when(sep == usual, F.split(text, "\\" + usual, -1)).otherwise(F.split(text, F.concat(F.lit("\\Q"), sep, F.lit("\\E")), F.lit(-1)))
+
+
 def with_delimiters(msgs: DataFrame) -> DataFrame:
     """Delimiters of each message and the error of its header, if any."""
     raw = F.col("raw")
@@ -86,10 +100,10 @@ def lines(raw: Column) -> Column:
 
 
 def segments(msgs: DataFrame) -> DataFrame:
-    """One row per segment: ``msg_id, pos, id, occurrence, fields``."""
-    s = msgs.select("msg_id", F.posexplode(lines(F.col("raw"))).alias("pos", "segment"))
+    """One row per segment: ``msg_id, pos, id, occurrence, fields``, split by the separator that the message declares."""
+    s = msgs.select("msg_id", F.substring("raw", 4, 1).alias("sep"), F.posexplode(lines(F.col("raw"))).alias("pos", "segment"))
     s = s.withColumn("id", F.substring("segment", 1, 3))
-    return s.select("msg_id", (F.col("pos") + 1).alias("pos"), "id", F.row_number().over(Window.partitionBy("msg_id", "id").orderBy("pos")).alias("occurrence"), F.split("segment", "\\|", -1).alias("fields"))
+    return s.select("msg_id", (F.col("pos") + 1).alias("pos"), "id", F.row_number().over(Window.partitionBy("msg_id", "id").orderBy("pos")).alias("occurrence"), split_by(F.col("segment"), F.col("sep"), "|").alias("fields"))
 
 
 def nest(field: Column) -> Column:
@@ -98,41 +112,106 @@ def nest(field: Column) -> Column:
     return F.when(field == "", F.array().cast("array<array<array<string>>>")).otherwise(deep)
 
 
-def _field(segs: Column, seg: str, n: int) -> Column:
-    """Field n of the first segment named so; MSH-1 is the separator itself."""
-    first = F.get(F.filter(segs, lambda s: s.startswith(seg + "|")), 0)
-    return piece(F.coalesce(first, F.lit("")), "|", n if seg == "MSH" else n + 1)
+def _at(pieces: Column, n: int) -> Column:
+    return F.coalesce(F.get(pieces, n), F.lit(""))
+
+
+def split_message(msgs: DataFrame) -> DataFrame:
+    """Messages with ``fields`` (segments split once, by the declared separator) and the first MSH, PID, EVN, PV1 and OBR of each; MSH-n stands at n - 1."""
+    x = with_delimiters(msgs).withColumn("fields", F.transform(lines(F.col("raw")), lambda s: split_by(s, F.col("field_sep"), "|")))
+    first = lambda seg: F.get(F.filter("fields", lambda f: f[0] == seg), 0)
+    return x.withColumns({seg: first(seg) for seg in ("MSH", "PID", "EVN", "PV1", "OBR")} | {"ids": F.transform("fields", lambda f: f[0])})
+
+
+def value_type_error(kind: Column, value: Column, rep: Column | str = "~", comp: Column | str = "^") -> Column:
+    """``VALUE_TYPE_MISMATCH`` or ``VALUE_NOT_NUMERIC`` where OBX-5 does not fit OBX-2, by repetition; an empty value fits."""
+    rep, comp = (F.lit(s) if isinstance(s, str) else s for s in (rep, comp))
+    reps = split_by(value, rep, "~")
+    comps = lambda r: split_by(r, comp, "^")
+    coded = F.forall(reps, lambda r: (_at(comps(r), 0) != "") | (_at(comps(r), 1) != ""))
+    timed = F.forall(reps, lambda r: dtm_valid(_at(comps(r), 0)))
+    numeric = F.forall(reps, lambda r: r.rlike(NUMBER))
+    fits = F.when(kind.isin("CWE", "CE"), coded).when(kind.isin("DTM", "TS"), timed).otherwise(kind.isin(*FREE_TYPES))
+    return F.when(value == "", None).when(kind == "NM", F.when(~numeric, "VALUE_NOT_NUMERIC")).when((kind == "") | ~fits, "VALUE_TYPE_MISMATCH")
 
 
 def validate(msgs: DataFrame) -> DataFrame:
-    """``msg_id, seq, control_id, mrn, error_code, stage``: rules in order, the first that fails names the error."""
-    x = with_delimiters(msgs).withColumn("segs", lines(F.col("raw")))
-    kind, control = _field(F.col("segs"), "MSH", 9), _field(F.col("segs"), "MSH", 10)
-    ids = F.transform("segs", lambda s: F.substring(s, 1, 3))
-    has = lambda names: F.forall(F.array(*(F.lit(n) for n in names)), lambda n: F.array_contains(ids, n))
-    pid3 = _field(F.col("segs"), "PID", 3)
-    reps = F.split(pid3, "~", -1)
-    mr = F.get(F.filter(reps, lambda r: piece(r, "^", 5) == "MR"), 0)
-    mrn = piece(F.coalesce(mr, F.get(reps, 0), F.lit("")), "^", 1)
-    obx = F.filter("segs", lambda s: s.startswith("OBX|"))
-    bad_value = F.exists(obx, lambda s: (piece(s, "|", 3) == "NM") & (piece(s, "|", 6) != "") & ~piece(s, "|", 6).rlike(NUMBER))
-    bad_status = F.exists(obx, lambda s: ~piece(s, "|", 12).rlike("^[CDFINOPRSUWXA]$"))
-    bad_time = F.exists(obx, lambda s: (piece(s, "|", 15) != "") & parse_dtm(piece(s, "|", 15))["error"].isNotNull())
-    bad_id = F.exists("segs", lambda s: ~s.rlike("^[A-Z][A-Z0-9]{2}\\|"))
+    """``msg_id, seq, control_id, mrn, error_code, stage, digest``: rules in order, the first that fails names the error. Fields are split once; results are looked at in one pass."""
+    x = split_message(msgs)
+    kind, control = _at(F.col("MSH"), 8), _at(F.col("MSH"), 9)
+    rep, comp = F.col("repetition_sep"), F.col("component_sep")
+    parts = F.transform(split_by(_at(F.col("PID"), 3), rep, "~"), lambda r: split_by(r, comp, "^"))
+    mr = F.get(F.filter(parts, lambda r: _at(r, 4) == "MR"), 0)
+    mrn = _at(F.coalesce(mr, F.get(parts, 0)), 0)
+    has = lambda names: F.forall(F.array(*(F.lit(n) for n in names)), lambda n: F.array_contains("ids", n))
+    time = lambda f: (f == "") | dtm_valid(f)
+    times = time(_at(F.col("EVN"), 2)) & time(_at(F.col("PID"), 7)) & time(_at(F.col("PV1"), 44)) & time(_at(F.col("PV1"), 45)) & time(_at(F.col("OBR"), 7))
+
+    def result(f: Column) -> Column:
+        code = split_by(_at(f, 3), comp, "^")
+        no_code = (_at(code, 0) == "") & (_at(code, 1) == "")
+        return F.when(~time(_at(f, 14)), "TIMESTAMP_INVALID").when(~_at(f, 11).rlike("^[CDFINOPRSUWXA]$"), "RESULT_STATUS_INVALID").when(no_code, "OBSERVATION_CODE_MISSING").otherwise(value_type_error(_at(f, 2), _at(f, 5), rep, comp))
+
+    first_fault = F.get(F.array_compact(F.transform(F.filter("fields", lambda f: f[0] == "OBX"), result)), 0)
     error = F.coalesce(
-        F.col("header_error"), F.when(bad_id, "SEGMENT_ID_INVALID"), F.when(~kind.isin(*TYPES), "MESSAGE_TYPE_UNSUPPORTED"), F.when(control == "", "CONTROL_ID_MISSING"),
-        F.when(parse_dtm(_field(F.col("segs"), "MSH", 7))["error"].isNotNull(), "TIMESTAMP_INVALID"),
+        F.col("header_error"), F.when(F.exists("ids", lambda i: ~i.rlike("^[A-Z][A-Z0-9]{2}$")), "SEGMENT_ID_INVALID"), F.when(~kind.isin(*TYPES), "MESSAGE_TYPE_UNSUPPORTED"), F.when(control == "", "CONTROL_ID_MISSING"),
+        F.when(~dtm_valid(_at(F.col("MSH"), 6)), "TIMESTAMP_INVALID"),
         F.when(F.when(kind.startswith("ADT"), ~has(REQUIRED["ADT"])).otherwise(~has(REQUIRED["ORU"])), "SEGMENT_MISSING"), F.when(mrn == "", "MRN_MISSING"),
-        F.when(bad_time, "TIMESTAMP_INVALID"), F.when(bad_status, "RESULT_STATUS_INVALID"), F.when(bad_value, "VALUE_NOT_NUMERIC"),
+        F.when(~times, "TIMESTAMP_INVALID"), first_fault,
     )
-    stage = F.when(error.isin("MSH_MISSING", "ENCODING_CHARACTERS_INVALID", "SEGMENT_ID_INVALID"), "parse").when(error.isNotNull(), "validate")
-    return x.select("msg_id", "seq", control.alias("control_id"), mrn.alias("mrn"), error.alias("error_code"), stage.alias("stage"), F.sha2(F.col("raw"), 256).alias("digest"))
+    y = x.select("msg_id", "seq", control.alias("control_id"), mrn.alias("mrn"), error.alias("error_code"), F.sha2(F.col("raw"), 256).alias("digest"))
+    stage = F.when(F.col("error_code").isin("MSH_MISSING", "ENCODING_CHARACTERS_INVALID", "SEGMENT_ID_INVALID"), "parse").when(F.col("error_code").isNotNull(), "validate")
+    return y.select("msg_id", "seq", "control_id", "mrn", "error_code", stage.alias("stage"), "digest")
+
+
+def warnings(msgs: DataFrame) -> DataFrame:
+    """``msg_id, codes``: what an accepted message is warned of, each code once, in the order of the rules."""
+    raw, x = F.col("raw"), split_message(msgs)
+    ranges = F.create_map(*(F.lit(v) for k, (c, _) in LOINC.items() for v in (c, k)))
+    low, high = (F.create_map(*(F.lit(v) for k, (c, _) in LOINC.items() for v in (c, float(DISPLAY[k][i])))) for i in (1, 2))
+    obx = F.filter("fields", lambda f: f[0] == "OBX")
+    code = lambda f: split_by(_at(f, 3), F.col("component_sep"), "^")
+    known = lambda f: (_at(code(f), 2) == "LN") & ranges[_at(code(f), 0)].isNotNull()
+    number = lambda f: F.when(_at(f, 2) == "NM", parse_nm(_at(f, 5)))
+    odd = lambda f: known(f) & F.coalesce((number(f) < low[_at(code(f), 0)]) | (number(f) > high[_at(code(f), 0)]), F.lit(False))
+    found = {
+        "SEGMENT_TERMINATOR_NOT_CR": raw.contains("\n"), "TRAILING_SEPARATOR": F.exists("fields", lambda f: (F.size(f) > 1) & (F.element_at(f, -1) == "")),
+        "NON_ASCII_BYTES": raw.rlike("[^\\x00-\\x7F]") & (_at(F.col("MSH"), 17) == ""), "OBSERVATION_CODE_UNKNOWN": F.exists(obx, lambda f: ~known(f)), "VALUE_IMPLAUSIBLE": F.exists(obx, odd),
+    }
+    return x.select("msg_id", F.array_compact(F.array(*(F.when(c, k) for k, c in found.items()))).alias("codes"))
+
+
+def sniff_header(raw: Column) -> Column:
+    """``sender, facility, kind, control_id`` of the first line, as far as they can be read, for messages that no rule accepts."""
+    line = F.get(F.split(raw, "[\r\n]", 2), 0)
+    f = split_by(line, F.coalesce(F.nullif(F.substring(line, 4, 1), F.lit("")), F.lit("|")), "|")
+    at = lambda n: F.when(line.startswith("MSH"), F.nullif(_at(f, n), F.lit("")))
+    return F.struct(at(2).alias("sender"), at(3).alias("facility"), at(8).alias("kind"), at(9).alias("control_id"))
+
+
+def cx(field: Column) -> Column:
+    """An identifier with its authority and type; valid with an id."""
+    p = F.split(field, "\\^", -1)
+    return F.struct(_at(p, 0).alias("id"), _at(p, 3).alias("authority"), _at(p, 4).alias("kind"), (_at(p, 0) != "").alias("valid"))
+
+
+def xpn(field: Column) -> Column:
+    """A person's name; valid with a family or a given name."""
+    p = F.split(field, "\\^", -1)
+    return F.struct(_at(F.split(_at(p, 0), "&", -1), 0).alias("family"), _at(p, 1).alias("given"), _at(p, 2).alias("middle"), ((_at(p, 0) != "") | (_at(p, 1) != "")).alias("valid"))
+
+
+def cwe(field: Column) -> Column:
+    """A coded value; valid with an identifier or a text."""
+    p = F.split(field, "\\^", -1)
+    return F.struct(_at(p, 0).alias("identifier"), _at(p, 1).alias("text"), _at(p, 2).alias("system"), ((_at(p, 0) != "") | (_at(p, 1) != "")).alias("valid"))
 
 
 def dedupe_control_ids(results: DataFrame) -> DataFrame:
     """``disposition``: accepted, retransmission (same id and bytes) or rejected (same id, other bytes, CONTROL_ID_DUPLICATE). Only valid messages reserve an id."""
     valid = F.col("error_code").isNull()
-    w = Window.partitionBy("control_id", valid).orderBy("seq")
+    # messages that are not valid reserve nothing, so each is a group of its own
+    w = Window.partitionBy(F.when(valid, F.col("control_id")), F.when(~valid, F.col("msg_id"))).orderBy("seq")
     first, n = F.first("digest").over(w), F.row_number().over(w)
     clash = valid & (n > 1) & (first != F.col("digest"))
     x = results.withColumns({"_first": first, "_n": n, "_clash": clash})

@@ -135,3 +135,16 @@ def sequences(hours: DataFrame, variables=VARIABLES) -> DataFrame:
         mean, sd = r[f"{v}_m"] or 0.0, r[f"{v}_s"] or 1.0
         parts += [F.coalesce((F.col(f"{v}_last") - mean) / sd, F.lit(0.0)).alias(f"{v}_scaled"), F.col(v).isNotNull().cast("double").alias(f"{v}_mask"), F.coalesce(F.when(F.col(f"{v}_age") <= CAP, F.col(f"{v}_age") / CAP), F.lit(1.0)).alias(f"{v}_since")]
     return base.groupBy(*STAY).agg(F.sort_array(F.collect_list(F.struct("hour", *parts))).alias("steps"))
+
+
+def late(obs: DataFrame) -> DataFrame:
+    """``obs`` with ``late``: an earlier arrival (``seq``) of the stay was of a later hour, so this hour is scored already. Late values serve the hours after; the hour is not scored again."""
+    seen = F.max("hour").over(Window.partitionBy("encounter_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    return obs.withColumn("late", F.coalesce(F.col("hour") < seen, F.lit(False)))
+
+
+def restore_state(scored: DataFrame, alerts: DataFrame, history: int = 31) -> DataFrame:
+    """Per stay: the last scored hour, the hour and score of the last alert, and the first hour that later features need."""
+    last = scored.groupBy(*STAY).agg(F.max("hour").alias("last_hour"))
+    fired = alerts.where("alert").groupBy(*STAY).agg(F.max(F.struct("hour", "score")).alias("a"))
+    return last.join(fired, list(STAY), "left").select(*STAY, "last_hour", F.col("a.hour").alias("alert_hour"), F.col("a.score").alias("alert_score"), F.greatest(F.lit(1), F.col("last_hour") - history + 1).alias("first_needed"))

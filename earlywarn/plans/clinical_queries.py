@@ -329,9 +329,9 @@ def lead_times(spark, d):
     return ev.weighted_percentile(_summary(spark, d).where("detected and not excluded").withColumn("w", F.lit(1.0)), "lead_time", "w", [25.0, 50.0, 75.0])
 
 
-@query("H10_quantile_grid", f"WITH {NEWS_SQL}, q AS (SELECT unnest(quantile_cont(p, [" + ", ".join(f"{i}/40.0" for i in range(41)) + "])) AS t FROM scored) SELECT DISTINCT round(t, 9) AS threshold FROM q")
+@query("H10_quantile_grid", f"WITH {NEWS_SQL}, q AS (SELECT unnest(quantile_cont(p, [" + ", ".join(f"{i}/399.0" for i in range(400)) + "])) AS t FROM scored) SELECT DISTINCT round(t, 9) AS threshold FROM q")
 def quantile_grid(spark, d):
-    return ev.quantiles(scored(spark, d), "p", 41)
+    return ev.quantiles(scored(spark, d), "p", 400)
 
 
 @query("H13_news2_operating_point", WITH_ALERTS + ", m AS (" + _EVENTS + ") SELECT alerts_per_patient_day AS target FROM m")
@@ -374,12 +374,76 @@ def leakage(spark, d):
     return o.where("site = 'A'").select("encounter_id").intersect(o.where("site = 'B'").select("encounter_id")).agg(F.count(F.lit(1)).alias("shared"))
 
 
-@query("H12_choose_fixed_sensitivity")
-def thresholds(spark, d):
+_TABLE = WITH_ALERTS + """, tw AS (SELECT t AS threshold, s.* FROM scored s, (SELECT CAST(unnest(range(1, 13)) AS DOUBLE) AS t)),
+wt(threshold, encounter_id, hour, alert, lh, ls) AS (
+  SELECT threshold, encounter_id, hour, score >= threshold, CASE WHEN score >= threshold THEN hour END, CASE WHEN score >= threshold THEN score END FROM tw WHERE hour = 1
+  UNION ALL
+  SELECT s.threshold, s.encounter_id, s.hour, f.fire, CASE WHEN f.fire THEN s.hour ELSE w.lh END, CASE WHEN f.fire THEN s.score ELSE w.ls END
+  FROM wt w JOIN tw s ON s.threshold = w.threshold AND s.encounter_id = w.encounter_id AND s.hour = w.hour + 1,
+  LATERAL (SELECT coalesce(s.score >= s.threshold AND NOT (w.lh IS NOT NULL AND s.hour - w.lh < 6 AND NOT s.score >= w.ls + 2), false) AS fire) f),
+st AS (SELECT threshold, w.encounter_id, septic, count(*) AS hours, sum(CASE WHEN alert THEN 1 ELSE 0 END) AS alerts, max(CASE WHEN alert AND hour BETWEEN onset_hour - 48 AND onset_hour THEN 1 ELSE 0 END) AS hit
+       FROM wt w JOIN outcome o USING (encounter_id) WHERE NOT (septic AND NOT onset_known) GROUP BY ALL),
+tab AS (SELECT threshold, round(sum(alerts) * CAST(24.0 AS DOUBLE) / sum(hours), 9) AS alerts_per_patient_day, round(CAST(sum(CASE WHEN septic THEN hit ELSE 0 END) AS DOUBLE) / sum(CASE WHEN septic THEN 1 END), 9) AS sensitivity FROM st GROUP BY 1)"""
+
+
+def _thresholds(spark, d):
     x = h.with_label(hours_of(spark, d))
     return ev.threshold_table(scored(spark, d), h.stay_outcomes(x), [float(t) for t in range(1, 13)], rise_margin=2.0)
 
 
+@query("H12_choose_fixed_sensitivity", _TABLE + " SELECT * FROM tab WHERE threshold = (SELECT coalesce(max(CASE WHEN sensitivity >= 0.8 THEN threshold END), min(threshold)) FROM tab)")
+def fixed_sensitivity(spark, d):
+    t = _thresholds(spark, d)
+    return ev.choice(t, ev.choose_fixed_sensitivity(t))
+
+
+@query("H11_choose_matched_burden", _TABLE + ", k AS (SELECT 1.5 AS target, coalesce(max(CASE WHEN alerts_per_patient_day >= 1.5 THEN threshold END), min(threshold)) AS a FROM tab) SELECT tab.* FROM tab, k WHERE threshold IN (a, a + 1) ORDER BY abs(alerts_per_patient_day - target), threshold DESC LIMIT 1")
+def matched_burden(spark, d):
+    t = _thresholds(spark, d)
+    return ev.choice(t, ev.choose_matched_burden(t, 1.5))
+
+
+@query("H3_curves", f"WITH {NEWS_SQL}{_RANK}, g AS (SELECT max(tp) AS p, max(fp) AS n FROM c) SELECT 'roc' AS curve, CAST(s AS DOUBLE) AS threshold, round(fp / n, 9) AS x, round(tp / p, 9) AS y FROM c, g UNION ALL SELECT 'pr', CAST(s AS DOUBLE), round(tp / p, 9), round(tp / (tp + fp), 9) FROM c, g")
+def curves(spark, d):
+    return ev.curves(scored(spark, d), "label", "score")
+
+
+@query("H9_bootstrap", WITH_ALERTS + """, st AS (SELECT *, row_number() OVER (ORDER BY site, encounter_id) - 1 AS i FROM summary), n AS (SELECT count(*) AS n FROM st),
+dr AS (SELECT r, CAST('0x' || substr(md5('2019/' || r || '/' || j), 1, 8) AS BIGINT) % n AS i FROM n, range(1000) a(r), range(100000) b(j) WHERE j < n), w AS (SELECT r, i, count(*) AS w FROM dr GROUP BY 1, 2),
+m AS (SELECT r, sum(CASE WHEN septic AND detected THEN w ELSE 0 END)::DOUBLE / sum(CASE WHEN septic THEN w END) AS a, sum(w * alerts) * CAST(24.0 AS DOUBLE) / sum(w * hours) AS b FROM w JOIN st USING (i) WHERE NOT excluded GROUP BY 1)
+SELECT 'event_sensitivity' AS metric, round(quantile_cont(a, 0.025), 9) AS low, round(quantile_cont(a, 0.975), 9) AS high FROM m UNION ALL SELECT 'alerts_per_patient_day', round(quantile_cont(b, 0.025), 9), round(quantile_cont(b, 0.975), 9) FROM m""")
+def bootstrapped(spark, d):
+    return ev.bootstrap(_summary(spark, d))
+
+
+@query("H21_cross_site_eval", WITH_ALERTS + """, t AS (SELECT site, score AS s, CAST(sum(label) AS DOUBLE) AS p, CAST(sum(1 - label) AS DOUBLE) AS n FROM scored GROUP BY 1, 2), c AS (SELECT site, p, n, sum(p) OVER (PARTITION BY site ORDER BY s DESC) AS tp, sum(n) OVER (PARTITION BY site ORDER BY s DESC) AS fp FROM t),
+ra AS (SELECT site, round(sum(n * (2 * tp - p) / 2) / max(tp) / max(fp), 9) AS auroc, round(sum(p * tp / (tp + fp)) / max(tp), 9) AS auprc FROM c GROUP BY 1), br AS (SELECT site, round(avg((p - label) * (p - label)), 9) AS brier FROM scored GROUP BY 1),
+es AS (SELECT site, round(sum(CASE WHEN septic AND detected THEN 1 ELSE 0 END) * CAST(1.0 AS DOUBLE) / sum(CASE WHEN septic THEN 1 END), 9) AS event_sensitivity, round(sum(alerts) * CAST(24.0 AS DOUBLE) / sum(hours), 9) AS alerts_per_patient_day FROM summary WHERE NOT excluded GROUP BY 1),
+u AS (SELECT site, auroc, auprc, event_sensitivity, alerts_per_patient_day, brier FROM ra JOIN br USING (site) JOIN es USING (site))
+SELECT CASE site WHEN 'A' THEN 'B' ELSE 'A' END AS train, site AS test, metric, value FROM (UNPIVOT u ON auroc, auprc, event_sensitivity, alerts_per_patient_day, brier INTO NAME metric VALUE value)""")
+def crossed(spark, d):
+    return ev.cross_site(scored(spark, d), h.stay_outcomes(h.with_label(hours_of(spark, d))), POLICY)
+
+
+@query("F13_calibrated_parity", f"WITH {HOURS_SQL} SELECT count(*) AS rows, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS differing FROM wide")
+def parity(spark, d):
+    """The score of the feature table against that of the scoring path."""
+    features = h.build_features(hours_of(spark, d)).select("encounter_id", "hour", F.col("news2_total").cast("double").alias("score"))
+    return ev.parity(scored(spark, d).withColumn("score", F.col("score").cast("double")), features, ["encounter_id", "hour"], "score", 1e-6)
+
+
+@query("F8_stream_late", f"WITH {OBS_SQL}, s AS (SELECT encounter_id, hour < max(hour) OVER (PARTITION BY encounter_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS late FROM obs WHERE variable NOT IN ('FiO2', 'Lactate')) SELECT encounter_id, sum(CASE WHEN late THEN 1 ELSE 0 END)::BIGINT AS late, count(*) AS rows FROM s GROUP BY 1")
+def late_rows(spark, d):
+    x = h.late(observations(spark, d).where("variable not in ('FiO2', 'Lactate')"))
+    return x.groupBy("encounter_id").agg(F.sum(F.col("late").cast("long")).alias("late"), F.count(F.lit(1)).alias("rows"))
+
+
+@query("D9_restore_state", WITH_ALERTS + " SELECT encounter_id, site, max(hour) AS last_hour, max(CASE WHEN alert THEN hour END) AS alert_hour, CAST(arg_max(CASE WHEN alert THEN score END, CASE WHEN alert THEN hour END) AS DOUBLE) AS alert_score, greatest(1, max(hour) - 30) AS first_needed FROM walk GROUP BY 1, 2")
+def restored(spark, d):
+    a = alerts_of(spark, d)
+    return h.restore_state(a, a)
+
+
 @query("H20_data_fingerprint", WITH_ALERTS + ", st AS (SELECT encounter_id, site, count(*) AS n, sha256(string_agg(hour || ':' || label, ',' ORDER BY hour, label)) AS h FROM long GROUP BY 1, 2), nm AS (SELECT n, sha256(site || '/' || encounter_id || '/' || h) AS h FROM st), b AS (SELECT substr(h, 1, 3) AS b, count(*) AS stays, sum(n) AS rows, sha256(string_agg(h, ',' ORDER BY h)) AS h FROM nm GROUP BY 1) SELECT CAST(sum(stays) AS BIGINT) AS stays, CAST(sum(rows) AS BIGINT) AS rows, sha256(string_agg(h, ',' ORDER BY b)) AS digest FROM b")
 def data_fingerprint(spark, d):
     return ev.fingerprint(h.with_label(hours_of(spark, d)))

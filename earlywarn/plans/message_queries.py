@@ -118,7 +118,45 @@ def observations_parsed(spark, d):
     return hl7.to_observations(messages(spark, d)).select("id", "mrn", "encounter", "code", "effective")
 
 
-@query("D11_parse_dtm", "SELECT event_id, date_trunc('second', ts) AS ts, 'second' AS \"precision\" FROM events")
+@query("D11_parse_dtm", "SELECT event_id, CASE WHEN event_id % 4 <> 3 THEN CASE WHEN event_id % 4 = 1 THEN date_trunc('second', ts) + INTERVAL 250 MILLISECOND ELSE date_trunc('second', ts) END END AS ts, CASE event_id % 4 WHEN 0 THEN 'second' WHEN 1 THEN 'fraction' WHEN 2 THEN 'second' END AS \"precision\", CASE WHEN event_id % 4 = 2 THEN -90 END AS minutes, CASE WHEN event_id % 4 = 3 THEN 'TIMESTAMP_INVALID' END AS error FROM events")
 def dtm(spark, d):
-    p = hl7.parse_dtm(F.date_format("ts", "yyyyMMddHHmmss"))
-    return table(spark, d, "events").select("event_id", p.alias("p")).select("event_id", "p.ts", "p.precision")
+    k, text = F.col("event_id") % 4, F.date_format("ts", "yyyyMMddHHmmss")
+    given = F.when(k == 1, F.concat(text, F.lit(".25"))).when(k == 2, F.concat(text, F.lit("-0130"))).when(k == 3, F.concat(text, F.lit("+0175"))).otherwise(text)
+    p = hl7.parse_dtm(given)
+    return table(spark, d, "events").select("event_id", p.alias("p")).select("event_id", "p.ts", "p.precision", F.col("p.offset").alias("minutes"), "p.error")
+
+
+@query("B7_hl7_composites", "SELECT c_custkey, 'MRN' || c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'HOSP' END AS authority, c_custkey % 5 <> 0 AS id_valid, c_name AS family, c_custkey % 7 <> 0 AS name_valid, c_mktsegment AS code_text, c_custkey % 11 <> 0 AS code_valid FROM customer".replace("'MRN' || c_custkey AS id", "CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'MRN' || c_custkey END AS id").replace("c_name AS family", "CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_name END AS family").replace("c_mktsegment AS code_text", "CASE WHEN c_custkey % 11 = 0 THEN '' ELSE c_mktsegment END AS code_text"))
+def composites(spark, d):
+    k = F.col("c_custkey")
+    either = lambda n, c: F.when(k % n == 0, "").otherwise(c)
+    ids = F.concat(either(5, F.concat(F.lit("MRN"), k.cast("string"))), F.lit("^^^"), either(3, F.lit("HOSP")), F.lit("^MR"))
+    x = table(spark, d, "customer").select("c_custkey", hl7.cx(ids).alias("i"), hl7.xpn(either(7, F.col("c_name"))).alias("n"), hl7.cwe(F.concat(F.lit("^"), either(11, F.col("c_mktsegment")), F.lit("^L"))).alias("c"))
+    return x.select("c_custkey", "i.id", "i.authority", F.col("i.valid").alias("id_valid"), "n.family", F.col("n.valid").alias("name_valid"), F.col("c.text").alias("code_text"), F.col("c.valid").alias("code_valid"))
+
+
+_WARNED = "CASE seq % 6 WHEN 0 THEN 'SEGMENT_TERMINATOR_NOT_CR' WHEN 1 THEN 'TRAILING_SEPARATOR' WHEN 2 THEN 'NON_ASCII_BYTES' WHEN 3 THEN 'OBSERVATION_CODE_UNKNOWN' ELSE '' END"
+
+
+@query("B10_hl7_warnings", f"WITH {_MSG} SELECT msg_id, {_WARNED} AS codes FROM msg")
+def warned(spark, d):
+    raw, k = F.col("raw"), F.col("seq") % 6
+    marked = F.when(k == 0, F.replace(raw, F.lit("\r"), F.lit("\n"))).when(k == 1, F.concat(raw, F.lit("|"))).when(k == 2, F.replace(raw, F.lit("FAMILY"), F.lit("FAMÌLIA"))).when(k == 3, F.regexp_replace(raw, "\\^LN\\|", "^L|")).otherwise(raw)
+    plain = messages(spark, d).withColumn("raw", F.regexp_replace(marked, "\\|{3,}(?=\r|\n|$)", ""))
+    # implausible values come with the data, so that code is left to the tests
+    return hl7.warnings(plain).select("msg_id", F.array_join(F.filter("codes", lambda c: c != "VALUE_IMPLAUSIBLE"), ",").alias("codes"))
+
+
+@query("B11_hl7_value_types", "SELECT event_id, CASE event_id % 8 WHEN 1 THEN 'VALUE_NOT_NUMERIC' WHEN 3 THEN 'VALUE_TYPE_MISMATCH' WHEN 5 THEN 'VALUE_TYPE_MISMATCH' WHEN 6 THEN 'VALUE_TYPE_MISMATCH' END AS error FROM events")
+def value_types(spark, d):
+    k, v, t = F.col("event_id") % 8, F.col("value").cast("string"), F.date_format("ts", "yyyyMMddHHmmss")
+    cases = {0: ("NM", v), 1: ("NM", F.concat(v, F.lit("~x"))), 2: ("CWE", F.concat(F.lit("A^"), v, F.lit("~^text"))), 3: ("CE", F.concat(F.lit("A~^^"), v)), 4: ("DTM", F.concat(t, F.lit("~"), t)), 5: ("TS", F.concat(t, F.lit("99"))), 6: ("", v), 7: ("ST", v)}
+    kind, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (a, b) in cases.items():
+        kind, value = F.when(k == i, F.lit(a)).otherwise(kind), F.when(k == i, b).otherwise(value)
+    return table(spark, d, "events").select("event_id", hl7.value_type_error(kind, value).alias("error"))
+
+
+@query("B14_hl7_sniff_header", f"WITH {_MSG}" + " SELECT msg_id, CASE WHEN k NOT IN (0, 7) THEN 'M' || lpad(CAST(encounter_id AS VARCHAR), 6, '0') || lpad(CAST(hour AS VARCHAR), 6, '0') END AS control_id, CASE WHEN k NOT IN (0, 7) THEN CASE WHEN k = 6 THEN 'ORM^O01' ELSE 'ORU^R01' END END AS kind FROM msg")
+def sniffed(spark, d):
+    return hl7.damaged(messages(spark, d)).select("msg_id", hl7.sniff_header(F.col("raw")).alias("h")).select("msg_id", "h.control_id", "h.kind")

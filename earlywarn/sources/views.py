@@ -15,7 +15,14 @@ VARIABLES = tuple(STALENESS)
 #: The 13 codes of the reference table.
 LOINC = {
     "HR": ("8867-4", "/min"), "O2Sat": ("59408-5", "%"), "Temp": ("8310-5", "Cel"), "SBP": ("8480-6", "mm[Hg]"), "MAP": ("8478-0", "mm[Hg]"), "DBP": ("8462-4", "mm[Hg]"), "Resp": ("9279-1", "/min"),
-    "FiO2": ("3150-6", "%"), "Lactate": ("2524-7", "mmol/L"), "WBC": ("6690-2", "10*3/uL"), "Creatinine": ("2160-0", "mg/dL"), "Platelets": ("777-3", "10*3/uL"), "Bilirubin_total": ("1975-2", "mg/dL"),
+    "FiO2": ("3150-0", "1"), "Lactate": ("2524-7", "mmol/L"), "WBC": ("6690-2", "10*3/uL"), "Creatinine": ("2160-0", "mg/dL"), "Platelets": ("777-3", "10*3/uL"), "Bilirubin_total": ("1975-2", "mg/dL"),
+}
+
+
+#: Display names and plausible ranges of the same codes.
+DISPLAY = {
+    "HR": ("Heart rate", 0, 300), "O2Sat": ("SpO2", 0, 100), "Temp": ("Temperature", 25, 45), "SBP": ("Systolic BP", 0, 300), "MAP": ("Mean BP", 0, 300), "DBP": ("Diastolic BP", 0, 250), "Resp": ("Respiratory rate", 0, 100),
+    "FiO2": ("FiO2", 0.15, 1.0), "Lactate": ("Lactate", 0, 40), "WBC": ("WBC", 0, 500), "Creatinine": ("Creatinine", 0, 30), "Platelets": ("Platelets", 0, 2000), "Bilirubin_total": ("Bilirubin", 0, 75),
 }
 
 
