@@ -202,7 +202,7 @@ def choice(table: DataFrame, threshold: float | None) -> DataFrame:
 def curves(df: DataFrame, label: str, score: str, most: int = 200) -> DataFrame:
     """``curve, threshold, x, y``: ROC (false and true positive rate) and PR (recall, precision) at distinct scores, at most ``most`` evenly spaced ones of them."""
     steps = running(_steps(df, label, score, None), [], [F.desc("s")], {"i": F.lit(1)})
-    total = df.where(F.col(score).isNotNull()).agg(F.sum(F.col(label)).cast("double").alias("P"), F.sum(1 - F.col(label)).cast("double").alias("N"), F.count_distinct(score).alias("m"))
+    total = df.where(F.col(score).isNotNull()).agg(F.sum(F.col(label)).cast("double").alias("_P"), F.sum(1 - F.col(label)).cast("double").alias("_N"), F.count_distinct(score).alias("m"))
     x = steps.crossJoin(F.broadcast(total))  # one row
     place, last = F.col("i") - 1, F.col("m") - 1
     # positions are rounded half to even: the i-th is kept if a multiple of the step rounds to it
@@ -210,8 +210,8 @@ def curves(df: DataFrame, label: str, score: str, most: int = 200) -> DataFrame:
     near = F.round(place / step)
     kept = (F.col("m") <= most) | (F.bround(near * step) == place) | (F.bround((near - 1) * step) == place) | (F.bround((near + 1) * step) == place)
     x = x.where(kept)
-    roc = x.select(F.lit("roc").alias("curve"), F.col("s").cast("double").alias("threshold"), F.round(F.col("fp") / F.col("N"), 9).alias("x"), F.round(F.col("tp") / F.col("P"), 9).alias("y"))
-    return roc.unionByName(x.select(F.lit("pr").alias("curve"), F.col("s").cast("double").alias("threshold"), F.round(F.col("tp") / F.col("P"), 9).alias("x"), F.round(F.col("tp") / (F.col("tp") + F.col("fp")), 9).alias("y")))
+    roc = x.select(F.lit("roc").alias("curve"), F.col("s").cast("double").alias("threshold"), F.round(F.col("fp") / F.col("_N"), 9).alias("x"), F.round(F.col("tp") / F.col("_P"), 9).alias("y"))
+    return roc.unionByName(x.select(F.lit("pr").alias("curve"), F.col("s").cast("double").alias("threshold"), F.round(F.col("tp") / F.col("_P"), 9).alias("x"), F.round(F.col("tp") / (F.col("tp") + F.col("fp")), 9).alias("y")))
 
 
 def bootstrap(summaries: DataFrame, resamples: int = 1000, seed: int = 2019) -> DataFrame:

@@ -138,8 +138,8 @@ def value_type_error(kind: Column, value: Column, rep: Column | str = "~", comp:
 def validate(msgs: DataFrame) -> DataFrame:
     """``msg_id, seq, control_id, mrn, error_code, stage, digest``: rules in order, the first that fails names the error. Fields are split once; results are looked at in one pass."""
     x = split_message(msgs)
-    kind, control = _at(F.col("MSH"), 8), _at(F.col("MSH"), 9)
     rep, comp = F.col("repetition_sep"), F.col("component_sep")
+    kind, control = F.array_join(split_by(_at(F.col("MSH"), 8), comp, "^"), "^"), _at(F.col("MSH"), 9)
     parts = F.transform(split_by(_at(F.col("PID"), 3), rep, "~"), lambda r: split_by(r, comp, "^"))
     mr = F.get(F.filter(parts, lambda r: _at(r, 4) == "MR"), 0)
     mrn = _at(F.coalesce(mr, F.get(parts, 0)), 0)

@@ -417,10 +417,10 @@ def bootstrapped(spark, d):
 
 
 @query("H21_cross_site_eval", WITH_ALERTS + """, t AS (SELECT site, score AS s, CAST(sum(label) AS DOUBLE) AS p, CAST(sum(1 - label) AS DOUBLE) AS n FROM scored GROUP BY 1, 2), c AS (SELECT site, p, n, sum(p) OVER (PARTITION BY site ORDER BY s DESC) AS tp, sum(n) OVER (PARTITION BY site ORDER BY s DESC) AS fp FROM t),
-ra AS (SELECT site, round(sum(n * (2 * tp - p) / 2) / max(tp) / max(fp), 9) AS auroc, round(sum(p * tp / (tp + fp)) / max(tp), 9) AS auprc FROM c GROUP BY 1), br AS (SELECT site, round(avg((p - label) * (p - label)), 9) AS brier FROM scored GROUP BY 1),
+ra AS (SELECT site, CASE WHEN max(tp) > 0 AND max(fp) > 0 THEN round(sum(n * (2 * tp - p) / 2) / max(tp) / max(fp), 9) END AS auroc, CASE WHEN max(tp) > 0 THEN round(sum(p * tp / (tp + fp)) / max(tp), 9) END AS auprc FROM c GROUP BY 1), br AS (SELECT site, round(avg((p - label) * (p - label)), 9) AS brier FROM scored GROUP BY 1),
 es AS (SELECT site, round(sum(CASE WHEN septic AND detected THEN 1 ELSE 0 END) * CAST(1.0 AS DOUBLE) / sum(CASE WHEN septic THEN 1 END), 9) AS event_sensitivity, round(sum(alerts) * CAST(24.0 AS DOUBLE) / sum(hours), 9) AS alerts_per_patient_day FROM summary WHERE NOT excluded GROUP BY 1),
 u AS (SELECT site, auroc, auprc, event_sensitivity, alerts_per_patient_day, brier FROM ra JOIN br USING (site) JOIN es USING (site))
-SELECT CASE site WHEN 'A' THEN 'B' ELSE 'A' END AS train, site AS test, metric, value FROM (UNPIVOT u ON auroc, auprc, event_sensitivity, alerts_per_patient_day, brier INTO NAME metric VALUE value)""")
+SELECT CASE site WHEN 'A' THEN 'B' ELSE 'A' END AS train, site AS test, metric, value FROM (SELECT site, 'auroc' AS metric, auroc AS value FROM u UNION ALL SELECT site, 'auprc', auprc FROM u UNION ALL SELECT site, 'event_sensitivity', event_sensitivity FROM u UNION ALL SELECT site, 'alerts_per_patient_day', alerts_per_patient_day FROM u UNION ALL SELECT site, 'brier', brier FROM u)""")
 def crossed(spark, d):
     return ev.cross_site(scored(spark, d), h.stay_outcomes(h.with_label(hours_of(spark, d))), POLICY)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from earlywarn.operators import hourly
+from earlywarn.operators import fhir, hl7, hourly
 
 
 def throughput_stream(log: DataFrame, every: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -42,3 +42,21 @@ def score_batches(obs: DataFrame, store: str, sink: Callable[[DataFrame, int], N
         sink(closed.select("encounter_id", "site", "hour", F.col("news2.total").alias("score")), number)
 
     return obs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def convert_messages(msgs: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Validated messages of a stream (``msg_id, seq, raw``) as resource tables below ``out``: patients, encounters, observations, and the errors of what does not convert.
+
+    A batch writes its own partition of each table, by overwriting, and is committed after that: a batch that runs again gives the same rows."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        valid = hl7.validate(df).where("error_code is null").select("msg_id")
+        kept = df.join(valid, "msg_id", "left_semi").persist()
+        errors = fhir.conversion_errors(kept)
+        fine = kept.join(errors.select("msg_id"), "msg_id", "left_anti")
+        tables = {"patients": fhir.patients(fine), "encounters": fhir.encounters(fine), "observations": hl7.to_observations(fine), "errors": errors}
+        for name, table in tables.items():
+            table.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+        kept.unpersist()
+
+    return msgs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
