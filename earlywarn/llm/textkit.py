@@ -5,6 +5,7 @@ All functions see whole texts. Hashes depend on the bytes only, so they agree be
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -12,9 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: The odd base of the rolling hash and its inverse modulo 2**64, the multipliers for word positions in a shingle.
+#: An odd multiplier, and the multipliers for word positions in a shingle.
 BASE = 0x9E3779B97F4A7C15
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
 POSITION = np.array([0x9DDFEA08EB382D69, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 CHUNK_BYTES = 1 << 20
@@ -41,19 +41,11 @@ BLANK_WORDS = _byte_table(lambda b: not (b == 0x20 or 0x09 <= b <= 0x0D))
 ALNUM_WORDS = _byte_table(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
-
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 65536)
-        for k, base in enumerate((BASE, BASE_INVERSE)):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers
+_LOWER = LOWER.tobytes()
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+#: Words of more bytes are hashed one at a time.
+LONG_WORD = 64
 
 
 class Words(NamedTuple):
@@ -87,8 +79,10 @@ def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iter
 
 def words(buf: np.ndarray, off: np.ndarray, table: np.ndarray = BLANK_WORDS, lower: bool = True, breaks: int | None = None) -> Words:
     """Find words. With ``breaks`` (a byte value) rows are the runs between such bytes, for example lines, instead of documents."""
+    raw = buf.tobytes()
     if lower:
-        buf = LOWER[buf]
+        raw = raw.translate(_LOWER)
+        buf = np.frombuffer(raw, np.uint8)
     n = len(buf)
     if breaks is not None:
         cuts = np.flatnonzero(buf == breaks) + 1
@@ -96,7 +90,7 @@ def words(buf: np.ndarray, off: np.ndarray, table: np.ndarray = BLANK_WORDS, low
     if not n:
         z = np.zeros(0, np.int64)
         return Words(z, z, z, np.zeros(len(off) - 1, np.int64), buf, off)
-    inside = table[buf]
+    inside = np.frombuffer(raw.translate(table.tobytes()), bool)
     cut = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     cut = np.concatenate([np.zeros(int(inside[0]), np.int64), cut, np.full(int(inside[-1]), n)])
     # rows that end and begin within a word
@@ -114,12 +108,16 @@ def word_hashes(w: Words) -> np.ndarray:
     """One 64-bit hash per word."""
     if not len(w.start):
         return np.zeros(0, np.uint64)
-    power, inverse = _power_tables(len(w.buf) + 1)
-    weighted = _VALUE[w.buf] * power[: len(w.buf)]
-    total = np.empty(len(w.buf) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(weighted, out=total[1:])
-    return mix((total[w.end] - total[w.start]) * inverse[w.start] + (w.end - w.start).astype(np.uint64))
+    size = w.end - w.start
+    eight = np.ndarray(len(w.buf) + 1, "<u8", np.concatenate([w.buf, np.zeros(8, np.uint8)]), strides=1)  # the eight bytes from every place
+    h = mix((eight[w.start] & _FIRST[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(BASE))
+    rest = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    for done in range(8, LONG_WORD, 8):
+        h[rest] = mix(h[rest] * np.uint64(BASE) ^ (eight[w.start[rest] + done] & _FIRST[np.minimum(size[rest] - done, 8)]))
+        rest = rest[size[rest] > done + 8]
+    for x in np.flatnonzero(size > LONG_WORD):
+        h[x] = int.from_bytes(hashlib.blake2b(w.buf[w.start[x] : w.end[x]], digest_size=8).digest(), "little")
+    return h
 
 
 def shingles(h: np.ndarray, per_row: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
