@@ -26,8 +26,8 @@ ORDER_SLOTS = 1 << 20
 LOOKUP_BITS = 22
 FREQUENT = 4
 #: Elements a task holds before it passes their counts on.
-HELD_ELEMENTS = 4_000_000
-HELD_POSTINGS = 1_000_000
+HELD_ELEMENTS = 2_000_000
+HELD_POSTINGS = 1 << 18
 #: Postings of one range (one task).
 RANGE_POSTINGS = 600_000
 
