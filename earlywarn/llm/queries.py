@@ -87,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _OP2_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_BLANK_WORDS = r"[^\x20\x09-\x0D]+"
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": f"""
@@ -103,4 +104,31 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)""",
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), o AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS owner FROM p)
 SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN strlen(h) >= 1000 AND page_id <> owner THEN 'revisit' ELSE 'response' END AS record_type,
 CASE WHEN strlen(h) >= 1000 AND page_id <> owner THEN owner END AS refers_to FROM o""",
+    "op5_quality_rules": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_BLANK_WORDS}') AS w FROM documents),
+g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY r),
+m AS (SELECT doc_id, source, len(w) AS n_words, coalesce(length(array_to_string(w, '')), 0) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_BLANK_WORDS}')) AS l, coalesce(rep.n, 0) AS n_repeat_words FROM d LEFT JOIN rep USING (r)),
+c AS (SELECT *, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines FROM m),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 4 * n_symbols > n_words OR 2 * n_dup_lines > n_lines AS wide,
+10 * n_symbols > n_words OR 5 * n_dup_lines > n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words AS narrow FROM c),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed OR wide OR narrow) AS k FROM f GROUP BY source),
+s AS (SELECT sum(k) / sum(n) AS m, var_pop(k / n) AS v, avg(1 / n) AS o FROM h),
+b AS (SELECT m, CASE WHEN v > m * (1 - m) * o THEN greatest(1, least(10000, m * (1 - m) / (v - m * (1 - m) * o) - 1)) ELSE 10000 END AS strength FROM s),
+v AS (SELECT source, (k + m * strength) / (n + strength) >= 0.5 AS host_bad FROM h, b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT wide AND NOT (narrow AND host_bad) AS kept, host_bad
+FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source""",
+    "op7_near_duplicates": rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_BLANK_WORDS}') AS w FROM documents),
+p AS (SELECT r, w, least(5, len(w)) AS k, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM d WHERE len(w) > 0),
+s AS MATERIALIZED (SELECT DISTINCT r, array_to_string(w[i : i + k - 1], ' ') AS g FROM p),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+c AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT x, y FROM c JOIN n AS nx ON nx.r = x JOIN n AS ny ON ny.r = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach AS (SELECT r AS a, r AS b FROM n UNION SELECT a, y FROM reach JOIN e ON b = x),
+f AS (SELECT a, min(doc_id) AS component_id FROM reach JOIN d ON d.r = b GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, CASE WHEN n.r IS NULL THEN doc_id ELSE component_id END AS component_id FROM d LEFT JOIN n USING (r) LEFT JOIN f ON f.a = d.r""",
 }
