@@ -49,7 +49,8 @@ UNSEEN = -0.2
 CERTAIN = -30.0
 DEFAULT = {"word": 1.0, "word:a": 0.3, "word:li": 0.6} | {t: -0.1 for t in ("p", "/p", "br", "h1", "/h1", "h2", "/h2", "h3", "/h3", "b", "/b", "i", "/i", "em", "/em", "strong", "/strong", "blockquote", "/blockquote", "span", "/span", "ul", "/ul", "ol", "/ol", "li", "/li")} | {t: -30.0 for t in ("html", "/html", "body", "/body", "article", "/article", "main", "/main")} | {f"!{t}": -0.1 for t in ("div", "script", "style", "aside", "form", "section", "p", "ul", "span")}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
+#: Attribute values are quoted, or run to the next blank or bracket and may hold quotes.
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"'=]|=\s*+[^\s<>\"'][^\s<>]*+|=|\"[^\"]*\"|'[^']*')*+)>", re.S)
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -86,22 +87,23 @@ def tokens(page: str) -> list[tuple[str, str]]:
     return out
 
 
-def _closing(toks: list[tuple[str, str]], at: int) -> int:
-    """The place of the tag that closes the element opened at ``at``, or -1."""
-    name, depth = toks[at][0], 0
-    for k in range(at, len(toks)):
-        if toks[k][0] == name:
-            depth += 1
-        elif toks[k][0] == "/" + name:
-            depth -= 1
-            if not depth:
-                return k
-    return -1
+def _closings(toks: list[tuple[str, str]]) -> dict[int, int]:
+    """The place of the closing tag of each element that has one, by the place of its opening tag."""
+    opened: dict[str, list[int]] = {}
+    out = {}
+    for k, (name, _) in enumerate(toks):
+        if name.startswith("/"):
+            if opened.get(name[1:]):
+                out[opened[name[1:]].pop()] = k
+        elif name:
+            opened.setdefault(name, []).append(k)
+    return out
 
 
 def cleaned(page: str) -> list[tuple[str, str]]:
     """The tokens without the subtrees that surround an article."""
     toks, out, at, inside = tokens(page), [], 0, 0
+    closing = _closings(toks)
     while at < len(toks):
         name, attributes = toks[at]
         if name in ("article", "main"):
@@ -111,7 +113,7 @@ def cleaned(page: str) -> list[tuple[str, str]]:
         if name and name[0] != "/" and name not in ("html", "body", "main", "article"):
             always = name in REMOVED
             if (always or name == "header" or _named(attributes)) and name not in VOID:
-                end = _closing(toks, at)
+                end = closing.get(at, -1)
                 held = {t for t, _ in toks[at : end + 1]} if end >= 0 else set()
                 keep = (not always and bool(held & {"article", "main", "h1"}) and (inside > 0 or bool(held & {"article", "main"}))) or (always and bool(held & {"article", "main"}))
                 if end >= 0 and not keep:

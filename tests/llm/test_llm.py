@@ -349,6 +349,18 @@ def test_html(spark):
     assert html_extract.extract_text(df.limit(0)).count() == 0
 
 
+def test_attributes_without_quotes_and_unclosed_elements():
+    import time
+
+    page = "<html><body><nav class=top>Menu</nav><p title=it's data-x=\"a>b\" hidden2>First   words</p><p id='q'>and <a href=/x?y=1&z=\"2\">a link</a></p></body></html>"
+    assert html_extract.extract(page, dict(html_extract.DEFAULT)) == "First words\nand a link"
+    assert html_extract._closings(html_extract.tokens("<div><p><div></div></div></p></b><i>")) == {0: 4, 1: 5, 2: 3}
+    start = time.monotonic()
+    assert html_extract.extract('<div class="ad">x ' * 20_000, dict(html_extract.DEFAULT)).split() == ["x"] * 20_000
+    assert html_extract.extract("<p a=b c='d' e" * 20_000, dict(html_extract.DEFAULT)).startswith("<p a=b")
+    assert time.monotonic() - start < 10
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>" + "x" * 1200
     rows = [(1, "http://a", big), (2, "http://b", big), (3, None, big), (4, "http://c", "small"), (5, "http://d", "small"), (6, "http://e", None), (None, "http://f", "é" * 600), (7, "http://g\r\nX: y", "é" * 600)]
