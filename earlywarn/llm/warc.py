@@ -1,7 +1,7 @@
 """Content-addressed WARC archive.
 
-A record is its exact header bytes and its payload. Payload bytes are stored once per strong digest (SHA-256); headers are stored for every
-record with the digest of their payload; the original record is header + payload + CRLF CRLF, rebuilt by joining the two on the digest.
+A record is its exact header bytes and its payload. Payload bytes are stored once per strong digest (SHA-256), each deflated by itself as
+in a compressed WARC file; headers are stored for every record with the digest of their payload; the original record is header + payload + CRLF CRLF, rebuilt by joining the two on the digest.
 
 Of records with equal payloads of ``min_bytes`` or more, the one with the largest id is a ``response`` and the others are ``revisit``
 records that refer to it; smaller payloads are all ``response``. The ``WARC-Payload-Digest`` of a header is the base-32 SHA-1 that the
@@ -11,23 +11,26 @@ a mismatch fails the job.
 Defined cases: a null html is an empty payload; a null url gives an empty target; repeated page ids make records of their own that share a
 record id, and copies with one page id refer to that id; an empty table makes an empty archive; other columns are ignored.
 
-Plan: all native functions. Deciding who responds is a partial aggregate by digest, so a hot payload shuffles one row per task. The payload
-of each digest is written from the responding page alone, found by a join on the page id, which is even however hot a payload is. Reading
-joins headers to payloads by digest: Spark splits a hot digest's headers, which are small, and a payload is copied only to records that
-ask for it.
+Plan: deciding who responds is a partial aggregate by digest, so a hot payload shuffles one row per task. Equal digests are equal bytes, so
+any copy can be stored: every batch deflates each digest once, and a partial aggregate sends one deflated payload per digest and task.
+Reading joins headers to deflated payloads by digest: Spark splits a hot digest's headers, which are small, and a payload is copied only
+to records that ask for it, where it is inflated. Nothing is broadcast by choice, and the plan is the same at every size.
 """
 
 from __future__ import annotations
 
 import uuid
+import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earlywarn.llm.storage import materialize, shared_dir
+from earlywarn.llm.storage import shared_dir
 
 MIN_BYTES = 1000
-BROADCAST_OWNERS = 1_000_000
+SLICE_BYTES = 16 << 20
 CRLF = "\r\n"
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -75,7 +78,7 @@ def _headers(pages: DataFrame) -> DataFrame:
 
 
 def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_BYTES) -> None:
-    """Write ``path/payloads`` (digest, n, payload; one row per digest) and ``path/headers`` (page_id, header, digest, stored)."""
+    """Write ``path/payloads`` (digest, packed; one row per digest) and ``path/headers`` (page_id, header, digest, stored)."""
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
     base = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("payload"))
     slim = base.select("page_id", "url", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("digest"), F.sha1("payload").alias("sha1"), F.crc32("payload").alias("crc"))
@@ -88,21 +91,44 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
     joined = slim.join(owners, "digest")
     revisit = (F.col("payload_bytes") >= min_bytes) & F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
     _headers(joined.withColumn("refers_to", F.when(revisit, F.col("owner")))).select("page_id", "header", "digest", "payload_bytes").write.parquet(f"{path}/headers")
-    # the payload of a digest comes from its owner
-    owners = materialize(owners.withColumn("_null", F.col("owner").isNull()))
-    few = F.broadcast(owners) if owners.count() <= BROADCAST_OWNERS else owners
-    keep = base.withColumn("digest", F.sha2("payload", 256)).join(few.withColumnRenamed("digest", "_digest"), (F.col("digest") == F.col("_digest")) & F.col("page_id").eqNullSafe(F.col("owner"))).select("digest", "payload")
-    # only tables where an id repeats with the same payload pay for telling the copies apart
-    if slim.groupBy("page_id", "digest").count().where("count > 1").limit(1).count():
-        keep = keep.dropDuplicates(["digest"])
-    keep.write.parquet(f"{path}/payloads")
+    packed = base.select(F.sha2("payload", 256).alias("digest"), "payload").mapInArrow(_deflate, PACKED)
+    packed.dropDuplicates(["digest"]).write.parquet(f"{path}/payloads")
+
+
+PACKED = "digest string, packed binary"
+RECORD = "header binary, digest string, payload binary"
+
+
+def _deflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``digest, packed``: the first payload of each digest in a batch, deflated."""
+    for batch in batches:
+        digests = batch.column("digest").to_pylist()
+        first = {d: i for i, d in reversed(list(enumerate(digests)))}
+        payloads = batch.column("payload")
+        packed = [zlib.compress(payloads[i].as_py()) for i in first.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.string()), pa.array(packed, pa.binary())], ["digest", "packed"])
+
+
+def _inflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``header, digest, payload`` of headers joined to their deflated payloads, in slices of about ``SLICE_BYTES``; a missing payload stays null."""
+    for batch in batches:
+        header, digest = batch.column("header").cast(pa.binary()), batch.column("digest").cast(pa.string())
+        begin, held, payloads = 0, 0, []
+        for i, packed in enumerate(batch.column("packed")):
+            payloads.append(None if not packed.is_valid else zlib.decompress(packed.as_py()))
+            held += len(payloads[-1] or b"")
+            if held >= SLICE_BYTES or i + 1 == batch.num_rows:
+                n = len(payloads)
+                yield pa.RecordBatch.from_arrays([header.slice(begin, n), digest.slice(begin, n), pa.array(payloads, pa.binary())], ["header", "digest", "payload"])
+                begin, held, payloads = i + 1, 0, []
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """``header, digest, payload, record``: every record as it was, rebuilt and verified. A revisit's record ends with its header."""
     headers, payloads = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads")
-    checked = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.lit("a stored payload does not match its digest")).cast("binary"))
-    both = headers.select("header", "digest").join(payloads.select("digest", checked.alias("payload")), "digest", "left")
+    both = headers.select("header", "digest").join(payloads, "digest", "left").select("header", "digest", "packed").mapInArrow(_inflate, RECORD)
+    checked = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.lit("a stored payload is missing or does not match its digest")).cast("binary"))
+    both = both.withColumn("payload", checked)
     return both.withColumn("_revisit", F.col("header").cast("string").contains(f"{CRLF}WARC-Type: revisit{CRLF}"))
 
 
