@@ -10,19 +10,28 @@ Defined cases: a null text is empty, so without quotes; a null conversation is a
 role and text, and fully equal rows share one place; quotes without a source stay unlinked (counted) and are taken out all the same; quotes of
 later messages don't count; an empty table gives no rows; other columns are ignored.
 
-Plan: one row per message is parsed with SQL functions; only messages that hold quotes, and the passages of their conversations, are
-exploded and joined on (conversation, hash). The order is a path of turns built by pointer doubling: each round joins messages to their
-ancestors by key, so a deep or hot conversation takes log(depth) even rounds and never sits in one task.
+Plan: one pass parses messages, in time linear in each text. Quoted passages and the passages of their conversations are joined on
+(conversation, hash, text) as of the quoting message: each quote meets the latest earlier source only, so a line that many quote and many wrote
+costs their sum. What precedes a row (the message before, the source before, the sibling before) is found over range partitions with
+one carried row a range, so no conversation is one task. Reply order is an Euler tour of the reply tree ranked by pointer doubling: two short
+rows a message at any depth, and a number of even rounds that follows the logarithm of the largest conversation.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from earlywarn.llm.storage import materialize
 
-MARK = r"^[ \t]*((?:>[ \t]*)+)"
+MARK = re.compile(r"[ \t]*((?:>[ \t]*)+)")
+QUOTES = T.ArrayType(T.StructType([T.StructField("level", T.IntegerType()), T.StructField("text", T.StringType())]))
+ARROW_QUOTES = pa.list_(pa.struct([("level", pa.int32()), ("text", pa.string())]))
 
 
 def normal(text: Column) -> Column:
@@ -30,72 +39,101 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " "))
 
 
-def passages(text: Column) -> Column:
-    """Quoted passages of a text as array<struct<level:int, text:string>>, in order."""
-    lines = F.transform(F.split(text, "\n", -1), lambda s: F.struct(F.length(F.regexp_replace(F.regexp_extract(s, MARK, 1), "[^>]", "")).alias("level"), F.regexp_replace(s, MARK, "").alias("text")))
-    start = F.array().cast("array<struct<level:int,text:string>>")
-
-    def step(acc: Column, line: Column) -> Column:
-        joined = F.struct(line["level"].alias("level"), F.concat(F.get(acc, F.size(acc) - 1)["text"], F.lit("\n"), line["text"]).alias("text"))
-        same = (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["level"] == line["level"])
-        return F.when(same, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(line)))
-
-    return F.filter(F.aggregate(lines, start, step), lambda p: p["level"] > 0)
-
-
-def unquoted(text: Column) -> Column:
-    """The text without its quoted lines, trimmed."""
-    kept = F.filter(F.split(text, "\n", -1), lambda s: ~s.rlike(MARK))
-    return F.trim(F.array_join(kept, "\n"))
+def passages(text: str) -> tuple[list[dict], str]:
+    """Quoted passages of a text (level, text) in order, and the text without its quoted lines, trimmed."""
+    runs: list[tuple[int, list[str]]] = []
+    own, level_before = [], 0
+    for line in text.split("\n"):
+        mark = MARK.match(line)
+        level = mark[1].count(">") if mark else 0
+        if not level:
+            own.append(line)
+        elif level == level_before:
+            runs[-1][1].append(line[mark.end() :])
+        else:
+            runs.append((level, [line[mark.end() :]]))
+        level_before = level
+    return [{"level": level, "text": "\n".join(lines)} for level, lines in runs], "\n".join(own).strip(" ")
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        parsed = [passages(t or "") for t in batch.column("given").to_pylist()]
+        arrays = [*batch.columns, pa.array([q for q, _ in parsed], ARROW_QUOTES), pa.array([t for _, t in parsed], pa.string())]
+        yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "quotes", "text"])
+
+
+def _before(df: DataFrame, group: list[str], order: list[str], **wanted: tuple) -> DataFrame:
+    """``df`` with aggregates over the earlier rows of each row's group: ``name=("max" or "sum", column)``.
+
+    Rows lie in range partitions by group and order. Each range sums up itself, and one row per range carries what the group at its head had before."""
+    placed = materialize(df.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()))
+    of = {"max": F.max, "sum": F.sum}
+    earlier = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    held = placed.groupBy("_part", *group).agg(*(of[how](c).alias(name) for name, (how, c) in wanted.items())).withColumn("_g", F.struct(*group))
+    heads = held.groupBy("_part").agg(F.min("_g").alias("_g")).withColumn("_kind", F.lit(0))
+    tails = held.groupBy("_part").agg(F.max("_g").alias("_g"), *(F.max_by(name, "_g").alias(name) for name in wanted)).withColumn("_kind", F.lit(1))
+    carried = Window.partitionBy("_g").orderBy("_part", "_kind").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = heads.unionByName(tails, allowMissingColumns=True)  # two rows per range partition
+    ranges = ranges.select("_part", "_g", "_kind", *(of[how](name).over(carried).alias(f"_{name}") for name, (how, _) in wanted.items())).where("_kind = 0").drop("_kind")
+    out = placed.select("*", *(of[how](c).over(earlier).alias(name) for name, (how, c) in wanted.items())).join(F.broadcast(ranges), "_part", "left")
+    for name, (how, _) in wanted.items():
+        carry = F.when(F.struct(*group).eqNullSafe(F.col("_g")), F.col(f"_{name}"))
+        out = out.withColumn(name, F.greatest(name, carry) if how == "max" else F.coalesce(name, F.lit(0)) + F.coalesce(carry, F.lit(0)))
+    return out.drop("_part", "_g", *(f"_{name}" for name in wanted))
 
 
 def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """``conv_id, turn, role, text`` (without quotes), ``n_quotes, n_linked, parent_turn, depth, position`` (1, 2, ... in reply order)."""
-    base = messages.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("raw"), F.col(text).alias("given"))
-    has = F.col("raw").rlike(r"(?m)" + MARK)
-    base = base.select("*", F.when(has, passages(F.col("raw"))).otherwise(F.array().cast("array<struct<level:int,text:string>>")).alias("quotes"), F.when(has, unquoted(F.col("raw"))).otherwise(F.trim("raw")).alias("text"))
-    given = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))  # noqa: E731  a null is told from an empty text
-    key = F.xxhash64(given(F.col("conv_id")), given(F.col("turn")), given(F.col("role")), given(F.col("given")))
-    base = materialize(base.withColumn("key", key).drop("given"))
-    conv_key, order = given(F.col("conv_id")), F.struct("turn", "key")
-    quoted = base.where(F.size("quotes") > 0).select(conv_key.alias("c"), "key", order.alias("at"), F.posexplode("quotes").alias("n", "q")).select("c", "key", "at", "n", F.col("q.level").alias("level"), F.xxhash64(normal(F.col("q.text"))).alias("h"), normal(F.col("q.text")).alias("t"))
+    given = messages.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).cast("string").alias("given"))
+    known = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))  # noqa: E731  a null is told from an empty text
+    parsed = given.mapInArrow(_parse, T.StructType([*given.schema.fields, T.StructField("quotes", QUOTES), T.StructField("text", T.StringType())]))
+    parsed = parsed.withColumn("key", F.xxhash64(*(known(c) for c in ("conv_id", "turn", "role", "given")))).withColumn("c", known("conv_id")).drop("given")
+    # repeated rows are one message of so many copies until the end
+    one = parsed.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first(F.struct("c", "conv_id", "turn", "role", "text", "quotes")).alias("m"))
+    one = materialize(one.select("key", "copies", "m.*").withColumn("at", F.struct("turn", "key")))
+    links = _links(one)
+    places = _before(one.select("c", "key", "turn", "at"), ["c"], ["turn", "key"], previous=("max", F.col("at")), earlier=("sum", F.lit(1)))
+    parent = F.coalesce("link", "previous")
+    nodes = places.join(links, "key", "left").select("key", "c", "turn", "at", "earlier", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), parent.alias("parent"), F.col("link").isNotNull().alias("by_quote"))
+    order = _ordered(materialize(nodes))
+    every = one.withColumn("n_quotes", F.size("quotes").cast("long")).drop("quotes", "turn").join(order, "key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return every.select("conv_id", F.col("at.turn").alias("turn"), "role", "text", "n_quotes", "n_linked", "parent_turn", "depth", "position")
+
+
+def _links(one: DataFrame) -> DataFrame:
+    """``key, n_linked, link``: of each message with linked quotes, how many, and the latest earlier source of the first outermost one."""
+    passage = normal(F.col("q.text"))
+    quoted = one.where(F.size("quotes") > 0).select("c", "key", "at", F.posexplode("quotes").alias("n", "q")).select("c", passage.alias("t"), F.xxhash64(passage).alias("h"), "at", F.lit(0).alias("kind"), "key", "n", F.col("q.level").alias("level"))
     asked = quoted.select("c").distinct()
     pieces = F.array_distinct(F.filter(F.transform(F.concat(F.array("text"), F.split("text", "\n{2,}"), F.split("text", "\n")), normal), lambda p: p != ""))
-    sources = base.withColumn("c", conv_key).join(asked, "c", "left_semi").select("c", order.alias("from"), F.explode(pieces).alias("t")).withColumn("h", F.xxhash64("t"))
-    found = quoted.join(sources, ["c", "h", "t"]).where(F.col("from") < F.col("at")).groupBy("key", "n", "level").agg(F.max("from").alias("from"))
-    by_message = found.groupBy("key").agg(F.count(F.lit(1)).alias("n_linked"), F.min_by("from", F.struct("level", "n")).alias("link"))
-    linked = base.join(by_message, "key", "left").withColumn("c", conv_key)
-    from pyspark.sql import Window
-
-    before = F.lag(F.col("key")).over(Window.partitionBy("c").orderBy("turn", "key"))
-    before_turn = F.lag(F.col("turn")).over(Window.partitionBy("c").orderBy("turn", "key"))
-    # repeated rows are one message of so many copies until the end
-    repeated = base.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
-    distinct = linked.dropDuplicates(["key"]).join(repeated, "key").select("copies", "c", "key", "conv_id", "turn", "role", "text", F.size("quotes").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.coalesce(F.col("link.key"), before).alias("parent"), F.when(F.col("link").isNotNull(), F.col("link.turn")).otherwise(before_turn).alias("parent_turn"), F.col("link").isNotNull().alias("by_quote"))
-    nodes = materialize(distinct)
-    return _ordered(nodes)
+    sources = one.join(asked, "c", "left_semi").select("c", "at", F.explode(pieces).alias("t")).withColumn("h", F.xxhash64("t"))
+    sources = sources.join(quoted.select("c", "h", "t").distinct(), ["c", "h", "t"], "left_semi").withColumn("kind", F.lit(1))
+    events = quoted.unionByName(sources, allowMissingColumns=True)
+    # a message's quotes come before what it wrote itself, so it is no source of its own
+    found = _before(events, ["c", "h", "t"], ["at", "kind"], source=("max", F.when(F.col("kind") == 1, F.col("at")))).where((F.col("kind") == 0) & F.col("source").isNotNull())
+    return found.groupBy("key").agg(F.count(F.lit(1)).alias("n_linked"), F.min_by("source", F.struct("level", "n")).alias("link"))
 
 
 def _ordered(nodes: DataFrame) -> DataFrame:
-    """Depth and position in reply order. Conversations without links are already in order; the others get their path by pointer doubling."""
-    from pyspark.sql import Window
-
+    """``key, n_linked, parent_turn, depth, position``. Conversations without links are already in order; the others are ranked along the tour of their reply tree."""
     # a reply to the message just before it only lengthens a chain, so trees are needed where some message quotes
     branchy = nodes.where("by_quote").select("c").distinct()
-    plain = nodes.join(branchy, "c", "left_anti")
-    turn_order = Window.partitionBy("c").orderBy("turn", "key")
-    number = F.row_number().over(turn_order).cast("long")
-    plain = plain.withColumn("position", number).withColumn("depth", number - 1)
-    tree = nodes.join(branchy, "c", "left_semi").withColumn("number", number)
-    paths = materialize(tree.select("key", F.col("parent").alias("up"), F.array("number").alias("path")))
-    while paths.where("up is not null").limit(1).count():
-        above = paths.select(F.col("key").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"))
-        paths = materialize(paths.join(above, "up", "left").select("key", F.col("next").alias("up"), F.when(F.col("head").isNull(), F.col("path")).otherwise(F.concat("head", "path")).alias("path")))
-    tree = tree.join(paths.select("key", "path"), "key")
-    tree = tree.withColumn("position", F.row_number().over(Window.partitionBy("c").orderBy("path")).cast("long")).withColumn("depth", (F.size("path") - 1).cast("long"))
-    cols = ["conv_id", "turn", "role", "text", "n_quotes", "n_linked", "parent_turn", "depth", "position"]
-    every = plain.select("copies", *cols).unionByName(tree.select("copies", *cols))
-    return every.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*cols)
+    plain = nodes.join(branchy, "c", "left_anti").select("key", F.col("earlier").alias("depth"), (F.col("earlier") + 1).alias("position"))
+    tree = nodes.join(branchy, "c", "left_semi").select("c", "key", "turn", "at", F.col("parent.key").alias("up"))
+    last = tree.where("up is not null").groupBy("up").agg(F.max("at").alias("last")).select(F.col("up").alias("key"), F.col("last.key").alias("last"))
+    tree = _before(tree, ["c", "up"], ["turn", "key"], sibling=("max", F.col("at"))).join(last, "key", "left")
+    # the tour enters and leaves each message; what comes before a step is the end of the sibling before, or the parent's entry, or the last child's end
+    prior = F.coalesce("sibling.key", "up")
+    enter = F.struct(F.lit(False).alias("out"), prior.alias("prior"), F.when(prior.isNotNull(), F.col("sibling").isNotNull()).alias("prior_out"), F.lit(1).cast("long").alias("entered"), F.lit(1).cast("long").alias("open"))
+    leave = F.struct(F.lit(True).alias("out"), F.coalesce("last", "key").alias("prior"), F.col("last").isNotNull().alias("prior_out"), F.lit(0).cast("long").alias("entered"), F.lit(-1).cast("long").alias("open"))
+    tour = materialize(tree.select("key", F.explode(F.array(enter, leave)).alias("e")).select("key", "e.*"))
+    while tour.where("prior is not null").limit(1).count():
+        ahead = tour.select(F.col("key").alias("prior"), F.col("out").alias("prior_out"), F.col("prior").alias("p"), F.col("prior_out").alias("po"), F.col("entered").alias("e"), F.col("open").alias("o"))
+        add = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
+        tour = materialize(tour.join(ahead, ["prior", "prior_out"], "left").select("key", "out", F.col("p").alias("prior"), F.col("po").alias("prior_out"), add("entered", "e"), add("open", "o")))
+    ranked = tour.where("not out").select("key", (F.col("open") - 1).alias("depth"), F.col("entered").alias("position"))
+    return nodes.select("key", "n_linked", F.col("parent.turn").alias("parent_turn")).join(plain.unionByName(ranked), "key")
 
 
 def conversations(linked: DataFrame) -> DataFrame:
