@@ -449,11 +449,16 @@ def data_fingerprint(spark, d):
     return ev.fingerprint(h.with_label(hours_of(spark, d)))
 
 
-@query("E15_sequence_features", f"WITH {HOURS_SQL}, {_lasts('wide')}, sc AS (SELECT avg(HR_last) AS m, stddev_pop(HR_last) AS s FROM lasts) SELECT encounter_id, count(*) AS steps, sum(CASE WHEN HR IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS measured, round(sum(coalesce((HR_last - m) / s, 0)), 4) AS scaled FROM lasts, sc GROUP BY 1")
+_SCALES = ", ".join(f"coalesce(avg({v}_last), 0) AS {v}_m, coalesce(nullif(stddev_pop({v}_last), 0), 1) AS {v}_s" for v in VARIABLES)
+_SCALED = ", ".join(f"count({v}) AS measured_{v}, round(sum(coalesce(({v}_last - {v}_m) / {v}_s, 0)), 4) + 0.0::DOUBLE AS scaled_{v}" for v in VARIABLES)
+
+
+@query("E15_sequence_features", f"WITH {HOURS_SQL}, {_lasts('wide')}, sc AS (SELECT {_SCALES} FROM lasts) SELECT encounter_id, count(*) AS steps, {_SCALED} FROM lasts, sc GROUP BY 1")
 def sequences(spark, d):
-    x = h.sequences(hours_of(spark, d), ("HR",))
-    total = lambda c, k: F.aggregate(F.col(c), F.lit(0.0), lambda a, r: a + r[k])
-    return x.select("encounter_id", F.size("steps").cast("long").alias("steps"), F.round(total("steps", "HR_mask"), 0).cast("long").alias("measured"), F.round(total("steps", "HR_scaled"), 4).alias("scaled"))
+    x = h.sequences(hours_of(spark, d))
+    total = lambda k: F.aggregate("steps", F.lit(0.0), lambda a, r: a + r[k])
+    both = ((total(f"{v}_mask").cast("long").alias(f"measured_{v}"), (F.round(total(f"{v}_scaled"), 4) + 0.0).alias(f"scaled_{v}")) for v in VARIABLES)
+    return x.select("encounter_id", F.size("steps").cast("long").alias("steps"), *(c for pair in both for c in pair))
 
 
 @query("A2_scan_sites_union", f"WITH {HOURS_SQL} SELECT site, encounter_id, hour, HR FROM wide WHERE site = 'A' UNION ALL SELECT site, encounter_id, hour, HR FROM wide WHERE site = 'B'")

@@ -114,9 +114,9 @@ def latest(spark, d):
     return wd.latest_per_code(wd.ward_tables(spark, d)["observations"])
 
 
-@query("G8_last_n_scores", f"WITH {WARD_SQL} SELECT encounter_id, icu_hour, news2_total FROM (SELECT *, row_number() OVER (PARTITION BY encounter_id ORDER BY icu_hour DESC) AS rn FROM scores) WHERE rn <= 3")
+@query("G8_last_n_scores", f"WITH {WARD_SQL} SELECT encounter_id, icu_hour, news2_total FROM (SELECT *, row_number() OVER (PARTITION BY encounter_id ORDER BY icu_hour DESC) AS rn FROM scores) WHERE rn <= 12")
 def last_scores(spark, d):
-    return wd.last_n_scores(wd.ward_tables(spark, d)["scores"], 3)
+    return wd.last_n_scores(wd.ward_tables(spark, d)["scores"], 12)
 
 
 @query("G9_unresolved_counts", WITH_ACTIONS + " SELECT encounter_id, count(*) AS unresolved FROM state WHERE status IN ('open', 'acknowledged', 'escalated') GROUP BY 1")
