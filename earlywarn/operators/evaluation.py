@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from earlywarn.operators.hourly import STAY
+from earlywarn.operators.ordered import running
 
 
 @dataclass(frozen=True)
@@ -70,30 +71,16 @@ def weighted_percentile(df: DataFrame, value: str, weight: str, percents: list[f
     return j.select("percent", F.round(value_.cast("double"), 9).alias("result"))
 
 
-def running(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
-    """``df`` with running sums within ``by`` in a total order: ranges of the order are summed apart, and each adds what the ranges before it hold. No group is one task.
-
-    The ranges are fixed before their sums are taken, since both read the one exchange that deals the rows."""
-    dealt = df.select("*", *(c.alias(f"_s_{k}") for k, c in sums.items())).repartitionByRange(*by, *order).withColumn("_at", F.spark_partition_id())
-    inside = Window.partitionBy("_at", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    part = dealt.groupBy("_at", *by).agg(*(F.sum(f"_s_{k}").alias(f"_p_{k}") for k in sums))
-    # one row for each range and group
-    before = Window.partitionBy(*by).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    starts = part.select("_at", *by, *(F.coalesce(F.sum(f"_p_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in sums))
-    own = dealt.select("*", *(F.sum(f"_s_{k}").over(inside).alias(f"_r_{k}") for k in sums))
-    named = {c: f"_k_{c}" for c in ["_at", *by]}
-    cond = F.lit(True)
-    for c, k in named.items():
-        cond = cond & F.col(c).eqNullSafe(F.col(k))
-    joined = own.join(F.broadcast(starts.withColumnsRenamed(named)), cond)
-    return joined.select(*df.columns, *((F.col(f"_r_{k}") + F.col(f"_b_{k}")).alias(k) for k in sums))
+def _down() -> list[Column]:
+    """The highest score first (NaN above all)."""
+    return [~F.isnan("s"), -F.col("s")]
 
 
 def _steps(df: DataFrame, label: str, score: str, weight: str | None) -> DataFrame:
     """``s, p, n, tp, fp``: true and false positives at each distinct score and at it or above, highest first."""
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     by = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(w * F.col(label)).alias("p"), F.sum(w * (1 - F.col(label))).alias("n"))
-    return running(by, [], [F.desc("s")], {"tp": F.col("p"), "fp": F.col("n")})
+    return running(by, [], _down(), {"tp": F.col("p"), "fp": F.col("n")})
 
 
 def ranking(df: DataFrame, label: str, score: str, weight: str | None = None) -> DataFrame:
@@ -201,7 +188,7 @@ def choice(table: DataFrame, threshold: float | None) -> DataFrame:
 
 def curves(df: DataFrame, label: str, score: str, most: int = 200) -> DataFrame:
     """``curve, threshold, x, y``: ROC (false and true positive rate) and PR (recall, precision) at distinct scores, at most ``most`` evenly spaced ones of them."""
-    steps = running(_steps(df, label, score, None), [], [F.desc("s")], {"i": F.lit(1)})
+    steps = running(_steps(df, label, score, None), [], _down(), {"i": F.lit(1)})
     total = df.where(F.col(score).isNotNull()).agg(F.sum(F.col(label)).cast("double").alias("_P"), F.sum(1 - F.col(label)).cast("double").alias("_N"), F.count_distinct(score).alias("m"))
     x = steps.crossJoin(F.broadcast(total))  # one row
     place, last = F.col("i") - 1, F.col("m") - 1
