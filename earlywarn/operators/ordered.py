@@ -31,15 +31,15 @@ def bounds(df: DataFrame, order: list[Column], ranges: int | None = None) -> Col
 
 
 def range_of(order: list[Column], cuts: Column) -> Column:
-    """The number of bounds at or below a row's key: a binary search over the array."""
+    """The number of bounds at or below a row's key: a binary search over the array. The key is carried, since lambdas that name columns break the optimizer's constraints of unions."""
     key = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)))
-    start = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
+    start = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"), key.alias("key"))
 
     def step(acc: Column, _: Column) -> Column:
         lo, hi = acc["lo"], acc["hi"]
         mid = F.floor((lo + hi) / 2).cast("int")
-        above = (lo < hi) & (key >= F.get(cuts, mid))
-        return F.struct(F.when(above, mid + 1).otherwise(lo).alias("lo"), F.when(above | (lo >= hi), hi).otherwise(mid).alias("hi"))
+        above = (lo < hi) & (acc["key"] >= F.get(cuts, mid))
+        return F.struct(F.when(above, mid + 1).otherwise(lo).alias("lo"), F.when(above | (lo >= hi), hi).otherwise(mid).alias("hi"), acc["key"].alias("key"))
 
     rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(cuts) + 1.0)).cast("int"))
     return F.aggregate(rounds, start, step, lambda acc: acc["lo"])
