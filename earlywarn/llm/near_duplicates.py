@@ -21,7 +21,11 @@ NUM, DEN, WORDS = 3, 4, 5
 def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (ids are longs)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    members, labels = signature_trees.link_sets(rows, setjoin.shingle_sets(WORDS), num, den)
+    return named_classes(*signature_trees.link_sets(rows, setjoin.shingle_sets(WORDS), num, den))
+
+
+def named_classes(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` from sets (row, n, key) and the classes of their keys (key, label): a class bears its smallest id."""
     # equal keys first, then linked keys: both are small rows without text
     by_key = members.where("n > 0").groupBy("key").agg(F.min("row").alias("first"))
     named = by_key.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))

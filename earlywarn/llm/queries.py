@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earlywarn.llm import decontaminate, html_extract, line_dedup, lm_score, mixing, near_duplicates, quality, quotes, toxicity, warc
+from earlywarn.llm import decontaminate, hard_negatives, html_extract, line_dedup, lm_score, merkle, minhash, mixing, near_duplicates, quality, quotes, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents")).drop("source")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,12 +95,69 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix": op8_mix,
     "op9_quotation_linking": op9_quotation_linking,
     "op10_line_dedup": op10_line_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_minhash_dedup": op13_minhash_dedup,
     "pipeline": pipeline,
 }
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _OP2_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _BLANK_WORDS = r"[^\x20\x09-\x0D]+"
 
+
+
+def _classes_sql(words: int, percent: int) -> str:
+    """One row a document: shingles, and the smallest id that links of so many percent reach."""
+    return rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_BLANK_WORDS}') AS w FROM documents),
+p AS (SELECT r, w, least({words}, len(w)) AS k, unnest(range(1, len(w) - least({words}, len(w)) + 2)) AS i FROM d WHERE len(w) > 0),
+s AS MATERIALIZED (SELECT DISTINCT r, array_to_string(w[i : i + k - 1], ' ') AS g FROM p),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+c AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT x, y FROM c JOIN n AS nx ON nx.r = x JOIN n AS ny ON ny.r = y WHERE 100 * c >= {percent} * (nx.n + ny.n - c)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach AS (SELECT r AS a, r AS b FROM n UNION SELECT a, y FROM reach JOIN e ON b = x),
+f AS (SELECT a, min(doc_id) AS component_id FROM reach JOIN d ON d.r = b GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, CASE WHEN n.r IS NULL THEN doc_id ELSE component_id END AS component_id FROM d LEFT JOIN n USING (r) LEFT JOIN f ON f.a = d.r"""
+
+
+def _tree_sql(name: str, nodes: str, levels: int) -> str:
+    """CTEs ``{name}0`` ... of a ternary tree's levels over nodes (t, p, h), and ``{name}w``: for each leaf what precedes and follows it on every level, and its root."""
+    out = [f"{name}0 AS MATERIALIZED (SELECT t, p, h, count(*) OVER (PARTITION BY t) AS c FROM {nodes})"]
+    for k in range(levels):
+        out.append(f"{name}{k + 1} AS MATERIALIZED (SELECT t, p // 3 AS p, CASE WHEN any_value(c) > 1 THEN sha256(string_agg(h, '' ORDER BY p)) ELSE any_value(h) END AS h, (any_value(c) + 2) // 3 AS c FROM {name}{k} GROUP BY t, p // 3)")
+        around = "OVER (PARTITION BY t, p // 3 ORDER BY p ROWS BETWEEN"
+        out.append(f"{name}w{k} AS MATERIALIZED (SELECT t, p, c > 1 AS up, coalesce(string_agg(h, '') {around} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS pre, coalesce(string_agg(h, '') {around} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS suf FROM {name}{k})")
+    columns = ", ".join(f"w{k}.up AS up{k}, w{k}.pre AS pre{k}, w{k}.suf AS suf{k}" for k in range(levels))
+    joins = " ".join(f"JOIN {name}w{k} AS w{k} ON w{k}.t = l.t AND w{k}.p = l.p // {3**k}" for k in range(levels))
+    siblings = " || ".join(f"pre{k} || suf{k}" for k in range(levels))
+    out.append(f"{name}w AS MATERIALIZED (SELECT *, {siblings} AS others FROM (SELECT l.t, l.p, l.h, r.h AS root, {columns} FROM {name}0 AS l JOIN {name}{levels} AS r ON r.t = l.t {joins}))")
+    return ",\n".join(out)
+
+
+def _fold_sql(column: str, table: str, levels: int) -> str:
+    for k in range(levels):
+        column = f"(SELECT CASE WHEN {table}.up{k} THEN sha256({table}.pre{k} || x || {table}.suf{k}) ELSE x END FROM (SELECT {column} AS x))"
+    return column
+
+
+_LEAF = "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+_BITS = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: list_transform(range(8), lambda i: CAST((ascii(c) >> CAST(i AS INTEGER)) & 1 AS BIGINT))))"
+_CRC32 = f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {_BITS}), lambda a, b: xor(a >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295)"
+#: Levels of the trees of rows and of sources: up to 3**11 rows a source, 3**6 sources.
+_ROWS, _SOURCES = 11, 6
+_MERKLE_SQL = f"""
+WITH d AS MATERIALIZED (SELECT *, coalesce('=' || source, '') AS t, {_LEAF.format(text="text")} AS leaf,
+CASE WHEN doc_id IS NOT NULL AND {_CRC32} % 2 = 0 THEN {_LEAF.format(text="replace(text, chr(10), '')")} ELSE {_LEAF.format(text="text")} END AS given FROM documents),
+x AS MATERIALIZED (SELECT t, doc_id, leaf, given, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, leaf AS h FROM d),
+{_tree_sql("a", "x", _ROWS)},
+s AS (SELECT 'all' AS t, row_number() OVER (ORDER BY t) - 1 AS p, h, t AS name FROM a{_ROWS}),
+{_tree_sql("b", "s", _SOURCES)},
+o AS MATERIALIZED (SELECT s.name, bw.* FROM s JOIN bw USING (p)),
+f AS MATERIALIZED (SELECT x.*, aw.root AS subroot, aw.others, {_fold_sql("x.given", "aw", _ROWS)} AS folded FROM x JOIN aw ON aw.t = x.t AND aw.p = x.p)
+SELECT doc_id, leaf, subroot, o.root, sha256(f.others || o.others) AS proof_sha256, {_fold_sql("f.folded", "o", _SOURCES)} AS folded_root, {_fold_sql("f.folded", "o", _SOURCES)} = o.root AS verified
+FROM f JOIN o ON o.name = f.t"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": f"""
 WITH d AS (SELECT doc_id, {_OP2_WORDS} AS w FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_OP2_WORDS} AS w FROM benchmark),
@@ -120,15 +189,15 @@ b AS (SELECT m, CASE WHEN v > m * (1 - m) * o THEN greatest(1, least(10000, m *
 v AS (SELECT source, (k + m * strength) / (n + strength) >= 0.5 AS host_bad FROM h, b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT wide AND NOT (narrow AND host_bad) AS kept, host_bad
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source""",
-    "op7_near_duplicates": rf"""
-WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_BLANK_WORDS}') AS w FROM documents),
-p AS (SELECT r, w, least(5, len(w)) AS k, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM d WHERE len(w) > 0),
-s AS MATERIALIZED (SELECT DISTINCT r, array_to_string(w[i : i + k - 1], ' ') AS g FROM p),
-n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
-c AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2),
-l AS MATERIALIZED (SELECT x, y FROM c JOIN n AS nx ON nx.r = x JOIN n AS ny ON ny.r = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
-e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
-reach AS (SELECT r AS a, r AS b FROM n UNION SELECT a, y FROM reach JOIN e ON b = x),
-f AS (SELECT a, min(doc_id) AS component_id FROM reach JOIN d ON d.r = b GROUP BY a)
-SELECT doc_id, coalesce(n, 0) AS n_shingles, CASE WHEN n.r IS NULL THEN doc_id ELSE component_id END AS component_id FROM d LEFT JOIN n USING (r) LEFT JOIN f ON f.a = d.r""",
+    "op7_near_duplicates": _classes_sql(5, 75),
+    "op11_merkle_manifest": _MERKLE_SQL,
+    "op12_hard_negatives": """
+WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v
+FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM v AS a, v AS b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.anchor_id, p.id AS positive_id, p.score AS positive_score, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS rank
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
+    "op13_minhash_dedup": f"SELECT *, doc_id = component_id AS kept FROM ({_classes_sql(2, 80)})",
 }
