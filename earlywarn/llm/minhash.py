@@ -204,9 +204,8 @@ def link_sets(rows: DataFrame, extract: sj.Extract, num: int, den: int) -> tuple
     lists = materialize(_postings(reps, ranges).groupBy("range").applyInArrow(st._lists(ranges), st.LISTS))
     signed = sj.members_of(lists).join(reps.select("key", "n", "sig"), "key").select("range", "key", "n", "sig")
     lists = materialize(lists.groupBy("range").cogroup(signed.groupBy(F.col("range").alias("at"))).applyInArrow(_may_link(num, den), st.LISTS))
-    wanted = materialize(sj.members_of(lists))
-    texts = sj.texts_of(rows, reps.join(wanted.select("key").distinct(), "key", "left_semi").select("key", "row", "part"), lines=False)
-    dealt = wanted.join(texts, "key").select("range", "key", "text")
+    wanted = sj.members_of(lists).join(reps.select("key", "row"), "key").select("range", "key", "row")
+    dealt = sj.texts_in_ranges(rows, wanted)
     links = lists.groupBy("range").cogroup(dealt.groupBy("range")).applyInArrow(st._links(extract, num, den), "a long, b long")
     return members.select("row", "part", "n", "key"), materialize(sj.classes(links))
 

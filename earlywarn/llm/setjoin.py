@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earlywarn.llm import textkit as tk
@@ -270,6 +270,27 @@ def members_of(lists: DataFrame) -> DataFrame:
     return lists.select("range", "members").groupBy("range").applyInArrow(run, MEMBERS)
 
 
+#: Bits of the filter that keeps most other texts out of the joins of texts, as words of 64: a broadcast of at most 2**18 rows at every size.
+FILTER_WORDS = 1 << 18
+
+
+def only(rows: DataFrame, place: DataFrame) -> DataFrame:
+    """The rows (text, id) whose id is in ``place`` (_row), and a few others: those whose hash meets a bit of the same place in a bitmap of fixed size."""
+
+    def at(c: str) -> tuple[Column, Column]:
+        h = F.pmod(F.xxhash64(c), F.lit(FILTER_WORDS * 64))
+        return F.floor(h / 64).alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({c}), 64) as int))").alias("_bit")
+
+    bits = place.select(*at("_row")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    return rows.select("text", "id", *at("id")).join(F.broadcast(bits), "_word").where("_bits & _bit <> 0").select("text", "id")
+
+
+def texts_in_ranges(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``range, key, text`` of the wanted sets (range, key, row): only their texts are moved, once to meet the places and once to the ranges."""
+    place = materialize(wanted.select("range", "key", F.col("row").alias("_row")))
+    return only(rows, place).join(place, F.col("id").eqNullSafe(F.col("_row"))).select("range", "key", "text")
+
+
 def texts_of(rows: DataFrame, wanted: DataFrame, lines: bool) -> DataFrame:
     """``key, text`` of the wanted sets (key, row, part): the text of one row each, or its line ``part``. The places are written before, so that Spark knows their size
     when it picks the plan of the join.
@@ -277,9 +298,9 @@ def texts_of(rows: DataFrame, wanted: DataFrame, lines: bool) -> DataFrame:
     Rows that share an id may give a key a text of another set, too; ``Sets`` and ``line_join`` compare the digest."""
     if not lines:
         place = materialize(wanted.select("key", F.col("row").alias("_row")))
-        return rows.join(place, F.col("id").eqNullSafe(F.col("_row"))).select("key", "text")
+        return only(rows, place).join(place, F.col("id").eqNullSafe(F.col("_row"))).select("key", "text")
     place = materialize(wanted.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("key", "part")).alias("parts")))
-    found = rows.join(place, F.col("id").eqNullSafe(F.col("_row"))).select(F.split("text", "\n", -1).alias("lines"), "parts")
+    found = only(rows, place).join(place, F.col("id").eqNullSafe(F.col("_row"))).select(F.split("text", "\n", -1).alias("lines"), "parts")
     line = lambda p: F.struct(p["key"].alias("key"), F.get("lines", p["part"]).alias("text"))
     return found.select(F.explode(F.transform("parts", line)).alias("p")).select("p.key", "p.text").where("text is not null")
 
