@@ -67,7 +67,11 @@ def severity(total: Column, single3: Column) -> Column:
     return F.when(total.isNull(), "unknown").when(total >= EMERGENCY, "high").when(total >= URGENT, "medium").when(single3, "low-medium").otherwise("low")
 
 
-def alert_uuid(encounter: Column, hour: Column, source: Column, namespace: str = "6ba7b811-9dad-11d1-80b4-00c04fd430c8") -> Column:
+#: Fixed value: the namespace of alert ids.
+ALERT_NAMESPACE = "7d5c6f2e-3a7b-4b8e-9f0d-2c1e6a5b4d30"
+
+
+def alert_uuid(encounter: Column, hour: Column, source: Column, namespace: str = ALERT_NAMESPACE) -> Column:
     """A version-5 UUID of encounter, hour and source."""
     name = F.concat_ws("/", encounter.cast("string"), hour.cast("string"), source)
     h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), name.cast("binary")))

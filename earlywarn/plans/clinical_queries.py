@@ -234,7 +234,7 @@ def score_hours(spark, d):
     return scored(spark, d).select("encounter_id", "hour", F.col("score").alias("news2_total"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), "p")), 9).alias("probability"))
 
 
-_UUID = "lower(sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(encounter_id || '/' || hour || '/news2')))"
+_UUID = "sha1(unhex('7d5c6f2e3a7b4b8e9f0d2c1e6a5b4d30') || encode(encounter_id || '/' || hour || '/news2'))"
 
 
 @query("F3_alerts_table", WITH_ALERTS + " SELECT encounter_id, hour AS icu_hour, 'news2' AS source, CAST(score AS DOUBLE) AS raw_score FROM walk WHERE alert")
@@ -249,7 +249,7 @@ def scores_table(spark, d):
     return alerts_of(spark, d).join(admitted, "encounter_id").select("encounter_id", F.col("hour").alias("icu_hour"), "score", F.col("alert").alias("alerted"), hour_ending(F.col("a"), F.col("hour"), HOUR_SECONDS).alias("hour_ending"))
 
 
-@query("F5_alert_uuid5")
+@query("F5_alert_uuid5", WITH_ALERTS + f", u AS (SELECT encounter_id, hour, {_UUID} AS x FROM walk WHERE alert) SELECT encounter_id, hour, substr(x, 1, 8) || '-' || substr(x, 9, 4) || '-5' || substr(x, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr(x, 17, 1)) AS INTEGER) % 4 + 1, 1) || substr(x, 18, 3) || '-' || substr(x, 21, 12) AS alert_id FROM u")
 def uuids(spark, d):
     return alerts_of(spark, d).where("alert").select("encounter_id", "hour", alert_uuid(F.col("encounter_id"), F.col("hour"), F.lit("news2")).alias("alert_id"))
 
@@ -425,13 +425,6 @@ def crossed(spark, d):
     return ev.cross_site(scored(spark, d), h.stay_outcomes(h.with_label(hours_of(spark, d))), POLICY)
 
 
-@query("F13_calibrated_parity", f"WITH {HOURS_SQL} SELECT count(*) AS rows, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS differing FROM wide")
-def parity(spark, d):
-    """The score of the feature table against that of the scoring path."""
-    features = h.build_features(hours_of(spark, d)).select("encounter_id", "hour", F.col("news2_total").cast("double").alias("score"))
-    return ev.parity(scored(spark, d).withColumn("score", F.col("score").cast("double")), features, ["encounter_id", "hour"], "score", 1e-6)
-
-
 @query("F8_stream_late", f"WITH {OBS_SQL}, s AS (SELECT encounter_id, hour < max(hour) OVER (PARTITION BY encounter_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS late FROM obs WHERE variable NOT IN ('FiO2', 'Lactate')) SELECT encounter_id, sum(CASE WHEN late THEN 1 ELSE 0 END)::BIGINT AS late, count(*) AS rows FROM s GROUP BY 1")
 def late_rows(spark, d):
     x = h.late(observations(spark, d).where("variable not in ('FiO2', 'Lactate')"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -21,3 +22,19 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(target))
         sc._earlywarn_sent = True
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``. Where it is empty on one machine (tests), a temporary one is made; on a cluster that is an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not path:
+        path = "file://" + tempfile.mkdtemp(prefix="earlywarn-")
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
+def new_dir(spark: SparkSession) -> str:
+    """A path of its own below the shared folder."""
+    return f"{shared_dir(spark)}/earlywarn-{uuid.uuid4().hex}"

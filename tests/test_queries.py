@@ -41,7 +41,7 @@ def test_uuid_is_version_5(spark):
     rows = registry.QUERIES["F5_alert_uuid5"](spark, DATA).limit(5).collect()
     assert rows
     for r in rows:
-        assert r.alert_id == str(uuid.uuid5(uuid.NAMESPACE_URL, f"{r.encounter_id}/{r.hour}/news2"))
+        assert r.alert_id == str(uuid.uuid5(uuid.UUID("7d5c6f2e-3a7b-4b8e-9f0d-2c1e6a5b4d30"), f"{r.encounter_id}/{r.hour}/news2"))
 
 
 def test_every_sql_has_a_query():
