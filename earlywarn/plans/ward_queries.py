@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from earlywarn.functions.clinical import hour_ending
 from earlywarn.operators import operations as op
 from earlywarn.operators import ward as wd
+from earlywarn.operators.store import Store
+from earlywarn.session import new_dir
 from earlywarn.sources.views import table
 
 QUERIES: dict = {}
@@ -163,20 +165,35 @@ def patients(spark, d):
 @query("C6_upsert_patients", "SELECT user_id AS id, coalesce(arg_max(value, event_id) FILTER (WHERE event_type = 'signup'), arg_min(value, event_id) FILTER (WHERE event_type <> 'signup')) AS resource FROM events GROUP BY 1")
 def upsert_patients(spark, d):
     adt = F.col("event_type") == "signup"
-    return table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.coalesce(F.max_by(F.when(adt, F.col("value")), F.when(adt, F.col("event_id"))), F.min_by(F.when(~adt, F.col("value")), F.when(~adt, F.col("event_id")))).alias("resource"))
+    log = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), adt.alias("authoritative"), F.struct("value").alias("resource"), F.col("ts").alias("at"))
+    return _stored(log).select("id", "resource.value").withColumnRenamed("value", "resource")
+
+
+def _stored(log: DataFrame) -> DataFrame:
+    """A message log merged into a stored table by batches: the first half of each key's rows, then all of them, these once more, then the second half again."""
+    spark = log.sparkSession
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("seq"))
+    half = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("id")) / 2)
+    placed = log.withColumn("_early", rank <= half)
+    store = Store(spark, new_dir(spark))
+    store.merge(placed.where("_early").drop("_early"), 1)
+    store.merge(log, 2)  # what is new, and all that was sent before
+    store.merge(log, 2)
+    store.merge(placed.where("not _early").drop("_early"), 3)
+    return store.read()
 
 
 @query("C8_upsert_observations", "SELECT l_orderkey, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC) AS rn FROM lineitem) WHERE rn = 1")
 def upsert_observations(spark, d):
-    best = F.max(F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_quantity"))
-    return table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(best.alias("m")).select("l_orderkey", "l_linenumber", "m.l_quantity")
+    seq = F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_quantity")
+    log = table(spark, d, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("id"), seq.alias("seq"), F.lit(True).alias("authoritative"), F.struct("l_quantity").alias("resource"), F.col("l_shipdate").alias("at"))
+    return _stored(log).select("id.l_orderkey", "id.l_linenumber", "resource.l_quantity")
 
 
 @query("C9_change_detect", "WITH x AS (SELECT user_id, ts, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) SELECT user_id, max(ts) AS updated_at FROM x WHERE event_type IS DISTINCT FROM before GROUP BY 1")
 def changes(spark, d):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    x = table(spark, d, "events").withColumn("before", F.lag("event_type").over(w))
-    return x.where(~F.col("event_type").eqNullSafe(F.col("before"))).groupBy("user_id").agg(F.max("ts").alias("updated_at"))
+    log = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.lit(True).alias("authoritative"), F.struct("event_type").alias("resource"), F.col("ts").alias("at"))
+    return _stored(log).select(F.col("id").alias("user_id"), "updated_at")
 
 
 @query("C10_vitals_events", f"WITH {WARD_SQL} SELECT encounter_id, max(effective) AS newest, string_agg(DISTINCT code, ',' ORDER BY code) AS codes FROM observations GROUP BY 1")

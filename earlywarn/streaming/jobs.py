@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from earlywarn.operators import fhir, hl7, hourly
+from earlywarn.operators.store import Store
 
 
 def throughput_stream(log: DataFrame, every: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -47,7 +48,10 @@ def score_batches(obs: DataFrame, store: str, sink: Callable[[DataFrame, int], N
 def convert_messages(msgs: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Validated messages of a stream (``msg_id, seq, raw``) as resource tables below ``out``: patients, encounters, observations, and the errors of what does not convert.
 
-    A batch writes its own partition of each table, by overwriting, and is committed after that: a batch that runs again gives the same rows."""
+    A batch writes its own partition of each table, by overwriting, and is committed after that: a batch that runs again gives the same rows. It then merges the resources into the
+    current state below ``out/state`` (``operators.store``): admissions and discharges replace a patient or an encounter, results only add what is missing; an observation is
+    replaced by a later message."""
+    state = {name: Store(msgs.sparkSession, f"{out}/state/{name}") for name in ("patients", "encounters", "observations")}
 
     def batch(df: DataFrame, number: int) -> None:
         valid = hl7.validate(df).where("error_code is null").select("msg_id")
@@ -57,6 +61,13 @@ def convert_messages(msgs: DataFrame, out: str, checkpoint: str) -> StreamingQue
         tables = {"patients": fhir.patients(fine), "encounters": fhir.encounters(fine), "observations": hl7.to_observations(fine), "errors": errors}
         for name, table in tables.items():
             table.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+        log = kept.select("msg_id", "seq")
+        kind = hl7.split_message(fine).select("msg_id", F.split(F.get("MSH", 8), "\\^", 3).alias("kind"))
+        adt = {"patients": F.get("kind", 0) == "ADT", "encounters": F.get("kind", 1).isin("A01", "A03"), "observations": F.lit(True)}
+        for name, store in state.items():
+            columns = [c for c in tables[name].columns if c not in ("msg_id", "id", "seq")]
+            rows = tables[name].drop("seq").where("id is not null").join(log, "msg_id").join(kind, "msg_id")
+            store.merge(rows.select("id", "seq", F.coalesce(adt[name], F.lit(False)).alias("authoritative"), F.struct(*columns).alias("resource"), F.col("seq").alias("at")), number)
         kept.unpersist()
 
     return msgs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
