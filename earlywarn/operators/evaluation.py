@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from earlywarn.operators.hourly import STAY
-from earlywarn.operators.ordered import running
+from earlywarn.operators.ordered import at_ranks, between, even_quantiles, running
 
 
 @dataclass(frozen=True)
@@ -58,17 +58,23 @@ def event_metrics(summary: DataFrame) -> DataFrame:
 def weighted_percentile(df: DataFrame, value: str, weight: str, percents: list[float]) -> DataFrame:
     """``percent, result`` by mid-weight positions and linear interpolation; equal values count with their mean weight each.
 
-    Rows are summed by value first, so only distinct values are ordered in one place.
-    """
+    Rows are summed by value, values by range; a percent then needs the last value that begins at or below it and the first one above, which are two aggregates."""
     by = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("c"))
-    w, every = Window.orderBy("v"), Window.partitionBy()
-    cum, total, half = F.sum("w").over(w), F.sum("w").over(every), F.col("w") / F.col("c") / 2
-    pos = by.select("v", ((cum - F.col("w") + half) / total * 100).alias("p"), ((cum - half) / total * 100).alias("q"))
-    pos = pos.select("v", "p", "q", F.lead("v").over(w).alias("v2"), F.lead("p").over(w).alias("p2"), F.row_number().over(w).alias("n"))
-    wanted = F.explode(F.array(*(F.lit(float(p)) for p in percents))).alias("percent")
-    j = pos.select("*", wanted).where(((F.col("percent") >= F.col("p")) & (F.col("p2").isNull() | (F.col("percent") < F.col("p2")))) | ((F.col("n") == 1) & (F.col("percent") < F.col("p"))))
-    value_ = F.when((F.col("percent") <= F.col("q")) | F.col("p2").isNull(), F.col("v")).otherwise(F.col("v") + (F.col("v2") - F.col("v")) * (F.col("percent") - F.col("q")) / (F.col("p2") - F.col("q")))
-    return j.select("percent", F.round(value_.cast("double"), 9).alias("result"))
+    x = running(by, [], [F.col("v")], {"cum": F.col("w")}).crossJoin(F.broadcast(by.agg(F.sum("w").alias("total"))))  # one row
+    half = F.col("w") / F.col("c") / 2
+    x = x.select("v", ((F.col("cum") - F.col("w") + half) / F.col("total") * 100).alias("p"), ((F.col("cum") - half) / F.col("total") * 100).alias("q"))
+    ends = []
+    for i, percent in enumerate(percents):
+        here = F.col("p") <= percent
+        ends += [F.max_by(F.struct("v", "q"), F.when(here, F.col("v"))).alias(f"a{i}"), F.min_by(F.struct("v", "p"), F.when(~here, F.col("v"))).alias(f"b{i}")]
+
+    def result(i: int) -> Column:
+        low, high, percent = F.col(f"a{i}"), F.col(f"b{i}"), F.lit(float(percents[i]))
+        inside = low["v"] + (high["v"] - low["v"]) * (percent - low["q"]) / (high["p"] - low["q"])
+        return F.when(low.isNull(), high["v"]).when((percent <= low["q"]) | high.isNull(), low["v"]).otherwise(inside)
+
+    pairs = F.array(*(F.struct(F.lit(float(p)).alias("percent"), F.round(result(i).cast("double"), 9).alias("result")) for i, p in enumerate(percents)))
+    return x.agg(*ends).select(F.explode(pairs).alias("r")).select("r.*").where("result is not null")
 
 
 def _down() -> list[Column]:
@@ -141,8 +147,7 @@ def rows_for(df: DataFrame, stays: DataFrame) -> DataFrame:
 
 def quantiles(df: DataFrame, score: str, n: int) -> DataFrame:
     """``n`` linear quantiles of a score, distinct."""
-    at = [i / (n - 1) for i in range(n)]
-    return df.agg(F.percentile(score, F.array(*(F.lit(x) for x in at))).alias("q")).select(F.explode(F.array_distinct(F.transform("q", lambda x: F.round(x, 9)))).alias("threshold"))
+    return even_quantiles(df, score, n).select(F.round("quantile", 9).alias("threshold")).distinct()
 
 
 def threshold_table(scored: DataFrame, outcomes: DataFrame, candidates: list[float], refractory_hours: float = 6.0, rise_margin: float = math.inf) -> DataFrame:
@@ -216,7 +221,10 @@ def bootstrap(summaries: DataFrame, resamples: int = 1000, seed: int = 2019) ->
         (F.sum(F.when(F.col("septic") & F.col("detected"), F.col("w")).otherwise(0)) / F.sum(F.when(F.col("septic"), F.col("w")))).alias("event_sensitivity"), (F.sum(F.col("w") * F.col("alerts")) * 24.0 / F.sum(F.col("w") * F.col("hours"))).alias("alerts_per_patient_day"),
     )
     long = by.unpivot(["r"], ["event_sensitivity", "alerts_per_patient_day"], "metric", "value")
-    return long.groupBy("metric").agg(F.round(F.percentile("value", F.lit(0.025)), 9).alias("low"), F.round(F.percentile("value", F.lit(0.975)), 9).alias("high"))
+    n = F.col("n") - 1
+    ranks = {f"{k}{i}": f(n * q) for k, q in (("low", 0.025), ("high", 0.975)) for i, f in enumerate((F.floor, F.ceil))}
+    at = at_ranks(long, ["metric"], "value", ranks)
+    return at.select("metric", *(F.round(between(F.col(f"{k}0"), F.col(f"{k}1"), n * q), 9).alias(k) for k, q in (("low", 0.025), ("high", 0.975))))
 
 
 def cross_site(scored: DataFrame, outcomes: DataFrame, policy: Policy, sites: tuple[str, ...] = ("A", "B")) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from earlywarn.operators.ordered import at_ranks, between
+
 
 def throughput(log: DataFrame, every: str = "1 hour") -> DataFrame:
     """Messages per tumbling window and kind."""
@@ -35,7 +37,9 @@ def time_to_ack(alerts: DataFrame, results: DataFrame) -> DataFrame:
     """p50 and p90 of seconds from raised to the first acknowledge that applied to version 1."""
     first = results.where("result = 'applied' and transition = 'acknowledge' and version = 2").select("alert_id", "acted_at")
     s = alerts.join(first, "alert_id").select((F.timestamp_diff("MICROSECOND", F.col("raised_at"), F.col("acted_at")) / 1e6).alias("s"))
-    return s.agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("s", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("s", F.lit(0.9)), 6).alias("p90"))
+    n = F.col("n") - 1
+    at = at_ranks(s, [], "s", {"a5": F.floor(n * 0.5), "b5": F.ceil(n * 0.5), "a9": F.floor(n * 0.9), "b9": F.ceil(n * 0.9)})
+    return at.select("n", F.round(between(F.col("a5"), F.col("b5"), n * 0.5), 6).alias("p50"), F.round(between(F.col("a9"), F.col("b9"), n * 0.9), 6).alias("p90"))
 
 
 def transitions(results: DataFrame) -> DataFrame:
@@ -65,10 +69,8 @@ def histogram_quantile(hist: DataFrame, q: float, by: tuple[str, ...] = ()) -> D
 
 def latency_summary(df: DataFrame, value: str, by: tuple[str, ...]) -> DataFrame:
     """Nearest-rank p50, p95, p99 and maximum. Ranks are half-even of q * (n - 1)."""
-    w = Window.partitionBy(*by).orderBy(value)
-    x = df.select(*by, value, (F.row_number().over(w) - 1).alias("r"), F.count(F.lit(1)).over(Window.partitionBy(*by)).alias("n"))
-    at = lambda q: F.max(F.when(F.col("r") == F.bround(F.lit(q) * (F.col("n") - 1), 0).cast("long"), F.col(value)))
-    return x.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.max(value).alias("max"))
+    ranks = {name: F.bround((F.col("n") - 1) * q, 0).cast("long") for name, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))}
+    return at_ranks(df, list(by), value, ranks).select(*by, "n", "p50", "p95", "p99", "max")
 
 
 def outcome_counts(df: DataFrame, by: str) -> DataFrame:

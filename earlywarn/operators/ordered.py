@@ -60,3 +60,41 @@ def running(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, C
     inside = Window.partitionBy("_at", *by).orderBy("_own", *names).rowsBetween(Window.unboundedPreceding, 0)
     summed = every.select("*", *(F.sum(f"_s_{k}").over(inside).alias(f"_r_{k}") for k in sums)).where("_own = 1")
     return summed.select(*df.columns, *(F.col(f"_r_{k}").alias(k) for k in sums))
+
+
+def counted_values(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``by, v, c, upto, n``: distinct values with their count, the rows at or below them, and the rows of the group. No window holds a group, no value is held twice."""
+    one = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    summed = running(one, by, [F.col("v")], {"upto": F.col("c")})
+    if not by:
+        return summed.crossJoin(F.broadcast(one.agg(F.sum("c").alias("n"))))  # one row
+    total = one.groupBy(*by).agg(F.sum("c").alias("n")).withColumnsRenamed({k: f"_{k}" for k in by})
+    cond = F.lit(True)
+    for k in by:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return summed.join(total, cond).drop(*(f"_{k}" for k in by))
+
+
+def at_ranks(df: DataFrame, by: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """``by, n, max`` and the value at each rank, from 0; ranks are columns of ``n``. Exact: each rank lies in one distinct value's stretch of rows."""
+    x = counted_values(df, by, value)
+    at = lambda r: F.max(F.when((F.col("upto") > r) & (F.col("upto") - F.col("c") <= r), F.col("v")))
+    return x.groupBy(*by).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.max("v").alias("max"), *(at(r).alias(k) for k, r in ranks.items()))
+
+
+def between(low: Column, high: Column, position: Column) -> Column:
+    """The value at a position between two ranks, linearly."""
+    return low + (high - low) * (position - F.floor(position))
+
+
+def even_quantiles(df: DataFrame, value: str, m: int) -> DataFrame:
+    """``i, quantile`` for the ``m`` evenly spaced linear quantiles 0, 1 / (m - 1), ..., 1. Only values that a quantile touches leave their range."""
+    x = counted_values(df, [], value)
+    per = F.when(F.col("n") > 1, (m - 1) / (F.col("n") - 1))
+    first = F.coalesce(F.greatest(F.lit(0), F.floor((F.col("upto") - F.col("c") - 1) * per)), F.lit(0)).cast("int")
+    last = F.coalesce(F.least(F.lit(m - 1), F.ceil(F.col("upto") * per)), F.lit(m - 1)).cast("int")
+    near = x.where(first <= last).withColumn("i", F.explode(F.sequence(first, last)))
+    position = F.col("i") * (F.col("n") - 1) / F.lit(float(m - 1))
+    holds = lambda r: (F.col("upto") > r) & (F.col("upto") - F.col("c") <= r)
+    ends = near.groupBy("i").agg(F.max(F.when(holds(F.floor(position)), F.col("v"))).alias("low"), F.max(F.when(holds(F.ceil(position)), F.col("v"))).alias("high"), F.max(position).alias("p"))
+    return ends.select("i", between(F.col("low"), F.col("high"), F.col("p")).alias("quantile"))

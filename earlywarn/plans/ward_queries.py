@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from earlywarn.functions.clinical import hour_ending
 from earlywarn.operators import operations as op
 from earlywarn.operators import ward as wd
+from earlywarn.operators.ordered import running
 from earlywarn.operators.store import Store
 from earlywarn.session import new_dir
 from earlywarn.sources.views import table
@@ -101,7 +102,7 @@ _SEV = "CASE WHEN score >= 7 THEN 3 WHEN score >= 5 OR source <> 'news2' THEN 2
 def inbox(spark, d):
     rank = F.when(F.col("score") >= 7, 3).when((F.col("score") >= 5) | (F.col("source") != "news2"), 2).otherwise(0)
     x = _state(spark, d).where(F.col("status").isin(*wd.UNRESOLVED)).withColumn("rank", rank)
-    return x.withColumn("place", F.row_number().over(Window.partitionBy("rank").orderBy("raised_at", "alert_id"))).select("alert_id", "rank", "place")
+    return running(x, ["rank"], [F.col("raised_at"), F.col("alert_id")], {"place": F.lit(1)}).select("alert_id", "rank", "place")
 
 
 @query("G6_census", f"WITH {WARD_SQL}, {_LATEST}, ua AS (SELECT encounter_id, count(*) AS u FROM observations WHERE flag = 'R' GROUP BY 1), v AS (SELECT encounter_id, count(*) AS n_vitals, round(sum(value), 6) AS vitals_sum FROM latest WHERE list_contains({_CODES}[1:5], code) GROUP BY 1), t AS (SELECT encounter_id, string_agg(CAST(news2_total AS VARCHAR), ',' ORDER BY icu_hour) AS trend, arg_max(news2_total, icu_hour) AS latest_score FROM (SELECT *, row_number() OVER (PARTITION BY encounter_id ORDER BY icu_hour DESC) AS rn FROM scores) WHERE rn <= 12 GROUP BY 1) SELECT e.id AS encounter_id, e.mrn, family, given, bed, coalesce(n_vitals, 0) AS n_vitals, vitals_sum, trend, latest_score, coalesce(u, 0) AS unresolved FROM encounters e JOIN patients p ON e.mrn = p.mrn LEFT JOIN v ON v.encounter_id = e.id LEFT JOIN t ON t.encounter_id = e.id LEFT JOIN ua ON ua.encounter_id = e.id WHERE e.status = 'in-progress'")

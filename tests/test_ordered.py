@@ -58,3 +58,27 @@ def test_ties_nulls_and_small_tables(spark):
 def test_scores_that_are_not_numbers_come_first(spark):
     df = spark.createDataFrame([(float("nan"), 1), (2.0, 0), (1.0, 1), (None, 1)], "s double, label int")
     assert ev.ranking(df, "label", "s").first().auroc == 0.5
+
+
+def test_quantiles_equal_percentile_without_a_window_over_all(spark):
+    df = spark.range(20_000).select(((F.col("id") * 7919) % 20_011 / 7).alias("v"), (F.col("id") % 3).alias("g")).unionByName(spark.range(5000).select(F.lit(1000.0).alias("v"), F.lit(1).cast("long").alias("g")))
+    at = [i / 399 for i in range(400)]
+    want = df.agg(F.percentile("v", F.array(*map(F.lit, at)))).first()[0]
+    got = {r.i: r.quantile for r in ordered.even_quantiles(df, "v", 400).collect()}
+    assert len(got) == 400 and all(abs(got[i] - w) < 1e-6 for i, w in enumerate(want))
+    x = ordered.at_ranks(df, ["g"], "v", {"mid": F.floor((F.col("n") - 1) / 2)})
+    plan = x._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan
+    for r in x.collect():
+        values = sorted(v.v for v in df.where(F.col("g") == r.g).collect())
+        assert (r.n, r.max, r.mid) == (len(values), values[-1], values[(len(values) - 1) // 2])
+    assert ordered.even_quantiles(df.limit(0), "v", 400).count() == 0
+    assert {r.quantile for r in ordered.even_quantiles(df.limit(1), "v", 5).collect()} == {df.first().v}
+
+
+def test_weighted_percentiles(spark):
+    df = spark.createDataFrame([(1.0, 1.0), (2.0, 3.0), (2.0, 1.0), (10.0, 1.0), (None, 5.0)], "v double, w double")
+    got = {r.percent: r.result for r in ev.weighted_percentile(df, "v", "w", [0.0, 25.0, 50.0, 90.0, 100.0]).collect()}
+    # positions: 1 at 8.333, 2 from 33.333 to 66.667, 10 at 91.667
+    assert got[0.0] == 1.0 and got[50.0] == 2.0 and got[100.0] == 10.0
+    assert got[25.0] == pytest.approx(1 + (25 - 100 / 12) / (100 / 3 - 100 / 12)) and got[90.0] == pytest.approx(2 + 8 * (90 - 200 / 3) / (1100 / 12 - 200 / 3))
