@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 from earlywarn.operators import hl7
 from earlywarn.sources.views import LOINC
 
-#: Administrative sex, result statuses, and what an id may hold.
+#: Administrative sex.
 GENDERS = {"F": "female", "M": "male", "O": "other", "U": "unknown", "A": "other", "N": "unknown"}
-STATUSES = {"F": "final", "P": "preliminary", "C": "corrected", "X": "cancelled", "R": "registered", "S": "preliminary", "I": "registered", "W": "entered-in-error", "D": "entered-in-error"}
-NOT_IN_ID = r"[^A-Za-z0-9\-.]"
 
 
 def _lookup(table: dict[str, str], key: Column, default: str | None = None) -> Column:
@@ -32,9 +30,7 @@ def _some(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-def fhir_id(text: Column) -> Column:
-    """A resource id: characters that an id can't hold become hyphens; at most 64."""
-    return F.substring(F.regexp_replace(text, NOT_IN_ID, "-"), 1, 64)
+fhir_id = hl7.resource_id
 
 
 def _date(text: Column) -> Column:
@@ -63,14 +59,16 @@ def encounters(msgs: DataFrame) -> DataFrame:
 def conversion_errors(msgs: DataFrame) -> DataFrame:
     """``msg_id, error_code, payload``: messages that convert to nothing, by the first rule that fails, with their bytes. Nothing else of such a message is stored."""
     x = hl7.split_message(msgs)
-    obx = F.filter("fields", lambda f: f[0] == "OBX")
     at = lambda f, n: F.coalesce(F.get(f, n), F.lit(""))
+    # as hl7.usable: what is not converted can't fail to convert
+    known = lambda f: (at(f, 2) == "NM") & (at(f, 5) != "") & (hl7.first_piece(at(f, 3), 3) == "LN") & hl7.first_piece(at(f, 3), 1).isin(*(c for c, _ in LOINC.values()))
+    obx = F.filter("fields", lambda f: (f[0] == "OBX") & known(f))
     bad_time = lambda n, seg: (_f(seg, n) != "") & ~hl7.dtm_valid(_f(seg, n))
     no_time = F.exists(obx, lambda f: (at(f, 14) == "") & (_f("OBR", 7) == ""))
     error = F.coalesce(
         F.when(F.col("PID").isNull(), "PID_MISSING"), F.when(F.col("PV1").isNull(), "PV1_MISSING"), F.when(_c("PV1", 19, 1) == "", "VISIT_NUMBER_MISSING"),
         F.when((fhir_id(_c("PID", 3, 1)) == "") | (fhir_id(_c("PV1", 19, 1)) == ""), "FHIR_ID_EMPTY"), F.when(bad_time(44, "PV1") | bad_time(45, "PV1") | bad_time(7, "PID"), "TIMESTAMP_INVALID"),
-        F.when(F.exists(obx, lambda f: _lookup(STATUSES, at(f, 11)).isNull()), "RESULT_STATUS_UNMAPPED"), F.when(no_time, "OBSERVATION_TIME_MISSING"),
+        F.when(F.exists(obx, lambda f: _lookup(hl7.STATUSES, at(f, 11)).isNull()), "RESULT_STATUS_UNMAPPED"), F.when(no_time, "OBSERVATION_TIME_MISSING"),
     )
     return x.select("msg_id", error.alias("error_code"), F.base64(F.col("raw").cast("binary")).alias("payload")).where("error_code is not null")
 

@@ -19,6 +19,14 @@ DTM_SHAPE = r"^\d{4}((0[1-9]|1[0-2])((0[1-9]|[12]\d|3[01])(([01]\d|2[0-3])([0-5]
 DTM = r"^(\d{4})(?:(\d{2})(?:(\d{2})(?:(\d{2})(?:(\d{2})(?:(\d{2})(?:\.(\d{1,4}))?)?)?)?)?)?([+-]\d{4})?$"
 
 
+#: Result statuses, and what an id may not hold.
+STATUSES = {
+    "F": "final", "C": "corrected", "A": "amended", "U": "final", "P": "preliminary", "R": "preliminary", "S": "preliminary", "I": "registered", "O": "registered", "X": "cancelled", "N": "cancelled", "D": "entered-in-error",
+    "W": "entered-in-error",
+}
+NOT_IN_ID = r"[^A-Za-z0-9\-.]"
+
+
 def piece(text: Column, sep: Column | str, n: int) -> Column:
     """The n-th piece (from 1), empty when there is none."""
     sep = F.lit(sep) if isinstance(sep, str) else sep
@@ -246,10 +254,43 @@ def damaged(msgs: DataFrame) -> DataFrame:
     return msgs.withColumn("raw", F.when(k <= 8, out).otherwise(raw))
 
 
+def first_piece(value: Column, n: int) -> Column:
+    """Component ``n`` of the first repetition, by the message's own separators; empty where there is none."""
+    first = F.coalesce(F.get(split_by(F.coalesce(value, F.lit("")), F.col("repetition_sep"), "~"), 0), F.lit(""))
+    return F.coalesce(F.get(split_by(first, F.col("component_sep"), "^"), n - 1), F.lit(""))
+
+
+def resource_id(text: Column) -> Column:
+    """A resource id: characters that an id can't hold become hyphens; at most 64."""
+    return F.substring(F.regexp_replace(text, NOT_IN_ID, "-"), 1, 64)
+
+
+def results(msgs: DataFrame) -> DataFrame:
+    """Every OBX of a message as a row: ``msg_id, control_id, mrn, encounter, number, code, system, kind, raw_value, raw_unit, raw_status, time`` (OBX-14, else OBR-7; empty if neither)."""
+    x = split_message(msgs)
+    some = lambda seg, n: F.coalesce(F.get(F.col(seg), n), F.lit(""))
+    x = x.select("msg_id", "repetition_sep", "component_sep", some("MSH", 9).alias("control_id"), first_piece(some("PID", 3), 1).alias("mrn"), first_piece(some("PV1", 19), 1).alias("encounter"), some("OBR", 7).alias("ordered"), F.explode(F.filter("fields", lambda f: f[0] == "OBX")).alias("f"))
+    f = lambda n: F.coalesce(F.get("f", n), F.lit(""))
+    return x.select(
+        "msg_id", "control_id", "mrn", "encounter", f(1).alias("number"), first_piece(f(3), 1).alias("code"), first_piece(f(3), 3).alias("system"), f(2).alias("kind"), f(5).alias("raw_value"), first_piece(f(6), 1).alias("raw_unit"),
+        f(11).alias("raw_status"), F.coalesce(F.nullif(f(14), F.lit("")), "ordered").alias("time"),
+    )
+
+
+def usable() -> Column:
+    """Whether a result is converted at all: numeric, with a value, and a code of the table under its system. Others are counted, not errors."""
+    return (F.col("system") == "LN") & (F.col("kind") == "NM") & (F.col("raw_value") != "") & F.col("code").isin(*(c for c, _ in LOINC.values()))
+
+
 def to_observations(msgs: DataFrame) -> DataFrame:
-    """FHIR-like observations of result messages: ``msg_id, id, mrn, encounter, code, value, unit, effective``. Codes outside the table are left out."""
-    s = segments(msgs)
-    head = s.where("id in ('MSH', 'PID', 'PV1')").groupBy("msg_id").agg(F.max(F.when(F.col("id") == "MSH", F.get("fields", 9))).alias("control_id"), F.max(F.when(F.col("id") == "PID", piece(F.get("fields", 3), "^", 1))).alias("mrn"), F.max(F.when(F.col("id") == "PV1", F.get("fields", 19))).alias("encounter"))
-    obx = s.where("id = 'OBX'").select("msg_id", "fields", piece(F.get("fields", 3), "^", 1).alias("code")).where(F.col("code").isin(*(c for c, _ in LOINC.values())))
-    f = lambda i: F.get("fields", i)
-    return obx.join(head, "msg_id").select("msg_id", F.concat_ws("-", "control_id", f(1)).alias("id"), "mrn", "encounter", "code", parse_nm(f(5)).alias("value"), piece(f(6), "^", 1).alias("unit"), parse_dtm(f(14))["ts"].alias("effective"))
+    """FHIR-like observations of result messages: ``msg_id, id, mrn, encounter, code, status, value, unit, effective``. One narrow projection; a missing unit is that of the table."""
+    unit = F.create_map(*(F.lit(x) for pair in LOINC.values() for x in pair))[F.col("code")]
+    status = F.create_map(*(F.lit(x) for pair in STATUSES.items() for x in pair))[F.col("raw_status")]
+    return results(msgs).where(usable()).select(
+        "msg_id", resource_id(F.concat_ws("-", "control_id", "number")).alias("id"), "mrn", "encounter", "code", status.alias("status"), parse_nm(F.col("raw_value")).alias("value"), F.coalesce(F.nullif("raw_unit", F.lit("")), unit).alias("unit"), parse_dtm(F.col("time"))["ts"].alias("effective")
+    )
+
+
+def skipped_results(msgs: DataFrame) -> DataFrame:
+    """``msg_id, skipped``: results of each message that are not converted."""
+    return results(msgs).groupBy("msg_id").agg(F.sum((~usable()).cast("long")).alias("skipped"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earlywarn.operators import hl7, hourly
@@ -113,9 +114,25 @@ def rendered(spark, d):
     return o.select("msg_id", "code", F.round("value", 4).alias("value"))
 
 
-@query("C3_fhir_observations", _PARSED + f" SELECT 'M' || lpad(CAST(encounter_id AS VARCHAR), 6, '0') || lpad(CAST(hour AS VARCHAR), 6, '0') || '-' || rn AS id, 'MRN' || encounter_id AS mrn, 'ENC' || encounter_id AS encounter, {_CODE} AS code, (SELECT min(o.admitted_at) FROM obs o WHERE o.encounter_id = r.encounter_id) + to_hours(hour * 8) AS effective FROM r")
+_SEQ = "(encounter_id * 100000 + hour)"
+_STATUS = f"CASE {_SEQ} % 13 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate("final corrected amended final preliminary preliminary preliminary registered registered cancelled cancelled entered-in-error entered-in-error".split())) + " END"
+_UNITS = "CASE variable " + " ".join(f"WHEN '{v}' THEN '{u}'" for v, (_, u) in LOINC.items()) + " END"
+
+
+def varied(spark: SparkSession, d: str) -> DataFrame:
+    """Messages with every result status; some without OBX-14, without units, with codes of another system, and with delimiters of their own."""
+    m, seq, raw = messages(spark, d), F.col("seq"), F.col("raw")
+    letter = F.element_at(F.array(*map(F.lit, "FCAUPRSIOXNDW")), (seq % 13 + 1).cast("int"))
+    raw = F.regexp_replace(raw, r"\|\|\|\|\|F\|", F.concat(F.lit("|||||"), letter, F.lit("|")))
+    raw = F.when(seq % 5 == 0, F.regexp_replace(raw, r"(OBX\|[^\r]*\|)\d{14}\+0000", "$1")).otherwise(raw)
+    raw = F.when(seq % 7 == 0, F.regexp_replace(raw, r"(OBX\|\d+\|NM\|[^|]*\|\|[^|]*\|)[^|]*\|", "$1|")).otherwise(raw)
+    raw = F.when(seq % 11 == 0, F.replace(raw, F.lit("^LN|"), F.lit("^L|"))).otherwise(raw)
+    return m.withColumn("raw", F.when(seq % 4 == 0, F.translate(raw, "^~", "!%")).otherwise(raw))
+
+
+@query("C3_fhir_observations", _PARSED + f" SELECT 'M' || lpad(CAST(encounter_id AS VARCHAR), 6, '0') || lpad(CAST(hour AS VARCHAR), 6, '0') || '-' || rn AS id, 'MRN' || encounter_id AS mrn, 'ENC' || encounter_id AS encounter, {_CODE} AS code, {_STATUS} AS status, {_UNITS} AS unit, round(value, 4) AS value, (SELECT min(o.admitted_at) FROM obs o WHERE o.encounter_id = r.encounter_id) + to_hours(hour * 8) AS effective FROM r WHERE {_SEQ} % 11 <> 0")
 def observations_parsed(spark, d):
-    return hl7.to_observations(messages(spark, d)).select("id", "mrn", "encounter", "code", "effective")
+    return hl7.to_observations(varied(spark, d)).select("id", "mrn", "encounter", "code", "status", "unit", F.round("value", 4).alias("value"), "effective")
 
 
 @query("D11_parse_dtm", "SELECT event_id, CASE WHEN event_id % 4 <> 3 THEN CASE WHEN event_id % 4 = 1 THEN date_trunc('second', ts) + INTERVAL 250 MILLISECOND ELSE date_trunc('second', ts) END END AS ts, CASE event_id % 4 WHEN 0 THEN 'second' WHEN 1 THEN 'fraction' WHEN 2 THEN 'second' END AS \"precision\", CASE WHEN event_id % 4 = 2 THEN -90 END AS minutes, CASE WHEN event_id % 4 = 3 THEN 'TIMESTAMP_INVALID' END AS error FROM events")
