@@ -2,47 +2,49 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from earlywarn.session import new_dir, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session. Where the setting is empty on one machine (tests), a temporary one is made; on a cluster that is an error."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="earlywarn-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+__all__ = ["input_bytes", "materialize", "owned", "release", "shared_dir"]
 
 
 def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it from there, so that its lineage ends and lost executors cost nothing.
 
-    ``release`` removes the table unless ``keep`` is set."""
+    Within ``owned`` the table belongs to whoever opened that, unless ``keep`` is set; else it stays, as lazy results may still read it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/earlywarn-{uuid.uuid4().hex}"
+    path = new_dir(spark)
     df.write.parquet(path)
-    if not keep:
-        _written(spark).append(path)
+    owners = _owners(spark)
+    if owners and not keep:
+        owners[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _written(spark: SparkSession) -> list[str]:
+def _owners(spark: SparkSession) -> list[list[str]]:
     sc = spark.sparkContext
-    if not hasattr(sc, "_earlywarn_tables"):
-        sc._earlywarn_tables = []
-    return sc._earlywarn_tables
+    if not hasattr(sc, "_earlywarn_owners"):
+        sc._earlywarn_owners = []
+    return sc._earlywarn_owners
 
 
-def release(spark: SparkSession) -> None:
-    """Remove the intermediate tables written so far. Only for callers whose results are written elsewhere, such as the stages of a pipeline."""
-    tables = _written(spark)
+@contextmanager
+def owned(spark: SparkSession) -> Iterator[list[str]]:
+    """The paths of the tables that the body writes. Tables of other results are none of them."""
+    mine: list[str] = []
+    _owners(spark).append(mine)
+    try:
+        yield mine
+    finally:
+        _owners(spark).pop()
+
+
+def release(spark: SparkSession, tables: list[str]) -> None:
+    """Remove tables that ``owned`` has listed, once what reads them is written."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while tables:
         path = jvm.org.apache.hadoop.fs.Path(tables.pop())
