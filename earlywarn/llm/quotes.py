@@ -2,8 +2,8 @@
 
 Every message is read line by line. Leading ``>`` marks (blanks between them allowed) give a line's quote level; a run of lines of one
 level above 0 is a passage. A passage is normalised (marks, case of A-Z and white space folded) and hashed, and the hashes are joined to
-the passages that messages of the same conversation wrote themselves: whole texts, their paragraphs and their lines. The parent of a message
-is the latest earlier message that its outermost quotes repeat; without such a quote it is the message before it. Messages are
+the passages that messages of the same conversation wrote themselves: whole texts, their paragraphs, and every run of consecutive lines (blank
+ones aside) that has as many lines as some quote of the conversation. The parent of a message is the latest earlier message that its outermost quotes repeat; without such a quote it is the message before it. Messages are
 ordered so that replies follow their parents, depth first, ties by turn.
 
 Defined cases: a null text is empty, so without quotes; a null conversation is a conversation of its own; repeated turns are told apart by
@@ -12,13 +12,14 @@ later messages don't count; an empty table gives no rows; other columns are igno
 
 Plan: one pass parses messages, in time linear in each text. Quoted passages and the passages of their conversations are joined on
 (conversation, hash, text) as of the quoting message: each quote meets the latest earlier source only, so a line that many quote and many wrote
-costs their sum. What precedes a row (the message before, the source before, the sibling before) is found over range partitions with
+costs their sum. Digests of runs roll along a text, so a text costs its lines times the different lengths that its conversation quotes. What precedes a row (the message before, the source before, the sibling before) is found over range partitions with
 one carried row a range, so no conversation is one task. Reply order is an Euler tour of the reply tree ranked by pointer doubling: two short
 rows a message at any depth, and a number of even rounds that follows the logarithm of the largest conversation.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -30,8 +31,16 @@ from pyspark.sql import types as T
 from earlywarn.llm.storage import materialize
 
 MARK = re.compile(r"[ \t]*((?:>[ \t]*)+)")
-QUOTES = T.ArrayType(T.StructType([T.StructField("level", T.IntegerType()), T.StructField("text", T.StringType())]))
-ARROW_QUOTES = pa.list_(pa.struct([("level", pa.int32()), ("text", pa.string())]))
+BLANKS = re.compile(r"[\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+QUOTES = T.ArrayType(T.StructType([T.StructField("level", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("lines", T.IntegerType()), T.StructField("run", T.StringType())]))
+ARROW_QUOTES = pa.list_(pa.struct([("level", pa.int32()), ("text", pa.string()), ("lines", pa.int32()), ("run", pa.string())]))
+
+#: Digests of runs are polynomials of line digests modulo a prime of 127 bits.
+PRIME = (1 << 127) - 1
+BASE = int.from_bytes(hashlib.blake2b(b"runs of lines", digest_size=15).digest(), "big")
+#: Rows of runs that a task holds before it sends them on.
+SENT = 20_000
 
 
 def normal(text: Column) -> Column:
@@ -39,6 +48,21 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " "))
 
 
+def line_values(text: str) -> list[int]:
+    """A number for each normalised line of a text that is not blank."""
+    lines = (BLANKS.sub(" ", x).strip(" ") for x in text.translate(LOWER).split("\n"))
+    return [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=15).digest(), "big") for x in lines if x]
+
+
+def runs_of(values: list[int], k: int) -> Iterator[str]:
+    """The names of all runs of ``k`` consecutive lines, in order. No normalised text has a line break, so none is such a name."""
+    leaving, digest = pow(BASE, k, PRIME), 0
+    for i, v in enumerate(values):
+        digest = (digest * BASE + v - (values[i - k] * leaving if i >= k else 0)) % PRIME
+        if i >= k - 1:
+            yield f"\n{k}:{digest:032x}"
+
+
 def passages(text: str) -> tuple[list[dict], str]:
     """Quoted passages of a text (level, text) in order, and the text without its quoted lines, trimmed."""
     runs: list[tuple[int, list[str]]] = []
@@ -53,7 +77,11 @@ def passages(text: str) -> tuple[list[dict], str]:
         else:
             runs.append((level, [line[mark.end() :]]))
         level_before = level
-    return [{"level": level, "text": "\n".join(lines)} for level, lines in runs], "\n".join(own).strip(" ")
+    quotes = []
+    for level, lines in runs:
+        values = line_values("\n".join(lines))
+        quotes.append({"level": level, "text": "\n".join(lines), "lines": len(values), "run": next(runs_of(values, len(values)), None) if values else None})
+    return quotes, "\n".join(own).strip(" ")
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,6 +91,30 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "quotes", "text"])
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``c, at, t``: the runs of each message's own lines, of the lengths asked."""
+    for batch in batches:
+        rows, names = [], []
+
+        def sent(batch=batch, rows=rows, names=names) -> pa.RecordBatch:
+            picked = pa.array(rows, pa.int64())
+            out = pa.RecordBatch.from_arrays([batch.column("c").take(picked), batch.column("at").take(picked), pa.array(names, pa.string())], ["c", "at", "t"])
+            rows.clear()
+            names.clear()
+            return out
+
+        for i, (text, lengths) in enumerate(zip(batch.column("text").to_pylist(), batch.column("lengths").to_pylist(), strict=True)):
+            values = line_values(text)
+            for k in lengths:
+                if k <= len(values):
+                    for name in runs_of(values, k):
+                        rows.append(i)
+                        names.append(name)
+                        if len(rows) >= SENT:
+                            yield sent()
+        yield sent()
+
+
 def _before(df: DataFrame, group: list[str], order: list[str], **wanted: tuple) -> DataFrame:
     """``df`` with aggregates over the earlier rows of each row's group: ``name=("max" or "sum", column)``.
 
@@ -103,16 +155,20 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
 
 def _links(one: DataFrame) -> DataFrame:
     """``key, n_linked, link``: of each message with linked quotes, how many, and the latest earlier source of the first outermost one."""
-    passage = normal(F.col("q.text"))
-    quoted = one.where(F.size("quotes") > 0).select("c", "key", "at", F.posexplode("quotes").alias("n", "q")).select("c", passage.alias("t"), F.xxhash64(passage).alias("h"), "at", F.lit(0).alias("kind"), "key", "n", F.col("q.level").alias("level"))
-    asked = quoted.select("c").distinct()
+    read = one.where(F.size("quotes") > 0).select("c", "key", "at", F.posexplode("quotes").alias("n", "q"))
+    # a quote is asked for as a text, however its lines are broken, and as a run of lines
+    quoted = read.select("c", "key", "at", "n", F.col("q.level").alias("level"), F.explode(F.array_compact(F.array(normal(F.col("q.text")), F.col("q.run")))).alias("t")).withColumn("h", F.xxhash64("t")).withColumn("kind", F.lit(0))
+    asked = read.groupBy("c").agg(F.array_compact(F.collect_set(F.when(F.col("q.lines") > 0, F.col("q.lines")))).alias("lengths"))  # as many as there are different lengths
+    said = one.select("c", "at", "text").join(asked, "c")
     pieces = F.array_distinct(F.filter(F.transform(F.concat(F.array("text"), F.split("text", "\n{2,}"), F.split("text", "\n")), normal), lambda p: p != ""))
-    sources = one.join(asked, "c", "left_semi").select("c", "at", F.explode(pieces).alias("t")).withColumn("h", F.xxhash64("t"))
+    runs = said.mapInArrow(_runs, T.StructType([said.schema["c"], said.schema["at"], T.StructField("t", T.StringType())]))
+    sources = said.select("c", "at", F.explode(pieces).alias("t")).unionByName(runs).withColumn("h", F.xxhash64("t"))
     sources = sources.join(quoted.select("c", "h", "t").distinct(), ["c", "h", "t"], "left_semi").withColumn("kind", F.lit(1))
     events = quoted.unionByName(sources, allowMissingColumns=True)
     # a message's quotes come before what it wrote itself, so it is no source of its own
     found = _before(events, ["c", "h", "t"], ["at", "kind"], source=("max", F.when(F.col("kind") == 1, F.col("at")))).where((F.col("kind") == 0) & F.col("source").isNotNull())
-    return found.groupBy("key").agg(F.count(F.lit(1)).alias("n_linked"), F.min_by("source", F.struct("level", "n")).alias("link"))
+    linked = found.groupBy("key", "n", "level").agg(F.max("source").alias("source"))
+    return linked.groupBy("key").agg(F.count(F.lit(1)).alias("n_linked"), F.min_by("source", F.struct("level", "n")).alias("link"))
 
 
 def _ordered(nodes: DataFrame) -> DataFrame:

@@ -116,13 +116,18 @@ def replies(rows):
     out = {}
     for conv in {r[0] for r in rows}:
         mine = sorted((r for r in rows if r[0] == conv), key=lambda r: r[1])
-        said, children, parent, facts = [], {}, {}, {}
+        said, written, children, parent, facts = [], [], {}, {}, {}
         for k, (_, _, _, text) in enumerate(mine):
             lines = [(re.match(r"[ \t]*(?:>[ \t]*)*", x)[0], x) for x in (text or "").split("\n")]
             own = "\n".join(x for m, x in lines if ">" not in m).strip(" ")
             runs = [(level, fold("\n".join(x[len(m) :] for m, x in g))) for level, g in ((lv, list(g)) for lv, g in itertools.groupby(lines, key=lambda v: v[0].count(">"))) if level]
-            found = [(level, n, max(j for j in range(k) if t in said[j])) for n, (level, t) in enumerate(runs) if any(t in said[j] for j in range(k))]
+            parts = [[fold(x[len(m) :]) for m, x in g] for lv, g in ((lv, list(g)) for lv, g in itertools.groupby(lines, key=lambda v: v[0].count(">"))) if lv]
+            parts = [[x for x in part if x] for part in parts]
+            holds = lambda j, n, t: t in said[j] or (parts[n] and any(written[j][i : i + len(parts[n])] == parts[n] for i in range(len(written[j]))))  # noqa: B023, E731
+            sources = [[j for j in range(k) if holds(j, n, t)] for n, (_, t) in enumerate(runs)]
+            found = [(level, n, max(sources[n])) for n, (level, _) in enumerate(runs) if sources[n]]
             said.append({fold(p) for p in [own, *re.split(r"\n{2,}", own), *own.split("\n")]} - {""})
+            written.append([x for x in map(fold, own.split("\n")) if x])
             parent[k] = min(found)[2] if found else k - 1 if k else None
             children.setdefault(parent[k], []).append(k)
             facts[k] = (own, len(runs), len(found))
@@ -135,6 +140,24 @@ def replies(rows):
     return out
 
 
+def test_runs_of_lines_link(spark):
+    told = "First of three\nsecond of three\nthird of three\n\nAnother paragraph\nof two lines\n\nThe end"
+    quoted = ["> first of THREE\n> second of three\nA", "> second of three\n> third  of three\n>\n> another paragraph\nB", "> first of three\n> third of three\nC", "> another paragraph of\n> two lines\nD", ">\n>\nE", "> of two lines\n> the end\n>\n> more\nF"]
+    rows = [("x", 0, "user", told), ("y", 0, "user", "other"), *(("x", i + 1, "assistant", q) for i, q in enumerate(quoted)), ("y", 1, "user", quoted[0])]
+    df = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.text, r.n_quotes, r.n_linked, r.parent_turn, r.depth, r.position) for r in quotes.link_quotes(df).collect()}
+    assert [got["x", i][2] for i in range(1, 7)] == [1, 1, 0, 1, 0, 0] and got["y", 1][2] == 0
+    assert [got["x", i][3] for i in range(1, 7)] == [0, 0, 2, 0, 4, 5]
+    assert got == replies(rows)
+
+
+def test_runs_roll_as_they_are_computed_afresh():
+    values = quotes.line_values("a\nB  b\n\n c\nb b\nc\nd")
+    assert len(values) == 6 and list(quotes.runs_of(values, 2))[1] == list(quotes.runs_of(values, 2))[3]
+    for k in range(1, 8):
+        assert list(quotes.runs_of(values, k)) == [next(quotes.runs_of(values[i : i + k], k)) for i in range(len(values) - k + 1)]
+
+
 @pytest.mark.parametrize("ranges", [1, 7])
 def test_replies_by_brute_force(spark, ranges):
     rng, rows = random.Random(8), []
@@ -144,7 +167,8 @@ def test_replies_by_brute_force(spark, ranges):
             lines = [rng.choice(["Yes", "thanks  a lot", f"point {rng.randrange(30)}", "", "a > b"]) for _ in range(rng.randrange(1, 5))]
             if texts and rng.random() < 0.6:
                 old = rng.choice(texts).split("\n")
-                piece = rng.choice([old, [rng.choice(old)], ["never said"]])
+                start = rng.randrange(len(old))
+                piece = rng.choice([old, [rng.choice(old)], old[start : start + 2], ["never said"]])
                 lines = [rng.choice(["> ", ">", " > > "]) + x.upper() for x in piece] + lines
             texts.append("\n".join(lines))
             rows.append((conv, turn, rng.choice(["user", "assistant"]), texts[-1]))
