@@ -1,10 +1,13 @@
-"""HL7 v2 messages as a table job: tokenise, validate, deduplicate, answer, route, render. Every step is a native expression over (msg_id, seq, raw)."""
+"""HL7 v2 messages as a table job: tokenise, validate, deduplicate, answer, route, render. Every step is a native expression over (msg_id, seq, raw); only the memory of control ids reads its sorted rows in Python."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from earlywarn.operators.ordered import running
+from earlywarn.session import cut
 from earlywarn.sources.views import DISPLAY, LOINC, VARIABLES
 
 CR = "\r"
@@ -215,11 +218,54 @@ def cwe(field: Column) -> Column:
     return F.struct(_at(p, 0).alias("identifier"), _at(p, 1).alias("text"), _at(p, 2).alias("system"), ((_at(p, 0) != "") | (_at(p, 1) != "")).alias("valid"))
 
 
-def dedupe_control_ids(results: DataFrame) -> DataFrame:
-    """``disposition``: accepted, retransmission (same id and bytes) or rejected (same id, other bytes, CONTROL_ID_DUPLICATE). Only valid messages reserve an id."""
+def dedupe_control_ids(results: DataFrame, memory: int = 100_000) -> DataFrame:
+    """``disposition``: accepted, retransmission (same id and bytes) or rejected (same id, other bytes, CONTROL_ID_DUPLICATE).
+
+    Only accepted messages reserve an id, and only the last ``memory`` of them are remembered: a repeat after that is accepted anew. Messages come in the order of ``seq``, ties by ``msg_id``.
+
+    How many were accepted before a message decides whether its id is still known, and depends on such decisions itself. So counts and decisions take turns: given the counts, each id decides for itself;
+    given the decisions, a running sum over ranges counts. A message is right once all before it are, so the only stable state is the one of a single reader. Without more ids than the memory holds nothing is forgotten, and one window decides."""
+    results, valid = cut(results), F.col("error_code").isNull()  # validation is dear, its rows are slim
+    if results.where(valid).select("control_id").distinct().limit(memory + 1).count() <= memory:
+        return _remembered_forever(results)
+    known = results.where(valid).withColumn("_before", F.lit(0).cast("long"))
+    decided, changed = None, True
+    while changed:
+        schema = T.StructType([*known.schema.fields, T.StructField("_accepted", T.BooleanType()), T.StructField("_clash", T.BooleanType())])
+        dealt = known.repartition("control_id").sortWithinPartitions("control_id", "seq", "msg_id")
+        decided = cut(dealt.mapInPandas(_forgetful(memory), schema))
+        one = F.col("_accepted").cast("long")
+        numbered = cut(running(decided, [], [F.col("seq"), F.col("msg_id")], {"_upto": one}).withColumn("_now", F.col("_upto") - one))
+        changed = bool(numbered.where("_now <> _before").limit(1).count())
+        known = numbered.withColumn("_before", F.col("_now")).drop("_now", "_upto", "_accepted", "_clash")
+    disposition = F.when(F.col("_clash"), "rejected").when(F.col("_accepted"), "accepted").otherwise("retransmission")
+    good = decided.withColumn("disposition", disposition).withColumn("error_code", F.when(F.col("_clash"), "CONTROL_ID_DUPLICATE").otherwise(F.col("error_code")))
+    bad = results.where(~valid).withColumn("disposition", F.lit("rejected"))
+    return good.select(*results.columns, "disposition").unionByName(bad)
+
+
+def _forgetful(memory: int):
+    """The decisions of each id, whose messages come in order, given how many messages were accepted before each. One remembered message is held at a time."""
+
+    def decide(batches):
+        name, number, digest = None, None, None
+        for x in batches:
+            accepted, clash = [], []
+            for control, before, bytes_ in zip(x["control_id"], x["_before"], x["digest"], strict=True):
+                forgotten = control != name or before - number >= memory
+                if forgotten:
+                    name, number, digest = control, before + 1, bytes_
+                accepted.append(forgotten)
+                clash.append(bytes_ != digest)
+            yield x.assign(_accepted=accepted, _clash=clash)
+
+    return decide
+
+
+def _remembered_forever(results: DataFrame) -> DataFrame:
     valid = F.col("error_code").isNull()
     # messages that are not valid reserve nothing, so each is a group of its own
-    w = Window.partitionBy(F.when(valid, F.col("control_id")), F.when(~valid, F.col("msg_id"))).orderBy("seq")
+    w = Window.partitionBy(F.when(valid, F.col("control_id")), F.when(~valid, F.col("msg_id"))).orderBy("seq", "msg_id")
     first, n = F.first("digest").over(w), F.row_number().over(w)
     clash = valid & (n > 1) & (first != F.col("digest"))
     x = results.withColumns({"_first": first, "_n": n, "_clash": clash})

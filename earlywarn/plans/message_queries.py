@@ -94,6 +94,20 @@ def deduped(spark, d):
     return hl7.dedupe_control_ids(hl7.validate(_repeated(spark, d))).groupBy("disposition").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Accepted messages that the query below remembers: less than the smallest table has.
+MEMORY = 500
+
+
+@query("B12_hl7_dedupe_memory", f"""WITH RECURSIVE {_MSG}, m AS (SELECT msg_id, seq, row_number() OVER (ORDER BY seq) AS a FROM msg), n AS (SELECT count(*) AS n FROM m),
+again AS (SELECT msg_id, a, row_number() OVER (ORDER BY seq) AS i FROM m WHERE seq % 3 = 0), r AS (SELECT CAST(0 AS BIGINT) AS i, n AS held, false AS fresh FROM n UNION ALL SELECT r.i + 1, held + (held - a >= {MEMORY})::INT, held - a >= {MEMORY} FROM r JOIN again ON again.i = r.i + 1),
+once AS (SELECT msg_id, fresh, CASE WHEN fresh THEN held ELSE a END AS a FROM again JOIN r USING (i)),
+other AS (SELECT m.msg_id, coalesce(once.a, m.a) AS a, row_number() OVER (ORDER BY seq) AS i FROM m LEFT JOIN once USING (msg_id) WHERE seq % 5 = 0),
+q AS (SELECT CAST(0 AS BIGINT) AS i, (SELECT max(held) FROM r) AS held, false AS fresh UNION ALL SELECT q.i + 1, held + (held - a >= {MEMORY})::INT, held - a >= {MEMORY} FROM q JOIN other ON other.i = q.i + 1)
+SELECT msg_id, 'accepted' AS disposition FROM m UNION ALL SELECT msg_id || 'r', CASE WHEN fresh THEN 'accepted' ELSE 'retransmission' END FROM once UNION ALL SELECT msg_id || 'x', CASE WHEN fresh THEN 'accepted' ELSE 'rejected' END FROM other JOIN q USING (i)""")
+def deduped_with_memory(spark, d):
+    return hl7.dedupe_control_ids(hl7.validate(_repeated(spark, d)), MEMORY).select("msg_id", "disposition")
+
+
 @query("B13_ack_disposition", f"WITH {_MSG} SELECT msg_id, CASE WHEN k IN (0, 2, 6, 7) THEN 'AR' WHEN k IN (1, 4, 5, 8) THEN 'AE' ELSE 'AA' END AS ack_code FROM msg")
 def acks(spark, d):
     return hl7.ack_disposition(hl7.validate(hl7.damaged(messages(spark, d)))).select("msg_id", "ack_code")
