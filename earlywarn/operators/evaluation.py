@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from earlywarn.operators.hourly import STAY
 from earlywarn.operators.ordered import at_ranks, between, even_quantiles, running
+from earlywarn.session import cut
 
 
 @dataclass(frozen=True)
@@ -153,7 +155,7 @@ def quantiles(df: DataFrame, score: str, n: int) -> DataFrame:
 def threshold_table(scored: DataFrame, outcomes: DataFrame, candidates: list[float], refractory_hours: float = 6.0, rise_margin: float = math.inf) -> DataFrame:
     """Burden and sensitivity of every candidate threshold in one job: each stay's hours are folded once per candidate, then summed."""
     rows = scored.groupBy(*STAY).agg(F.sort_array(F.collect_list(F.struct("hour", F.col("score").cast("double").alias("score")))).alias("rows"))
-    rows = rows.join(outcomes, list(STAY)).withColumn("threshold", F.explode(F.array(*(F.lit(float(c)) for c in candidates))))
+    rows = rows.join(outcomes, list(STAY)).withColumn("threshold", F.explode(F.array(*(F.lit(float(c)) for c in candidates)).cast("array<double>")))
     start = F.struct(F.lit(None).cast("double").alias("h"), F.lit(None).cast("double").alias("s"), F.lit(0).alias("alerts"), F.lit(False).alias("hit"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -186,6 +188,44 @@ def choose_matched_burden(table: DataFrame, target: float) -> float | None:
     return max(near, key=lambda r: (-abs(r[1] - target), r[0]))[0]
 
 
+def highest_good(look: Callable[[list[int]], dict[int, Row]], n: int, good: Callable[[Row], bool], levels: int = 3) -> tuple[int, dict[int, Row]]:
+    """The highest of ``n`` candidates that is good, found as a bisection finds it (-1 if none), and what was looked up.
+
+    One bisection step a job would wait for a fold of all stays each time, so a round looks up every middle that its next ``levels`` steps can reach: ``2 ** levels - 1`` candidates in one job."""
+    low, high, found, seen = 0, n - 1, -1, {}
+    while low <= high:
+        middle = (low + high) // 2
+        if middle not in seen:
+            spans, asked = [(low, high)], []
+            for _ in range(levels):
+                spans = [s for s in spans if s[0] <= s[1]]
+                asked += [(a + b) // 2 for a, b in spans]
+                spans = [t for a, b in spans for t in ((a, (a + b) // 2 - 1), ((a + b) // 2 + 1, b))]
+            seen |= look(asked)
+        if good(seen[middle]):
+            found, low = middle, middle + 1
+        else:
+            high = middle - 1
+    return found, seen
+
+
+def search_thresholds(held_out: DataFrame, outcomes: DataFrame, burden: float | None = None, sensitivity: float | None = None, candidates: int = 400, refractory_hours: float = 6.0, rise_margin: float = math.inf) -> DataFrame:
+    """``threshold, alerts_per_patient_day, sensitivity`` of one quantile of the held-out scores: the nearest to a ``burden`` among the highest at or above it and the next (ties go to the higher), or the highest
+    that reaches a ``sensitivity`` (else the lowest). Without scores there are no rows."""
+    scored = cut(held_out.select(*STAY, "hour", "score"))
+    grid = sorted(r.threshold for r in quantiles(scored, "score", candidates).where("threshold is not null").collect())  # at most ``candidates``
+    table = lambda at: threshold_table(scored, outcomes, [grid[i] for i in at], refractory_hours, rise_margin)
+    place = {t: i for i, t in enumerate(grid)}
+    look = lambda at: {place[r.threshold]: r for r in table(at).collect()}
+    if burden is None:
+        found, _ = highest_good(look, len(grid), lambda r: r.sensitivity is not None and r.sensitivity >= sensitivity)
+        return table([max(found, 0)] if grid else [])
+    found, seen = highest_good(look, len(grid), lambda r: r.alerts_per_patient_day >= burden)
+    options = [i for i in (found, found + 1) if 0 <= i < len(grid)]
+    seen |= look([i for i in options if i not in seen]) if any(i not in seen for i in options) else {}
+    return table(sorted(options, key=lambda i: (abs(seen[i].alerts_per_patient_day - burden), -i))[:1])
+
+
 def choice(table: DataFrame, threshold: float | None) -> DataFrame:
     """The row of a threshold table that was chosen."""
     return table.where(F.col("threshold") == F.lit(threshold))

@@ -403,6 +403,43 @@ def matched_burden(spark, d):
     return ev.choice(t, ev.choose_matched_burden(t, 1.5))
 
 
+# a score of many values: the points, and how long they have been high
+_SUSTAINED = """, sustained AS (SELECT encounter_id, site, hour, (100 * score + sum(score) OVER (PARTITION BY encounter_id, site ORDER BY hour ROWS 11 PRECEDING)) / CAST(100 AS DOUBLE) AS score FROM scored),
+fold AS (SELECT encounter_id, (row_number() OVER (PARTITION BY septic ORDER BY md5('2019/' || site || '/' || encounter_id)) - 1) % 5 AS fold FROM outcome WHERE site = 'A'),
+held AS (SELECT * FROM sustained WHERE encounter_id IN (SELECT encounter_id FROM fold WHERE fold = 0)),
+grid AS (SELECT DISTINCT round(t, 9) AS threshold FROM (SELECT unnest(quantile_cont(score, [""" + ", ".join(f"{i}/399.0" for i in range(400)) + """])) AS t FROM held)),
+tw AS (SELECT threshold, h.* FROM held h, grid),"""
+_SEARCH = WITH_ALERTS + _SUSTAINED + _TABLE.split("FROM scored s, (SELECT CAST(unnest(range(1, 13)) AS DOUBLE) AS t)),", 1)[1] + """,
+num AS (SELECT *, CAST(row_number() OVER (ORDER BY threshold) - 1 AS BIGINT) AS i FROM tab), goal AS (SELECT round(sum(alerts) * CAST(24.0 AS DOUBLE) / sum(hours), 9) AS goal FROM summary WHERE NOT excluded AND site = 'A'),
+ok AS (SELECT i, {good} AS good FROM num, goal), bis AS (SELECT CAST(0 AS BIGINT) AS low, (SELECT max(i) FROM num) AS high, CAST(-1 AS BIGINT) AS found
+  UNION ALL SELECT CASE WHEN good THEN i + 1 ELSE low END, CASE WHEN good THEN high ELSE i - 1 END, CASE WHEN good THEN i ELSE found END FROM bis JOIN ok ON i = (low + high) // 2 WHERE low <= high),
+best AS (SELECT max(found) AS found FROM bis)
+"""
+
+
+def _held_out(spark, d):
+    """Hours of one fifth of the stays of site A under the sustained score, outcomes, and the points of the whole site."""
+    from pyspark.sql import Window
+
+    x, outcomes = scored(spark, d).where("site = 'A'"), h.stay_outcomes(h.with_label(hours_of(spark, d))).where("site = 'A'")
+    recent = F.sum(F.col("score").cast("long")).over(Window.partitionBy("encounter_id", "site").orderBy("hour").rowsBetween(-11, 0))
+    sustained = x.select("encounter_id", "site", "hour", ((100 * F.col("score").cast("long") + recent) / F.lit(100.0)).alias("score"))
+    return ev.rows_for(sustained, ev.folds(outcomes).where("fold = 0")), outcomes, x
+
+
+@query("H11_search_matched_burden", _SEARCH.replace("{good}", "alerts_per_patient_day >= goal") + "SELECT threshold, alerts_per_patient_day, sensitivity FROM num, best, goal WHERE i IN (found, found + 1) ORDER BY abs(alerts_per_patient_day - goal), i DESC LIMIT 1")
+def searched_burden(spark, d):
+    held, outcomes, points = _held_out(spark, d)
+    target = ev.event_metrics(ev.stay_summary(ev.apply_policy(points, POLICY), outcomes)).first().alerts_per_patient_day
+    return ev.search_thresholds(held, outcomes, burden=target, rise_margin=2.0)
+
+
+@query("H12_search_fixed_sensitivity", _SEARCH.replace("{good}", "coalesce(sensitivity >= 0.8, false)") + "SELECT threshold, alerts_per_patient_day, sensitivity FROM num, best WHERE i = greatest(found, 0)")
+def searched_sensitivity(spark, d):
+    held, outcomes, _ = _held_out(spark, d)
+    return ev.search_thresholds(held, outcomes, sensitivity=0.8, rise_margin=2.0)
+
+
 @query("H3_curves", f"WITH {NEWS_SQL}{_RANK}, g AS (SELECT max(tp) AS p, max(fp) AS n FROM c) SELECT 'roc' AS curve, CAST(s AS DOUBLE) AS threshold, round(fp / n, 9) AS x, round(tp / p, 9) AS y FROM c, g UNION ALL SELECT 'pr', CAST(s AS DOUBLE), round(tp / p, 9), round(tp / (tp + fp), 9) FROM c, g")
 def curves(spark, d):
     return ev.curves(scored(spark, d), "label", "score")
