@@ -60,7 +60,7 @@ def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     gone = line_dedup.later_lines(docs)
-    lines = docs.select("doc_id", F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long").alias("n_lines"))
+    lines = docs.select("doc_id", F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
     joined = lines.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("id")), "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return joined.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))
