@@ -68,24 +68,31 @@ def patient_vitals(encounters: DataFrame, obs: DataFrame, hours: int = 12) -> Da
     return inside.groupBy("mrn", "encounter_id", "code").agg(F.count(F.lit(1)).alias("points"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("effective", "id", "value"))), lambda s: s["value"].cast("int").cast("string")), ",").alias("series"))
 
 
-#: Precisions of a date parameter by the length of its text.
-_PRECISION = {4: "year", 7: "month", 10: "day", 13: "hour", 16: "minute", 19: "second"}
+#: The form of a search date.
+_DATE = re.compile(r"(eq|ne|lt|le|gt|ge)?((\d{4})(?:-(\d\d)(?:-(\d\d)(?:T(\d\d):(\d\d)(?::(\d\d)(?:\.(\d{1,6}))?)?(Z|[+-]\d\d:\d\d)?)?)?)?)")
 
 
 def date_interval(value: str) -> tuple[str, datetime, datetime]:
-    """Prefix and [start, end) of a search date at its own precision."""
-    m = re.fullmatch(r"(eq|ne|lt|le|gt|ge)?(\d{4}(?:-\d\d(?:-\d\d(?:T\d\d(?::\d\d(?::\d\d)?)?)?)?)?)", value)
+    """Prefix and [start, end) of a search date at its own precision, in UTC. A time without a zone is UTC; days, months and years have no zone."""
+    m = _DATE.fullmatch(value)
     if not m:
         raise ValueError(f"not a date parameter: {value}")
-    text = m[2]
-    unit = _PRECISION[len(text)]
-    start = datetime.fromisoformat({"year": text + "-01-01", "month": text + "-01", "hour": text + ":00"}.get(unit, text))
-    if unit == "year":
-        end = start.replace(year=start.year + 1)
-    elif unit == "month":
-        end = start.replace(year=start.year + start.month // 12, month=start.month % 12 + 1)
+    year, month, day, hour, minute, second, fraction, zone = m.groups()[2:]
+    try:
+        local = datetime(int(year), int(month or 1), int(day or 1), int(hour or 0), int(minute or 0), int(second or 0), int((fraction or "").ljust(6, "0")))
+    except ValueError as error:
+        raise ValueError(f"not a valid date: {value}") from error
+    shift = timedelta(0)
+    if zone and zone != "Z":
+        if zone[1:3] > "23" or zone[4:] > "59":
+            raise ValueError(f"not a zone of a date: {value}")
+        shift = timedelta(hours=int(zone[1:3]), minutes=int(zone[4:])) * (-1 if zone[0] == "-" else 1)
+    start = local - shift
+    if day is None:  # the first of the next year or month; the calendar ends with 9999
+        after = local.year * 12 + local.month - 1 + (12 if month is None else 1)
+        end = datetime(after // 12, after % 12 + 1, 1) if after < 120_000 else datetime.max
     else:
-        end = start + timedelta(**{unit + "s": 1})
+        end = start + (timedelta(days=1) if hour is None else timedelta(minutes=1) if second is None else timedelta(microseconds=10 ** (6 - len(fraction or ""))))
     return m[1] or "eq", start, end
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from earlywarn.functions.clinical import hour_ending
 from earlywarn.operators import operations as op
 from earlywarn.operators import ward as wd
+from earlywarn.operators.dates import date_join
 from earlywarn.operators.ordered import running
 from earlywarn.operators.store import Store
 from earlywarn.session import new_dir
@@ -157,6 +158,22 @@ def date_filter(spark, d):
     return out
 
 
+# for every day of the events: a day, a month, half past six in two zones, the second after noon, and a date that is none
+_ASKED = {"": ("", "INTERVAL 0 HOUR", "INTERVAL 1 DAY"), "lt": ("", "INTERVAL 0 HOUR", None), "gt": ("T06:30+05:45", "INTERVAL 45 MINUTE", "INTERVAL 1 MINUTE"), "le": ("T06:30-23:30", "INTERVAL 30 HOUR", "INTERVAL 1 MINUTE"), "ge": ("T12:00:01", "INTERVAL 43201 SECOND", None), "ne": ("T12:00:01.5", "INTERVAL 43201500 MILLISECOND", "INTERVAL 100 MILLISECOND")}
+_HOLDS = {"": "ts >= a AND ts < b", "lt": "ts < a", "gt": "ts >= b", "le": "ts < b", "ge": "ts >= a", "ne": "NOT (ts >= a AND ts < b)"}
+_ASKED_SQL = " UNION ALL ".join(f"SELECT '{op}' || strftime(day, '%Y-%m-%d') || '{tail}' AS param, day + {start} AS a, day + {start} + {step or 'INTERVAL 0 HOUR'} AS b, '{op}' AS op FROM days" for op, (tail, start, step) in _ASKED.items())
+
+
+@query("G13_date_join", f"WITH days AS (SELECT DISTINCT date_trunc('day', ts) AS day FROM events), asked AS ({_ASKED_SQL}), hit AS (SELECT param, event_id FROM asked JOIN events ON CASE op {' '.join(f"WHEN '{op}' THEN {test}" for op, test in _HOLDS.items())} END) SELECT param, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM hit GROUP BY 1")
+def date_params(spark, d):
+    """Each day of the events asked for in six forms; the parameters are a table."""
+    e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    day = F.date_format("ts", "yyyy-MM-dd")
+    asked = e.select(day.alias("day")).distinct()
+    forms = F.array(*(F.concat(F.lit(op), F.col("day"), F.lit(tail)) for op, (tail, _, _) in _ASKED.items()), F.concat(F.col("day"), F.lit("T25:00")))
+    return date_join(e, asked.select(F.explode(forms).alias("param")), "ts").groupBy("param").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+
+
 @query("G14_search_patients", f"WITH {WARD_SQL} SELECT * FROM patients ORDER BY mrn LIMIT 50")
 def patients(spark, d):
     return wd.ward_tables(spark, d)["patients"].orderBy("mrn").limit(50)
