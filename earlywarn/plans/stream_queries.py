@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from earlywarn.operators import evaluation as ev
 from earlywarn.plans.clinical_queries import POLICY, WITH_ALERTS, scored
 from earlywarn.session import new_dir
-from earlywarn.sources.views import HOURS_SQL, OBS_SQL, observations
+from earlywarn.sources.capture import scan_capture
+from earlywarn.sources.views import HOURS_SQL, OBS_SQL, observations, table
 from earlywarn.streaming import scoring
 
 QUERIES: dict = {}
@@ -65,3 +66,31 @@ def parity(spark, d):
     batch = scored(spark, d).select("encounter_id", "hour", "p")
     last = batch.groupBy("encounter_id").agg(F.max("hour").alias("last"))
     return ev.parity(batch.join(last, "encounter_id").where("hour < last").drop("last"), online, ["encounter_id", "hour"], "p", 1e-6)
+
+
+# --- captures and topics written from the events and read back ----------------------------------------------------------------------------
+_CAPTURE_SQL = "ev AS (SELECT event_id, event_id || '|' || user_id || '|' || event_type || '|' || props AS body FROM events)"
+MOST, KEPT = 36, 12
+
+
+def _capture(spark: SparkSession, d: str) -> str:
+    """The folder of captures of all events, a frame each: every third event after a frame that breaks off, every fifth without its trailer, every seventh after noise."""
+    e = table(spark, d, "events")
+    body = F.concat_ws("|", F.col("event_id").cast("string"), F.col("user_id").cast("string"), "event_type", "props")
+    broken, noise = F.when(F.col("event_id") % 3 == 0, "\x0bbroken").otherwise(""), F.when(F.col("event_id") % 7 == 0, "noise").otherwise("")
+    line = F.concat(noise, broken, F.lit("\x0b"), body, F.lit("\x1c"), F.when(F.col("event_id") % 5 == 0, "").otherwise("\r"))
+    path = new_dir(spark)
+    e.select(line.alias("value")).write.text(path)
+    return path
+
+
+@query("A6_scan_mllp_capture", f"WITH {_CAPTURE_SQL} SELECT CAST(CASE WHEN length(body) > {MOST} THEN left(body, {KEPT}) ELSE body END AS VARCHAR) AS content, length(body) > {MOST} AS oversize, CAST(length(body) AS BIGINT) AS total_size, event_id % 5 = 0 AS missing_trailer FROM ev")
+def scanned(spark, d):
+    frames = scan_capture(spark, _capture(spark, d), MOST, KEPT)
+    return frames.where("bytes is not null").select(F.decode("bytes", "UTF-8").alias("content"), "oversize", "total_size", "missing_trailer")
+
+
+@query("A6_capture_statistics", f"WITH {_CAPTURE_SQL} SELECT count(*) AS frames, count(*) FILTER (WHERE length(body) > {MOST}) AS oversize, CAST(sum(1 + CASE WHEN event_id % 7 = 0 THEN 5 ELSE 0 END) AS BIGINT) AS outside_bytes, count(*) FILTER (WHERE event_id % 3 = 0) AS abandoned, count(*) FILTER (WHERE event_id % 5 = 0) AS missing_trailers FROM ev")
+def capture_statistics(spark, d):
+    f = scan_capture(spark, _capture(spark, d), MOST, KEPT)
+    return f.agg(F.count("bytes").alias("frames"), F.count_if("oversize").alias("oversize"), F.sum("outside_bytes").alias("outside_bytes"), F.sum("abandoned").alias("abandoned"), F.count_if("missing_trailer").alias("missing_trailers"))

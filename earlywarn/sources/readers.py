@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from earlywarn.sources.capture import scan_capture  # noqa: F401
 from earlywarn.sources.views import LOINC
 
 #: The 41 columns of a stay file, in order.
@@ -64,43 +65,3 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     """The long metric table, NaN as null; an existing table is never overwritten."""
     numbers = [f.name for f in metrics.schema.fields if isinstance(f.dataType, T.DoubleType)]
     metrics.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in numbers}).write.mode("errorifexists").parquet(path)
-
-
-#: The start and end bytes of a frame.
-FRAME_START, FRAME_END = b"\x0b", b"\x1c"
-FRAMES = "file string, frame_no int, bytes binary, oversize boolean, total_size long, outside_bytes long, abandoned int, missing_trailer boolean"
-
-
-def scan_capture(spark: SparkSession, path: str, most: int = 1 << 20, kept: int = 4096) -> DataFrame:
-    """Frames of byte captures, one row each, and for each file a last row (``bytes`` null) with what lay outside frames and how many frames were abandoned.
-
-    Captures are independent of each other, so each is split in the task that reads it."""
-    import pandas as pd
-
-    def split(batches):
-        for files in batches:
-            rows = []
-            for file, content in zip(files["path"], files["content"], strict=True):
-                data, at, number, outside, abandoned = bytes(content), 0, 0, 0, 0
-                while True:
-                    start = data.find(FRAME_START, at)
-                    if start < 0:
-                        outside += len(data) - at
-                        break
-                    outside += start - at
-                    end = data.find(FRAME_END, start + 1)
-                    again = data.find(FRAME_START, start + 1, end if end >= 0 else len(data))
-                    if again >= 0:  # a start inside a frame abandons what came before
-                        abandoned, at = abandoned + 1, again
-                        continue
-                    if end < 0:
-                        abandoned += 1
-                        break
-                    frame = data[start + 1 : end]
-                    trailer = data[end + 1 : end + 2] == b"\r"
-                    rows.append((file, number, frame[:kept] if len(frame) > most else frame, len(frame) > most, len(frame), None, None, not trailer))
-                    number, at = number + 1, end + (2 if trailer else 1)
-                rows.append((file, number, None, None, None, outside, abandoned, None))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FRAMES.split(", ")]).astype({"total_size": "Int64", "outside_bytes": "Int64", "abandoned": "Int32", "frame_no": "int32"})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(split, FRAMES)
