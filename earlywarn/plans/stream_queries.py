@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from earlywarn.operators import evaluation as ev
 from earlywarn.plans.clinical_queries import POLICY, WITH_ALERTS, scored
 from earlywarn.session import new_dir
+from earlywarn.sources import readers
 from earlywarn.sources.capture import scan_capture
 from earlywarn.sources.views import HOURS_SQL, OBS_SQL, observations, table
 from earlywarn.streaming import scoring
@@ -94,3 +95,22 @@ def scanned(spark, d):
 def capture_statistics(spark, d):
     f = scan_capture(spark, _capture(spark, d), MOST, KEPT)
     return f.agg(F.count("bytes").alias("frames"), F.count_if("oversize").alias("oversize"), F.sum("outside_bytes").alias("outside_bytes"), F.sum("abandoned").alias("abandoned"), F.count_if("missing_trailer").alias("missing_trailers"))
+
+
+@query("A3_scan_topic_jsonl", "SELECT CAST(user_id AS VARCHAR) AS key, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id END AS event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_type END AS event_type FROM events")
+def topic(spark, d):
+    """Every fourth value breaks off and reads as null."""
+    e = table(spark, d, "events")
+    whole = F.to_json(F.struct("event_id", "event_type"))
+    value = F.when(F.col("event_id") % 4 == 0, F.substring(whole, 1, 15)).otherwise(whole)
+    path = new_dir(spark)
+    e.select(F.col("user_id").cast("string").alias("key"), value.alias("value")).write.json(path)
+    return readers.read_topic(spark, path, "event_id long, event_type string").select("key", "value.event_id", "value.event_type")
+
+
+@query("A4_sink_topic_jsonl", "SELECT CAST(user_id AS VARCHAR) AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS place, event_id FROM events")
+def ordered_topic(spark, d):
+    """The events by user, in the order of time, as they are read back."""
+    path = new_dir(spark)
+    readers.write_topic(table(spark, d, "events").select("event_id", "user_id", "ts", "event_type"), path, "user_id", ("ts", "event_id"))
+    return readers.read_topic_places(spark, path, "event_id long").select("key", F.col("offset").alias("place"), "value.event_id")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
+from earlywarn.operators.ordered import running
 from earlywarn.sources.capture import scan_capture  # noqa: F401
 from earlywarn.sources.views import LOINC
 
@@ -45,15 +49,35 @@ def read_topic(spark: SparkSession, path: str, schema: str, streaming: bool = Fa
     return raw.select("key", F.from_json("value", schema).alias("value"))
 
 
+def read_topic_places(spark: SparkSession, path: str, schema: str, streaming: bool = False) -> DataFrame:
+    """``read_topic`` with ``batch`` and ``offset``: the rows of a key in the order of these are the rows in the order that was written."""
+    reader = spark.readStream if streaming else spark.read
+    raw = reader.schema(TOPIC_SCHEMA + ", offset long, batch long").json(path)
+    return raw.select("key", F.from_json("value", schema).alias("value"), "batch", "offset")
+
+
 def topic_rows(df: DataFrame, key: str) -> DataFrame:
     """``key, value`` with every column in the JSON of value."""
     return df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*df.columns)).alias("value"))
 
 
-def write_topic(df: DataFrame, path: str, key: str) -> None:
-    """Keyed JSON lines; rows of a key stay together and in order of the columns given."""
-    rows = topic_rows(df, key)
-    rows.repartition("key").sortWithinPartitions("key").write.mode("append").json(path)
+def write_topic(df: DataFrame, path: str, key: str, order: tuple[str, ...] = (), batch: int | None = None) -> None:
+    """One batch of keyed JSON lines. Each line has the ``offset`` of its row among the rows of its key, in the order of the columns ``order`` and then of the values.
+
+    Lines are in order of key and offset within and across a batch's files, so a key that holds a large share of all rows fills several files instead of one task. A batch that is
+    written again under its number replaces itself; without a number it comes after all batches written so far by the clock. Null keys are a key. Feed a topic by a stream or by
+    calls, not by both."""
+    number = time.time_ns() // 1000 if batch is None else batch
+    names = [f"_s{i}" for i in range(len(order))]
+    rows = df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*df.columns)).alias("value"), *(F.col(c).alias(n) for c, n in zip(order, names, strict=True)))
+    placed = running(rows, ["key"], [*map(F.col, names), F.col("value")], {"offset": F.lit(1)}).select("key", "value", (F.col("offset") - 1).alias("offset"))
+    placed.repartitionByRange("key", "offset").sortWithinPartitions("key", "offset").write.mode("overwrite").json(f"{path}/batch={number}")
+
+
+def write_topic_stream(stream: DataFrame, path: str, key: str, order: tuple[str, ...], checkpoint: str, **trigger) -> StreamingQuery:
+    """A stream's rows by ``write_topic``, batch by batch under the stream's own numbers, so a batch that runs again after a failure is not doubled. ``trigger`` as in ``DataStreamWriter.trigger``."""
+    writer = stream.writeStream.foreachBatch(lambda df, n: write_topic(df, path, key, order, n)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()
 
 
 def loinc_table(spark: SparkSession) -> DataFrame:
