@@ -70,7 +70,8 @@ def conversion_errors(msgs: DataFrame) -> DataFrame:
         F.when((fhir_id(_c("PID", 3, 1)) == "") | (fhir_id(_c("PV1", 19, 1)) == ""), "FHIR_ID_EMPTY"), F.when(bad_time(44, "PV1") | bad_time(45, "PV1") | bad_time(7, "PID"), "TIMESTAMP_INVALID"),
         F.when(F.exists(obx, lambda f: _lookup(hl7.STATUSES, at(f, 11)).isNull()), "RESULT_STATUS_UNMAPPED"), F.when(no_time, "OBSERVATION_TIME_MISSING"),
     )
-    return x.select("msg_id", error.alias("error_code"), F.base64(F.col("raw").cast("binary")).alias("payload")).where("error_code is not null")
+    # exploding an array of one or none, since a filter would be pushed down and evaluate the rules again from the raw text, each field anew
+    return x.select("msg_id", "raw", F.explode(F.array_compact(F.array(error))).alias("error_code")).select("msg_id", "error_code", F.base64(F.col("raw").cast("binary")).alias("payload"))
 
 
 def decode_payload(record: Column, raw_base64: Column) -> Column:

@@ -30,3 +30,12 @@ def test_what_is_skipped_is_no_error(spark):
     assert {r.msg_id: r.error_code for r in fhir.conversion_errors(df).collect()} == {"unmapped": "RESULT_STATUS_UNMAPPED", "timeless": "OBSERVATION_TIME_MISSING"}
     assert {r.msg_id: r.skipped for r in hl7.skipped_results(df).collect()} == {"skipped": 4, "unmapped": 0, "timeless": 0, "skipped timeless": 1}
     assert [r.id for r in hl7.to_observations(df.where("msg_id = 'skipped'")).collect()] == ["C-1-5"]
+
+
+def test_error_rules_are_evaluated_once(spark):
+    """A filter on the error must not bring the rules, and the split fields below them, into the plan a second time."""
+    df = spark.createDataFrame([("timeless", 1, message([obx(1, time="")], obr="")), ("fine", 2, message([obx(1)]))], "msg_id string, seq long, raw string")
+    errors = fhir.conversion_errors(df.where("seq > 0"))
+    for used in (errors, errors.select("msg_id", "error_code"), errors.where("error_code is not null")):
+        assert used._jdf.queryExecution().optimizedPlan().toString().count("RESULT_STATUS_UNMAPPED") == 1
+        assert [r.msg_id for r in used.collect()] == ["timeless"]
