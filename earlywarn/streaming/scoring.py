@@ -11,18 +11,19 @@ from __future__ import annotations
 
 import json
 import math
-import time
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from earlywarn.functions.clinical import ALERT_NAMESPACE, BANDS, ROOM_AIR
 from earlywarn.operators.evaluation import Policy
+from earlywarn.session import cut
 from earlywarn.sources.views import STALENESS
 
 TAGGED = "kind string, encounter_id long, site string, icu_hour long, source string, raw_score double, alerted boolean, alert_id string, message_time string, outcome string, n long, closed_by string"
@@ -191,21 +192,24 @@ def start(tagged: DataFrame, out: str, checkpoint: str, seconds: float | None =
                 spark.conf.set(k, v)
 
 
-def arrivals(rows: DataFrame, path: str, order: str = "seq", files: int = 4) -> None:
-    """Write rows as files that a file source reads in the order of a number: one append for each stretch of it."""
-    low, high = rows.selectExpr(f"min({order})", f"max({order})").first()
+def arrivals(rows: DataFrame, path: str, order: str = "seq", batches: int = 4) -> Iterator[None]:
+    """Write rows below ``path``, one append for each stretch of a number, and stop after each. A stretch is written by as many tasks as hold it."""
+    stretches = cut(rows)
+    low, high = stretches.selectExpr(f"min({order})", f"max({order})").first()
     if low is None:
-        rows.limit(0).write.mode("append").parquet(path)
+        stretches.write.mode("append").parquet(path)
+        yield
         return
-    step = (high - low) // files + 1
-    for i in range(files):
-        rows.where((rows[order] >= low + i * step) & (rows[order] < low + (i + 1) * step)).coalesce(1).write.mode("append").parquet(path)
-        time.sleep(0.01)  # files are read by their time of change
-
-
-def replay(spark: SparkSession, rows: DataFrame, path: str, policies: dict[str, Policy], order: str = "seq", files: int = 4, **options) -> DataFrame:
-    """The tagged rows of a table of observations that arrive in an order. Hours that nothing closes stay open."""
-    arrivals(rows, f"{path}/in", order, files)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    start(score_stream(stream, policies, settle_seconds=options.pop("settle_seconds", 1e6), **options), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    step = (high - low) // batches + 1
+    for i in range(batches):
+        stretches.where((F.col(order) >= low + i * step) & (F.col(order) < low + (i + 1) * step)).write.mode("append").parquet(path)
+        yield
+
+
+def replay(spark: SparkSession, rows: DataFrame, path: str, policies: dict[str, Policy], order: str = "seq", batches: int = 4, **options) -> DataFrame:
+    """The tagged rows of a table of observations that arrive in an order: the query goes on from its checkpoint after each stretch, which is one batch. Hours that nothing closes stay open."""
+    settle = options.pop("settle_seconds", 1e6)
+    for _ in arrivals(rows, f"{path}/in", order, batches):
+        stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+        start(score_stream(stream, policies, settle_seconds=settle, **options), f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return spark.read.schema(TAGGED).parquet(f"{path}/out").drop("batch")

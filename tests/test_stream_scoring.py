@@ -83,3 +83,18 @@ def test_stream_with_a_restart(spark, tmp_path, timer):
         assert got[1, 7][1] == "timer"
     else:
         assert (1, 7) not in got and (2, 1) not in got
+
+
+def test_no_stretch_of_arrivals_is_one_task(spark, tmp_path):
+    """A stretch is written by as many tasks as hold it, and no row of a later one comes before it."""
+    rows = spark.createDataFrame([record(i, i % 7 + 1) for i in range(100)], ROWS).repartition(4)
+    path, seen, before = f"{tmp_path}/in", set(), set()
+    for i, _ in enumerate(scoring.arrivals(rows, path)):
+        files = {str(p) for p in (tmp_path / "in").glob("*.parquet")}
+        assert len(files - before) == 4
+        new = {r.seq for r in spark.read.parquet(*(files - before)).collect()}
+        assert new == set(range(25 * i, 25 * i + 25))
+        seen, before = seen | new, files
+    assert seen == set(range(100))
+    assert len(list(scoring.arrivals(rows.limit(0), f"{tmp_path}/none"))) == 1
+    assert scoring.replay(spark, rows.limit(0), f"{tmp_path}/empty", POLICIES).count() == 0
