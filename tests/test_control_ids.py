@@ -37,3 +37,17 @@ def test_forgotten_ids_are_accepted_anew(spark, memory):
 def test_no_messages(spark):
     df = spark.createDataFrame([], "msg_id string, seq long, control_id string, digest string, error_code string")
     assert hl7.dedupe_control_ids(df, 3).count() == 0 and hl7.dedupe_control_ids(df, 0).count() == 0
+
+
+@pytest.mark.parametrize("memory", [100, 300, 500])
+def test_sql_forgets_as_the_operator_does(spark, memory):
+    """The SQL of the control id query once remembered every id for ever, whatever the memory."""
+    import duckdb
+
+    from earlywarn.plans import message_queries as mq
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW events AS SELECT * FROM '/root/testdata/sf0.001/events.parquet'")
+    want = con.execute(mq._FORGETFUL.format(memory=memory) + " SELECT * FROM decided").fetchall()
+    rows = mq._repeated(spark, "/root/testdata/sf0.001")
+    assert sorted((r.msg_id, r.disposition) for r in hl7.dedupe_control_ids(hl7.validate(rows), memory).collect()) == sorted(want)
