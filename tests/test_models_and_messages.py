@@ -123,3 +123,17 @@ def test_stream_of_messages(spark, tmp_path):
     read = lambda t: spark.read.parquet(f"{tmp_path}/out/{t}").collect()
     assert [r.mrn for r in read("patients")] == ["MRN1"] and [r.id for r in read("encounters")] == ["V1"] and [r.value for r in read("observations")] == [80.0]
     assert [(r.msg_id, r.error_code) for r in read("errors")] == [("b", "VISIT_NUMBER_MISSING")]
+
+
+def test_features_that_do_not_vary_reach_no_tree(spark):
+    """A constant feature, one never measured, and indicators of blanks that never or always hold are left out of the vector; factors keep the places of all names."""
+    names = ["HR_last", "MAP_last", "Temp_last", "SBP_last", "Resp_last"]
+    rows = spark.createDataFrame([(i % 20, "A", i // 20, float(60 + (i * 7) % 50) if i % 6 else None, None, 37.0, 120.0 if i % 4 else None, float(i % 9), int((i * 7) % 50 > 30)) for i in range(400)], "encounter_id int, site string, hour int, " + ", ".join(f"{n} double" for n in names) + ", label int")
+    folds = rows.select("encounter_id", "site").distinct().withColumn("fold", (F.col("encounter_id") % 2).cast("int"))
+    m, _ = models.fit_boosted(rows, names, folds, 2, 5, rate=0.5)
+    assert m.used == [0, 4, 5, 8] and m.model.numFeatures == 4 and m.medians[1:4] == [0.0, 37.0, 120.0]
+    x = models.contributions(m, rows).collect()
+    assert all(len(r.factors) == 6 and r.factors[1] == r.factors[2] == 0.0 and abs(sum(r.factors) - r.margin) < 1e-9 for r in x)
+    assert any(r.factors[0] for r in x)
+    nothing, _ = models.fit_boosted(rows, ["MAP_last"], folds, 2, 2)
+    assert nothing.used == [0] and len({r.margin for r in models.predict_margin(nothing, rows).collect()}) == 1
