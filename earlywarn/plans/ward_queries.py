@@ -11,7 +11,7 @@ from earlywarn.operators import ward as wd
 from earlywarn.operators.dates import date_join
 from earlywarn.operators.ordered import running
 from earlywarn.operators.store import Store
-from earlywarn.session import new_dir
+from earlywarn.session import cut, new_dir
 from earlywarn.sources.views import table
 
 QUERIES: dict = {}
@@ -192,8 +192,9 @@ def _stored(log: DataFrame) -> DataFrame:
     spark = log.sparkSession
     rank = F.row_number().over(Window.partitionBy("id").orderBy("seq"))
     half = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("id")) / 2)
-    placed = log.withColumn("_early", rank <= half)
+    placed = cut(log.withColumn("_early", rank <= half))  # each merge reads its rows twice
     store = Store(spark, new_dir(spark))
+    log = placed.drop("_early")
     store.merge(placed.where("_early").drop("_early"), 1)
     store.merge(log, 2)  # what is new, and all that was sent before
     store.merge(log, 2)

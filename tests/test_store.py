@@ -61,3 +61,15 @@ def test_a_failed_merge_changes_nothing(spark, tmp_path):
         store.merge(bad, 2)
     assert state(store) == before
     assert store.merge(spark.createDataFrame(rows((1, 20, True, "late")), LOG), 2) and state(store)[1] == (20, "late", 200)
+
+
+def test_merges_read_placed_rows_not_their_windows(spark, monkeypatch):
+    """Each merge reads its rows twice, so the windows that place the log's rows are computed before, once."""
+    from earlywarn.plans import ward_queries as wq
+
+    plans, merge = [], Store.merge
+    monkeypatch.setattr(Store, "merge", lambda self, updates, batch: (plans.append(updates._jdf.queryExecution().optimizedPlan().toString()), merge(self, updates, batch))[1])
+    log = spark.createDataFrame(LOG_ROWS, LOG)
+    got = {r.id: (r.seq, r.resource.v) for r in wq._stored(log).collect()}
+    assert got == {1: (9, "gone"), 2: (4, "first"), 3: (10, "y"), None: (11, "z")}
+    assert len(plans) == 4 and not any("Window" in p for p in plans)
