@@ -13,7 +13,8 @@ p(group) p(outcome | group), each a softmax of products with the prediction vect
 
 Training is noise-contrastive estimation of both factors, in numpy inside Spark tasks: the training text is dealt into shards by a hash, and in each of
 ``ROUNDS`` rounds every shard trains a copy of the model on its next part. The copies' changes are averaged row by row over the shards that changed the row.
-Positions are drawn at random, in every document alike: ``POSITIONS`` (half) of all of them are examples, or ``EXAMPLES`` where that is more, so that training grows with the text.
+Every position of the training text is an example, none is left out; a text of fewer than ``EXAMPLES`` is passed over again until it has given so many, the last time in part. Equal examples of a shard
+(an outcome after the same two) are trained together, weighted by how often they occur, since the likelihood only depends on these counts.
 Held-out documents (crc32 of the id as text, mod 7, is 2) only ask for counts.
 
 Plan.
@@ -55,9 +56,10 @@ ROUNDS = 4
 NOISE = 16
 NOISE_WITHIN = 4
 DIMENSION = 32
-#: The least number of examples, and the share of all positions that are examples in a larger text.
+#: The least number of examples: smaller texts are passed over several times, larger ones once.
 EXAMPLES = 3_000_000
-POSITIONS = 0.5
+#: The most equal examples that are one step's row; of more there are several rows.
+TOGETHER = 8
 BATCH = 4096
 SEED = 7
 #: The hash that stands for the end mark; no word hashes to it but by a chance of 2**-64.
@@ -251,44 +253,48 @@ class LogBilinear:
         return q
 
     def train(self, one: np.ndarray, two: np.ndarray, nxt: np.ndarray, passes: float = 1, done: float = 0.0, share: float = 1.0, seed: int = SEED) -> int:
-        """Noise-contrastive estimation with Adagrad steps on ``passes`` times as many examples, drawn without repetition within a pass; the rate falls from
+        """Noise-contrastive estimation with Adagrad steps on ``passes`` times as many examples: all of them in every whole pass, the rest drawn without repetition; the rate falls from
         ``done`` on by ``share`` of the whole training. Returns the number of examples seen."""
         rng, n = np.random.default_rng(seed), len(nxt)
         total = math.ceil(n * passes)
         noise = _Noise(self)
         for start in range(0, total, max(n, 1)):
-            order = rng.permutation(n)[: total - start]
+            drawn = slice(None) if total - start >= n else rng.permutation(n)[: total - start]
+            a, b, x, weight = _together(one[drawn], two[drawn], nxt[drawn], len(self.p))
+            order, seen = rng.permutation(len(x)), start
             for lo in range(0, len(order), BATCH):
                 i = order[lo : lo + BATCH]
-                self._step(rng, one[i], two[i], self.rank[nxt[i]], 0.25 * (1 - 0.9 * (done + share * (start + lo) / total)), noise)
+                self._step(rng, a[i], b[i], self.rank[x[i]], weight[i], 0.25 * (1 - 0.9 * (done + share * seen / total)), noise)
+                seen += int(weight[i].sum())
         return total
 
-    def _step(self, rng, a, b, t, rate, noise: _Noise) -> None:
+    def _step(self, rng, a, b, t, weight, rate, noise: _Noise) -> None:
         q, g = self.predict(a, b), self.group[t]
         # groups: one set of noise serves the whole batch
         d = noise.groups(rng)
         true, other = self.groups[g], self.groups[d]
-        e_true = _sigmoid(noise.log_group[g] - (q * true).sum(1))
-        e_other = -_sigmoid(q @ other.T - noise.log_group[d]) * (NOISE / len(d))
+        e_true = _sigmoid(noise.log_group[g] - np.einsum("ij,ij->i", q, true)) * weight
+        e_other = _sigmoid(q @ other.T - noise.log_group[d]) * (weight * (-NOISE / len(d)))[:, None]
         g_q = e_true[:, None] * true + e_other @ other
         rows_group, g_group = np.concatenate([g, d]), np.concatenate([e_true[:, None] * q, e_other.T @ q])
         # outcomes of a group: one set of noise serves all examples of the group
         true = self.output[t]
-        e_true = _sigmoid(noise.log_within[t] - (q * true).sum(1))
+        e_true = _sigmoid(noise.log_within[t] - np.einsum("ij,ij->i", q, true)) * weight
         g_q += e_true[:, None] * true
         rows_out, g_out = [t], [e_true[:, None] * q]
         order = np.argsort(g.astype(np.uint16) if len(self.first) <= 1 << 16 else g, kind="stable")
         cut = np.searchsorted(g[order], np.arange(len(self.first) + 1))
-        for k in np.flatnonzero(cut[1:] > cut[:-1]):
-            mine, w = order[cut[k] : cut[k + 1]], noise.within(rng, k)
+        present = np.flatnonzero(cut[1:] > cut[:-1])
+        for k, w in zip(present, noise.within(rng, present), strict=True):
+            mine = order[cut[k] : cut[k + 1]]
             other, q_mine = self.output[w], q[mine]
-            e_other = -_sigmoid(q_mine @ other.T - noise.log_within[w]) * (NOISE_WITHIN / len(w))
+            e_other = _sigmoid(q_mine @ other.T - noise.log_within[w]) * (weight[mine] * (-NOISE_WITHIN / len(w)))[:, None]
             g_q[mine] += e_other @ other
             rows_out.append(w)
             g_out.append(e_other.T @ q_mine)
         g_q = g_q[:, :-1]
         g_in = np.concatenate([g_q * self.position[0], g_q * self.position[1]])
-        g_pos = np.stack([(g_q * self.context[a]).sum(0), (g_q * self.context[b]).sum(0)]) / len(t)
+        g_pos = np.stack([(g_q * self.context[a]).sum(0), (g_q * self.context[b]).sum(0)]) / weight.sum()
         _adagrad(self.context, self.squares["context"], np.concatenate([a, b]), g_in, rate)
         _adagrad(self.output, self.squares["output"], np.concatenate(rows_out), np.concatenate(g_out), rate)
         _adagrad(self.groups, self.squares["groups"], rows_group, g_group, rate)
@@ -296,7 +302,12 @@ class LogBilinear:
         self.position += rate * 0.1 * g_pos / np.sqrt(self.squares["position"])
 
     def log_probabilities(self, one: np.ndarray, two: np.ndarray, nxt: np.ndarray) -> np.ndarray:
-        """Normalised natural-log probabilities, by matrix products over batches: with all groups, then with the outcomes of each example's group."""
+        """Normalised natural-log probabilities, by matrix products over batches: with all groups, then with the outcomes of each example's group. Equal examples are computed once."""
+        size = len(self.p)
+        keys, inverse = np.unique((nxt.astype(np.int64) * size + one) * size + two, return_inverse=True)
+        return self._log_probabilities(keys // size % size, keys % size, keys // (size * size))[inverse]
+
+    def _log_probabilities(self, one: np.ndarray, two: np.ndarray, nxt: np.ndarray) -> np.ndarray:
         out = np.empty(len(nxt), np.float64)
         for lo in range(0, len(nxt), 1 << 15):
             q, t = self.predict(one[lo : lo + (1 << 15)], two[lo : lo + (1 << 15)]), self.rank[nxt[lo : lo + (1 << 15)]]
@@ -322,13 +333,27 @@ class _Noise:
     def groups(self, rng) -> np.ndarray:
         return np.minimum(np.searchsorted(self.cum_group, rng.random(4 * NOISE)), len(self.cum_group) - 1)
 
-    def within(self, rng, k: int) -> np.ndarray:
-        net = self.net
-        return np.clip(np.searchsorted(self.cum, self.starts[k] + rng.random(2 * NOISE_WITHIN) * net.p_group[k]), net.first[k], net.last[k])
+    def within(self, rng, k: np.ndarray) -> np.ndarray:
+        """A row of outcomes of each of the groups ``k``."""
+        net, at = self.net, k[:, None]
+        return np.clip(np.searchsorted(self.cum, self.starts[at] + rng.random((len(k), 2 * NOISE_WITHIN)) * net.p_group[at]), net.first[at], net.last[at])
+
+
+def _together(one: np.ndarray, two: np.ndarray, nxt: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Different examples (the two outcomes before and the next) and how often each occurs; those that occur more than ``TOGETHER`` times fill several rows."""
+    keys, n = np.unique((nxt.astype(np.int64) * size + one) * size + two, return_counts=True)
+    rows = -(-n // TOGETHER)
+    keys, weight = np.repeat(keys, rows), np.repeat(n // rows, rows)
+    first = np.cumsum(rows) - rows
+    weight += np.arange(len(keys)) - np.repeat(first, rows) < np.repeat(n % rows, rows)
+    return keys // size % size, keys % size, keys // (size * size), weight.astype(np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30, dtype=np.float32)))
+    x = np.minimum(np.maximum(x, np.float32(-30)), np.float32(30), dtype=np.float32)
+    np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _log_softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -416,7 +441,7 @@ def train_network(texts: DataFrame, v: Vocabulary, text_bytes: int, examples: in
     """The model trained on ``texts`` (``doc_id, text``), and the number of examples seen."""
     spark, net, all_seen = texts.sparkSession, LogBilinear(v.size, v.outcome_counts), 0
     shards = max(1, math.ceil(text_bytes / (SHARD_BYTES * ROUNDS)))
-    parts, passes = math.isqrt(shards - 1) + 1, max(POSITIONS, examples / max(1, v.total))
+    parts, passes = math.isqrt(shards - 1) + 1, max(1.0, examples / max(1, v.total))
     h = F.xxhash64("doc_id", "text")
     texts = texts.select("text", h.alias("h")).withColumn("round", F.pmod("h", F.lit(ROUNDS))).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int"))
     for r in range(ROUNDS):

@@ -482,3 +482,24 @@ def test_pipeline_stages_by_brute_force(spark, tmp_path):
     for name in stages:
         empty = stages[name](spark, docs.limit(0), str(tmp_path))
         assert empty.count() == 0 and empty.columns[: len(docs.columns)] == docs.columns
+
+
+def test_every_training_position_is_an_example(spark, monkeypatch):
+    """Larger texts were once learnt from half of their positions, drawn at random."""
+    import numpy as np
+
+    one, two, nxt = (np.random.default_rng(i).integers(0, 3, 5000) for i in range(3))
+    a, b, x, weight = lm_score._together(one, two, nxt, 3)
+    got = Counter()
+    for *key, n in zip(a.tolist(), b.tolist(), x.tolist(), weight.tolist(), strict=True):
+        got[tuple(key)] += n
+    assert got == Counter(zip(one.tolist(), two.tolist(), nxt.tolist(), strict=True)) and weight.max() <= lm_score.TOGETHER
+
+    monkeypatch.setattr(lm_score, "SHARD_BYTES", 2_000)
+    texts = [(i, " ".join(f"w{(i * j) % 7}" for j in range(i % 50))) for i in range(300)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    total = sum(len(t.split()) + 1 for _, t in texts)
+    sums = np.zeros(130, np.int64)
+    sums[[0, 64, -2, -1]] = total - 300, 7, total, 8
+    net, seen = lm_score.train_network(df, lm_score.Vocabulary(sums, np.zeros((3, 0), np.uint64)), 30_000, 10)
+    assert seen == total
