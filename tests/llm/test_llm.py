@@ -503,3 +503,27 @@ def test_every_training_position_is_an_example(spark, monkeypatch):
     sums[[0, 64, -2, -1]] = total - 300, 7, total, 8
     net, seen = lm_score.train_network(df, lm_score.Vocabulary(sums, np.zeros((3, 0), np.uint64)), 30_000, 10)
     assert seen == total
+
+
+def test_toxicity_learns_from_every_label(spark):
+    """Labels were once learnt from 20 000 rows at most."""
+    free = [i for i in range(36_000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert len(free) > 23_000
+    bad = {i: f"zq{chr(97 + n // 3)}x" for n, i in enumerate(free[:: len(free) // 60][:60])}
+    docs = spark.createDataFrame([(i, f"the of and {bad.get(i, 'is')}") for i in range(36_000)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i in bad)) for i in range(36_000)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    tk, np = toxicity.tk, toxicity.np
+    hashes = {int(tk.word_hashes(tk.words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)])))[0]) for w in bad.values()}
+    assert len(hashes) == 20 and hashes <= {int(k) for k in model.keys}
+
+
+def test_toxicity_weights_are_optimal(spark):
+    np = toxicity.np
+    rng = np.random.default_rng(5)
+    x, y = rng.random((300, 4)) < 0.3, rng.random(300) < 0.4
+    y |= x[:, 2]
+    rows = spark.createDataFrame([(bytearray(np.flatnonzero(r).astype(np.int32).tobytes()), int(t), 2) for r, t in zip(x, y, strict=True)], "x binary, y int, w long")
+    w, b = toxicity.fit_logistic(rows, 4, 600)
+    off = 2 * (1 / (1 + np.exp(-(x @ w + b))) - y)
+    assert abs(x.T @ off + 0.05 * w).max() < 1e-2 and abs(off.sum()) < 1e-2
