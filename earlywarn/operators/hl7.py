@@ -110,6 +110,13 @@ def lines(raw: Column) -> Column:
     return F.filter(F.split(raw, "\r\n|\r|\n", -1), lambda s: s != "")
 
 
+def message_segments(msgs: DataFrame) -> DataFrame:
+    """``msg_id, segments``: the segments of each message with its ``id`` and ``fields``, in order, for what is asked of a whole message; messages without any are left out. Nothing is exploded, so nothing has to be grouped again."""
+    sep = F.col("sep")
+    s = msgs.select("msg_id", F.substring("raw", 4, 1).alias("sep"), lines(F.col("raw")).alias("lines")).where(F.size("lines") > 0)
+    return s.select("msg_id", F.transform("lines", lambda line: F.struct(F.substring(line, 1, 3).alias("id"), split_by(line, sep, "|").alias("fields"))).alias("segments"))
+
+
 def segments(msgs: DataFrame) -> DataFrame:
     """One row per segment: ``msg_id, pos, id, occurrence, fields``, split by the separator that the message declares."""
     s = msgs.select("msg_id", F.substring("raw", 4, 1).alias("sep"), F.posexplode(lines(F.col("raw"))).alias("pos", "segment"))

@@ -42,15 +42,15 @@ def delimiters(spark, d):
 
 @query("B2_hl7_segments", f"WITH {_MSG} SELECT msg_id, n + 4 AS segments, n AS results FROM msg")
 def segment_counts(spark, d):
-    s = hl7.segments(messages(spark, d))
-    return s.groupBy("msg_id").agg(F.count(F.lit(1)).alias("segments"), F.sum((F.col("id") == "OBX").cast("long")).alias("results"))
+    s = hl7.message_segments(messages(spark, d))
+    return s.select("msg_id", F.size("segments").cast("long").alias("segments"), F.size(F.filter("segments", lambda x: x["id"] == "OBX")).cast("long").alias("results"))
 
 
 @query("B3_hl7_pieces", f"WITH {_MSG} SELECT msg_id, 'MRN' || encounter_id AS mrn, 'MR' AS id_type, 'ENC' || encounter_id AS visit, 5 AS components FROM msg")
 def pieces(spark, d):
-    s = hl7.segments(messages(spark, d)).where("id in ('PID', 'PV1')")
-    pid = F.get("fields", 3)
-    return s.groupBy("msg_id").agg(F.max(F.when(F.col("id") == "PID", hl7.subcomponent(pid, 1, 1))).alias("mrn"), F.max(F.when(F.col("id") == "PID", hl7.subcomponent(pid, 1, 5))).alias("id_type"), F.max(F.when(F.col("id") == "PV1", F.get("fields", 19))).alias("visit"), F.max(F.when(F.col("id") == "PID", hl7.piece_count(pid, "^"))).alias("components"))
+    s = hl7.message_segments(messages(spark, d)).select("msg_id", F.filter("segments", lambda x: x["id"].isin("PID", "PV1")).alias("s")).where(F.size("s") > 0)
+    top = lambda seg, n, f: F.array_max(F.transform(F.filter("s", lambda x: x["id"] == seg), lambda x: f(F.get(x["fields"], n))))
+    return s.select("msg_id", top("PID", 3, lambda c: hl7.subcomponent(c, 1, 1)).alias("mrn"), top("PID", 3, lambda c: hl7.subcomponent(c, 1, 5)).alias("id_type"), top("PV1", 19, lambda c: c).alias("visit"), top("PID", 3, lambda c: hl7.piece_count(c, "^")).alias("components"))
 
 
 @query("B4_hl7_nest", f"WITH {_MSG} SELECT msg_id, 'HOSP' AS assigner, 1 AS repetitions FROM msg")
