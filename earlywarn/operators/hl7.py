@@ -225,24 +225,29 @@ def cwe(field: Column) -> Column:
     return F.struct(_at(p, 0).alias("identifier"), _at(p, 1).alias("text"), _at(p, 2).alias("system"), ((_at(p, 0) != "") | (_at(p, 1) != "")).alias("valid"))
 
 
+#: Messages whose ids, or whose places, one task sorts.
+ROWS_A_TASK = 250_000
+
+
 def dedupe_control_ids(results: DataFrame, memory: int = 100_000) -> DataFrame:
     """``disposition``: accepted, retransmission (same id and bytes) or rejected (same id, other bytes, CONTROL_ID_DUPLICATE).
 
     Only accepted messages reserve an id, and only the last ``memory`` of them are remembered: a repeat after that is accepted anew. Messages come in the order of ``seq``, ties by ``msg_id``.
 
     How many were accepted before a message decides whether its id is still known, and depends on such decisions itself. So counts and decisions take turns: given the counts, each id decides for itself;
-    given the decisions, a running sum over ranges counts. A message is right once all before it are, so the only stable state is the one of a single reader. Without more ids than the memory holds nothing is forgotten, and one window decides."""
+    given the decisions, a running sum over ranges counts; ids and ranges are dealt to a task for each ``ROWS_A_TASK`` messages, so no task grows with the table. A message is right once all before it are, so the only stable state is the one of a single reader. Without more ids than the memory holds nothing is forgotten, and one window decides."""
     results, valid = cut(results), F.col("error_code").isNull()  # validation is dear, its rows are slim
     if results.where(valid).select("control_id").distinct().limit(memory + 1).count() <= memory:
         return _remembered_forever(results)
     known = results.where(valid).withColumn("_before", F.lit(0).cast("long"))
+    tasks = max(int(results.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known.count() // ROWS_A_TASK))
     decided, changed = None, True
     while changed:
         schema = T.StructType([*known.schema.fields, T.StructField("_accepted", T.BooleanType()), T.StructField("_clash", T.BooleanType())])
-        dealt = known.repartition("control_id").sortWithinPartitions("control_id", "seq", "msg_id")
+        dealt = known.repartition(tasks, "control_id").sortWithinPartitions("control_id", "seq", "msg_id")
         decided = cut(dealt.mapInPandas(_forgetful(memory), schema))
         one = F.col("_accepted").cast("long")
-        numbered = cut(running(decided, [], [F.col("seq"), F.col("msg_id")], {"_upto": one}).withColumn("_now", F.col("_upto") - one))
+        numbered = cut(running(decided, [], [F.col("seq"), F.col("msg_id")], {"_upto": one}, tasks).withColumn("_now", F.col("_upto") - one))
         changed = bool(numbered.where("_now <> _before").limit(1).count())
         known = numbered.withColumn("_before", F.col("_now")).drop("_now", "_upto", "_accepted", "_clash")
     disposition = F.when(F.col("_clash"), "rejected").when(F.col("_accepted"), "accepted").otherwise("retransmission")
