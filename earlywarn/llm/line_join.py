@@ -2,13 +2,15 @@
 
 1. ``setjoin.describe`` gives the key and size of every line and the rarity order of all tokens.
 2. A second scan deals the prefixes of the lines to ranges of tokens: token, key, size, position of the token in the line's order, place of the line (row, line number)
-   and a bitmap of 128 bits, packed column by column in the least width that holds them. A line is dealt only where another set of its size could reach the threshold at all (fewer than ``num / (den - num)`` words match only their equals,
+   and a bitmap of parities (64 bits, 128 for long lines), packed column by column in the least width that holds them. A line is dealt only where another set of its size could reach the threshold at all (fewer than ``num / (den - num)`` words match only their equals,
    which have the same key).
 3. Each range orders the lines of a token by place and looks, for each line, for the earliest line before it that passes
    the length filter (sizes within the threshold of each other), the positional filter (the overlap can be the tokens before and at the shared one, and what is left of the
-   shorter rest), and the bitmaps (common bits and the lesser surplus). It returns that one pair, not all, and, where a line has more than one such line, the list.
-4. Bitmaps of two bits or more per token rule out most pairs of long lines that should not have passed. The others meet their whole lines, read again from the texts, and are counted exactly.
-5. Only lines none of whose pairs held go on: each is compared with all lines before it in its lists, by the wide bitmaps and then, where these leave any, by the whole lines.
+   shorter rest), and the parities (places that differ are words that only one of the two has). It returns that one pair, not all, and, where a line has more than one such line, the list.
+4. The pairs meet their whole lines, read again from the texts, and are counted exactly.
+5. Only lines none of whose pairs held go on: each is compared with all lines before it in its lists, by bitmaps of two bits or more per token and then, where these leave any, by the whole lines.
+
+What a join needs of the lines or texts is told beforehand by a bitmap of fixed size (``setjoin.only``), so that most others stay where they are.
 
 So a group of near copies costs one pair for each line, and a line without a match has been compared with all that the filters leave. The lines of one token are held by one task.
 """
@@ -28,12 +30,16 @@ from earlywarn.llm import textkit as tk
 from earlywarn.llm.storage import materialize
 
 BITS = 128
+#: Lines of more words have parities of 128 bits in their postings, others of 64.
+LONG = 64
 #: Lists of up to this many lines are compared at once; pairs and lines in one step.
 SMALL = 48
 PAIRS = 1 << 19
 BLOCK = 1024
 #: An entry of a long list is compared with no more blocks once so many entries before it passed; should none of them match, it meets the rest later.
 ENOUGH = 64
+#: Postings that a range holds before a table is dealt to more of them only for the sake of the cores.
+LEAST_POSTINGS = 50_000
 #: The place of a null id: before all others.
 NULL_ROW = -(1 << 63)
 #: Columns of a posting. A token is told from others of its range by 32 bits: two tokens that agree in them are one list, which only compares more.
@@ -46,6 +52,25 @@ def _widen(column: pa.ChunkedArray) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
+def _pack_parities(c: np.ndarray) -> np.ndarray:
+    """The first halves of all entries, then the second halves of the long ones."""
+    return np.concatenate([c[:, 0], c[c[:, 2] > 0, 1]])
+
+
+def _parities(column: pa.ChunkedArray, n: np.ndarray) -> np.ndarray:
+    """Both halves of all entries, of sizes ``n``; 0 for second halves that were not sent."""
+    out, lo = np.zeros((len(n), 2), np.uint64), 0
+    for blob in column.to_pylist():
+        c = np.frombuffer(blob, np.uint64)
+        # a blob of m entries, long of them long, has m + long halves: the least m with so many
+        halves = np.cumsum(1 + (n[lo : lo + len(c)] > LONG))
+        hi = lo + int(np.searchsorted(halves, len(c))) + 1
+        out[lo:hi, 0] = c[: hi - lo]
+        out[lo:hi, 1][n[lo:hi] > LONG] = c[hi - lo :]
+        lo = hi
+    return out
+
+
 def _postings(rows: DataFrame, extract: sj.Extract, order: sj.Order, ranges: int, num: int, den: int) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(order)
     least = math.ceil(num / (den - num)) if den > num else 1 << 62
@@ -57,7 +82,7 @@ def _postings(rows: DataFrame, extract: sj.Extract, order: sj.Order, ranges: int
             columns = {k: np.concatenate([x[k] for x in held]) for k in POSTED}
             part = (tk.mix(columns["h"]) % np.uint64(ranges)).astype(np.int64)
             columns["h"] = (columns["h"] >> np.uint64(31)).astype(np.uint32)
-            return sj.deal(part, ranges, columns, {"n": tk.narrow, "pos": tk.narrow, "row": tk.narrow, "part": tk.narrow})
+            return sj.deal(part, ranges, columns, {"n": tk.narrow, "pos": tk.narrow, "row": tk.narrow, "part": tk.narrow, "sig": _pack_parities})
 
         for batch in batches:
             ids = batch.column(1).fill_null(NULL_ROW).to_numpy(zero_copy_only=False)
@@ -73,7 +98,8 @@ def _postings(rows: DataFrame, extract: sj.Extract, order: sj.Order, ranges: int
                     continue
                 values, n, keys, row, part = values[np.repeat(pick, n)], n[pick], keys[pick], row[pick], part[pick]
                 h, s, position = sent.value.prefix(values, n, sj.prefix_length(n, num, den))
-                sig = sj.signatures(values, n, BITS)
+                sig = sj.parities(values, n)
+                sig = np.column_stack([sig, n > LONG])
                 held.append({"h": h, "k": keys[s], "n": n[s].astype(np.int32), "pos": position.astype(np.int32), "row": row[s], "part": part[s].astype(np.int32), "sig": sig[s]})
                 if sum(len(x["h"]) for x in held) > sj.HELD_POSTINGS:
                     yield flush()
@@ -90,7 +116,6 @@ class _Filter:
     def __init__(self, n: np.ndarray, pos: np.ndarray, sig: np.ndarray, num: int, den: int):
         self.n, self.pos, self.sig, self.num, self.den = n, pos, sig, num, den
         self.rest = n - pos - 1
-        self.surplus = n - np.bitwise_count(sig).sum(1).astype(np.int64)
 
     def mask(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         na, nb, num, den = self.n[i], self.n[j], self.num, self.den
@@ -99,8 +124,11 @@ class _Filter:
         ok &= (np.minimum(self.pos[i], self.pos[j]) + 1 + np.minimum(self.rest[i], self.rest[j])) * (num + den) >= need
         at = np.flatnonzero(ok)
         i, j = i[at], j[at]
-        common = np.bitwise_count(self.sig[i] & self.sig[j]).sum(1).astype(np.int64)
-        ok[at] = (common + np.minimum(self.surplus[i], self.surplus[j])) * (num + den) >= need[at]
+        differ = self.sig[i] ^ self.sig[j]
+        apart = np.bitwise_count(differ[:, 0]).astype(np.int64)
+        long = np.flatnonzero((self.n[i] > LONG) & (self.n[j] > LONG))
+        apart[long] = np.bitwise_count(differ[long, 1]).astype(np.int64) + np.bitwise_count(differ[long, 0] ^ differ[long, 1])
+        ok[at] = apart * (num + den) <= (na[at] + nb[at]) * (den - num)
         return ok
 
 
@@ -140,7 +168,7 @@ def _search(num: int, den: int):
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         c = {k: _widen(table.column(k)) for k in ("n", "pos", "row", "part")}
-        c |= {"h": sj.blobs(table.column("h"), np.uint32), "k": sj.blobs(table.column("k"), np.int64), "sig": sj.blobs(table.column("sig"), np.uint64).reshape(-1, BITS // 64)}
+        c |= {"h": sj.blobs(table.column("h"), np.uint32), "k": sj.blobs(table.column("k"), np.int64), "sig": _parities(table.column("sig"), c["n"])}
         # tokens of one entry pair nothing
         tokens, inverse, count = np.unique(c["h"], return_inverse=True, return_counts=True)
         keep = np.flatnonzero(count[inverse] > 1)
@@ -298,19 +326,6 @@ def _settle(extract: sj.Extract, num: int, den: int):
     return run
 
 
-def _narrowed(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that their wide bitmaps do not rule out either."""
-    side = lambda k: reps.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("bitmap").alias(f"w{k}"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*(batch.column(x).to_pylist() for x in range(2, 6)), strict=True)
-            ok = [sj.may_reach(na, np.frombuffer(wa, np.uint64), nb, np.frombuffer(wb, np.uint64), num, den) for na, wa, nb, wb in rows]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "wa", "nb", "wb").mapInArrow(run, "a long, b long")
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, extract: sj.Extract, num: int, den: int) -> DataFrame:
     """The later keys (b) of pairs whose exact similarity is num / den or more."""
 
@@ -335,8 +350,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, extract: sj.Extract, num: int,
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "b long")
 
 
+def _ranges(total: int, cores: int) -> int:
+    """Ranges for so many postings: ``sj.RANGE_POSTINGS`` each at most, and where these are too few to keep all cores evenly busy, four for each core."""
+    return max(1, math.ceil(total / sj.RANGE_POSTINGS), min(4 * cores, math.ceil(total / LEAST_POSTINGS)))
+
+
 def earlier_matches(rows: DataFrame, extract: sj.Extract, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Lines of a table (text, id long): ``members`` (``row, part, n, key``, one for each line) and ``heads`` (``key, first, matched``): the first place of each key
+    """Lines of a table (text, id long): ``members`` (``row, part, n, key``, one for each line whose key may be among the heads) and ``heads`` (``key, first, matched``): the first place of each key
     that has several lines or an earlier match, and whether a line with another key before that place matches it."""
     described = sj.describe(rows, extract, BITS)
     order = sj.rarity_order(described)
@@ -345,21 +365,25 @@ def earlier_matches(rows: DataFrame, extract: sj.Extract, num: int, den: int) ->
     one = members.groupBy("key").agg(F.min(F.struct("row", "part", "n", bitmap)).alias("at"), F.count(F.lit(1)).alias("copies"))
     reps = materialize(one.select("key", F.struct("at.row", "at.part").alias("first"), "copies", "at.n", "at.bitmap"))
     total = int(reps.agg(F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1), F.lit(0))).first()[0])
-    ranges = max(1, math.ceil(total / sj.RANGE_POSTINGS))
+    ranges = _ranges(total, rows.sparkSession.sparkContext.defaultParallelism)
     found = materialize(_postings(rows, extract, order, ranges, num, den).groupBy("range").applyInArrow(_search(num, den), FOUND))
-    pairs = materialize(_narrowed(found.where("a is not null").select("a", "b").distinct(), reps, num, den))
-    place = lambda keys: reps.join(keys, "key", "left_semi").select("key", F.col("first.row").alias("row"), F.col("first.part").alias("part"))
-    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    pairs = materialize(found.where("a is not null").select("a", "b").distinct())
+    # no semi-join: Spark would take it before the bitmap
+    place = lambda keys: sj.only(reps, "key", keys, "key").join(keys, "key").select("key", F.col("first.row").alias("row"), F.col("first.part").alias("part"))
+    keys = materialize(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct())
     texts = materialize(sj.texts_of(rows, place(keys), lines=True))
     matched = materialize(_verified(pairs, texts, extract, num, den).distinct())
     unsettled = found.where("a is not null").select(F.col("range").alias("at"), "b").join(matched, "b", "left_anti").distinct()
     lists = materialize(found.where("members is not null").select("range", "members", "sizes").groupBy("range").cogroup(unsettled.groupBy("at")).applyInArrow(_unsettled, LISTS))
-    bitmaps = sj.members_of(lists).join(reps.select("key", "n", "bitmap"), "key").select(F.col("range").alias("at"), "key", "n", "bitmap")
+    wanted = materialize(sj.members_of(lists))
+    bitmaps = wanted.join(sj.only(reps, "key", wanted, "key").select("key", "n", "bitmap"), "key").select(F.col("range").alias("at"), "key", "n", "bitmap")
     lists = materialize(lists.groupBy("range").cogroup(bitmaps.groupBy("at")).applyInArrow(_may_match(num, den), LISTS))
     if lists.limit(1).count():
         wanted = materialize(sj.members_of(lists))
         texts = wanted.join(sj.texts_of(rows, place(wanted.select("key").distinct()), lines=True), "key").select("range", "key", "text")
         matched = matched.unionByName(lists.groupBy("range").cogroup(texts.groupBy("range")).applyInArrow(_settle(extract, num, den), "b long"))
-    matched = matched.select(F.col("b").alias("key")).distinct().withColumn("matched", F.lit(True))
-    heads = reps.join(matched, "key", "left").where("copies > 1 or matched").select("key", "first", F.coalesce("matched", F.lit(False)).alias("matched"))
-    return members.select("row", "part", "n", "key"), heads
+    matched = materialize(matched.select(F.col("b").alias("key")).distinct())
+    may = sj.only(reps, "key", matched, "key", F.col("copies") > 1)
+    heads = may.join(matched.withColumn("matched", F.lit(True)), "key", "left").where("copies > 1 or matched").select("key", "first", F.coalesce("matched", F.lit(False)).alias("matched"))
+    heads = materialize(heads)
+    return sj.only(members, "key", heads, "key").select("row", "part", "n", "key"), heads

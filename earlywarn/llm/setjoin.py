@@ -103,6 +103,15 @@ def signatures(values: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.uint64)
 
 
+def parities(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each set (none is empty) whether it has an odd number of elements at each of 64 places, and at the upper half of 128 places; the lower half is where the two differ.
+    An element of both sets of a pair changes both alike, so each place that differs is an element, at least, that only one of them has."""
+    bit = np.uint64(1) << (values & np.uint64(63))
+    starts = np.cumsum(n) - n
+    upper = np.where(values & np.uint64(64), bit, np.uint64(0))
+    return np.column_stack([np.bitwise_xor.reduceat(bit, starts), np.bitwise_xor.reduceat(upper, starts)])
+
+
 def offsets(size: np.ndarray) -> np.ndarray:
     """0, 1, ... within each run of the given sizes."""
     return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
@@ -274,21 +283,24 @@ def members_of(lists: DataFrame) -> DataFrame:
 FILTER_WORDS = 1 << 18
 
 
-def only(rows: DataFrame, place: DataFrame) -> DataFrame:
-    """The rows (text, id) whose id is in ``place`` (_row), and a few others: those whose hash meets a bit of the same place in a bitmap of fixed size."""
+def only(rows: DataFrame, by: str, place: DataFrame, key: str, also: Column | None = None) -> DataFrame:
+    """The rows whose ``by`` is in ``place`` (its column ``key``), and a few others: those whose hash meets a bit of the same place in a bitmap of fixed size.
+    Rows for which ``also`` holds stay in any case."""
 
     def at(c: str) -> tuple[Column, Column]:
         h = F.pmod(F.xxhash64(c), F.lit(FILTER_WORDS * 64))
         return F.floor(h / 64).alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({c}), 64) as int))").alias("_bit")
 
-    bits = place.select(*at("_row")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    return rows.select("text", "id", *at("id")).join(F.broadcast(bits), "_word").where("_bits & _bit <> 0").select("text", "id")
+    bits = place.select(*at(key)).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    hit = F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))
+    met = rows.select(*rows.columns, *at(by)).join(F.broadcast(bits), "_word", "inner" if also is None else "left")
+    return met.where(hit if also is None else hit | also).select(*rows.columns)
 
 
 def texts_in_ranges(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """``range, key, text`` of the wanted sets (range, key, row): only their texts are moved, once to meet the places and once to the ranges."""
     place = materialize(wanted.select("range", "key", F.col("row").alias("_row")))
-    return only(rows, place).join(place, F.col("id").eqNullSafe(F.col("_row"))).select("range", "key", "text")
+    return only(rows.select("text", "id"), "id", place, "_row").join(place, F.col("id").eqNullSafe(F.col("_row"))).select("range", "key", "text")
 
 
 def texts_of(rows: DataFrame, wanted: DataFrame, lines: bool) -> DataFrame:
@@ -298,9 +310,9 @@ def texts_of(rows: DataFrame, wanted: DataFrame, lines: bool) -> DataFrame:
     Rows that share an id may give a key a text of another set, too; ``Sets`` and ``line_join`` compare the digest."""
     if not lines:
         place = materialize(wanted.select("key", F.col("row").alias("_row")))
-        return only(rows, place).join(place, F.col("id").eqNullSafe(F.col("_row"))).select("key", "text")
+        return only(rows.select("text", "id"), "id", place, "_row").join(place, F.col("id").eqNullSafe(F.col("_row"))).select("key", "text")
     place = materialize(wanted.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("key", "part")).alias("parts")))
-    found = rows.join(place, F.col("id").eqNullSafe(F.col("_row"))).select(F.split("text", "\n", -1).alias("lines"), "parts")
+    found = only(rows.select("text", "id"), "id", place, "_row").join(place, F.col("id").eqNullSafe(F.col("_row"))).select(F.split("text", "\n", -1).alias("lines"), "parts")
     line = lambda p: F.struct(p["key"].alias("key"), F.get("lines", p["part"]).alias("text"))
     return found.select(F.explode(F.transform("parts", line)).alias("p")).select("p.key", "p.text").where("text is not null")
 
