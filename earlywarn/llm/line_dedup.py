@@ -22,6 +22,8 @@ from earlywarn.llm import line_join, setjoin
 
 NUM, DEN = 4, 5
 LEAST = 1
+#: Rows whose texts are rewritten at once, whatever the size of Spark's batches.
+ROWS = 256
 
 
 def _later(docs: DataFrame, doc_id: str, text: str, num: int, den: int, least: int) -> DataFrame:
@@ -50,7 +52,7 @@ def remove_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", nu
     extract = setjoin.line_sets(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(lo, ROWS) for whole in batches for lo in range(0, whole.num_rows, ROWS)):
             texts = b.column(at).to_pylist()
             keep = [True] * len(texts)
             marked = [(k, {(x["part"], x["key"]) for x in r}) for k, r in enumerate(b.column(len(names)).to_pylist()) if r and texts[k]]

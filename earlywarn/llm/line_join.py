@@ -34,7 +34,7 @@ BITS = 128
 LONG = 64
 #: Lists of up to this many lines are compared at once; pairs and lines in one step.
 SMALL = 48
-PAIRS = 1 << 19
+PAIRS = 1 << 17
 BLOCK = 1024
 #: An entry of a long list is compared with no more blocks once so many entries before it passed; should none of them match, it meets the rest later.
 ENOUGH = 64
@@ -48,7 +48,7 @@ FOUND = "range int, a long, b long, members binary, sizes binary"
 
 
 def _widen(column: pa.ChunkedArray) -> np.ndarray:
-    parts = [tk.widen(b) for b in column.to_pylist()]
+    parts = [tk.widen(b.as_py()) for b in column]
     return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
@@ -57,11 +57,35 @@ def _pack_parities(c: np.ndarray) -> np.ndarray:
     return np.concatenate([c[:, 0], c[c[:, 2] > 0, 1]])
 
 
+def _distinct_entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The postings of a range that can pair, in the order they are compared in: by token (of those that several have), by place within it, of equal lines the first.
+    Gives their places in the packed columns, their tokens and their keys; only two columns are widened at a time."""
+    tokens, count = np.unique(sj.blobs(table.column("h"), np.uint32), return_counts=True)
+    tokens = tokens[count > 1]
+    h = sj.blobs(table.column("h"), np.uint32)
+    t = np.searchsorted(tokens, h).astype(np.int32)
+    at = np.flatnonzero(np.append(tokens, np.uint32(0))[t] == h).astype(np.int32) if len(tokens) else np.zeros(0, np.int32)
+    t, k = t[at], sj.blobs(table.column("k"), np.int64)[at]
+    del h
+    # stable sorts from the last key to the first
+    by = np.argsort(k, kind="stable").astype(np.int32)
+    for name in ("part", "row"):
+        by = by[np.argsort(_widen(table.column(name))[at][by], kind="stable")]
+    by = by[np.argsort(t[by], kind="stable")]
+    at, t, k = at[by], t[by], k[by]
+    by = np.argsort(k, kind="stable").astype(np.int32)
+    by = by[np.argsort(t[by], kind="stable")]
+    new = np.ones(len(by), bool)
+    new[1:] = (t[by][1:] != t[by][:-1]) | (k[by][1:] != k[by][:-1])
+    by = np.sort(by[new])
+    return at[by], t[by], k[by]
+
+
 def _parities(column: pa.ChunkedArray, n: np.ndarray) -> np.ndarray:
     """Both halves of all entries, of sizes ``n``; 0 for second halves that were not sent."""
     out, lo = np.zeros((len(n), 2), np.uint64), 0
-    for blob in column.to_pylist():
-        c = np.frombuffer(blob, np.uint64)
+    for blob in column:
+        c = np.frombuffer(blob.as_py(), np.uint64)
         # a blob of m entries, long of them long, has m + long halves: the least m with so many
         halves = np.cumsum(1 + (n[lo : lo + len(c)] > LONG))
         hi = lo + int(np.searchsorted(halves, len(c))) + 1
@@ -79,7 +103,7 @@ def _postings(rows: DataFrame, extract: sj.Extract, order: sj.Order, ranges: int
         held: list[dict[str, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            columns = {k: np.concatenate([x[k] for x in held]) for k in POSTED}
+            columns = {k: np.concatenate([x.pop(k) for x in held]) for k in POSTED}
             part = (tk.mix(columns["h"]) % np.uint64(ranges)).astype(np.int64)
             columns["h"] = (columns["h"] >> np.uint64(31)).astype(np.uint32)
             return sj.deal(part, ranges, columns, {"n": tk.narrow, "pos": tk.narrow, "row": tk.narrow, "part": tk.narrow, "sig": _pack_parities})
@@ -167,22 +191,11 @@ def _search(num: int, den: int):
     """Pairs (a before b) of one range, and the lists where a line has more than one candidate: their members that pass with another, in the order of place."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        c = {k: _widen(table.column(k)) for k in ("n", "pos", "row", "part")}
-        c |= {"h": sj.blobs(table.column("h"), np.uint32), "k": sj.blobs(table.column("k"), np.int64), "sig": _parities(table.column("sig"), c["n"])}
-        # tokens of one entry pair nothing
-        tokens, inverse, count = np.unique(c["h"], return_inverse=True, return_counts=True)
-        keep = np.flatnonzero(count[inverse] > 1)
-        c = {k: v[keep] for k, v in c.items()} | {"t": inverse[keep]}
-        # by place within a token; of equal lines the first
-        by = np.lexsort((c["k"], c["part"], c["row"], c["t"]))
-        c = {name: v[by] for name, v in c.items()}
-        by = np.lexsort((c["k"], c["t"]))
-        t, k = c["t"][by], c["k"][by]
-        by = np.sort(by[np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (k[1:] != k[:-1])]))]) if len(by) else by
-        c = {name: v[by] for name, v in c.items()}
-        k = c["k"]
-        f = _Filter(c["n"].astype(np.int64), c["pos"].astype(np.int64), c["sig"], num, den)
-        start = np.flatnonzero(np.concatenate([[True], c["t"][1:] != c["t"][:-1]])) if len(k) else np.zeros(0, np.int64)
+        at, t, k = _distinct_entries(table)
+        n = _widen(table.column("n"))
+        sig = _parities(table.column("sig"), n)[at]
+        f = _Filter(n[at], _widen(table.column("pos"))[at], sig, num, den)
+        start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(k) else np.zeros(0, np.int64)
         size = np.diff(np.append(start, len(k)))
         out_a, out_b, again = [], [], []
         for m in np.unique(size[(size > 1) & (size <= SMALL)]):

@@ -206,10 +206,8 @@ class Order:
     def __init__(self, slots: np.ndarray, counts: np.ndarray):
         order = np.lexsort((slots, counts))  # ascending; later writes win a place, so the most frequent slot holds it
         self.slots = slots[order].astype(np.uint32)
-        self.slot_at = np.zeros(1 << LOOKUP_BITS, np.uint32)
         self.rank_at = np.full(1 << LOOKUP_BITS, -1, np.int32)
         at = self.slots >> np.uint32(32 - LOOKUP_BITS)
-        self.slot_at[at] = self.slots
         self.rank_at[at] = np.arange(len(slots), dtype=np.int32)
 
     def __reduce__(self):
@@ -220,8 +218,10 @@ class Order:
         row = np.repeat(np.arange(len(n)), n)
         slot = (values >> np.uint64(31)).astype(np.uint32)
         at = slot >> np.uint32(32 - LOOKUP_BITS)
-        known = (self.rank_at[at] >= 0) & (self.slot_at[at] == slot)
-        place = np.where(known, np.uint64(1 << 43) + self.rank_at[at].astype(np.uint64) % np.uint64(1 << 32), values >> np.uint64(20))
+        rank = self.rank_at[at]
+        known = rank >= 0
+        known[known] = self.slots[rank[known]] == slot[known]
+        place = np.where(known, np.uint64(1 << 43) + rank.astype(np.uint64) % np.uint64(1 << 32), values >> np.uint64(20))
         order = _by_row(row, place, values, len(n))
         position = offsets(length)
         return values[order[np.repeat(np.cumsum(n) - n, length) + position]], np.repeat(np.arange(len(n)), length), position

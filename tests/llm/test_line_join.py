@@ -1,6 +1,7 @@
 """Line dedup: what a posting and the joins move, and lines around the width of their parities."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -9,6 +10,7 @@ from test_llm import later_by_brute_force
 
 from earlywarn.llm import line_dedup, line_join
 from earlywarn.llm import setjoin as sj
+from earlywarn.llm import textkit as tk
 
 
 def test_parities_never_rule_out_more_than_the_sets_differ():
@@ -83,3 +85,21 @@ def test_lines_about_as_long_as_parities_by_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.id: r.removed for r in line_dedup.later_lines(df).collect()}
     assert got == later_by_brute_force(rows) and 50 < len(got) < 250
+
+
+def test_memory_of_a_full_range():
+    """A range of ``RANGE_POSTINGS`` postings, as many as a task gets at any size: what its search holds besides them (107 MB when all columns were widened at once)."""
+    rng, each, columns = np.random.default_rng(5), 20_000, {k: [] for k in line_join.POSTED}
+    for lo in range(0, sj.RANGE_POSTINGS, each):
+        n = rng.integers(5, 60, each)
+        columns["h"].append(rng.integers(0, 100_000, each).astype(np.uint32).tobytes())
+        columns["k"].append(rng.integers(0, 1 << 62, each).tobytes())
+        for k, v in (("n", n), ("pos", n // 10), ("row", np.arange(lo, lo + each)), ("part", rng.integers(0, 50, each))):
+            columns[k].append(tk.narrow(v).tobytes())
+        columns["sig"].append(rng.integers(0, 1 << 63, each, np.uint64).tobytes())
+    table = pa.table({k: pa.array(v, pa.binary()) for k, v in columns.items()})
+    tracemalloc.start()
+    out = line_join._search(4, 5)((pa.scalar(7),), table)
+    held = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert out.num_columns == 5 and held < 90
