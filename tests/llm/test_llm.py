@@ -527,3 +527,24 @@ def test_toxicity_weights_are_optimal(spark):
     w, b = toxicity.fit_logistic(rows, 4, 600)
     off = 2 * (1 / (1 + np.exp(-(x @ w + b))) - y)
     assert abs(x.T @ off + 0.05 * w).max() < 1e-2 and abs(off.sum()) < 1e-2
+
+
+def test_characters_are_counted_on_all_words(spark):
+    """Rare words beyond any number of commoner ones and letters far into a long word count, and the counts are those of one pass over all words."""
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:06d}")
+    texts = [" ".join(name(i) for i in range(lo, lo + 2010)) for lo in range(0, 241_200, 2010)]
+    rows = [(2 * i + k, t, i % 2) for i, t in enumerate(texts) for k in range(2)]
+    rows += [(1000, "zqzq " + "k" * 30 + "wv Übel 日本語 x1y", 0), (1001, None, 1)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    held = {r.doc_id for r in docs.where(toxicity.held_out(F.col("doc_id"))).collect()}
+    kept = [r for r in rows if r[0] not in held]
+    assert any(r[0] == 1000 for r in kept)
+    words = Counter()
+    for _, t, y in kept:
+        for w in re.findall(r"[^\W\d_]+", (t or "").lower()):
+            words[w] += 10 if y else 1
+    want, got = toxicity.CharModel(words), toxicity.fit(docs, labels).chars
+    assert got.counts[4]["zqzq"] == got.counts[4]["kkwv"] == got.counts[4]["übel"] == 1 and len(words) > 200_000 and got.total == want.total
+    for h, c in (("   ", "a"), ("abc", "d"), ("zqz", "q"), (" zq", "z"), ("kkw", "v"), ("  ü", "b"), ("jjj", " "), ("bel", "x")):
+        assert abs(got.cost(h, c) - want.cost(h, c)) < 1e-12
